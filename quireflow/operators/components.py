@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least node of its neighbourhood."""
     both = edges.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
-    least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+    least = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "least")  # written, so that the join below can be split at hubs
     return both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
