@@ -96,7 +96,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", index:
         index.append(part.groupBy("digest").agg(F.max("__key").alias("keep_id")))
         above = cut
     sizes = marked.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    return marked.join(index.rows(since).join(sizes, "digest"), "digest").select(
+    stays = materialize(index.rows(since).join(sizes, "digest"), "stays")
+    return marked.join(stays, "digest").select(
         F.col("__key").alias(key),
         "keep_id",
         "group_size",

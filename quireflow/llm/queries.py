@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.llm.bpe import bpe_encode
 from quireflow.llm.exact_dedup import exact_dedup
+from quireflow.llm.packing import pack_documents
 from quireflow.llm.secrets import scan_secrets, span_text
 from quireflow.llm.sharding import shuffle_shards
+from quireflow.llm.simhash import simhash_groups
+from quireflow.llm.substring import substring_dedup
+from quireflow.llm.token_files import token_file_round_trip
 from quireflow.session import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`: 8 shards whose counts differ by one at most, as a uniform shuffle."""
@@ -20,6 +29,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards(rows, 8, tiebreak="text_crc32").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_encode(table(spark, sf_dir, "documents"), WORD_BPE)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,15 +55,43 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, len(words) AS n, unnest(range(1, len(words) - 18)) AS s, words FROM d WHERE len(words) >= 20),
+g AS (SELECT doc_id, s, array_to_string(list_slice(words, s, s + 19), ' ') AS g FROM w),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE k > 1),
+t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+k AS (SELECT t.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY t.p) AS kept_text
+      FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p WHERE gone.p IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(kept, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_file_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL}
