@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.bpe import bpe_encode
 from quireflow.llm.exact_dedup import exact_dedup
+from quireflow.llm.gif import BINS, read_gifs, store_gifs
 from quireflow.llm.packing import pack_documents
+from quireflow.llm.quality import score_quality
 from quireflow.llm.secrets import scan_secrets, span_text
 from quireflow.llm.sharding import shuffle_shards
 from quireflow.llm.simhash import simhash_groups
@@ -22,6 +24,11 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`: 8 shards whose counts differ by one at most, as a uniform shuffle."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -78,6 +85,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: frames, total milliseconds, then counts of the 8 colour bins over all frames."""
+    found = read_gifs(store_gifs(table(spark, sf_dir, "documents")))
+    total = lambda field: F.aggregate(F.transform("frames", field), F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = [F.expr(f"aggregate(frames, 0L, (a, f) -> a + f.hist[{b}])") for b in range(BINS)]
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("luma").cast("long").alias("payload_bytes"),
+        F.sha2("luma", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(luma, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("frames"), total(lambda f: f["delay_ms"]), *sums).alias("feature"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
