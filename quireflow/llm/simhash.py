@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import raw, slices
+from quireflow.llm.substring import _mix, word_hashes
 from quireflow.operators.components import connected_components
 from quireflow.sources.scratch import materialize
 
@@ -23,6 +24,8 @@ TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half
 #: The positions beside a triple and their pairs; a linked pair in a triple's posting shares one of these pairs too.
 PAIRS = [list(combinations([p for p in range(8) if p not in t], 2)) for t in TRIPLES]
 SUB = 1 << 60
+#: Where a posting's key has the number of its fingerprint, if texts have several.
+SERIES = 50
 _SHIFTS = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -69,17 +72,42 @@ def _packed(positions: tuple[int, ...], head: int) -> Column:
     return out
 
 
+def word_set_fingerprints(docs: DataFrame, key: str, text: str, series: int) -> DataFrame:
+    """__key, series and fp: `series` independent fingerprints of each text's set of words, lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", 1 << 20):
+            hashes, counts = word_hashes([t.lower() for t in raw(batch, "__text")])
+            n = len(counts)
+            owner = np.repeat(np.arange(n), counts)
+            order = np.lexsort((hashes, owner))
+            h, o = hashes[order], owner[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])] if len(h) else np.zeros(0, bool)
+            h, o = h[new], o[new]
+            sizes = np.bincount(o, minlength=n)
+            for k in range(series):
+                octets = _mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8)
+                counted = np.bincount(((octets + _SHIFTS) + o[:, None] * 2048).ravel(), minlength=n * 2048).reshape(n, 8, 256) @ _BITS
+                fps = np.packbits((2 * counted.reshape(n, 64) > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(np.full(n, k, np.int32)), pa.array(fps)], names=["__key", "series", "fp"])
+
+    src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    return src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, series int, fp long")
+
+
 def postings(distinct: DataFrame, split_above: int) -> DataFrame:
-    """(key, fp) for 8 keys of a fingerprint; keys with more than split_above fingerprints are split by two more positions, exactly."""
+    """(key, fp) for 8 keys of a fingerprint (series, fp); keys with more than split_above fingerprints are split by two more positions, exactly."""
     spark = distinct.sparkSession
-    keyed = distinct.select("fp", F.posexplode(F.array(*[_packed(t, k) for k, t in enumerate(TRIPLES)])).alias("t", "key"))
+    series = F.col("series").cast("long") * (1 << SERIES)
+    keyed = distinct.select("fp", F.posexplode(F.array(*[series + _packed(t, k) for k, t in enumerate(TRIPLES)])).alias("t", "key"))
     large = materialize(keyed.groupBy("key").count().where(F.col("count") > split_above).select("key"), "large")
     rows = ", ".join(f"({k}, {16 * k + j}, {a}, {b})" for k in range(8) for j, (a, b) in enumerate(PAIRS[k]))
     pairs = spark.sql(f"SELECT * FROM VALUES {rows} AS p(t, head, a, b)")  # 80 rows
     octet = lambda c: F.expr(f"shiftrightunsigned(fp, 8 * {c}) & 255")
     triple = F.col("key").bitwiseAND((1 << 24) - 1)
     finer = keyed.join(large, "key", "left_semi").join(F.broadcast(pairs), "t")
-    finer = finer.select(((F.col("head").cast("long") * (1 << 40)) + triple * 65536 + octet("a") * 256 + octet("b") + F.lit(SUB)).alias("key"), "fp")
+    series = F.shiftright("key", SERIES) * (1 << SERIES)
+    finer = finer.select((series + (F.col("head").cast("long") * (1 << 40)) + triple * 65536 + octet("a") * 256 + octet("b") + F.lit(SUB)).alias("key"), "fp")
     return keyed.join(large, "key", "left_anti").select("key", "fp").union(finer)
 
 
@@ -106,7 +134,7 @@ def _by_pairs(fps: np.ndarray) -> np.ndarray:
 
 def _by_masks(fps: np.ndarray, key: int) -> np.ndarray:
     """The same for a split key: 3 bytes are free, so every neighbour is found in a table of 2**24 cells."""
-    k, j = divmod((key - SUB) >> 40, 16)
+    k, j = divmod((key & ((1 << SERIES) - 1)) >> 40, 16)
     free = [p for p in range(8) if p not in (*TRIPLES[k], *PAIRS[k][j])]
     rest = sum(((fps >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64) << (8 * i) for i, p in enumerate(free))
     cells = np.full(1 << 24, -1, dtype=np.int32)
@@ -134,15 +162,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[starts, len(keys)])
         two = starts[sizes == 2]
         two = two[_near(fps[two], fps[two + 1])] if len(two) else two
-        hi, lo = [fps[two + 1]], [fps[two]]
+        hi, lo, of = [fps[two + 1]], [fps[two]], [keys[two]]
         for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             own = fps[s : s + m]
             label = _by_masks(own, int(keys[s])) if m > limit and keys[s] >= SUB else _by_pairs(own)
             moved = label != np.arange(m)
             hi.append(own[moved])
             lo.append(own[label[moved]])
-        cols = [pa.array(np.concatenate(x).view(np.int64)) for x in (hi, lo)]
-        return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
+            of.append(np.full(int(moved.sum()), keys[s]))
+        series = (np.concatenate(of) & (SUB - 1)) >> SERIES
+        cols = [pa.array(series.astype(np.int32)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (hi, lo))]
+        return pa.RecordBatch.from_arrays(cols, names=["series", "u", "v"])
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column("key").to_numpy()])
@@ -155,6 +185,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(keys, fps)
 
 
+def _linked(distinct: DataFrame, split_above: int) -> DataFrame:
+    """series, u, v: links between fingerprints at MAX_BITS or fewer differing bits; what links directly is linked by a path in its posting."""
+    return postings(distinct, split_above).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "series int, u long, v long")
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, split_above: int = 4096) -> DataFrame:
     """Fingerprint and component of every row; fingerprints link at 3 or fewer differing bits.
 
@@ -167,8 +202,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """
     marked = materialize(fingerprints(docs, key, text, width), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("__key").alias("first_key")), "distinct")
-    links = postings(distinct.select("fp"), split_above).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "u long, v long")
-    comp = connected_components(links)
+    comp = connected_components(_linked(distinct.select("fp", F.lit(0).alias("series")), split_above))
     rooted = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first_key", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first_key").alias("component_id")), "least")
@@ -176,7 +210,26 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     return marked.join(labels, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", series: int = 8, split_above: int = 4096) -> DataFrame:
+    """key and component_id (the smallest key reachable): texts link if one of `series` fingerprints does.
+
+    One 3-bit fingerprint of word runs finds only copies with hardly any change. Here each text
+    has several independent fingerprints of its set of words, so a text with a few words
+    replaced is found by one of them, while other texts' word sets differ too much. Keys are
+    whole numbers; rows with a null key are left out, and rows that repeat a key count as one.
+    """
+    marked = materialize(word_set_fingerprints(docs.where(F.col(key).isNotNull()), key, text, series), "fingerprints")
+    distinct = materialize(marked.groupBy("series", "fp").agg(F.min("__key").alias("first_key")), "distinct")
+    links = materialize(_linked(distinct.select("series", "fp"), split_above), "links")
+    first = lambda c: distinct.select("series", F.col("fp").alias(c), F.col("first_key").alias(f"{c}_key"))
+    across = links.join(first("u"), ["series", "u"]).join(first("v"), ["series", "v"]).select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    same = marked.join(distinct, ["series", "fp"]).where("__key <> first_key").select(F.col("__key").alias("u"), F.col("first_key").alias("v"))
+    comp = connected_components(across.union(same))
+    keys = marked.where("series = 0").select("__key").distinct()
+    return keys.join(comp, F.col("__key") == F.col("node"), "left").select(F.col("__key").alias(key), F.coalesce("component", "__key").alias("component_id"))
+
+
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of each component, with its columns; of rows repeated with that key one stays."""
-    stays = simhash_groups(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__keep")).distinct()
-    return docs.join(stays, docs[key].eqNullSafe(stays["__keep"]), "left_semi").dropDuplicates([key])
+    """Of each group of near copies the row with the smallest key, with its columns; rows with a null key stay, of repeated rows one stays."""
+    gone = near_copy_groups(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone"))
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").dropDuplicates([key, text])
