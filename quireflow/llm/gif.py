@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import raw, slices
 
-#: Frames of stored payloads are 24 x 24 pixels and stand for 100 ms.
+#: Stored payloads come in tiles of 24 x 24 pixels; a frame has up to MOST_TILES of them, one below another, and stands for 100 ms.
 SIDE = 24
 FRAME = SIDE * SIDE
+MOST_TILES = 16
 DELAY_CS = 10
 #: Bins of a frame's colour histogram: two levels of red, green and blue.
 BINS = 8
@@ -29,64 +30,81 @@ def _widths(code_bits: int, deferred: int) -> tuple[np.ndarray, np.ndarray]:
 _READ = {bits: _widths(bits, 1) for bits in range(2, 9)}
 
 
-def lzw_encode(pixels: bytes) -> bytes:
-    """GIF's LZW of 8-bit samples: a clear code, codes that grow from 9 to 12 bits, an end code."""
-    width, offset = _READ[8]
-    codes: list[int] = []
-    runs: list[list[int]] = []
-    table: dict[int, int] = {}
-    following, prefix = 258, -1
-    for c in pixels:
-        if prefix < 0:
-            prefix = c
-            continue
-        found = table.get(prefix << 8 | c)
+#: Widths of the codes of an 8-bit stream, the leading clear code first.
+_WRITE = np.r_[9, _READ[8][0]]
+#: For reading: first byte, shift and mask of the k-th code after a clear code, by the bits that the clear code leaves in its last byte.
+_PLACES = {bits: [((offset[:-1] + k) >> 3, (offset[:-1] + k) & 7, (1 << width) - 1) for k in range(8)] for bits, (width, offset) in _READ.items()}
+_ROOTS = {bits: [bytes([i]) for i in range(1 << bits)] + [b"", b""] for bits in _READ}
+
+
+def lzw_codes(pixels: bytes) -> list[list[int]]:
+    """GIF's LZW of 8-bit samples as runs of codes, each ended by a clear code (256) or the end code (257)."""
+    runs, codes, table, following = [], [], {}, 258
+    get = table.get
+    prefix = pixels[0] if pixels else -1
+    for c in pixels[1:]:
+        pair = prefix << 8 | c
+        found = get(pair)
         if found is not None:
             prefix = found
             continue
         codes.append(prefix)
-        if following == 4095:
+        prefix = c
+        if following < 4095:
+            table[pair] = following
+            following += 1
+        else:
             codes.append(256)
             runs.append(codes)
             codes, table, following = [], {}, 258
-        else:
-            table[prefix << 8 | c] = following
-            following += 1
-        prefix = c
-    runs.append([*codes, *([prefix] if prefix >= 0 else []), 257])
-    values, places, sizes, at = [np.array([256])], [np.array([0])], [np.array([9])], 9
-    for run in runs:
-        values.append(np.array(run))
-        places.append(offset[: len(run)] + at)
-        sizes.append(width[: len(run)])
-        at += int(offset[len(run)])
-    value, place, size = (np.concatenate(x).astype(np.uint64) for x in (values, places, sizes))
-    bits = (value[:, None] >> np.arange(12, dtype=np.uint64)) & np.uint64(1)
-    kept = np.arange(12) < size[:, None].astype(np.int64)
-    out = np.zeros(-(-at // 8) * 8, dtype=np.uint8)
-    out[(place[:, None].astype(np.int64) + np.arange(12))[kept]] = bits[kept]
-    return np.packbits(out, bitorder="little").tobytes()
+            get = table.get
+    return [*runs, [*codes, *([prefix] if prefix >= 0 else []), 257]]
+
+
+def pack_codes(frames: list[list[list[int]]]) -> list[bytes]:
+    """Code streams of many frames at once, each with a clear code ahead; codes are written low bits first."""
+    value = np.array([c for runs in frames for k, run in enumerate(runs) for c in ([256, *run] if k == 0 else run)], dtype=np.int64)
+    lengths = np.array([len(run) + (k == 0) for runs in frames for k, run in enumerate(runs)])
+    first = np.array([k == 0 for runs in frames for k in range(len(runs))])
+    starts = np.cumsum(lengths) - lengths
+    rank = np.arange(len(value)) - np.repeat(starts - ~first, lengths)  # runs after the first have no clear code ahead
+    size = _WRITE[rank]
+    before = np.cumsum(size) - size
+    heads = starts[first]
+    bits = np.diff(np.r_[before[heads], before[-1] + size[-1]])
+    room = -(-bits // 8)
+    at = np.cumsum(room) - room
+    frame_codes = np.diff(np.r_[heads, len(value)])
+    place = before + np.repeat(at * 8 - before[heads], frame_codes)
+    shifted, cell = value << (place & 7), place >> 3
+    out = np.zeros(int(room.sum()) + 3, dtype=np.uint8)
+    for k in range(3):
+        np.add.at(out, cell + k, (shifted >> (8 * k) & 255).astype(np.uint8))
+    data = out.tobytes()
+    return [data[a : a + n] for a, n in zip(at.tolist(), room.tolist(), strict=True)]
 
 
 def lzw_decode(data: bytes, code_bits: int, limit: int) -> bytes:
     """Up to `limit` samples of a GIF code stream; what follows an end code or a lacking byte is not read."""
     width, offset = _READ[code_bits]
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little").astype(np.int64)
     clear, stop = 1 << code_bits, (1 << code_bits) + 1
-    weights = 1 << np.arange(12)
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
+    roots = _ROOTS[code_bits]
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int32)
     out: list[bytes] = []
-    have, at = 0, 0
+    have, at, total = 0, 0, len(data) * 8
+    if total > code_bits and int.from_bytes(data[:2], "little") & (1 << code_bits + 1) - 1 == clear:
+        at = code_bits + 1
     while have < limit:
         # between clear codes the widths follow from the count, so a stretch of codes is cut out at once
-        n = min(int(np.searchsorted(offset, len(bits) - at, side="right")) - 1, len(width), limit - have + 3)
+        n = min(int(offset.searchsorted(total - at, side="right")) - 1, len(width), limit - have + 3)
         if n <= 0:
             break
-        padded = np.r_[bits[at : at + int(offset[n])], np.zeros(12, dtype=np.int64)]
-        cells = padded[offset[:n, None] + np.arange(12)] * (np.arange(12) < width[:n, None])
+        byte, shift, mask = (x[:n] for x in _PLACES[code_bits][at & 7])
+        byte = byte + (at >> 3)
+        codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> shift & mask
         table, last, used, again = list(roots), b"", 0, False
-        for code in (cells @ weights).tolist():
-            used += 1
+        add, put = table.append, out.append
+        for used, code in enumerate(codes.tolist(), 1):
             if code == clear:
                 again = True
                 break
@@ -94,16 +112,16 @@ def lzw_decode(data: bytes, code_bits: int, limit: int) -> bytes:
                 have = limit
                 break
             if not last:
-                last = roots[code] if code < clear else b""
+                last = roots[code]
             elif code < len(table):
                 entry = table[code]
                 if len(table) < 4096:
-                    table.append(last + entry[:1])
+                    add(last + entry[:1])
                 last = entry
             else:
                 last += last[:1]
-                table.append(last)
-            out.append(last)
+                add(last)
+            put(last)
             have += len(last)
             if have >= limit:
                 break
@@ -118,14 +136,24 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def write_gif(payload: bytes) -> bytes:
-    """Bytes (a multiple of 576) as grey 24 x 24 frames of an animated GIF, without loss."""
-    screen = SIDE.to_bytes(2, "little") * 2
-    parts = [b"GIF89a" + screen + b"\xf7\0\0" + bytes(v for i in range(256) for v in (i, i, i))]
-    control = b"\x21\xf9\x04\x04" + DELAY_CS.to_bytes(2, "little") + b"\0\0"
-    for i in range(0, len(payload), FRAME):
-        parts.append(control + b"\x2c\0\0\0\0" + screen + b"\0\x08" + _blocks(lzw_encode(payload[i : i + FRAME])))
-    return b"".join([*parts, b"\x3b"])
+_PALETTE = bytes(v for i in range(256) for v in (i, i, i))
+
+
+def tiles_of_frame(tiles: int) -> int:
+    """Tiles in each frame: the largest number up to MOST_TILES that divides the payload's, so that all frames fill the screen."""
+    return next(k for k in range(min(tiles, MOST_TILES), 0, -1) if tiles % k == 0)
+
+
+def write_gifs(payloads: list[bytes]) -> list[bytes]:
+    """Bytes (positive multiples of 576) as grey frames of animated GIFs, 24 pixels wide, without loss."""
+    steps = [tiles_of_frame(len(p) // FRAME) * FRAME for p in payloads]
+    streams = iter(pack_codes([lzw_codes(p[i : i + n]) for p, n in zip(payloads, steps, strict=True) for i in range(0, len(p), n)]))
+    out = []
+    for p, n in zip(payloads, steps, strict=True):
+        screen = SIDE.to_bytes(2, "little") + (n // SIDE).to_bytes(2, "little")
+        head = b"\x21\xf9\x04\x04" + DELAY_CS.to_bytes(2, "little") + b"\0\0\x2c\0\0\0\0" + screen + b"\0\x08"
+        out.append(b"".join([b"GIF89a" + screen + b"\xf7\0\0" + _PALETTE, *(head + _blocks(next(streams)) for _ in range(len(p) // n)), b"\x3b"]))
+    return out
 
 
 def read_gif(data: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
@@ -183,14 +211,18 @@ def read_gif(data: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
         before = canvas.copy() if disposal == 3 else None
         area = canvas[y : y + h, x : x + w]
         shown = palette[np.minimum(index, len(palette) - 1)]
-        if clear < 0:
+        if clear < 0 and (w, h) == (width, height):
+            canvas = np.empty((height, width, 4), np.uint8)
+            canvas[..., :3], canvas[..., 3], area = shown, 255, canvas
+        elif clear < 0:
             area[..., :3], area[..., 3] = shown, 255
         else:
             drawn = index != clear
             area[drawn, :3], area[drawn, 3] = shown[drawn], 255
-        frames.append((delay, canvas.copy()))
+        frames.append((delay, canvas))
+        canvas = canvas.copy()
         if disposal == 2:
-            area[:] = 0
+            canvas[y : y + h, x : x + w] = 0
         elif before is not None:
             canvas = before
         delay, disposal, clear = 0, 0, -1
@@ -206,7 +238,7 @@ def store_gifs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 1 << 20):
             own = raw(batch, "__text")
-            media = [write_gif(t + b"\xff" * (max(1, -(-len(t) // FRAME)) * FRAME - len(t))) for t in own]
+            media = write_gifs([t + b"\xff" * (max(1, -(-len(t) // FRAME)) * FRAME - len(t)) for t in own])
             cols = [batch.column("__key"), pa.array([len(t) for t in own], pa.int64()), pa.array(media, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["__key", "n_bytes", "media"])
 
