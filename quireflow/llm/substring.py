@@ -142,7 +142,7 @@ def passing(docs: list[bytes], width: int, bits: np.ndarray, sketch_bits: int) -
     return doc, found - first[doc], counts
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, sketch_bits: int = 26) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, sketch_bits: int = 28) -> DataFrame:
     """Remove the words of every window of `width` words whose words start earlier elsewhere.
 
     Earlier: a smaller key, or the same key and a smaller start. Returns key, n_words, n_removed,
@@ -153,8 +153,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     is lost. Pass 2 emits 128-bit digests of the windows estimated repeated and groups them
     exactly: only the earliest position of each is kept, aggregated before the shuffle, so a
     passage of any frequency costs one row for each task. Those earliest positions go back to
-    their documents; a passing window that isn't among them is removed. Where the sketch fills
-    up (many more than 2**sketch_bits anchors) more windows pass, the result stays the same.
+    their documents; a passing window that isn't among them is removed. Texts without passing
+    windows are done after the scan and aren't shuffled. The sketch has 2 * 2**sketch_bits bits
+    (64 MB) for any corpus; where it fills up (many more than 2**sketch_bits anchors) more
+    windows pass, the result stays the same.
 
     Null texts have no words. A null key comes before all others; rows that repeat a key count
     as the same document, and equal positions of them are the same occurrence. An empty table
@@ -188,6 +190,24 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("__key", "start")).alias("f"))
     firsts = firsts.groupBy(F.col("f.__key").alias("__key")).agg(F.collect_list("f.start").alias("firsts"))
 
+    def known(rows: list[tuple[int, int, bytes]], keys: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array(keys), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["__key", "n_words", "n_removed", "kept_text"])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without passing windows, as they stay."""
+        for batch in slices(batches, "text", 2 << 20):
+            own = raw(batch, "text")
+            doc, _, counts = passing(own, width, bits.value, sketch_bits)
+            clean = np.setdiff1d(np.arange(len(own)), doc)
+            yield known([(int(counts[d]), 0, b" ".join(own[d].split())) for d in clean], batch.column("__key").to_numpy()[clean])
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with passing windows."""
+        for batch in slices(batches, "text", 2 << 20):
+            doc, _, _ = passing(raw(batch, "text"), width, bits.value, sketch_bits)
+            yield batch.take(pa.array(np.unique(doc)))
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             own, firsts = raw(batch, "text"), batch.column("firsts").to_pylist()
@@ -202,10 +222,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     covered = np.cumsum(edge[:-1]) > 0
                     removed[d] = covered.sum()
                     kept[d] = b" ".join(w for w, c in zip(own[d].split(), covered.tolist(), strict=True) if not c)
-            cols = [batch.column("__key"), pa.array(counts.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["__key", "n_words", "n_removed", "kept_text"])
+            yield known(list(zip(counts.tolist(), removed.tolist(), kept, strict=True)), batch.column("__key").to_numpy())
 
-    out = src.join(firsts, "__key", "left").mapInArrow(strip, "__key long, n_words long, n_removed long, kept_text string")
+    ddl = "__key long, n_words long, n_removed long, kept_text string"
+    some = src.mapInArrow(touched, "__key long, text string").join(firsts, "__key", "left").mapInArrow(strip, ddl)
+    out = src.mapInArrow(untouched, ddl).unionByName(some)
     return out.select(F.when(F.col("__key") != -(1 << 63), F.col("__key")).cast(kind).alias(key), "n_words", "n_removed", "kept_text")
 
 
