@@ -1,10 +1,4 @@
 """Every registered query with its DuckDB SQL, by name."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from quireflow.plans import analytics, corpus, forensics, intake, library, scoring, searching, streams  # noqa: F401
+from quireflow.plans.registry import ORACLE, QUERIES  # noqa: F401

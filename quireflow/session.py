@@ -13,6 +13,7 @@ def session(master: str = "local[*]", app: str = "quireflow", **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
