@@ -1 +1,481 @@
-"""."""
+"""Score analytics, agreement, calibration (K)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quireflow.functions import text as X
+from quireflow.operators.ranking import rank_within
+from quireflow.plans.library import VERDICT, average_rank, largest_remainder, verdict
+from quireflow.plans.registry import query
+from quireflow.session import table
+
+
+def n_rows():
+    return F.count(F.lit(1))
+
+
+def rnd(c, digits=6):
+    return F.round(c, digits)
+
+
+def li_of(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+#: Scores of labelled documents: the length relative to 5000, and whether people accepted.
+S = "s AS (SELECT l.doc_id, least(n_chars / 5000.0::DOUBLE, 1.0) AS score, quality AS human, source FROM labels l JOIN documents d USING (doc_id))"
+
+
+def scored(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"))
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").alias("human")).join(d, "doc_id")
+
+
+def kappa_of(a, b, c, d):
+    """Binary Cohen's kappa from the four counts; 0 where chance agreement is complete."""
+    n = a + b + c + d
+    po, pe = (a + d) / n, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n)
+    return F.when(pe >= 1, 0.0).otherwise((po - pe) / (1 - pe))
+
+
+def confusion(df: DataFrame, said, truth, by: list[str]) -> DataFrame:
+    """tp, fp, fn, tn of a boolean column against a 0/1 truth."""
+    t = truth == 1
+    return df.groupBy(*by).agg(F.count_if(said & t).alias("tp"), F.count_if(said & ~t).alias("fp"), F.count_if(~said & t).alias("fn"), F.count_if(~said & ~t).alias("tn"))
+
+
+CONF = "CAST(count(*) FILTER (WHERE {0} AND human = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE {0} AND human = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT {0} AND human = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE NOT {0} AND human = 0) AS BIGINT) AS tn"
+KAPPA = "CASE WHEN ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) * 1.0::DOUBLE / ((tp + fp + fn + tn) * (tp + fp + fn + tn)) >= 1 THEN 0 ELSE ((tp + tn) * 1.0::DOUBLE / (tp + fp + fn + tn) - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) * 1.0::DOUBLE / ((tp + fp + fn + tn) * (tp + fp + fn + tn))) / (1 - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) * 1.0::DOUBLE / ((tp + fp + fn + tn) * (tp + fp + fn + tn))) END"
+
+#: Weights of the review dimensions by paper type, and the confidence below which they blend.
+TYPE_WEIGHTS = {"A": (0.50, 0.20, 0.15, 0.15), "B": (0.25, 0.45, 0.15, 0.15), "C": (0.20, 0.25, 0.30, 0.25), "D": (0.30, 0.25, 0.20, 0.25)}
+ELASTIC = 0.8
+OTHERS = {t: tuple(sum(w[k] for o, w in TYPE_WEIGHTS.items() if o != t) / 3 for k in range(4)) for t in TYPE_WEIGHTS}
+TW = " UNION ALL ".join(f"SELECT '{t}' AS t, {', '.join(f'{x}::DOUBLE AS w{k}, {OTHERS[t][k]!r}::DOUBLE AS o{k}' for k, x in enumerate(w))}" for t, w in TYPE_WEIGHTS.items())
+
+
+@query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, ['A', 'B', 'C', 'D'][CAST(l_suppkey % 4 AS INT) + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, round(""" + " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4)) + ", 6) AS score FROM i JOIN w USING (t)")
+def k1(spark, sf):
+    rows = ", ".join(f"('{t}', {', '.join(f'{x}D, {OTHERS[t][k]!r}D' for k, x in enumerate(w))})" for t, w in TYPE_WEIGHTS.items())
+    weights = spark.sql(f"SELECT * FROM VALUES {rows} AS t(t, {', '.join(f'w{k}, o{k}' for k in range(4))})")
+    kind = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    dims = [F.col("l_quantity") / 50, F.col("l_tax") * 10, F.col("l_discount") * 8, (F.col("l_partkey") % 10) / 10.0]
+    i = li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("t"), F.least(F.lit(1.0), (0.5 + F.col("l_discount") * 5) / ELASTIC).alias("own"), *[d.alias(f"d{k}") for k, d in enumerate(dims)])
+    score = sum((F.col("own") * F.col(f"w{k}") + (1 - F.col("own")) * F.col(f"o{k}")) * F.col(f"d{k}") for k in range(4))
+    return i.join(F.broadcast(weights), "t").select("l_orderkey", "l_linenumber", "l_partkey", rnd(score).alias("score"))
+
+
+SEV = "WITH g AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS fatal, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS minor, avg(l_quantity) / 50 AS s FROM lineitem GROUP BY 1)"
+
+
+def severities(spark, sf):
+    flag = F.col("l_returnflag")
+    return li_of(spark, sf).groupBy("l_orderkey").agg(F.count_if(flag == "R").alias("fatal"), F.count_if(flag == "A").alias("minor"), (F.avg("l_quantity") / 50).alias("s"))
+
+
+@query("k2_delta_bounds", f"{SEV} SELECT l_orderkey, CAST(round(greatest(-0.25, -0.08 - least(0.17, 0.06 * fatal + 0.02 * greatest(0, minor - 1))), 6) AS DOUBLE) AS low, CAST(round(least(0.25, 0.12 + CASE WHEN fatal = 0 AND minor = 0 THEN 0.08 ELSE 0 END), 6) AS DOUBLE) AS high FROM g")
+def k2(spark, sf):
+    f, m = F.col("fatal"), F.col("minor")
+    low = F.greatest(F.lit(-0.25), -0.08 - F.least(F.lit(0.17), 0.06 * f + 0.02 * F.greatest(F.lit(0), m - 1)))
+    high = F.least(F.lit(0.25), 0.12 + F.when((f == 0) & (m == 0), 0.08).otherwise(0.0))
+    return severities(spark, sf).select("l_orderkey", rnd(low).alias("low"), rnd(high).alias("high"))
+
+
+@query("k3_hard_verdict", f"{SEV} SELECT l_orderkey, CASE WHEN fatal >= 3 THEN 'reject' WHEN fatal >= 1 AND s >= 0.77 THEN 'minor_revision' WHEN s < 0.2 AND fatal = 0 THEN 'major_revision' ELSE {VERDICT.format('s')} END AS verdict FROM g")
+def k3(spark, sf):
+    """Many fatal points veto, one downgrades an accept, a low score without any isn't rejected outright."""
+    s, f = F.col("s"), F.col("fatal")
+    v = F.when(f >= 3, "reject").when((f >= 1) & (s >= 0.77), "minor_revision").when((s < 0.2) & (f == 0), "major_revision").otherwise(verdict(s))
+    return severities(spark, sf).select("l_orderkey", v.alias("verdict"))
+
+
+@query("k4_report_overrides", f"{SEV} SELECT l_orderkey, CASE WHEN fatal >= 2 THEN 'rewrite_required' WHEN minor >= 2 THEN 'needs_depth' ELSE 'pass' END AS verdict, round(CASE WHEN fatal >= 2 THEN least(s, 0.60) ELSE s END, 6) AS score FROM g")
+def k4(spark, sf):
+    f, m, s = F.col("fatal"), F.col("minor"), F.col("s")
+    return severities(spark, sf).select("l_orderkey", F.when(f >= 2, "rewrite_required").when(m >= 2, "needs_depth").otherwise("pass").alias("verdict"), rnd(F.when(f >= 2, F.least(s, F.lit(0.60))).otherwise(s)).alias("score"))
+
+
+def offset_score(s, offset, top=0.85):
+    """Shift and clamp; a negative shift fades out between `top` and 1."""
+    fade = F.when((s > top) & (offset < 0), (1 - s) / (1 - top)).otherwise(1.0)
+    return X.clamp(s + offset * fade)
+
+
+@query("k5_offset_taper", f"WITH {S} SELECT doc_id, round(greatest(0, least(1, score - 0.09 * CASE WHEN score > 0.85 THEN (1 - score) / (1 - 0.85) ELSE 1 END)), 6) AS corrected FROM s")
+def k5(spark, sf):
+    return scored(spark, sf).select("doc_id", rnd(offset_score(F.col("score"), F.lit(-0.09))).alias("corrected"))
+
+
+@query("k6_dimension_offsets", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0 THEN round(l_tax - 0.01, 6) END AS a, round(l_discount - 0.02, 6) AS b FROM lineitem")
+def k6(spark, sf):
+    dims = F.zip_with(F.array(F.when(F.col("l_tax") > 0, F.col("l_tax")), F.col("l_discount")), F.array(F.lit(0.01), F.lit(0.02)), lambda x, o: F.round(x - o, 6))
+    return li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", dims.alias("d")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("d")[0].alias("a"), F.col("d")[1].alias("b"))
+
+
+def grid(spark, low, high, step, name):
+    n = round((high - low) / step)
+    return spark.range(n + 1).select(F.round(F.col("id") * step + low, 4).alias(name))
+
+
+GRID = "{2} AS (SELECT round({0} + i * {1}, 4) AS {2} FROM (SELECT unnest(range({3})) AS i))"
+
+
+@query("k7_offset_sweep", f"WITH {S}, {GRID.format('-0.30::DOUBLE', '0.05::DOUBLE', 'o', 13)}, c AS (SELECT o, {CONF.format('score + o >= 0.5')} FROM s, o GROUP BY o), k AS (SELECT o, round({KAPPA}, 6) AS kappa FROM c) SELECT o AS best_offset, kappa FROM k ORDER BY kappa DESC, o LIMIT 1")
+def k7(spark, sf):
+    """The first best of a tie is the lowest offset."""
+    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, -0.30, 0.30, 0.05, "o")))
+    k = confusion(rows, F.col("score") + F.col("o") >= 0.5, F.col("human"), ["o"]).select("o", rnd(kappa_of(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))).alias("kappa"))
+    return k.orderBy(F.desc("kappa"), "o").limit(1).withColumnRenamed("o", "best_offset")
+
+
+@query("k8_threshold_grid", f"WITH {S}, {GRID.format('0.10::DOUBLE', '0.05::DOUBLE', 'lo', 4)}, {GRID.format('0.30::DOUBLE', '0.05::DOUBLE', 'hi', 11)}, c AS (SELECT lo, hi, {CONF.format('(score >= lo AND score <= hi)')} FROM s, lo, hi GROUP BY ALL) SELECT lo, hi, round({KAPPA}, 6) AS kappa FROM c")
+def k8(spark, sf):
+    cells = grid(spark, 0.10, 0.25, 0.05, "lo").crossJoin(grid(spark, 0.30, 0.80, 0.05, "hi"))
+    rows = scored(spark, sf).crossJoin(F.broadcast(cells))
+    return confusion(rows, F.col("score").between(F.col("lo"), F.col("hi")), F.col("human"), ["lo", "hi"]).select("lo", "hi", rnd(kappa_of(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))).alias("kappa"))
+
+
+@query("k9_binary_offset_scan", f"WITH {S}, {GRID.format('-0.20::DOUBLE', '0.10::DOUBLE', 'o', 5)}, c AS (SELECT o, {CONF.format('score + o >= 0.5')}, round(avg(score + o) FILTER (WHERE human = 1), 6) AS mean_pos, round(avg(score + o) FILTER (WHERE human = 0), 6) AS mean_neg FROM s, o GROUP BY o) SELECT *, round({KAPPA}, 6) AS kappa FROM c")
+def k9(spark, sf):
+    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, -0.20, 0.20, 0.10, "o"))).withColumn("x", F.col("score") + F.col("o"))
+    c = confusion(rows, F.col("x") >= 0.5, F.col("human"), ["o"])
+    means = rows.groupBy("o").agg(rnd(F.avg(F.when(F.col("human") == 1, F.col("x")))).alias("mean_pos"), rnd(F.avg(F.when(F.col("human") == 0, F.col("x")))).alias("mean_neg"))
+    return c.join(means, "o").withColumn("kappa", rnd(kappa_of(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))))
+
+
+RANKED = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0::DOUBLE"
+
+
+@query("k10_weight_search", f"""WITH i AS (SELECT l_suppkey, l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice AS y FROM lineitem), w AS (SELECT unnest([0.45, 0.5, 0.55])::DOUBLE AS w), m AS (SELECT w, round(w * a + (1 - w) * b, 9) AS m, y FROM i, w),
+r AS (SELECT w, {RANKED.format('w', 'm')} AS rm, {RANKED.format('w', 'y')} AS ry FROM m) SELECT w, round(corr(rm, ry), 6) AS rho FROM r GROUP BY w""")
+def k10(spark, sf):
+    """Candidate weights by rank correlation with the target; ranks within each candidate."""
+    w = spark.sql("SELECT explode(array(0.45D, 0.5D, 0.55D)) AS w")
+    m = li_of(spark, sf).crossJoin(F.broadcast(w)).select("w", F.round(F.col("w") * F.col("l_quantity") / 50 + (1 - F.col("w")) * F.col("l_discount") * 10, 9).alias("m"), F.col("l_extendedprice").alias("y"))
+    return m.select("w", average_rank("w", "m").alias("a"), average_rank("w", "y").alias("b")).groupBy("w").agg(rnd(F.corr("a", "b")).alias("rho"))
+
+
+@query("k11_cohen_kappa", """WITH p AS (SELECT l_returnflag AS a, CASE WHEN l_partkey % 4 = 0 THEN 'A' ELSE l_returnflag END AS b FROM lineitem), n AS (SELECT count(*) * 1.0::DOUBLE AS n FROM p), x AS (SELECT a, count(*) AS ca FROM p GROUP BY 1), y AS (SELECT b, count(*) AS cb FROM p GROUP BY 1), e AS (SELECT sum(ca * cb) / (SELECT n * n FROM n) AS pe FROM x JOIN y ON a = b), o AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 0 END) / (SELECT n FROM n) AS po FROM p) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM o, e""")
+def k11(spark, sf):
+    """Several classes: contingency counts first, then their margins."""
+    p = li_of(spark, sf).select(F.col("l_returnflag").alias("a"), F.when(F.col("l_partkey") % 4 == 0, "A").otherwise(F.col("l_returnflag")).alias("b"))
+    c = p.groupBy("a", "b").agg(n_rows().alias("n"))
+    n = c.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("same"))
+    margin = c.groupBy("a").agg(F.sum("n").alias("x")).join(c.groupBy("b").agg(F.sum("n").alias("y")), F.col("a") == F.col("b")).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    po, pe = F.col("same") / F.col("n"), F.col("xy") / (F.col("n") * F.col("n"))
+    return n.crossJoin(margin).select(rnd((po - pe) / (1 - pe)).alias("kappa"))
+
+
+@query("k12_interval_alpha", "WITH g AS (SELECT l_orderkey, sum(2 * (l_quantity - m) * (l_quantity - m)) / count(*) AS d FROM lineitem JOIN (SELECT l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY 1) USING (l_orderkey) GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT 2 * var_pop(l_quantity) AS e FROM lineitem) SELECT round(greatest(0, 1 - avg(d) / max(e)), 6) AS alpha FROM g, e")
+def k12(spark, sf):
+    """interval_alpha_simple: mean within-item disagreement against that of all ratings, floored at 0."""
+    g = li_of(spark, sf).groupBy("l_orderkey").agg((2 * F.var_pop("l_quantity")).alias("d"), n_rows().alias("n")).where("n >= 2").agg(F.avg("d").alias("d"))
+    return g.crossJoin(li_of(spark, sf).agg((2 * F.var_pop("l_quantity")).alias("e"))).select(rnd(F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("e"))).alias("alpha"))
+
+
+@query("k13_spearman", f"WITH r AS (SELECT l_suppkey, {RANKED.format('l_suppkey', 'l_quantity')} AS a, {RANKED.format('l_suppkey', 'l_extendedprice')} AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey) AS oa, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) AS ob FROM lineitem) SELECT l_suppkey, round(corr(a, b), 6) AS rho, round(corr(oa, ob), 6) AS ordinal FROM r GROUP BY 1")
+def k13(spark, sf):
+    tie = ["l_orderkey", "l_linenumber", "l_partkey"]
+    order = lambda c: F.row_number().over(Window.partitionBy("l_suppkey").orderBy(c, *tie))
+    r = li_of(spark, sf).select("l_suppkey", average_rank("l_suppkey", "l_quantity").alias("a"), average_rank("l_suppkey", "l_extendedprice").alias("b"), order("l_quantity").alias("oa"), order("l_extendedprice").alias("ob"))
+    return r.groupBy("l_suppkey").agg(rnd(F.corr("a", "b")).alias("rho"), rnd(F.corr("oa", "ob")).alias("ordinal"))
+
+
+@query("k14_pearson_mae", "SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 6) AS r, round(avg(abs(l_quantity - l_extendedprice / 2000)), 6) AS mae, round(avg(l_quantity - l_extendedprice / 2000), 6) AS bias FROM lineitem GROUP BY 1")
+def k14(spark, sf):
+    d = F.col("l_quantity") - F.col("l_extendedprice") / 2000
+    return li_of(spark, sf).groupBy("l_suppkey").agg(rnd(F.corr("l_quantity", "l_extendedprice")).alias("r"), rnd(F.avg(F.abs(d))).alias("mae"), rnd(F.avg(d)).alias("bias"))
+
+
+def auc(df, score, truth, by):
+    """Rank-sum form with averaged ties."""
+    r = df.withColumn("__r", average_rank(by, score))
+    p = F.count_if(truth == 1)
+    n = F.count_if(truth == 0)
+    return r.groupBy(by).agg(((F.sum(F.when(truth == 1, F.col("__r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+
+
+AUC = f"WITH {S}, r AS (SELECT 1 AS g, human, {RANKED.format('1', 'score')} AS r FROM s) SELECT round((sum(CASE WHEN human = 1 THEN r END) - count(*) FILTER (WHERE human = 1) * (count(*) FILTER (WHERE human = 1) + 1) / 2.0) / (count(*) FILTER (WHERE human = 1) * count(*) FILTER (WHERE human = 0)), 6) AS auc FROM r"
+
+
+@query("k15_auc", AUC)
+def k15(spark, sf):
+    """Ranks come from counts of distinct scores, so that no task sorts all rows."""
+    c = scored(spark, sf).groupBy("score").agg(F.count_if(F.col("human") == 1).alias("p"), F.count_if(F.col("human") == 0).alias("n"))
+    below = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    won = F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2)
+    return c.select("p", "n", won.alias("w")).agg(rnd(F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
+
+
+@query("k16_threshold_metrics", f"WITH {S}, c AS (SELECT {CONF.format('score >= 0.5')} FROM s) SELECT tp, fp, fn, tn, round(tp * 1.0 / (tp + fp), 6) AS prec, round(tp * 1.0 / (tp + fn), 6) AS rec, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(tp * 1.0 / (tp + fn) + tn * 1.0 / (tn + fp) - 1, 6) AS youden, round((abs(fp - fn) - 1) * (abs(fp - fn) - 1) * 1.0 / (fp + fn), 6) AS mcnemar FROM c")
+def k16(spark, sf):
+    """Youden's J is sensitivity plus specificity minus 1."""
+    c = confusion(scored(spark, sf), F.col("score") >= 0.5, F.col("human"), [])
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    off = F.abs(fp - fn) - 1
+    return c.select("*", rnd(tp / (tp + fp)).alias("prec"), rnd(tp / (tp + fn)).alias("rec"), rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(tp / (tp + fn) + tn / (tn + fp) - 1).alias("youden"), rnd(off * off / (fp + fn)).alias("mcnemar"))
+
+
+@query("k17_isotonic")
+def k17(spark, sf):
+    """Pool-adjacent-violators fit; prediction is the value at the greatest boundary not above the score, as a step."""
+    s = scored(spark, sf).select("doc_id", "score", F.col("human").cast("double").alias("label"))
+    model = IsotonicRegression(featuresCol="score", labelCol="label").fit(s)
+    steps = spark.createDataFrame(list(zip(map(float, model.boundaries), map(float, model.predictions), strict=True)), "b double, p double")
+    step = s.join(F.broadcast(steps), F.col("b") <= F.col("score"), "left").groupBy("doc_id").agg(F.max_by("p", "b").alias("p"))
+    return step.select("doc_id", rnd(F.coalesce("p", F.lit(float(model.predictions[0])))).alias("calibrated"))
+
+
+@query("k18_ridge_blend")
+def k18(spark, sf):
+    """Ridge fit on one half for three penalties, chosen by AUC on the other half; all rows are scored by the best."""
+    s = scored(spark, sf).withColumn("second", F.col("doc_id") % 7 / 7.0)
+    s = VectorAssembler(inputCols=["score", "second"], outputCol="x").transform(s).withColumn("label", F.col("human").cast("double"))
+    train, val = s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1")
+    models = [LinearRegression(featuresCol="x", labelCol="label", regParam=a, elasticNetParam=0.0, solver="normal").fit(train) for a in (0.01, 0.1, 1.0)]
+    rated = [auc(m.transform(val).withColumn("g", F.lit(1)), "prediction", F.col("human"), "g").first()["auc"] for m in models]
+    best = models[max(range(3), key=lambda i: (rated[i], -i))]
+    return best.transform(s).select("doc_id", rnd("prediction").alias("blend"))
+
+
+@query("k19_monotone_map", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN x <= 0.2 THEN x * 0.5 WHEN x <= 0.6 THEN 0.1 + (x - 0.2) * 1.5 ELSE 0.7 + (x - 0.6) * 0.75 END, 6) AS y FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 50 AS x FROM lineitem)")
+def k19(spark, sf):
+    """Piecewise linear through knots; the segment is found in a fixed array of them."""
+    knots = [(0.0, 0.0), (0.2, 0.1), (0.6, 0.7), (1.0, 1.0)]
+    x = F.col("l_quantity") / 50
+    y = None
+    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
+        line = y0 + (x - x0) * (y1 - y0) / (x1 - x0)
+        y = line if y is None else F.when(x <= x1, line).otherwise(y)
+    return li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", rnd(y).alias("y"))
+
+
+@query("k20_score_fusion", "WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(0, least(1, 0.6 * l_quantity / 50 + 0.4 * (l_extendedprice - lo) / (hi - lo))), 6) AS fused FROM lineitem, m")
+def k20(spark, sf):
+    m = li_of(spark, sf).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    scaled = (F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    return li_of(spark, sf).crossJoin(F.broadcast(m)).select("l_orderkey", "l_linenumber", "l_partkey", rnd(X.clamp(0.6 * F.col("l_quantity") / 50 + 0.4 * scaled)).alias("fused"))
+
+
+@query("k21_disagreement", f"WITH {SEV[5:]}, v AS (SELECT l_orderkey, s, {VERDICT.format('s')} AS a, {VERDICT.format('(s * 0.9)')} AS b FROM g) SELECT l_orderkey, a <> b AND NOT (a IN ('accept', 'minor_revision') AND b IN ('accept', 'minor_revision')) AS disagree, round(0.1 * s, 6) AS gap FROM v")
+def k21(spark, sf):
+    """Accept and minor revision count as equivalent."""
+    s = F.col("s")
+    g = severities(spark, sf).select("l_orderkey", s, verdict(s).alias("a"), verdict(s * 0.9).alias("b"))
+    same = F.array(F.lit("accept"), F.lit("minor_revision"))
+    alike = F.array_contains(same, F.col("a")) & F.array_contains(same, F.col("b"))
+    return g.select("l_orderkey", ((F.col("a") != F.col("b")) & ~alike).alias("disagree"), rnd(0.1 * s).alias("gap"))
+
+
+BOOT = """WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem WHERE l_orderkey % 20 = 0 AND l_suppkey <= 40), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1),
+d AS (SELECT g, b, CAST(floor(((('0x' || substr(md5(g || ':' || b || ':' || k), 1, 8))::BIGINT)::DOUBLE / 4294967296.0) * n) AS BIGINT) AS i FROM n, (SELECT unnest(range(200)) AS b), LATERAL (SELECT unnest(range(n)) AS k)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN v ON v.g = d.g AND v.i = d.i GROUP BY ALL)"""
+
+
+def bootstrap(spark, sf, rounds=200):
+    """Resampled means by group; draws come from md5 of group, round and place. Groups are small by contract."""
+    v = li_of(spark, sf).where("l_orderkey % 20 = 0 and l_suppkey <= 40").select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).alias("i"))
+    n = v.groupBy("g").agg(n_rows().alias("n"))
+    draws = n.crossJoin(spark.range(rounds).toDF("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    place = F.floor(X.uniform(F.concat_ws(":", "g", "b", "k")) * F.col("n")).cast("int")
+    return draws.select("g", "b", place.alias("i")).join(v, ["g", "i"]).groupBy("g", "b").agg(F.avg("x").alias("m"))
+
+
+@query("k22_bootstrap_interval", f"{BOOT} SELECT g, round(greatest(0, least(1, quantile_cont(m, 0.025))), 5) AS low, round(greatest(0, least(1, quantile_cont(m, 0.975))), 5) AS high FROM m GROUP BY g")
+def k22(spark, sf):
+    pc = lambda q: F.round(X.clamp(F.percentile("m", F.lit(q))), 5)
+    return bootstrap(spark, sf).groupBy("g").agg(pc(0.025).alias("low"), pc(0.975).alias("high"))
+
+
+@query("k23_uncertainty_gate", f"{BOOT}, w AS (SELECT g, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 5) AS width FROM m GROUP BY g) SELECT g, width, CASE WHEN width > 0.30 THEN 'escalate' WHEN width > 0.15 THEN 'review' ELSE 'ok' END AS gate FROM w")
+def k23(spark, sf):
+    w = bootstrap(spark, sf).groupBy("g").agg(F.round(F.percentile("m", F.lit(0.975)) - F.percentile("m", F.lit(0.025)), 5).alias("width"))
+    return w.withColumn("gate", F.when(F.col("width") > 0.30, "escalate").when(F.col("width") > 0.15, "review").otherwise("ok"))
+
+
+@query("k24_quantile_alignment", "WITH r AS (SELECT quantile_cont(l_quantity, 0.5) AS ref FROM lineitem), b AS (SELECT l_shipdate, quantile_cont(l_quantity, 0.5) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(l_shipdate AS DATE) AS batch, round(greatest(-10, least(10, ref - m)), 6) AS shift FROM b, r WHERE n >= 5")
+def k24(spark, sf):
+    med = F.percentile("l_quantity", F.lit(0.5))
+    b = li_of(spark, sf).groupBy(F.to_date("l_shipdate").alias("batch")).agg(med.alias("m"), n_rows().alias("n")).where("n >= 5")
+    return b.crossJoin(F.broadcast(li_of(spark, sf).agg(med.alias("ref")))).select("batch", rnd(X.clamp(F.col("ref") - F.col("m"), -10.0, 10.0)).alias("shift"))
+
+
+@query("k25_gold_conversion", "SELECT doc_id, quality * 1.0::DOUBLE AS score, CASE WHEN quality = 1 THEN 'accept' WHEN toxic = 1 THEN 'major_revision' ELSE 'reject' END AS verdict FROM labels")
+def k25(spark, sf):
+    """Two JSON layouts to one schema; an unknown verdict becomes major_revision."""
+    q, t = F.col("quality"), F.col("toxic")
+    v = F.when(q == 1, "Accept").when(t == 1, "maybe").otherwise("REJECT")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.struct(q.alias("overall")).alias("expert_scores"), v.alias("expert_verdict")))).otherwise(F.to_json(F.struct(q.alias("score"), v.alias("decision"))))
+    row = table(spark, sf, "labels").select("doc_id", raw.alias("j"))
+    either = lambda *paths: F.coalesce(*[F.get_json_object("j", p) for p in paths])
+    said = F.lower(either("$.expert_verdict", "$.decision"))
+    return row.select("doc_id", either("$.expert_scores.overall", "$.score").cast("double").alias("score"), F.when(said.isin("accept", "minor_revision", "major_revision", "reject"), said).otherwise("major_revision").alias("verdict"))
+
+
+@query("k26_severity_tree")
+def k26(spark, sf):
+    """Balanced decision tree (depth 4, leaf 5) on deviation features; rows without a fit fall back to the deviation rule."""
+    li = li_of(spark, sf)
+    ax = li.groupBy("l_partkey").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")).where("hi > lo")
+    x = F.col("l_quantity") * 1.2
+    dev = F.greatest(F.col("lo") - x, x - F.col("hi"), F.lit(0.0))
+    rows = li.join(ax, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", dev.alias("deviation"), (dev / (F.col("hi") - F.col("lo"))).alias("relative"), (F.col("hi") - F.col("lo")).alias("span"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"))
+    share = rows.agg(F.avg("label").alias("p"))
+    rows = rows.crossJoin(F.broadcast(share)).withColumn("w", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p"))))
+    rows = VectorAssembler(inputCols=["deviation", "relative", "span"], outputCol="x").transform(rows)
+    model = DecisionTreeClassifier(featuresCol="x", labelCol="label", weightCol="w", maxDepth=4, minInstancesPerNode=5, seed=1).fit(rows)
+    return model.transform(rows).select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("prediction") == 1, "major").otherwise("minor").alias("severity"))
+
+
+@query("k27_prediction_vs_annotation", f"WITH p AS (SELECT doc_id, least(n_chars / 5000.0::DOUBLE, 1) AS p FROM documents), x AS (SELECT l.doc_id, p, quality, toxic, {RANKED.format('1', 'p')} AS rp FROM labels l JOIN p USING (doc_id)) SELECT round(corr(rp, quality), 6) AS rank_corr, round((sum(CASE WHEN toxic = 1 THEN rp END) - count(*) FILTER (WHERE toxic = 1) * (count(*) FILTER (WHERE toxic = 1) + 1) / 2.0) / (count(*) FILTER (WHERE toxic = 1) * count(*) FILTER (WHERE toxic = 0)), 6) AS auc FROM x")
+def k27(spark, sf):
+    x = scored(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").withColumn("g", F.lit(1))
+    r = x.withColumn("r", average_rank("g", "score"))
+    p, n = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
+    return r.agg(rnd(F.corr("r", "human")).alias("rank_corr"), rnd((F.sum(F.when(F.col("toxic") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+
+
+FLIP = f"WITH {S}, v AS (SELECT doc_id, source, score >= 0.5 AS a, score - 0.1 >= 0.5 AS b, human = 1 AS gold FROM s)"
+
+
+@query("k28_verdict_flips", f"{FLIP} SELECT CASE WHEN a = gold AND b <> gold THEN 'made_wrong' WHEN a <> gold AND b = gold THEN 'rescued' WHEN a = gold THEN 'both_right' ELSE 'both_wrong' END AS outcome, count(*) AS n, CAST(count(*) FILTER (WHERE a AND NOT b) AS BIGINT) AS down FROM v GROUP BY 1")
+def k28(spark, sf):
+    before = scored(spark, sf).select("doc_id", (F.col("score") >= 0.5).alias("a"), (F.col("human") == 1).alias("gold"))
+    after = scored(spark, sf).select("doc_id", (F.col("score") - 0.1 >= 0.5).alias("b"))
+    a, b, g = F.col("a"), F.col("b"), F.col("gold")
+    kind = F.when((a == g) & (b != g), "made_wrong").when((a != g) & (b == g), "rescued").when(a == g, "both_right").otherwise("both_wrong")
+    return before.join(after, "doc_id").groupBy(kind.alias("outcome")).agg(n_rows().alias("n"), F.count_if(a & ~b).alias("down"))
+
+
+@query("k29_submissions_view", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 END AS score FROM events")
+def k29(spark, sf):
+    """The new key before the old one; null for failed rows."""
+    new = F.get_json_object("props", "$.final_score").cast("double")
+    old = F.get_json_object("props", "$.k").cast("double") / 100
+    return table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", F.coalesce(new, old)).alias("score"))
+
+
+FLAGS = "WITH a AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS flag FROM part), b AS (SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 0 THEN [split_part(p_name, ' ', 1)] ELSE string_split(p_name, ' ') || ['extra'] END) AS flag FROM part)"
+
+
+@query("k30_multi_label", f"{FLAGS}, j AS (SELECT coalesce(a.flag, b.flag) AS flag, a.flag IS NOT NULL AS gold, b.flag IS NOT NULL AS said FROM (SELECT DISTINCT * FROM a) a FULL JOIN (SELECT DISTINCT * FROM b) b ON a.p_partkey = b.p_partkey AND a.flag = b.flag) SELECT flag, CAST(count(*) FILTER (WHERE gold AND said) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE said AND NOT gold) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE gold AND NOT said) AS BIGINT) AS fn FROM j GROUP BY 1")
+def k30(spark, sf):
+    p = table(spark, sf, "part")
+    words = F.split("p_name", " ")
+    a = p.select("p_partkey", F.explode(F.array_distinct(words)).alias("flag")).withColumn("gold", F.lit(True))
+    said = F.when(F.col("p_partkey") % 3 == 0, F.array(words[0])).otherwise(F.array_distinct(F.concat(words, F.array(F.lit("extra")))))
+    b = p.select("p_partkey", F.explode(said).alias("flag")).withColumn("said", F.lit(True))
+    j = a.join(b, ["p_partkey", "flag"], "full_outer").na.fill(False)
+    g, s = F.col("gold"), F.col("said")
+    return j.groupBy("flag").agg(F.count_if(g & s).alias("tp"), F.count_if(s & ~g).alias("fp"), F.count_if(g & ~s).alias("fn"))
+
+
+@query("k31_reliability_bins", f"WITH {S}, b AS (SELECT i / 5.0::DOUBLE AS lo, (i + 1) / 5.0::DOUBLE AS hi, i FROM (SELECT unnest(range(5)) AS i)) SELECT lo, hi, count(*) AS n, round(avg(human), 6) AS share FROM s JOIN b ON (score > lo OR (i = 0 AND score >= 0)) AND score <= hi GROUP BY ALL")
+def k31(spark, sf):
+    """Bins (lo, hi]; the first one is closed."""
+    bins = spark.range(5).select((F.col("id") / 5.0).alias("lo"), ((F.col("id") + 1) / 5.0).alias("hi"))
+    s = F.col("score")
+    rows = scored(spark, sf).join(F.broadcast(bins), ((s > F.col("lo")) | ((F.col("lo") == 0) & (s >= 0))) & (s <= F.col("hi")))
+    return rows.groupBy("lo", "hi").agg(n_rows().alias("n"), rnd(F.avg("human")).alias("share"))
+
+
+@query("k32_repeat_stability", "WITH c AS (SELECT l_partkey, l_linestatus, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL), m AS (SELECT l_partkey, l_linestatus, max(k) AS top FROM c GROUP BY ALL), g AS (SELECT l_partkey, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, max(l_quantity) - min(l_quantity) AS span FROM lineitem GROUP BY ALL) SELECT g.*, round(top * 1.0 / n, 6) AS modal_share FROM g JOIN m USING (l_partkey, l_linestatus)")
+def k32(spark, sf):
+    by = ["l_partkey", "l_linestatus"]
+    c = li_of(spark, sf).groupBy(*by, "l_returnflag").agg(n_rows().alias("k")).groupBy(*by).agg(F.max("k").alias("top"))
+    g = li_of(spark, sf).groupBy(*by).agg(n_rows().alias("n"), rnd(F.avg("l_quantity")).alias("mean"), rnd(F.stddev_pop("l_quantity")).alias("sd"), (F.max("l_quantity") - F.min("l_quantity")).alias("span"))
+    return g.join(c, by).select(*g.columns, rnd(F.col("top") / F.col("n")).alias("modal_share"))
+
+
+@query("k33_offset_fit", "WITH u AS (UNPIVOT (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice / 105000 AS gold FROM lineitem) ON a, b INTO NAME dim VALUE v), o AS (SELECT dim, avg(v - gold) AS o FROM u GROUP BY 1) SELECT dim, round(max(o), 6) AS fitted, round(avg(abs(v - gold)), 6) AS before, round(avg(abs(v - o - gold)), 6) AS after FROM u JOIN o USING (dim) GROUP BY 1")
+def k33(spark, sf):
+    u = li_of(spark, sf).select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_extendedprice") / 105000).alias("gold")).unpivot(["gold"], ["a", "b"], "dim", "v")
+    o = u.groupBy("dim").agg(F.avg(F.col("v") - F.col("gold")).alias("o"))
+    gap = F.col("v") - F.col("gold")
+    return u.join(F.broadcast(o), "dim").groupBy("dim").agg(rnd(F.max("o")).alias("fitted"), rnd(F.avg(F.abs(gap))).alias("before"), rnd(F.avg(F.abs(gap - F.col("o")))).alias("after"))
+
+
+@query("k34_threshold_scan", f"WITH {S}, {GRID.format('0.05::DOUBLE', '0.05::DOUBLE', 't', 8)}, c AS (SELECT t, {CONF.format('score >= t')} FROM s, t GROUP BY t) SELECT t, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+def k34(spark, sf):
+    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, 0.05, 0.40, 0.05, "t")))
+    c = confusion(rows, F.col("score") >= F.col("t"), F.col("human"), ["t"])
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    return c.select("t", rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(F.coalesce(2.0 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))).alias("f1"))
+
+
+@query("k35_weight_sweep", f"WITH {S}, q AS (SELECT doc_id, toxic * 1.0::DOUBLE AS q FROM labels WHERE doc_id % 3 = 0), {GRID.format('0.0::DOUBLE', '0.1::DOUBLE', 'w', 4)} SELECT w, round(avg(score + w * (coalesce(q, 0.5) - 0.5)), 6) AS mean, CAST(count(*) FILTER (WHERE score + w * (coalesce(q, 0.5) - 0.5) >= 0.5) AS BIGINT) AS accepted FROM s LEFT JOIN q USING (doc_id), w GROUP BY w")
+def k35(spark, sf):
+    """A missing q leaves the score as it is."""
+    q = table(spark, sf, "labels").where("doc_id % 3 = 0").select("doc_id", (F.col("toxic") * 1.0).alias("q"))
+    x = F.col("score") + F.col("w") * (F.coalesce("q", F.lit(0.5)) - 0.5)
+    rows = scored(spark, sf).join(q, "doc_id", "left").crossJoin(F.broadcast(grid(spark, 0.0, 0.3, 0.1, "w")))
+    return rows.groupBy("w").agg(rnd(F.avg(x)).alias("mean"), F.count_if(x >= 0.5).alias("accepted"))
+
+
+REPLAY = f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1), f AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS fatal FROM lineitem GROUP BY 1),
+r AS (SELECT o_custkey, o_totalprice / 500000 AS raw, coalesce(fatal, 0) AS fatal, unnest(['base', 'offset']) AS scenario FROM l LEFT JOIN f ON l_orderkey = o_orderkey WHERE o_orderpriority <> '5-LOW'), x AS (SELECT *, greatest(0, least(1, raw + CASE WHEN scenario = 'offset' THEN -0.05 ELSE 0 END)) AS s FROM r), v AS (SELECT *, CASE WHEN fatal >= 3 THEN 'reject' ELSE {VERDICT.format('s')} END AS verdict FROM x)"""
+
+
+@query("k36_replay", f"{REPLAY} SELECT scenario, verdict, count(*) AS n FROM v GROUP BY ALL")
+def k36(spark, sf):
+    """Latest record of each key, rows already marked (low priority) left out, one row for each scenario."""
+    o = table(spark, sf, "orders").withColumn("k", rank_within("o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"))).where("k = 1 and o_orderpriority <> '5-LOW'")
+    f = li_of(spark, sf).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("fatal"))
+    r = o.join(f, "o_orderkey", "left").select((F.col("o_totalprice") / 500000).alias("raw"), F.coalesce("fatal", F.lit(0)).alias("fatal"), F.explode(F.array(F.lit("base"), F.lit("offset"))).alias("scenario"))
+    s = X.clamp(F.col("raw") + F.when(F.col("scenario") == "offset", -0.05).otherwise(0.0))
+    return r.groupBy("scenario", F.when(F.col("fatal") >= 3, "reject").otherwise(verdict(s)).alias("verdict")).agg(n_rows().alias("n"))
+
+
+@query("k37_score_layers", "WITH u AS (UNPIVOT (SELECT l_quantity / 50 AS base, l_quantity / 50 - l_discount AS raw, greatest(0, l_quantity / 50 - l_discount - l_tax) AS final FROM lineitem) ON base, raw, final INTO NAME layer VALUE v) SELECT layer, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM u GROUP BY 1")
+def k37(spark, sf):
+    q = F.col("l_quantity") / 50
+    raw = q - F.col("l_discount")
+    u = li_of(spark, sf).select(q.alias("base"), raw.alias("raw"), F.greatest(F.lit(0.0), raw - F.col("l_tax")).alias("final")).unpivot([], ["base", "raw", "final"], "layer", "v")
+    return u.groupBy("layer").agg(rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("sd"), rnd(F.percentile("v", F.lit(0.1))).alias("p10"), rnd(F.percentile("v", F.lit(0.9))).alias("p90"))
+
+
+@query("k38_high_but_rejected", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1 AND o_totalprice > 400000 AND o_orderstatus = 'F'")
+def k38(spark, sf):
+    latest = table(spark, sf, "orders").withColumn("k", rank_within("o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"))).where("k = 1")
+    return latest.where("o_totalprice > 400000 and o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("k39_boundary_sample", """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1 AND o_totalprice BETWEEN 100000 AND 400000 AND o_custkey NOT IN (SELECT doc_id FROM labels)),
+c AS (SELECT o_custkey, o_orderpriority AS layer FROM l), n AS (SELECT layer, count(*) AS n FROM c GROUP BY 1), e AS (SELECT *, n * 60.0::DOUBLE / (SELECT sum(n) FROM n) AS exact FROM n), w AS (SELECT *, CAST(floor(exact) AS BIGINT) AS whole FROM e), r AS (SELECT *, row_number() OVER (ORDER BY round(exact - whole, 9) DESC, layer) AS k, 60 - sum(whole) OVER () AS rest FROM w),
+q AS (SELECT layer, whole + CASE WHEN k <= rest THEN 1 ELSE 0 END AS seats FROM r), h AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY md5('b' || o_custkey), o_custkey) AS k FROM c) SELECT o_custkey, h.layer FROM h JOIN q USING (layer) WHERE k <= seats""")
+def k39(spark, sf):
+    latest = table(spark, sf, "orders").withColumn("k", rank_within("o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"))).where("k = 1 and o_totalprice between 100000 and 400000")
+    gold = table(spark, sf, "labels").select(F.col("doc_id").alias("o_custkey"))
+    c = latest.join(gold, "o_custkey", "left_anti").select("o_custkey", F.col("o_orderpriority").alias("layer"))
+    seats = largest_remainder(c.groupBy("layer").agg(n_rows().alias("n")), "layer", "n", 60).select("layer", "seats")
+    k = rank_within("layer", F.md5(F.concat(F.lit("b"), F.col("o_custkey").cast("string"))), F.col("o_custkey"))
+    return c.withColumn("k", k).join(F.broadcast(seats), "layer").where("k <= seats").select("o_custkey", "layer")
+
+
+@query("k40_trigger_summary", "WITH x AS (SELECT l_quantity / 50 AS s, l_returnflag AS f, l_linestatus AS gold FROM lineitem) SELECT gold, count(*) AS n, CAST(count(*) FILTER (WHERE f = 'R') AS BIGINT) AS flagged, round(quantile_cont(s, 0.25), 6) AS q1, round(quantile_cont(s, 0.75), 6) AS q3, CAST(count(*) FILTER (WHERE s < 0.1) AS BIGINT) AS bin0, CAST(count(*) FILTER (WHERE s >= 0.9) AS BIGINT) AS bin9 FROM x GROUP BY 1")
+def k40(spark, sf):
+    s = F.col("l_quantity") / 50
+    return li_of(spark, sf).groupBy(F.col("l_linestatus").alias("gold")).agg(n_rows().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("flagged"), rnd(F.percentile(s, F.lit(0.25))).alias("q1"), rnd(F.percentile(s, F.lit(0.75))).alias("q3"), F.count_if(s < 0.1).alias("bin0"), F.count_if(s >= 0.9).alias("bin9"))
+
+
+@query("k41_leave_one_out", "WITH i AS (SELECT l_orderkey AS g, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem), p AS (SELECT a.g, a.i, a.y, avg(b.y) AS m FROM i a JOIN i b ON a.g = b.g AND a.i <> b.i GROUP BY ALL) SELECT g, count(*) AS n, round(avg(abs(y - m)), 4) AS mae FROM p GROUP BY g")
+def k41(spark, sf):
+    """Each row against the mean of its group's others, from group sums instead of a self join."""
+    y = F.col("l_extendedprice")
+    g = li_of(spark, sf).groupBy(F.col("l_orderkey").alias("g")).agg(n_rows().alias("n"), F.sum(y).alias("t")).where("n > 1")
+    rows = li_of(spark, sf).select(F.col("l_orderkey").alias("g"), y.alias("y")).join(g, "g")
+    return rows.groupBy("g").agg(F.max("n").alias("n"), F.round(F.avg(F.abs(F.col("y") - (F.col("t") - F.col("y")) / (F.col("n") - 1))), 4).alias("mae"))
+
+
+@query("k42_class_shift", f"WITH {S}, u AS (SELECT unnest(['before', 'after']) AS phase, unnest([{VERDICT.format('score')}, {VERDICT.format('(score - 0.09)')}]) AS verdict FROM s) SELECT verdict, CAST(count(*) FILTER (WHERE phase = 'before') AS BIGINT) AS before, CAST(count(*) FILTER (WHERE phase = 'after') AS BIGINT) AS after FROM u GROUP BY 1")
+def k42(spark, sf):
+    s = scored(spark, sf).select(verdict(F.col("score")).alias("before"), verdict(F.col("score") - 0.09).alias("after"))
+    return s.unpivot([], ["before", "after"], "phase", "verdict").groupBy("verdict").pivot("phase", ["before", "after"]).agg(n_rows()).na.fill(0)
