@@ -12,6 +12,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column) -> Column:
+    """The value as a generator's only row, so that later expressions read it and don't compute it again."""
+    return F.explode(F.array(c))
+
+
 def tokens(c: str | Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(WORD), F.lit(0))

@@ -1 +1,543 @@
-"""."""
+"""Corpus duplication, entity resolution, citation graph (D, E, C, J8 to J12)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quireflow.functions import text as X
+from quireflow.operators.components import connected_components
+from quireflow.operators.ranking import rank_within
+from quireflow.plans.registry import query
+from quireflow.session import table
+from quireflow.sources.scratch import materialize
+
+
+def n_rows():
+    return F.count(F.lit(1))
+
+
+def docs_of(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+# --- duplication ------------------------------------------------------------------------------
+
+
+def shingle_table(docs: DataFrame, width: int = 5, least: int = 50) -> DataFrame:
+    """doc_id, n, s: distinct hashed word shingles of documents with `least` words or more."""
+    words = F.split(X.normalize("text"), " ")
+    runs = docs.select("doc_id", X.once(words).alias("w")).where(F.size("w") >= least).select("doc_id", X.once(X.word_runs(F.col("w"), width)).alias("r"))
+    return runs.select("doc_id", F.size("r").alias("n"), F.explode("r").alias("r")).select("doc_id", "n", F.xxhash64("r").alias("s"))
+
+
+def shingle_pairs(docs: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard of documents (a < b) that share shingles, by an inverted index.
+
+    Equal texts are joined as one representative and given back to their copies at the end as
+    pairs of representatives only. A shingle in one text is dropped before the self join.
+    """
+    each = docs.withColumn("digest", F.sha2("text", 256))
+    first = each.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    t = materialize(shingle_table(first.select("doc_id", "text")), "shingles")
+    shared = t.groupBy("s").agg(n_rows().alias("df")).where("df > 1").select("s")
+    t = t.join(shared, "s")
+    a, b = t.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na")), t.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    k = a.join(b, "s").where("a < b").groupBy("a", "b", "na", "nb").agg(n_rows().alias("k"))
+    return k.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+SH = r"""f AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM f), l AS (SELECT * FROM w WHERE len(w) >= 50),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM l)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, round(k * 1.0 / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+
+
+@query("d1_shingles", rf"WITH {SH} SELECT doc_id, n FROM n")
+def d1(spark, sf):
+    first = docs_of(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return shingle_table(first).select("doc_id", F.col("n").cast("long").alias("n")).distinct()
+
+
+@query("d3_corpus_duplication", f"WITH {SH} SELECT a, b, jaccard FROM j WHERE jaccard >= 0.30 ORDER BY jaccard DESC, a, b LIMIT 200")
+def d3(spark, sf):
+    """The report's 200 closest pairs."""
+    return shingle_pairs(docs_of(spark, sf), 0.30).orderBy(F.desc("jaccard"), "a", "b").limit(200)
+
+
+@query("j8_shared_token_self_join", f"WITH {SH} SELECT a, b, jaccard FROM j WHERE jaccard >= 0.30")
+def j8(spark, sf):
+    return shingle_pairs(docs_of(spark, sf), 0.30)
+
+
+@query("d2_document_against_corpus", f"WITH {SH}, u AS (SELECT a AS doc_id, b AS other, jaccard FROM j WHERE jaccard >= 0.55 UNION ALL SELECT b, a, jaccard FROM j WHERE jaccard >= 0.55) SELECT doc_id, other, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other) AS k FROM u) WHERE k <= 5")
+def d2(spark, sf):
+    p = shingle_pairs(docs_of(spark, sf), 0.55)
+    both = p.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "jaccard").union(p.select("b", "a", "jaccard"))
+    return both.withColumn("k", rank_within("doc_id", F.desc("jaccard"), F.asc("other"))).where("k <= 5").drop("k")
+
+
+@query("d5_paraphrase", f"WITH {SH} SELECT a, b, jaccard, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 5) AS cosine FROM j JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE jaccard <= 0.35")
+def d5(spark, sf):
+    """Pairs that share a shingle but few of them, with their vectors' cosine; the caller's threshold decides."""
+    vec = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    p = shingle_pairs(docs_of(spark, sf), 0.0).where("jaccard <= 0.35")
+    both = p.join(vec.toDF("a", "x"), "a").join(vec.toDF("b", "y"), "b")
+    return both.select("a", "b", "jaccard", F.round(X.cosine("x", "y"), 5).alias("cosine"))
+
+
+def tile_pairs(vectors: DataFrame, least: float, tiles: int = 8) -> DataFrame:
+    """a, b, cosine of all vector pairs (a < b) at `least` or more, exactly.
+
+    Vectors are dealt to tiles; a pair of tiles is multiplied as matrices in one group, so the
+    work of the all-pairs join is spread over tiles * (tiles + 1) / 2 groups of bounded size.
+    """
+    dealt = vectors.withColumn("t", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("vec_id", "embedding", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        left, right = rows[rows.t == i], rows[rows.t == j]
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        a, b = (unit(np.array(x.embedding.tolist(), dtype=float)) for x in (left, right))
+        sim = a @ b.T
+        x, y = np.nonzero(sim >= least - 1e-9)
+        p, q = left.vec_id.to_numpy()[x], right.vec_id.to_numpy()[y]
+        kept = p < q if i == j else np.ones(len(p), bool)
+        return pd.DataFrame({"a": np.minimum(p, q)[kept], "b": np.maximum(p, q)[kept], "cosine": sim[x, y][kept]})
+
+    return cells.groupBy("i", "j").applyInPandas(multiply, "a long, b long, cosine double")
+
+
+PAIRCOS = "round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 5)"
+
+
+@query("j9_similarity_self_join", f"SELECT x.vec_id AS a, y.vec_id AS b, {PAIRCOS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {PAIRCOS} >= 0.45")
+def j9(spark, sf):
+    found = tile_pairs(table(spark, sf, "embeddings"), 0.449)
+    return found.select("a", "b", F.round("cosine", 5).alias("cosine")).where("cosine >= 0.45")
+
+
+@query("d6_semantic_scan", f"WITH c AS (SELECT x.vec_id AS a, y.vec_id AS b, {PAIRCOS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), {SH} SELECT c.a, c.b, cosine, coalesce(jaccard, 0) AS jaccard FROM c LEFT JOIN j ON j.a = c.a AND j.b = c.b WHERE cosine >= 0.45")
+def d6(spark, sf):
+    return j9(spark, sf).join(shingle_pairs(docs_of(spark, sf), 0.0), ["a", "b"], "left").na.fill(0.0, ["jaccard"])
+
+
+def sign_bits(c):
+    """The signs of a 64-dimension vector as a signed long."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.element_at(c, i + 1) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def hamming_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """a, b, distance of 64-bit hashes at `most` differing bits or fewer: they agree in one of most + 1 bands."""
+    bands = most + 1
+    edges = [round(64 * k / bands) for k in range(bands + 1)]
+    cut = lambda h: F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1).alias("v")) for k in range(bands)])
+    x = left.select("a", "ha", F.inline(cut("ha")))
+    y = right.select("b", "hb", F.inline(cut("hb")))
+    near = x.join(y, ["k", "v"]).withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))))
+    return near.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+
+
+HASH = "h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS h FROM embeddings), d AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.h, y.h), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance FROM h x, h y)"
+
+
+@query("j10_hamming_join", f"WITH {HASH} SELECT a, b, distance FROM d WHERE a < b AND distance < 15")
+def j10(spark, sf):
+    h = table(spark, sf, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
+    return hamming_join(h.toDF("a", "ha"), h.toDF("b", "hb"), 14).where("a < b")
+
+
+@query("j12_near_hash_leakage", f"WITH {HASH} SELECT a, b, distance FROM d WHERE a % 5 = 0 AND b % 5 <> 0 AND distance BETWEEN 1 AND 10")
+def j12(spark, sf):
+    """Held-out vectors (every fifth) against the others at 10 bits or fewer, equal hashes left out."""
+    h = table(spark, sf, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
+    return hamming_join(h.where("vec_id % 5 = 0").toDF("a", "ha"), h.where("vec_id % 5 <> 0").toDF("b", "hb"), 10).where("distance > 0")
+
+
+@query("j11_exact_leakage", "SELECT b.item_id, count(*) AS copies FROM benchmark b JOIN documents d ON sha256(d.text) = sha256(b.text) GROUP BY 1 UNION ALL SELECT -1, count(*) FROM documents")
+def j11(spark, sf):
+    """Exact copies of held-out items; row -1 has the number of documents searched."""
+    b = table(spark, sf, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))
+    d = docs_of(spark, sf).select(F.sha2("text", 256).alias("h"))
+    return d.join(b, "h").groupBy("item_id").agg(n_rows().alias("copies")).unionByName(d.agg(n_rows().alias("copies")).select(F.lit(-1).cast("long").alias("item_id"), "copies"))
+
+
+@query("d4_minhash", f"WITH {SH} SELECT a, b FROM j WHERE jaccard >= 0.9")
+def d4(spark, sf):
+    """MinHash over 5-word shingles, 64 values in 16 bands, every candidate verified exactly; the chance to miss a pair at .9 is below 1e-7."""
+    first = docs_of(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    t = materialize(shingle_table(first), "shingles")
+    least = t.groupBy("doc_id").agg(*[F.min(F.xxhash64("s", F.lit(k))).alias(f"m{k}") for k in range(64)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{4 * b + i}" for i in range(4)]) for b in range(16)])
+    k = least.select("doc_id", F.explode(bands).alias("band"))
+    cand = k.toDF("a", "band").join(k.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
+    sets = t.groupBy("doc_id").agg(F.collect_set("s").alias("s"))
+    both = cand.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.where(F.round(X.jaccard(F.col("x"), F.col("y")), 6) >= 0.9).select("a", "b")
+
+
+GR = "g AS (SELECT DISTINCT item_id, substr(t, i, 8) AS g FROM (SELECT item_id, lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM benchmark WHERE length(text) >= 8)), dg AS (SELECT DISTINCT substr(t, i, 8) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM documents WHERE length(text) >= 8))"
+
+
+def seen_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """g, hit: those of the wanted n-grams that some document has."""
+    step, n_chars = 200, F.length("t")
+    starts = F.sequence(F.lit(1), F.greatest(n_chars - n + 1, F.lit(1)), F.lit(step))
+    lowered = docs.select(X.once(F.lower("text")).alias("t"))
+    pieces = lowered.select(F.explode(F.transform(starts, lambda i: F.col("t").substr(i, F.lit(step + n - 1)))).alias("c")).where(F.length("c") >= n)
+    each = pieces.select("c", F.explode(F.sequence(F.lit(1), F.length("c") - n + 1)).alias("i")).select(F.col("c").substr(F.col("i"), F.lit(n)).alias("g"))
+    return each.join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+
+
+def copied_grams(spark, sf, n=8):
+    """Distinct character n-grams of the benchmark with whether any document has them."""
+    g = table(spark, sf, "benchmark").select("item_id", X.once(F.lower("text")).alias("t")).select("item_id", F.explode(X.grams("t", n)).alias("g"))
+    return g.join(seen_grams(docs_of(spark, sf), g, n), "g", "left")
+
+
+@query("d7_copy_ratio", f"WITH {GR} SELECT item_id, count(*) AS grams, round(avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END), 6) AS ratio FROM g GROUP BY 1")
+def d7(spark, sf):
+    return copied_grams(spark, sf).groupBy("item_id").agg(n_rows().alias("grams"), F.round(F.count("hit") / n_rows(), 6).alias("ratio"))
+
+
+SENT = r"sen AS (SELECT item_id, pos, s FROM (SELECT item_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM benchmark))), sg AS (SELECT DISTINCT item_id, pos, length(s) AS n, substr(lower(s), i, 8) AS g FROM (SELECT *, unnest(range(1, length(s) - 6)) AS i FROM sen WHERE length(s) >= 15)), dg AS (SELECT DISTINCT substr(t, i, 8) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM documents WHERE length(text) >= 8)), r AS (SELECT item_id, pos, n, avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END) AS hit FROM sg GROUP BY ALL)"
+
+
+def sentence_hits(spark, sf):
+    """item_id, pos, n, hit: share of a benchmark sentence's 8-grams that the corpus has; sentences of 15 characters or more."""
+    s = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.sentences("text")).alias("p", "s")).where(F.length("s") >= 15)
+    g = s.select("item_id", (F.col("p") + 1).cast("long").alias("pos"), F.length("s").cast("long").alias("n"), F.explode(X.grams(F.lower("s"), 8)).alias("g"))
+    return g.join(seen_grams(docs_of(spark, sf), g, 8), "g", "left").groupBy("item_id", "pos", "n").agg((F.count("hit") / n_rows()).alias("hit"))
+
+
+@query("d8_copied_sentences", f"WITH {SENT} SELECT item_id, pos, hit >= 0.6 AS copied FROM r")
+def d8(spark, sf):
+    return sentence_hits(spark, sf).select("item_id", "pos", (F.col("hit") >= 0.6).alias("copied"))
+
+
+@query("d9_fidelity", f"WITH {SENT} SELECT item_id, round(sum(CASE WHEN hit >= 0.15 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.5 * greatest(0, sum(CASE WHEN hit >= 0.6 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.30), 6) AS fidelity FROM r GROUP BY 1")
+def d9(spark, sf):
+    """Length-weighted grounded share less a penalty for copying beyond .30."""
+    part = lambda least: F.sum(F.when(F.col("hit") >= least, F.col("n")).otherwise(0)) / F.sum("n")
+    return sentence_hits(spark, sf).groupBy("item_id").agg(F.round(part(0.15) - 0.5 * F.greatest(F.lit(0.0), part(0.6) - 0.30), 6).alias("fidelity"))
+
+
+@query("d10_coverage", f"WITH {SENT} SELECT item_id, count(*) AS key_sentences, CAST(count(*) FILTER (WHERE hit >= 0.55) AS BIGINT) AS covered FROM r WHERE pos <= 12 GROUP BY 1")
+def d10(spark, sf):
+    return sentence_hits(spark, sf).where("pos <= 12").groupBy("item_id").agg(n_rows().alias("key_sentences"), F.count_if(F.col("hit") >= 0.55).alias("covered"))
+
+
+@query("d11_bigram_overlap", "WITH g AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '\\s+', '', 'g') AS a, regexp_replace(substr(text, 101, 200), '\\s+', '', 'g') AS b FROM documents WHERE length(text) >= 320), s AS (SELECT doc_id, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS y FROM g) SELECT doc_id, round(len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))), 6) AS overlap FROM s")
+def d11(spark, sf):
+    plain = lambda start: F.regexp_replace(F.substring("text", start, 200), "\\s+", "")
+    d = docs_of(spark, sf).where(F.length("text") >= 320).select("doc_id", X.grams(plain(1), 2).alias("x"), X.grams(plain(101), 2).alias("y"))
+    return d.select("doc_id", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query("d12_snippet_grounded", "WITH g AS (SELECT DISTINCT item_id, substr(t, i, 6) AS g FROM (SELECT item_id, lower(substr(text, 1, 120)) AS t, unnest(range(1, length(substr(text, 1, 120)) - 4)) AS i FROM benchmark WHERE length(text) >= 6)), dg AS (SELECT DISTINCT substr(t, i, 6) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE length(text) >= 6)) SELECT item_id, avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END) >= 0.6 AS grounded FROM g GROUP BY 1")
+def d12(spark, sf):
+    g = table(spark, sf, "benchmark").select("item_id", F.explode(X.grams(F.lower(F.substring("text", 1, 120)), 6)).alias("g"))
+    return g.join(seen_grams(docs_of(spark, sf), g, 6), "g", "left").groupBy("item_id").agg((F.count("hit") / n_rows() >= 0.6).alias("grounded"))
+
+
+@query("d13_assertive", "SELECT doc_id, regexp_matches(lower(text), 'clearly|proves|must') OR (regexp_matches(text, '[0-9]') AND regexp_matches(lower(text), 'achiev|reach|improv|that')) AS assertive FROM documents")
+def d13(spark, sf):
+    t = F.lower("text")
+    return docs_of(spark, sf).select("doc_id", (t.rlike("clearly|proves|must") | (F.col("text").rlike("[0-9]") & t.rlike("achiev|reach|improv|that"))).alias("assertive"))
+
+
+@query("d14_cross_language", r"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('报告', 40) ELSE substr(text, 1, 80) END AS a, substr(text, 1, 80) AS b FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(a, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(a), 1) AS x, len(regexp_extract_all(b, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(b), 1) AS y FROM d) SELECT doc_id, (x >= 0.40 AND y < 0.20) OR (y >= 0.40 AND x < 0.20) AS crosslingual FROM c")
+def d14(spark, sf):
+    share = lambda c: F.regexp_count(c, F.lit("[\\x{4e00}-\\x{9fff}]")) / F.greatest(F.length(c), F.lit(1))
+    d = docs_of(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "报告" * 40).otherwise(F.substring("text", 1, 80)).alias("a"), F.substring("text", 1, 80).alias("b"))
+    a, b = share("a"), share("b")
+    return d.select("doc_id", (((a >= 0.40) & (b < 0.20)) | ((b >= 0.40) & (a < 0.20))).alias("crosslingual"))
+
+
+@query("d15_generated_likelihood")
+def d15(spark, sf):
+    """Weighted signals of uniform sentence lengths, scarce personal marks and little punctuation variety; short texts score 0."""
+    s = F.transform(X.sentences("text"), lambda x: F.length(x).cast("double"))
+    d = docs_of(spark, sf).select("doc_id", "text", s.alias("s"))
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    var = F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("s")
+    uniform = F.when(F.size("s") >= 3, 1 - F.least(F.sqrt(var) / mean / 0.6, F.lit(1.0))).otherwise(0.0)
+    marks = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[,.!?;:()]"), F.lit(0))))
+    personal = F.regexp_count("text", F.lit("我|觉得|感受|体会|记得"))
+    score = 0.15 * uniform + 0.15 * (1 - F.least(personal / 3.0, F.lit(1.0))) + 0.10 * (1 - F.least(marks / 25.0 / 0.35, F.lit(1.0)))
+    return d.select("doc_id", F.round(F.when(F.length("text") < 80, 0.0).otherwise(score), 6).alias("likelihood"))
+
+
+@query("d16_leakage_report", "SELECT b.item_id, (SELECT count(*) FROM documents d WHERE d.text = b.text) AS exact, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, 100))) AS passage FROM benchmark b")
+def d16(spark, sf):
+    """Held-out items against the corpus: equal texts, and documents that contain the item's first 100 characters."""
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("btext"), F.substring("text", 1, 100).alias("head"))
+    d = docs_of(spark, sf)
+    hit = d.join(F.broadcast(b), F.contains("text", F.col("head"))).groupBy("item_id").agg(F.count_if(F.col("text") == F.col("btext")).alias("exact"), n_rows().alias("passage"))
+    return b.select("item_id").join(hit, "item_id", "left").na.fill(0)
+
+
+# --- entity resolution ------------------------------------------------------------------------
+
+
+ENT = "e AS (SELECT s_suppkey AS id, 'title ' || (s_suppkey % 30) AS title, [s_nationkey % 5, s_suppkey % 7] AS authors FROM supplier)"
+
+
+def entities(spark, sf):
+    """Suppliers as entries with a folded title and two authors each."""
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), X.fold(F.concat(F.lit("Title  "), (F.col("s_suppkey") % 30).cast("string"))).alias("title"), F.array((F.col("s_nationkey") % 5).cast("long"), F.col("s_suppkey") % 7).alias("authors"))
+
+
+@query("e1_duplicate_test", f"WITH {ENT} SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.title = b.title AND a.id < b.id WHERE len(list_intersect(a.authors, b.authors)) > 0")
+def e1(spark, sf):
+    """Same folded title of five characters or more and a shared author."""
+    t = entities(spark, sf).where(F.length("title") >= 5).select("id", "title", F.explode(F.array_distinct("authors")).alias("author"))
+    return t.withColumnRenamed("id", "a").join(t.withColumnRenamed("id", "b"), ["title", "author"]).where("a < b").select("a", "b").distinct()
+
+
+@query("e2_duplicate_groups", f"WITH RECURSIVE {ENT}, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.title = b.title AND a.id <> b.id WHERE len(list_intersect(a.authors, b.authors)) > 0), r(n, m) AS (SELECT a, a FROM p UNION SELECT p.b, m FROM r JOIN p ON p.a = r.n) SELECT n AS id, min(m) AS group_id FROM r GROUP BY n")
+def e2(spark, sf):
+    """Transitive closure over (title, author) stars: each entry links to the least id that shares both."""
+    t = entities(spark, sf).where(F.length("title") >= 5).select("id", "title", F.explode("authors").alias("author"))
+    hub = t.groupBy("title", "author").agg(F.min("id").alias("hub"))
+    return connected_components(t.join(hub, ["title", "author"]).select(F.col("id").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
+@query("e3_pre_insert_lookup", f"WITH {ENT} SELECT id FROM e n WHERE id >= 60 AND EXISTS (SELECT 1 FROM e o WHERE o.id < 60 AND o.title = n.title AND len(list_intersect(o.authors, n.authors)) > 0)")
+def e3(spark, sf):
+    t = entities(spark, sf).select("id", "title", F.explode("authors").alias("author"))
+    return t.where("id >= 60").join(t.where("id < 60").select("title", "author"), ["title", "author"], "left_semi").select("id").distinct()
+
+
+@query("e4_title_groups", "SELECT lower(p_name || p_type) AS title, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1")
+def e4(spark, sf):
+    return table(spark, sf, "part").groupBy(F.lower(F.concat("p_name", "p_type")).alias("title")).agg(n_rows().alias("n"), F.min("p_partkey").alias("first_id")).where("n > 1")
+
+
+@query("e5_survivorship", "SELECT c_nationkey AS grp, min(c_custkey) AS kept, max(c_acctbal) AS balance, arg_max(c_name, (length(c_name), -c_custkey)) AS name, arg_min(c_mktsegment, c_custkey) FILTER (WHERE c_acctbal > 5000) AS segment FROM customer GROUP BY 1")
+def e5(spark, sf):
+    """Chosen id, largest counter, longest text, first filled enrichment."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("grp")).agg(F.min(k).alias("kept"), F.max("c_acctbal").alias("balance"), F.max_by("c_name", F.struct(F.length("c_name"), -k)).alias("name"), F.min_by("c_mktsegment", F.when(F.col("c_acctbal") > 5000, k)).alias("segment"))
+
+
+@query("e6_repoint_children", "WITH m AS (SELECT l_orderkey, l_partkey - l_partkey % 10 AS p, l_suppkey, l_linenumber FROM lineitem) SELECT l_orderkey, p, min(l_linenumber) AS line FROM m GROUP BY ALL")
+def e6(spark, sf):
+    """Edges move to the survivor; of edges that collide the first stays."""
+    survivors = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("to"))
+    moved = table(spark, sf, "lineitem").join(survivors, "l_partkey", "left").withColumn("p", F.coalesce("to", F.col("l_partkey") - F.col("l_partkey") % 10))
+    return moved.groupBy("l_orderkey", "p").agg(F.min("l_linenumber").alias("line"))
+
+
+@query("e7_cascade_delete", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 0) AS orders, (SELECT count(*) FROM lineitem WHERE l_orderkey % 100 <> 0) AS lines")
+def e7(spark, sf):
+    gone = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select("o_orderkey")
+    o = table(spark, sf, "orders").join(gone, "o_orderkey", "left_anti").agg(n_rows().alias("orders"))
+    li = table(spark, sf, "lineitem").join(gone.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey", "left_anti")
+    return o.crossJoin(li.where("l_orderkey % 100 <> 0").agg(n_rows().alias("lines")))
+
+
+@query("e8_author_formats", "SELECT c_custkey, c_name || ';' || c_mktsegment AS authors FROM customer")
+def e8(spark, sf):
+    """JSON list, double-encoded JSON, comma, semicolon or 'and' text, and a list of single characters."""
+    k, a, b = F.col("c_custkey") % 6, F.col("c_name"), F.col("c_mktsegment")
+    js = F.to_json(F.array(a, b))
+    raw = F.when(k == 0, js).when(k == 1, F.to_json(F.array(js)).substr(F.lit(2), F.length(F.to_json(F.array(js))) - 2)).when(k == 2, F.concat_ws(", ", a, b)).when(k == 3, F.concat_ws("; ", a, b)).when(k == 4, F.concat_ws(" and ", a, b)).otherwise(F.to_json(F.split(js, "")))
+    rows = table(spark, sf, "customer").select("c_custkey", raw.alias("r"))
+    strings = lambda c: F.from_json(c, "array<string>")
+    inner = F.get(strings(F.concat(F.lit("["), F.col("r"), F.lit("]"))), F.lit(0))
+    listed, twice = strings("r"), strings(inner)
+    chars = F.when((F.size(listed) > 3) & F.forall(listed, lambda x: F.length(x) <= 1), strings(F.array_join(listed, "")))
+    plain = F.split("r", "\\s*(?:,|;|\\band\\b)\\s*")
+    got = F.when(F.col("r").startswith('"'), twice).when(F.col("r").startswith("["), F.coalesce(chars, listed)).otherwise(plain)
+    return rows.select("c_custkey", F.array_join(got, ";").alias("authors"))
+
+
+@query("e9_fixture_cleanup", "WITH g AS (SELECT doc_id FROM documents WHERE doc_id % 50 = 0 OR n_chars < 20) SELECT 'documents' AS child, count(*) AS n FROM g UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM g) UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM g)")
+def e9(spark, sf):
+    """Dry run: how many rows of each child table would go."""
+    g = table(spark, sf, "documents").where("doc_id % 50 = 0 or n_chars < 20").select("doc_id")
+    count = lambda name, df: df.agg(n_rows().alias("n")).select(F.lit(name).alias("child"), "n")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id")).join(g, "doc_id", "left_semi")
+    return count("documents", g).union(count("labels", table(spark, sf, "labels").join(g, "doc_id", "left_semi"))).union(count("lines", lines))
+
+
+@query("e10_delete_set", "WITH ids AS (SELECT unnest([1, 2, 3, 99999999])::BIGINT AS id), l AS (SELECT max_by(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_custkey IN (5, 7) GROUP BY o_custkey), a AS (SELECT id FROM ids UNION SELECT id FROM l) SELECT id, id IN (SELECT o_orderkey FROM orders) AS known FROM a")
+def e10(spark, sf):
+    o = table(spark, sf, "orders")
+    latest = o.where("o_custkey in (5, 7)").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("id")).select("id")
+    ids = spark.sql("SELECT explode(array(1L, 2L, 3L, 99999999L)) AS id").union(latest).distinct()
+    return ids.join(o.select(F.col("o_orderkey").alias("id"), F.lit(True).alias("known")), "id", "left").na.fill(False)
+
+
+# --- citations --------------------------------------------------------------------------------
+
+
+@query("c1_citation_contexts", "WITH b AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}')))[1] AS title FROM benchmark) SELECT item_id, doc_id, strpos(lower(text), title) AS pos, length(substr(text, greatest(1, strpos(lower(text), title) - 400), 800)) AS chars FROM b JOIN documents ON contains(lower(text), title)")
+def c1(spark, sf):
+    """First mention of each target (here its first long word) with 400 characters around it."""
+    b = table(spark, sf, "benchmark").select("item_id", F.get(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0)))), F.lit(0)).alias("title")).where("title is not null")
+    at = F.expr("locate(title, lower(text))")
+    hit = docs_of(spark, sf).join(F.broadcast(b), F.contains(F.lower("text"), F.col("title")))
+    return hit.select("item_id", "doc_id", at.cast("long").alias("pos"), F.length(F.col("text").substr(F.greatest(F.lit(1), at - 400), F.lit(800))).cast("long").alias("chars"))
+
+
+#: Words of praise and of criticism.
+PRAISE = ["novel", "breakthrough", "outstanding", "excellent", "superior", "effective", "promising", "significant", "remarkable", "impressive", "strong", "robust", "successful", "advances", "state-of-the-art", "state of the art", "substantial", "comprehensive", "insightful"]
+BLAME = ["limitation", "limited", "weakness", "flaw", "poor", "inferior", "inadequate", "failure", "failed", "unsatisfactory", "shortcoming", "drawback", "insufficient", "unclear", "questionable"]
+_hit = lambda words: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words)
+SENTI = f"WITH d AS (SELECT doc_id, lower(substr(text, 1, 500)) || CASE WHEN doc_id % 3 = 0 THEN ' a novel and robust idea, poor data' WHEN doc_id % 3 = 1 THEN ' failed, unclear' ELSE '' END AS t FROM documents), c AS (SELECT doc_id, {_hit(PRAISE)} AS p, {_hit(BLAME)} AS n FROM d)"
+
+
+def sentiment(df, text="t"):
+    """score (p − n)/(p + n), label at ±.1, confidence .5 + .1 for each hit up to .95; 0 without hits."""
+    p, n = X.hits(text, PRAISE), X.hits(text, BLAME)
+    d = df.withColumn("p", p).withColumn("n", n)
+    total = F.col("p") + F.col("n")
+    score = F.when(total == 0, 0.0).otherwise((F.col("p") - F.col("n")) / total)
+    return d.withColumn("score", F.round(score, 4)).withColumn("label", F.when(score > 0.1, "positive").when(score < -0.1, "negative").otherwise("neutral")).withColumn("confidence", F.round(F.when(total == 0, 0.0).otherwise(F.least(F.lit(0.95), 0.5 + 0.1 * total)), 4))
+
+
+def opinions(spark, sf):
+    k = F.col("doc_id") % 3
+    t = F.lower(F.concat(F.substring("text", 1, 500), F.when(k == 0, " a novel and robust idea, poor data").when(k == 1, " failed, unclear").otherwise("")))
+    return sentiment(docs_of(spark, sf).select("doc_id", t.alias("t"))).select("doc_id", "score", "label", "confidence")
+
+
+@query("c3_lexicon_sentiment", f"{SENTI} SELECT doc_id, round(CASE WHEN p + n = 0 THEN 0 ELSE (p - n) * 1.0::DOUBLE / (p + n) END, 4) AS score, CASE WHEN p + n = 0 THEN 'neutral' WHEN (p - n) * 1.0 / (p + n) > 0.1 THEN 'positive' WHEN (p - n) * 1.0 / (p + n) < -0.1 THEN 'negative' ELSE 'neutral' END AS label, CAST(round(CASE WHEN p + n = 0 THEN 0 ELSE least(0.95, 0.5 + 0.1 * (p + n)) END, 4) AS DOUBLE) AS confidence FROM c")
+def c3(spark, sf):
+    return opinions(spark, sf)
+
+
+@query("c2_edge_upsert", f"{SENTI} SELECT doc_id % 100 AS source, doc_id % 7 AS target, min(doc_id) AS first_doc, arg_min(CASE WHEN p > n THEN 'support' WHEN p < n THEN 'criticize' ELSE 'background' END, doc_id) AS label FROM c GROUP BY ALL")
+def c2(spark, sf):
+    """One edge for each pair; the first context counts."""
+    label = F.when(F.col("label") == "positive", "support").when(F.col("label") == "negative", "criticize").otherwise("background")
+    return opinions(spark, sf).groupBy((F.col("doc_id") % 100).alias("source"), (F.col("doc_id") % 7).alias("target")).agg(F.min("doc_id").alias("first_doc"), F.min_by(label, "doc_id").alias("label"))
+
+
+@query("c4_label_to_score", "SELECT doc_id, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS score FROM labels")
+def c4(spark, sf):
+    label = F.when(F.col("toxic") == 1, "criticize").when(F.col("quality") == 1, "support").otherwise("background")
+    return table(spark, sf, "labels").select("doc_id", F.when(label == "support", 1).when(label == "criticize", -1).otherwise(0).alias("score"))
+
+
+@query("c5_neighbourhood_graph", f"WITH c AS (SELECT x.vec_id AS centre, y.vec_id AS neighbour, {PAIRCOS} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) SELECT centre, neighbour, w FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY w DESC, neighbour) AS k FROM c) WHERE k <= 5")
+def c5(spark, sf):
+    """Similarity edges around the stated centres, five each; there are no citing edges to prefer here."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    centres = v.where("vec_id % 20 = 0").toDF("centre", "x")
+    pairs = v.toDF("neighbour", "y").join(F.broadcast(centres), F.col("centre") != F.col("neighbour")).select("centre", "neighbour", F.round(X.cosine("x", "y"), 5).alias("w"))
+    return pairs.withColumn("k", rank_within("centre", F.desc("w"), F.asc("neighbour"))).where("k <= 5").drop("k")
+
+
+@query("c7_citation_validity", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber < 7)), ',') AS valid, CAST(count(DISTINCT l_partkey) FILTER (WHERE l_linenumber = 7) AS BIGINT) AS invalid FROM lineitem GROUP BY 1")
+def c7(spark, sf):
+    cited = F.when(F.col("l_linenumber") == 7, F.col("l_partkey") + 10000000).otherwise(F.col("l_partkey"))
+    c = table(spark, sf, "lineitem").select("l_orderkey", cited.alias("p")).distinct().join(table(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.lit(1).alias("ok")), "p", "left")
+    valid = F.sort_array(F.collect_list(F.when(F.col("ok") == 1, F.col("p"))))
+    return c.groupBy("l_orderkey").agg(F.when(F.size(valid) > 0, F.array_join(valid, ",")).alias("valid"), F.count_if(F.col("ok").isNull()).alias("invalid"))
+
+
+@query("c8_reference_numbers", "WITH m AS (SELECT conv_id, length(text) % 9 AS ref, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, ref, row_number() OVER (PARTITION BY conv_id ORDER BY first, ref) AS number FROM m")
+def c8(spark, sf):
+    """References numbered by first occurrence over the ordered turns of a conversation."""
+    m = table(spark, sf, "conversations").groupBy("conv_id", (F.length("text") % 9).cast("long").alias("ref")).agg(F.min("turn").alias("first"))
+    return m.select("conv_id", "ref", rank_within("conv_id", F.asc("first"), F.asc("ref")).alias("number"))
+
+
+NODES = "nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
+TREE = NODES + ", t(id, depth, path) AS (SELECT id, 1, CAST(id AS {0}) FROM nodes WHERE parent IS NULL UNION ALL SELECT nodes.id, depth + 1, path || '/' || nodes.id FROM t JOIN nodes ON nodes.parent = t.id)"
+
+
+def tree_views(spark, sf):
+    for name in ("region", "nation", "customer"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+
+
+@query("c9_outline_tree", f"WITH RECURSIVE {TREE.format('VARCHAR')} SELECT id, CAST(depth AS INTEGER) AS depth, least(CAST(depth AS INTEGER) + 1, 6) AS heading, path FROM t")
+def c9(spark, sf):
+    """Depth and path order by a recursive query over region, nation and customer."""
+    tree_views(spark, sf)
+    return spark.sql(f"WITH RECURSIVE {TREE.format('STRING')} SELECT id, depth, least(depth + 1, 6) AS heading, path FROM t")
+
+
+@query("c10_descendants", f"WITH RECURSIVE {TREE.format('VARCHAR')} SELECT split_part(path, '/', 1) AS ancestor, count(*) - 1 AS descendants FROM t GROUP BY 1")
+def c10(spark, sf):
+    return c9(spark, sf).groupBy(F.split("path", "/")[0].alias("ancestor")).agg((n_rows() - 1).alias("descendants"))
+
+
+DOI = "'see https://doi.org/10.' || (1000 + o_custkey) || '/ABC.' || o_orderkey || ', doi:10.5555/' || CASE WHEN o_orderkey % 3 = 0 THEN '1234567.8901234' ELSE 'x' || o_orderkey END || ' and arXiv:' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0') || '.' || lpad(CAST((o_orderkey * 7919) % 100000 AS VARCHAR), 5, '0')"
+
+
+def identifiers(spark, sf):
+    k = F.col("o_orderkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    text = F.concat(F.lit("see https://doi.org/10."), (1000 + F.col("o_custkey")).cast("string"), F.lit("/ABC."), k.cast("string"), F.lit(", doi:10.5555/"), F.when(k % 3 == 0, "1234567.8901234").otherwise(F.concat(F.lit("x"), k.cast("string"))), F.lit(" and arXiv:"), two(k % 30), two(k % 14), F.lit("."), F.lpad((k * 7919 % 100000).cast("string"), 5, "0"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", text.alias("text"))
+
+
+def dois(spark, sf):
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("10\\.[0-9]{4,9}/[^\\s,;]+"), F.lit(0)), lambda d: F.regexp_replace(F.lower(d), "[.,;]+$", "")))
+    return identifiers(spark, sf).select("o_orderkey", F.explode(found).alias("doi"))
+
+
+@query("c11_identifiers", f"SELECT DISTINCT o_orderkey, unnest(regexp_extract_all(lower({DOI}), '10\\.[0-9]{{4,9}}/[^\\s,;]+')) AS doi FROM orders")
+def c11(spark, sf):
+    return dois(spark, sf)
+
+
+@query("c12_reference_entries", "SELECT o_custkey, count(*) AS entries FROM orders GROUP BY 1")
+def c12(spark, sf):
+    """The block after the heading, split at numbered lines, entries of ten characters or more."""
+    line = F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit("] Author, A title of some length."))
+    paper = table(spark, sf, "orders").groupBy("o_custkey").agg(F.concat(F.lit("Body.\nReferences\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n[9] x")).alias("text"))
+    block = F.regexp_extract("text", "(?s)\\n(?i:references)\\s*\\n(.*)$", 1)
+    entries = F.filter(F.split(block, "(?m)^\\[[0-9]+\\]\\s*"), lambda e: F.length(F.trim(e)) >= 10)
+    return paper.select("o_custkey", F.size(entries).cast("long").alias("entries"))
+
+
+@query("c13_intext_numbers", "SELECT o_orderkey, unnest(list_sort(list_distinct([1] || range(3, 4 + o_orderkey % 4)))) AS number FROM orders")
+def c13(spark, sf):
+    """Ranges are filled in: [1, 3-5] cites 1, 3, 4 and 5."""
+    text = F.concat(F.lit("as in [1, 3-"), (3 + F.col("o_orderkey") % 4).cast("string"), F.lit("]"))
+    part = table(spark, sf, "orders").select("o_orderkey", F.explode(F.split(F.regexp_extract(text, "\\[([0-9, -]+)\\]", 1), ",\\s*")).alias("p"))
+    ends = F.split("p", "-").cast("array<bigint>")
+    return part.select("o_orderkey", F.explode(F.sequence(ends[0], F.element_at(ends, -1))).alias("number")).distinct()
+
+
+def digit_run(c, least):
+    """Whether digits rise by one, 9 followed by 0, for `least` places or more; other characters are skipped."""
+    d = F.split(F.regexp_replace(c, "[^0-9]", ""), "").cast("array<int>")
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(d) - 1, F.lit(1))), lambda i: F.when(F.pmod(F.get(d, i) - F.get(d, i - 1), F.lit(10)) == 1, "1").otherwise("0"))
+    return F.contains(F.array_join(steps, ""), F.lit("1" * (least - 1)))
+
+
+@query("c14_fake_identifiers")
+def c14(spark, sf):
+    """Monotone digit runs in DOIs, and arXiv ids whose month is not 1 to 12 or that run."""
+    d = dois(spark, sf).where(digit_run(F.element_at(F.split("doi", "/"), 2), 6)).select("o_orderkey", F.col("doi").alias("id"), F.lit("doi").alias("kind"))
+    a = identifiers(spark, sf).select("o_orderkey", F.regexp_extract("text", "arXiv:([0-9]{4}\\.[0-9]{4,5})", 1).alias("id")).where("id <> ''")
+    month = F.substring("id", 3, 2).cast("int")
+    return d.unionByName(a.where(~month.between(1, 12) | digit_run(F.substring("id", 6, 5), 5)).withColumn("kind", F.lit("arxiv")))
+
+
+@query("c15_registry_check", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem), x AS (SELECT l_orderkey, CASE WHEN l_partkey % 10 = 9 THEN 'not_found' WHEN l_partkey % 10 = 8 THEN 'unknown' ELSE 'verified' END AS s FROM r WHERE k <= 5), g AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE s = 'verified') AS BIGINT) AS verified, CAST(count(*) FILTER (WHERE s = 'not_found') AS BIGINT) AS not_found FROM x GROUP BY 1) SELECT *, CASE WHEN not_found > 0 THEN 'suspect' WHEN verified > 0 THEN 'verified' ELSE 'unknown' END AS status FROM g")
+def c15(spark, sf):
+    """Five ids of each document at most are checked against a registry; unknown ones say nothing."""
+    registry = table(spark, sf, "part").where("p_partkey % 10 <> 8").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 10 == 9, "not_found").otherwise("verified").alias("s"))
+    r = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").withColumn("k", rank_within("l_orderkey", F.asc("l_linenumber"), F.asc("l_partkey"))).where("k <= 5")
+    g = r.join(registry, "l_partkey", "left").groupBy("l_orderkey").agg(F.count_if(F.col("s") == "verified").alias("verified"), F.count_if(F.col("s") == "not_found").alias("not_found"))
+    return g.withColumn("status", F.when(F.col("not_found") > 0, "suspect").when(F.col("verified") > 0, "verified").otherwise("unknown"))
+
+
+@query("c6_related_list", f"WITH c AS (SELECT x.vec_id AS id, y.vec_id AS other, {PAIRCOS} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0), n AS (SELECT l_partkey AS id, count(*) AS cited FROM lineitem GROUP BY 1) SELECT id, other, cited FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, other) AS k FROM c) JOIN n USING (id) WHERE k <= 5")
+def c6(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(n_rows().alias("cited"))
+    return c5(spark, sf).select(F.col("centre").alias("id"), F.col("neighbour").alias("other")).join(n, "id")

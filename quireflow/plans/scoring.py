@@ -62,7 +62,7 @@ OTHERS = {t: tuple(sum(w[k] for o, w in TYPE_WEIGHTS.items() if o != t) / 3 for
 TW = " UNION ALL ".join(f"SELECT '{t}' AS t, {', '.join(f'{x}::DOUBLE AS w{k}, {OTHERS[t][k]!r}::DOUBLE AS o{k}' for k, x in enumerate(w))}" for t, w in TYPE_WEIGHTS.items())
 
 
-@query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, ['A', 'B', 'C', 'D'][CAST(l_suppkey % 4 AS INT) + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem)
+@query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, ['A', 'B', 'C', 'D'][(l_suppkey % 4)::INT + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, round(""" + " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4)) + ", 6) AS score FROM i JOIN w USING (t)")
 def k1(spark, sf):
     rows = ", ".join(f"('{t}', {', '.join(f'{x}D, {OTHERS[t][k]!r}D' for k, x in enumerate(w))})" for t, w in TYPE_WEIGHTS.items())
