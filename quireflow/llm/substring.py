@@ -97,13 +97,13 @@ def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
             parts = [c.tobytes() for c in np.split(code, at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(chunk[at].astype(np.int32)), pa.array(parts, pa.binary())], names=["chunk", "cells"])
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             inside, low, at = anchors(*word_hashes(raw(batch, "text")), width)
             low, at = low[inside], at[inside]
             if len(low):
                 new = np.r_[True, at[1:] != at[:-1]]
                 kept += cells(low[new], sketch_bits)
-            if sum(map(len, kept)) > 4_000_000:
+            if sum(map(len, kept)) > 2_000_000:
                 yield flush()
         if kept:
             yield flush()
@@ -150,7 +150,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Pass 1 merges partition sketches: a window is counted by the least 8-word gram in it, which
     occurs at least as often as the window, and counters only overestimate, so no repeated window
-    is lost. Pass 2 emits 128-bit digests of the windows estimated repeated and groups them
+    is lost. Pass 2 emits 96-bit digests of the windows estimated repeated and groups them
     exactly: only the earliest position of each is kept, aggregated before the shuffle, so a
     passage of any frequency costs one row for each task. Those earliest positions go back to
     their documents; a passing window that isn't among them is removed. Texts without passing
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             own = raw(batch, "text")
             doc, start, _ = passing(own, width, bits.value, sketch_bits)
             if not len(doc):
@@ -182,11 +182,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 heads = [0, *(e + 1 for e in ends)]
                 found += [digest(joined[heads[i] : ends[i + width - 1]]) for i in at.tolist()]
             code = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
+            code = code[:, 0], code[:, 1].astype(np.int32)  # 96 of the 128 bits
             keys = batch.column("__key").to_numpy()[doc]
-            cols = [pa.array(np.ascontiguousarray(c)) for c in (code[:, 0], code[:, 1], keys, start.astype(np.int32))]
+            cols = [pa.array(np.ascontiguousarray(c)) for c in (*code, keys, start.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "__key", "start"])
 
-    windows = src.mapInArrow(emit, "k1 long, k2 long, __key long, start int")
+    windows = src.mapInArrow(emit, "k1 long, k2 int, __key long, start int")
     firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("__key", "start")).alias("f"))
     firsts = firsts.groupBy(F.col("f.__key").alias("__key")).agg(F.collect_list("f.start").alias("firsts"))
 
@@ -196,7 +197,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without passing windows, as they stay."""
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             own = raw(batch, "text")
             doc, _, counts = passing(own, width, bits.value, sketch_bits)
             clean = np.setdiff1d(np.arange(len(own)), doc)
@@ -204,12 +205,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with passing windows."""
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             doc, _, _ = passing(raw(batch, "text"), width, bits.value, sketch_bits)
             yield batch.take(pa.array(np.unique(doc)))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             own, firsts = raw(batch, "text"), batch.column("firsts").to_pylist()
             doc, start, counts = passing(own, width, bits.value, sketch_bits)
             kept, removed = [b" ".join(t.split()) for t in own], np.zeros(len(own), dtype=np.int64)
