@@ -1 +1,69 @@
-"""."""
+"""Streaming queries (T) and their batch twins; streams run over all that is available."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quireflow.plans.registry import query
+from quireflow.session import table
+from quireflow.streaming import flows
+
+
+@query("t1_folder_watch", "SELECT event_id, value FROM events WHERE length(props) <= 9")
+def t1(spark, sf):
+    """New files are read as they come; entries beyond a size limit are left out."""
+    return flows.drain(flows.stream_of(spark, sf, "events").where(F.length("props") <= 9).select("event_id", "value"), name="watch").drop("__epoch")
+
+
+@query("t2_debounce")
+def t2(spark, sf):
+    return flows.debounce(table(spark, sf, "events"), 3600)
+
+
+@query("t3_periodic_ingest", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
+def t3(spark, sf):
+    """Ids that are there already are skipped in each batch."""
+    there = table(spark, sf, "events").where("event_id % 3 = 0").select("event_id")
+    return flows.drain(flows.stream_of(spark, sf, "events").select("event_id").join(there, "event_id", "left_anti"), name="ingest").drop("__epoch")
+
+
+@query("t4_token_bucket")
+def t4(spark, sf):
+    return flows.token_bucket(table(spark, sf, "events"), 1.0)
+
+
+@query("t5_rolling_usage", "SELECT start, user_id, count(*) AS n FROM (SELECT user_id, unnest([b, b - INTERVAL 6 HOURS, b - INTERVAL 12 HOURS, b - INTERVAL 18 HOURS]) AS start FROM (SELECT user_id, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS b FROM events)) GROUP BY ALL")
+def t5(spark, sf):
+    """Complete mode: the last state of every window."""
+    got = flows.drain(flows.rolling_usage(flows.stream_of(spark, sf, "events")), "complete", "usage")
+    return got.join(F.broadcast(got.agg(F.max("__epoch").alias("__epoch"))), "__epoch").drop("__epoch")
+
+
+@query("t6_latest_progress", "SELECT user_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def t6(spark, sf):
+    s = flows.stream_of(spark, sf, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    got = flows.drain(s, "complete", "progress")
+    return got.join(F.broadcast(got.agg(F.max("__epoch").alias("__epoch"))), "__epoch").drop("__epoch")
+
+
+@query("t7_stuck", "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOURS")
+def t7(spark, sf):
+    return flows.stuck(table(spark, sf, "events"), 12)
+
+
+@query("t8_daily_snapshot", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
+def t8(spark, sf):
+    s = flows.stream_of(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    got = flows.drain(s, "complete", "snapshot")
+    return got.join(F.broadcast(got.agg(F.max("__epoch").alias("__epoch"))), "__epoch").drop("__epoch")
+
+
+@query("t9_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s.s")
+def t9(spark, sf):
+    return flows.sessions(table(spark, sf, "events"))
+
+
+@query("t10_retry_batch", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 100")
+def t10(spark, sf):
+    """Rows in the state to retry, oldest first, as many as a batch takes."""
+    return table(spark, sf, "events").where("event_type = 'error'").orderBy("ts", "event_id").limit(100).select("event_id")
