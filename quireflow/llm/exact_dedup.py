@@ -42,7 +42,7 @@ class DigestIndex:
 
     def rows(self, since: int = 0) -> DataFrame:
         """digest, keep_id, fresh (stored by batch `since` or a later one). Read without the bucketing, so that a skewed join with it can be split."""
-        parts = [self.spark.read.parquet(f"{self.root}/batch{k}").withColumn("fresh", F.lit(k >= since)) for k in range(len(self.batches))]
+        parts = [self.spark.read.schema("digest string, keep_id bigint").parquet(f"{self.root}/batch{k}").withColumn("fresh", F.lit(k >= since)) for k in range(len(self.batches))]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
