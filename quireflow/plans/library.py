@@ -171,13 +171,13 @@ def j6(spark, sf):
     return a.join(b, "day", "full_outer").na.fill(0, ["orders", "shipped"])
 
 
-@query("j13_fuzzy_title_link", r"""WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS w FROM part WHERE p_partkey % 10 = 0),
+@query("j13_fuzzy_title_link", r"""WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS w FROM part),
 s AS (SELECT s_suppkey AS sid, list_distinct(string_split('red widget ' || CASE WHEN s_suppkey % 2 = 0 THEN 'ECONOMY' ELSE 'PROMO' END || ' Brand#' || (s_suppkey % 25 + 1), ' ')) AS w FROM supplier),
 p AS (SELECT sid, id, round(greatest(len(list_intersect(w.w, s.w)) * 1.0 / len(list_distinct(list_concat(w.w, s.w))), len(list_intersect(w.w, s.w)) * 1.0 / least(len(w.w), len(s.w))), 6) AS score FROM s, w)
 SELECT sid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, id) AS k FROM p WHERE score >= 0.40) WHERE k = 1""")
 def j13(spark, sf):
     """Larger of Jaccard and containment over title words, at least .40, the best for each claim; candidates share a word."""
-    w = table(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("w"))
+    w = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("w"))
     kind = F.when(F.col("s_suppkey") % 2 == 0, "ECONOMY").otherwise("PROMO")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sid"), F.array_distinct(F.split(F.concat_ws(" ", F.lit("red widget"), kind, F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string"))), " ")).alias("v"))
     shared = w.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).join(s.select("sid", F.size("v").alias("m"), F.explode("v").alias("t")), "t").groupBy("sid", "id", "n", "m").agg(n_rows().alias("k"))

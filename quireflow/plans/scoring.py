@@ -63,7 +63,7 @@ TW = " UNION ALL ".join(f"SELECT '{t}' AS t, {', '.join(f'{x}::DOUBLE AS w{k}, {
 
 
 @query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, ['A', 'B', 'C', 'D'][(l_suppkey % 4)::INT + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, round(""" + " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4)) + ", 6) AS score FROM i JOIN w USING (t)")
+SELECT l_orderkey, l_linenumber, l_partkey, round(""" + " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4)) + ", 9) AS score FROM i JOIN w USING (t)")
 def k1(spark, sf):
     rows = ", ".join(f"('{t}', {', '.join(f'{x}D, {OTHERS[t][k]!r}D' for k, x in enumerate(w))})" for t, w in TYPE_WEIGHTS.items())
     weights = spark.sql(f"SELECT * FROM VALUES {rows} AS t(t, {', '.join(f'w{k}, o{k}' for k in range(4))})")
@@ -71,7 +71,7 @@ def k1(spark, sf):
     dims = [F.col("l_quantity") / 50, F.col("l_tax") * 10, F.col("l_discount") * 8, (F.col("l_partkey") % 10) / 10.0]
     i = li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("t"), F.least(F.lit(1.0), (0.5 + F.col("l_discount") * 5) / ELASTIC).alias("own"), *[d.alias(f"d{k}") for k, d in enumerate(dims)])
     score = sum((F.col("own") * F.col(f"w{k}") + (1 - F.col("own")) * F.col(f"o{k}")) * F.col(f"d{k}") for k in range(4))
-    return i.join(F.broadcast(weights), "t").select("l_orderkey", "l_linenumber", "l_partkey", rnd(score).alias("score"))
+    return i.join(F.broadcast(weights), "t").select("l_orderkey", "l_linenumber", "l_partkey", rnd(score, 9).alias("score"))
 
 
 SEV = "WITH g AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS fatal, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS minor, avg(l_quantity) / 50 AS s FROM lineitem GROUP BY 1)"
@@ -276,13 +276,13 @@ def k21(spark, sf):
     return g.select("l_orderkey", ((F.col("a") != F.col("b")) & ~alike).alias("disagree"), rnd(0.1 * s).alias("gap"))
 
 
-BOOT = """WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem WHERE l_orderkey % 20 = 0 AND l_suppkey <= 40), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1),
-d AS (SELECT g, b, CAST(floor(((('0x' || substr(md5(g || ':' || b || ':' || k), 1, 8))::BIGINT)::DOUBLE / 4294967296.0) * n) AS BIGINT) AS i FROM n, (SELECT unnest(range(200)) AS b), LATERAL (SELECT unnest(range(n)) AS k)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN v ON v.g = d.g AND v.i = d.i GROUP BY ALL)"""
+BOOT = """WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1),
+d AS (SELECT g, b, CAST(floor(((('0x' || substr(md5(g || ':' || b || ':' || k), 1, 8))::BIGINT)::DOUBLE / 4294967296.0) * n) AS BIGINT) AS i FROM n, (SELECT unnest(range(40)) AS b), LATERAL (SELECT unnest(range(n)) AS k)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN v ON v.g = d.g AND v.i = d.i GROUP BY ALL)"""
 
 
-def bootstrap(spark, sf, rounds=200):
+def bootstrap(spark, sf, rounds=40):
     """Resampled means by group; draws come from md5 of group, round and place. Groups are small by contract."""
-    v = li_of(spark, sf).where("l_orderkey % 20 = 0 and l_suppkey <= 40").select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).alias("i"))
+    v = li_of(spark, sf).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).alias("i"))
     n = v.groupBy("g").agg(n_rows().alias("n"))
     draws = n.crossJoin(spark.range(rounds).toDF("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     place = F.floor(X.uniform(F.concat_ws(":", "g", "b", "k")) * F.col("n")).cast("int")
