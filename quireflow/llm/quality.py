@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     total = votes.count()
     for task in TASKS:
         rows = votes.groupBy(task).count().collect()
-        patterns = np.array([["a01".index(c) - 1 for c in r[task]] for r in rows]).reshape(len(rows), -1)
+        patterns = np.array([["a01".index(c) - 1 for c in r[task]] for r in rows] or np.zeros((0, 1)))
         bad, _ = weak_label_model(patterns, np.array([r["count"] for r in rows])) if rows else (np.zeros(0), None)
         spoke = [bool((p != ABSTAIN).any()) for p in patterns]
         values = ", ".join(f"('{r[task]}', {b!r}D, {str(s).lower()})" for r, b, s in zip(rows, bad.tolist(), spoke, strict=True)) or "('', 0.0D, false)"
