@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import raw, slices
 
-#: Anchors are hashes of so many words; a window of 20 words has 13 of them and is counted by the least.
-GRAM = 8
-#: Counters that travel together: 2**17 in each of the sketch's chunks.
-CHUNK_BITS = 17
+#: Counters that travel together: 2**15 in each of the sketch's chunks, so that a cell and its flag take two bytes.
+CHUNK_BITS = 15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -53,16 +51,22 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
+def gram_words(width: int) -> int:
+    """Words of an anchor: 12 for windows of 20, which have 9 of them and are counted by the least."""
+    return max(width * 3 // 5, 1)
+
+
 def anchors(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every window: whether it lies in one document, and hash and position of its least gram, the leftmost of equal ones."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    gram, k = hashes, 1
-    while k < GRAM:
-        gram = _mix(gram[:-k] * np.uint64(3) + (gram[k:] ^ (gram[k:] >> np.uint64(17))))
-        k *= 2
-    low, at, span, want = gram, np.arange(len(gram)), 1, width - GRAM + 1
+    gram, k, words = hashes, 1, gram_words(width)
+    while k < words:
+        step = min(k, words - k)
+        gram = _mix(gram[:-step] * np.uint64(3) + (gram[step:] ^ (gram[step:] >> np.uint64(17))))
+        k += step
+    low, at, span, want = gram, np.arange(len(gram)), 1, width - words + 1
     while span < want:
         step = min(span, want - span)
         left = low[:-step] <= low[step:]
@@ -91,7 +95,7 @@ def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             cell, n = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            code = (cell & ((1 << CHUNK_BITS) - 1)).astype(np.uint32) << np.uint32(1) | (n > 1).astype(np.uint32)
+            code = ((cell & ((1 << CHUNK_BITS) - 1)) << 1 | (n > 1)).astype(np.uint16)
             chunk = cell >> CHUNK_BITS
             at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
             parts = [c.tobytes() for c in np.split(code, at[1:])]
@@ -113,11 +117,11 @@ def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
         twice: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                code = np.frombuffer(data, dtype=np.uint32)
+                code = np.frombuffer(data, dtype=np.uint16)
                 seen = once.setdefault(chunk, np.zeros(1 << CHUNK_BITS, bool))
                 more = twice.setdefault(chunk, np.zeros(1 << CHUNK_BITS, bool))
-                cell = code >> np.uint32(1)
-                more[cell[(code & np.uint32(1)).astype(bool) | seen[cell]]] = True
+                cell = code >> np.uint16(1)
+                more[cell[(code & np.uint16(1)).astype(bool) | seen[cell]]] = True
                 seen[cell] = True
         bits = [np.packbits(b, bitorder="little").tobytes() for b in twice.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
@@ -148,8 +152,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Earlier: a smaller key, or the same key and a smaller start. Returns key, n_words, n_removed,
     kept_text (kept words joined by one space). Windows are judged on the input.
 
-    Pass 1 merges partition sketches: a window is counted by the least 8-word gram in it, which
-    occurs at least as often as the window, and counters only overestimate, so no repeated window
+    Pass 1 merges partition sketches: a window is counted by the least 12-word gram in it (three
+    fifths of the width), which occurs at least as often as the window, and counters only overestimate, so no repeated window
     is lost. Pass 2 emits 96-bit digests of the windows estimated repeated and groups them
     exactly: only the earliest position of each is kept, aggregated before the shuffle, so a
     passage of any frequency costs one row for each task. Those earliest positions go back to
@@ -164,7 +168,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("__key"), F.col(text).alias("text"))
+    base, none, shift = _packing(docs, key, text)
+    src = docs.select(F.coalesce(F.col(key).cast("long") - base, F.lit(none)).alias("__key"), F.col(text).alias("text"))
     bits = spark.sparkContext.broadcast(sketch(src, width, sketch_bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +193,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "__key", "start"])
 
     windows = src.mapInArrow(emit, "k1 long, k2 int, __key long, start int")
-    firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("__key", "start")).alias("f"))
-    firsts = firsts.groupBy(F.col("f.__key").alias("__key")).agg(F.collect_list("f.start").alias("firsts"))
+    if shift:  # one long: a hash aggregate with short rows
+        place = windows.groupBy("k1", "k2").agg(F.min(F.shiftleft("__key", shift).bitwiseOR(F.col("start"))).alias("at"))
+        firsts = place.select(F.shiftright("at", shift).alias("__key"), F.col("at").bitwiseAND((1 << shift) - 1).cast("int").alias("start"))
+    else:
+        firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("__key", "start")).alias("f")).select("f.*")
+    firsts = firsts.groupBy("__key").agg(F.collect_list("start").alias("firsts"))
 
     def known(rows: list[tuple[int, int, bytes]], keys: np.ndarray) -> pa.RecordBatch:
         cols = [pa.array(keys), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())]
@@ -228,7 +237,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ddl = "__key long, n_words long, n_removed long, kept_text string"
     some = src.mapInArrow(touched, "__key long, text string").join(firsts, "__key", "left").mapInArrow(strip, ddl)
     out = src.mapInArrow(untouched, ddl).unionByName(some)
-    return out.select(F.when(F.col("__key") != -(1 << 63), F.col("__key")).cast(kind).alias(key), "n_words", "n_removed", "kept_text")
+    return out.select(F.when(F.col("__key") != none, F.col("__key") + base).cast(kind).alias(key), "n_words", "n_removed", "kept_text")
+
+
+def _packing(docs: DataFrame, key: str, text: str) -> tuple[int, int, int]:
+    """What is taken from keys, the value of a null key, and the bits of a start, or 0 where key and start don't fit in 63 bits."""
+    low, high, size = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.max(F.octet_length(text))).first()
+    shift = max(((size or 0) // 2 + 1).bit_length(), 1)
+    if low is None:
+        return 0, 0, shift
+    if low > -(1 << 63) and (high - low + 1).bit_length() + shift <= 63:
+        return low - 1, 0, shift
+    return 0, -(1 << 63), 0
 
 
 def _grouped(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

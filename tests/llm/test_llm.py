@@ -119,6 +119,13 @@ def test_substring_against_brute_force(docs):
             assert (got[k].n_words, got[k].n_removed, got[k].kept_text) == (len(w), len(gone[k]), kept)
 
 
+def test_substring_of_far_keys_and_short_windows(spark):
+    text = "a b c d e"
+    far = spark.createDataFrame([(-(1 << 62), text), (1 << 62, text), (None, text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup(far, width=3, sketch_bits=17).collect()}
+    assert got == {None: 0, -(1 << 62): 5, 1 << 62: 5}
+
+
 def test_bpe_as_the_library(docs):
     lib = Tokenizer.from_file(WORD)
     for r in bpe_encode(docs, WORD).join(docs, "doc_id").collect():
