@@ -75,19 +75,44 @@ def anchors(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return doc[:n] == doc[width - 1 :], low[:n], at[:n]
 
 
-def cells(anchor: np.ndarray, sketch_bits: int) -> list[np.ndarray]:
-    """An anchor's counter in each of the sketch's two rows; the second row follows the first."""
-    mask = np.uint64((1 << sketch_bits) - 1)
-    return [(anchor & mask).astype(np.int64), ((anchor >> np.uint64(64 - sketch_bits)) & mask).astype(np.int64) + (1 << sketch_bits)]
+def cells(anchor: np.ndarray, sketch_bits: int, level: int) -> list[np.ndarray]:
+    """An anchor's counters: level 0 has one row of 2**sketch_bits, level 1 two rows of half that size after it."""
+    if level == 0:
+        return [(anchor & np.uint64((1 << sketch_bits) - 1)).astype(np.int64)]
+    other = _mix(anchor + np.uint64(_BASE))
+    half = np.uint64((1 << (sketch_bits - 1)) - 1)
+    return [(other & half).astype(np.int64) + (1 << sketch_bits), ((other >> np.uint64(65 - sketch_bits)) & half).astype(np.int64) + (3 << (sketch_bits - 1))]
+
+
+def repeated(anchor: np.ndarray, bits: np.ndarray, sketch_bits: int, levels: int = 2) -> np.ndarray:
+    """Whether each anchor is estimated to occur twice by the first levels of the sketch."""
+    found = np.ones(len(anchor), bool)
+    for level in range(levels):
+        for cell in cells(anchor, sketch_bits, level):
+            found &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    return found
 
 
 def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
     """Merged count-min sketch of the anchors, as bits: whether a counter reached 2.
 
+    Level 0 counts every anchor; level 1 only those that level 0 takes for repeated, so its
+    counters are far from full and few chance meetings remain. A repeated anchor is counted at
+    both. The result has a fixed size (2 * 2**sketch_bits bits), whatever the corpus.
+    """
+    out = np.zeros((2 << sketch_bits) // 8, dtype=np.uint8)
+    for level in (0, 1):
+        _count_level(docs, width, sketch_bits, level, out)
+    return out
+
+
+def _count_level(docs: DataFrame, width: int, sketch_bits: int, level: int, out: np.ndarray) -> None:
+    """Fill one level of the sketch.
+
     Tasks count into saturating counters and send the cells they touched, by chunk; chunks are
-    merged where they meet, in a stream, without holding what arrives. The result has a fixed
-    size (2 * 2**sketch_bits bits), whatever the corpus.
+    merged where they meet, in a stream, without holding what arrives.
     """
+    before = docs.sparkSession.sparkContext.broadcast(out[: (1 << sketch_bits) // 8]) if level else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -106,10 +131,13 @@ def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
             low, at = low[inside], at[inside]
             if len(low):
                 new = np.r_[True, at[1:] != at[:-1]]
-                kept += cells(low[new], sketch_bits)
+                low = low[new]
+                if before is not None:
+                    low = low[repeated(low, before.value, sketch_bits, 1)]
+                kept += cells(low, sketch_bits, level)
             if sum(map(len, kept)) > 2_000_000:
                 yield flush()
-        if kept:
+        if any(map(len, kept)):
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +154,17 @@ def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
         bits = [np.packbits(b, bitorder="little").tobytes() for b in twice.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
-    out = np.zeros((2 << sketch_bits) // 8, dtype=np.uint8)
     size = (1 << CHUNK_BITS) // 8
     rows = docs.select("text").mapInArrow(count, "chunk int, cells binary").repartition("chunk").mapInArrow(merge, "chunk int, bits binary")
     for r in rows.toLocalIterator():
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
 
 
 def passing(docs: list[bytes], width: int, bits: np.ndarray, sketch_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows estimated repeated: document and start within it, and each document's number of words."""
     hashes, counts = word_hashes(docs)
     inside, low, _ = anchors(hashes, counts, width)
-    for cell in cells(low, sketch_bits):
-        inside &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-    found = np.flatnonzero(inside)
+    found = np.flatnonzero(inside & repeated(low, bits, sketch_bits))
     first = np.r_[0, np.cumsum(counts)]
     doc = np.searchsorted(first, found, side="right") - 1
     return doc, found - first[doc], counts
@@ -152,7 +176,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Earlier: a smaller key, or the same key and a smaller start. Returns key, n_words, n_removed,
     kept_text (kept words joined by one space). Windows are judged on the input.
 
-    Pass 1 merges partition sketches: a window is counted by the least 12-word gram in it (three
+    Pass 1 merges partition sketches, of all anchors and of those the first takes for repeated: a window is counted by the least 12-word gram in it (three
     fifths of the width), which occurs at least as often as the window, and counters only overestimate, so no repeated window
     is lost. Pass 2 emits 96-bit digests of the windows estimated repeated and groups them
     exactly: only the earliest position of each is kept, aggregated before the shuffle, so a

@@ -126,6 +126,11 @@ def test_substring_of_far_keys_and_short_windows(spark):
     assert got == {None: 0, -(1 << 62): 5, 1 << 62: 5}
 
 
+def test_substring_without_repeats(spark):
+    one = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50)))], "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in substring_dedup(one, sketch_bits=17).collect()] == [(50, 0)]
+
+
 def test_bpe_as_the_library(docs):
     lib = Tokenizer.from_file(WORD)
     for r in bpe_encode(docs, WORD).join(docs, "doc_id").collect():
