@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.operators.ranking import rank_within
 from quireflow.plans.registry import query
 from quireflow.session import table
-from quireflow.sources.scratch import scratch_path
+from quireflow.sources.scratch import materialize, scratch_path
 
 
 def n_rows():
@@ -180,3 +181,58 @@ def q8(spark, sf):
     """A finding that doesn't parse becomes a placeholder with its id."""
     raw = F.when(F.col("l_partkey") % 5 == 0, "not json").otherwise(F.to_json(F.struct(F.col("l_returnflag").alias("type"))))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.from_json(raw, "type string")["type"], F.lit("MALFORMED")).alias("type"))
+
+
+def rank_all(df, *order):
+    """Add `number`, the place in the whole order from 1: a range sort is written, then places within its partitions are shifted by the counts before them."""
+    placed = materialize(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__id", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(n_rows().alias("n"))  # one row for each partition of the sort
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
+    number = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("before") + 1
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("number", number).drop("__id", "__part", "before")
+
+
+@query("s11_score_sheet", "SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS number, p_partkey, p_size AS score FROM part WHERE p_size > 10")
+def s11(spark, sf):
+    """Scores in JSON joined to their records, ranked by the global rank of a range sort, written as CSV and read back."""
+    p = table(spark, sf, "part")
+    review = p.select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("score"))).alias("review"))
+    both = p.select("p_partkey", "p_retailprice").join(review, "p_partkey").select("*", F.get_json_object("review", "$.score").cast("int").alias("score")).where("score > 10")
+    sheet = rank_all(both, F.desc("p_retailprice"), F.asc("p_partkey")).select("number", "p_partkey", "score")
+    return spark.read.schema("number bigint, p_partkey bigint, score int").csv(written(sheet, "csv", header=True), header=True)
+
+
+@query("s13_mirror_findings", "SELECT l_orderkey, l_linenumber, l_returnflag AS type FROM lineitem")
+def s13(spark, sf):
+    """Index rows of parents that come again are replaced by their findings; other parents keep theirs."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("type"))
+    again = F.col("l_orderkey") % 2 == 0
+    stored = lines.select("l_orderkey", "l_linenumber", F.when(again, "stale").otherwise(F.col("type")).alias("type"))
+    arrived = lines.where(again).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "type")).alias("findings"))
+    return stored.join(arrived.select("l_orderkey"), "l_orderkey", "left_anti").unionByName(arrived.select("l_orderkey", F.inline("findings")))
+
+
+@query("s16_reference_export", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'article-journal' WHEN p_size % 3 = 1 THEN 'paper-conference' ELSE 'article' END AS type, split_part(p_name, ' ', 1) AS given, CASE WHEN strpos(p_name, ' ') > 0 THEN substr(p_name, strpos(p_name, ' ') + 1) ELSE '' END AS family, CASE WHEN p_size % 2 = 0 THEN '10.1/' || p_partkey ELSE 'http://x.example/' || p_partkey END AS link FROM part")
+def s16(spark, sf):
+    """Nested reference records, written as JSON and read back; an identifier goes before a URL. The venue and the author are built from part."""
+    p = table(spark, sf, "part")
+    venue = F.element_at(F.array(F.lit("Journal of X"), F.lit("Proceedings of X"), F.lit("")), F.col("p_size") % 3 + 1)
+    kind = F.when(venue.startswith("Journal"), "article-journal").when(venue.startswith("Proceedings"), "paper-conference").otherwise("article")
+    number = F.col("p_partkey").cast("string")
+    authors = F.transform(F.array("p_name"), lambda a: F.struct(F.substring_index(a, " ", 1).alias("given"), F.when(F.instr(a, " ") > 0, F.expr("substring(p_name, instr(p_name, ' ') + 1)")).otherwise("").alias("family")))
+    out = p.select("p_partkey", kind.alias("type"), authors.alias("author"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("10.1/"), number)).alias("DOI"), F.concat(F.lit("http://x.example/"), number).alias("URL"))
+    back = spark.read.schema(out.schema).json(written(out, "json"))
+    return back.select("p_partkey", "type", F.col("author")[0]["given"].alias("given"), F.col("author")[0]["family"].alias("family"), F.coalesce("DOI", "URL").alias("link"))
+
+
+@query("q6_backfill_findings", "SELECT l_orderkey, l_linenumber, l_returnflag AS type FROM lineitem")
+def q6(spark, sf):
+    """Index rows that are missing are filled from the findings stored with their parent; those there stay."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("type"))
+    source = lines.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct("l_linenumber", "type"))).alias("findings"))
+    there = lines.where("l_linenumber % 2 = 0")
+    found = source.select("l_orderkey", F.inline(F.from_json("findings", "array<struct<l_linenumber:int,type:string>>")))
+    kinds = [(f.name, f.dataType) for f in lines.schema.fields]
+    found = found.select(*[F.col(n).cast(t).alias(n) for n, t in kinds])
+    return there.unionByName(found.join(there.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], "left_anti"))
