@@ -658,3 +658,28 @@ def u7(spark, sf):
     """First seen (smallest id) of identical texts; digests are aggregated before the shuffle."""
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+
+
+NODE_WORDS = {"method": ("method", "model", "train"), "result": ("result", "data", "score"), "limit": ("limit", "error", "future")}
+
+
+@query("w13_node_chunks", """
+WITH c AS (SELECT doc_id, i AS chunk, lower(substr(text, CAST(1 + i * 448 AS BIGINT), 512)) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 448.0) AS BIGINT), 1))) AS i FROM documents)),
+h AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS node, chunk, " + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in ws) + " AS hits FROM c" for n, ws in NODE_WORDS.items()) + """)
+SELECT doc_id, node, chunk, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, node ORDER BY hits DESC, chunk) AS k FROM h WHERE hits > 0) WHERE k <= 3""")
+def w13(spark, sf):
+    """The three chunks of a document with most hits for each node; chunks without hits never count. The choice is made inside a row, without a shuffle."""
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    last = F.greatest(F.ceil(F.length("text") / 448.0).cast("long"), F.lit(1)) - 1
+
+    def hits(text, words):
+        return sum(((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long") for w in words)
+
+    chunk = lambda i: F.col("text").substr((1 + i * 448).cast("int"), F.lit(512))
+    counted = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("chunk"), *[hits(chunk(i), ws).alias(n) for n, ws in NODE_WORDS.items()]))
+
+    def best(node):
+        some = F.transform(F.filter("counted", lambda c: c[node] > 0), lambda c: F.struct((-c[node]).alias("less"), c["chunk"].alias("chunk")))
+        return F.transform(F.slice(F.array_sort(some), 1, 3), lambda c: F.struct(F.lit(node).alias("node"), c["chunk"].alias("chunk"), (-c["less"]).alias("hits")))
+
+    return d.select("doc_id", counted.alias("counted")).select("doc_id", F.inline(F.concat(*map(best, NODE_WORDS))))
