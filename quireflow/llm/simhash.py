@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import raw, slices
-from quireflow.llm.substring import _mix, word_hashes
 from quireflow.operators.components import connected_components
 from quireflow.sources.scratch import materialize
 
@@ -72,29 +71,6 @@ def _packed(positions: tuple[int, ...], head: int) -> Column:
     return out
 
 
-def word_set_fingerprints(docs: DataFrame, key: str, text: str, series: int) -> DataFrame:
-    """__key, series and fp: `series` independent fingerprints of each text's set of words, lower-cased."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 1 << 20):
-            hashes, counts = word_hashes([t.lower() for t in raw(batch, "__text")])
-            n = len(counts)
-            owner = np.repeat(np.arange(n), counts)
-            order = np.lexsort((hashes, owner))
-            h, o = hashes[order], owner[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])] if len(h) else np.zeros(0, bool)
-            h, o = h[new], o[new]
-            sizes = np.bincount(o, minlength=n)
-            for k in range(series):
-                octets = _mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8)
-                counted = np.bincount(((octets + _SHIFTS) + o[:, None] * 2048).ravel(), minlength=n * 2048).reshape(n, 8, 256) @ _BITS
-                fps = np.packbits((2 * counted.reshape(n, 64) > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(np.full(n, k, np.int32)), pa.array(fps)], names=["__key", "series", "fp"])
-
-    src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, series int, fp long")
-
-
 def postings(distinct: DataFrame, split_above: int) -> DataFrame:
     """(key, fp) for 8 keys of a fingerprint (series, fp); keys with more than split_above fingerprints are split by two more positions, exactly."""
     spark = distinct.sparkSession
@@ -208,28 +184,3 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     least = materialize(rooted.groupBy("root").agg(F.min("first_key").alias("component_id")), "least")
     labels = materialize(rooted.join(least, "root").select("fp", "component_id"), "labels")
     return marked.join(labels, "fp").select(F.col("__key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", series: int = 8, split_above: int = 4096) -> DataFrame:
-    """key and component_id (the smallest key reachable): texts link if one of `series` fingerprints does.
-
-    One 3-bit fingerprint of word runs finds only copies with hardly any change. Here each text
-    has several independent fingerprints of its set of words, so a text with a few words
-    replaced is found by one of them, while other texts' word sets differ too much. Keys are
-    whole numbers; rows with a null key are left out, and rows that repeat a key count as one.
-    """
-    marked = materialize(word_set_fingerprints(docs.where(F.col(key).isNotNull()), key, text, series), "fingerprints")
-    distinct = materialize(marked.groupBy("series", "fp").agg(F.min("__key").alias("first_key")), "distinct")
-    links = materialize(_linked(distinct.select("series", "fp"), split_above), "links")
-    first = lambda c: distinct.select("series", F.col("fp").alias(c), F.col("first_key").alias(f"{c}_key"))
-    across = links.join(first("u"), ["series", "u"]).join(first("v"), ["series", "v"]).select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
-    same = marked.join(distinct, ["series", "fp"]).where("__key <> first_key").select(F.col("__key").alias("u"), F.col("first_key").alias("v"))
-    comp = connected_components(across.union(same))
-    keys = marked.where("series = 0").select("__key").distinct()
-    return keys.join(comp, F.col("__key") == F.col("node"), "left").select(F.col("__key").alias(key), F.coalesce("component", "__key").alias("component_id"))
-
-
-def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group of near copies the row with the smallest key, with its columns; rows with a null key stay, of repeated rows one stays."""
-    gone = near_copy_groups(docs, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone"))
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").dropDuplicates([key, text])
