@@ -94,15 +94,21 @@ def lzw_decode(data: bytes, code_bits: int, limit: int) -> bytes:
     have, at, total = 0, 0, len(data) * 8
     if total > code_bits and int.from_bytes(data[:2], "little") & (1 << code_bits + 1) - 1 == clear:
         at = code_bits + 1
+    table, last, full = list(roots), b"", False
     while have < limit:
-        # between clear codes the widths follow from the count, so a stretch of codes is cut out at once
-        n = min(int(offset.searchsorted(total - at, side="right")) - 1, len(width), limit - have + 3)
+        # between clear codes the widths follow from the count, so a stretch of codes is cut out at once; with a full table they stay at 12 bits
+        most = min((total - at) // 12, 4096) if full else min(int(offset.searchsorted(total - at, side="right")) - 1, len(width))
+        n = min(most, limit - have + 3)
         if n <= 0:
             break
-        byte, shift, mask = (x[:n] for x in _PLACES[code_bits][at & 7])
+        if full:
+            place = (at & 7) + 12 * np.arange(n)
+            byte, shift, mask = place >> 3, place & 7, 4095
+        else:
+            byte, shift, mask = (x[:n] for x in _PLACES[code_bits][at & 7])
         byte = byte + (at >> 3)
         codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> shift & mask
-        table, last, used, again = list(roots), b"", 0, False
+        used, again = 0, False
         add, put = table.append, out.append
         for used, code in enumerate(codes.tolist(), 1):
             if code == clear:
@@ -125,9 +131,13 @@ def lzw_decode(data: bytes, code_bits: int, limit: int) -> bytes:
             have += len(last)
             if have >= limit:
                 break
-        if not again:
+        at += 12 * used if full else int(offset[used])
+        if again:
+            table, last, full = list(roots), b"", False
+        elif full or n == len(width):
+            full = True
+        else:
             break
-        at += int(offset[used])
     return b"".join(out)[:limit]
 
 
