@@ -67,7 +67,7 @@ def r3(spark, sf):
 @query("r4_hybrid_search", f"""WITH {HYBRID}, s AS (SELECT fuse.*, lang, source FROM fuse JOIN documents USING (doc_id) WHERE lang = 'en')
 SELECT * FROM (SELECT query_id, doc_id, rrf, lang, source, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def r4(spark, sf):
-    """Scope (language) is applied after both lists are cut to 50, as in the reference, and before the cut to 10: fewer than 10 rows can come back."""
+    """Scope (language) is applied after both lists are cut to 50 and before the cut to 10: fewer than 10 rows can come back."""
     meta = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "lang", "source")
     text = R.bm25(docs_of(spark, sf), asked_of(spark, sf), 50)
     fused = R.rrf([text, R.vector_top(query_vectors(spark, sf), vectors_of(spark, sf), 50)], 100).drop("rank")
