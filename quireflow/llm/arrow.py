@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -32,3 +33,11 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's strings in UTF-8; null is the empty text."""
     return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+def whole_keys(docs: DataFrame, key: str) -> str:
+    """The type of a key column of whole numbers; other types raise, as they can't be cast without loss."""
+    kind = docs.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"keys must be whole numbers, {key} is {kind}")
+    return kind

@@ -12,20 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import slices, texts
-from quireflow.llm.words import encoder, library
+from quireflow.llm.words import PieceLibrary, byte_alphabet, encoder, gather, library
 
 _BASE = 0x9E3779B97F4A7C15
 #: Longer pieces aren't speculated on; they are merged exactly at once.
 LONGEST = 64
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Speculator:
     """Encodes pieces of a word-final BPE vocabulary ('</w>' marks a piece's last token)."""
 
@@ -33,20 +26,22 @@ class Speculator:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.lib = library(path)
+        self.exact = PieceLibrary(library(path), False)
         alphabet = byte_alphabet()
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[tuple[int, int]]] = {}
+        letters = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             final = token.endswith(end) and len(token) > len(end)
             chars = token[: -len(end)] if final else token
-            data = bytes(alphabet[ch] for ch in chars)
+            data = letters[i] = bytes(alphabet[ch] for ch in chars)
             if len(data) <= LONGEST:
                 by_length.setdefault(len(data), []).append((self._code(data, final), i))
         for n, rows in by_length.items():
             rows.sort()
             self.tables[n] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64))
         self.lengths = sorted(self.tables, reverse=True)
+        self.letters, self.widths = np.frombuffer(b"".join(letters), dtype=np.uint8), np.array([len(x) for x in letters], dtype=np.int64)
         self._spines(vocab, model["merges"])
         self.checked = np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -164,30 +159,43 @@ class Speculator:
         order = np.argsort(owners, kind="stable")
         return ids[order], owners[order]
 
-    def __call__(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit integers."""
-        if not pieces:
-            return []
+    def _spelled(self, ids: np.ndarray, owner: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Whether each piece's tokens spell its bytes, as a token is found by a hash."""
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        ok = np.bincount(owner, self.widths[ids], minlength=len(pieces)) == sizes
+        data = np.frombuffer(b"".join([p for p, good in zip(pieces, ok.tolist(), strict=True) if good]), dtype=np.uint8)
+        wrong = gather(self.letters, self.widths, ids[ok[owner]]) != data
+        ok[np.repeat(np.flatnonzero(ok), sizes[ok])[wrong]] = False
+        return ok
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and each one's number of ids."""
         short = [i for i, p in enumerate(pieces) if 0 < len(p) <= LONGEST]
-        out: list[bytes | None] = [None] * len(pieces)
+        runs, sizes, order = [], np.zeros(len(pieces), np.int64), []
+        todo = np.ones(len(pieces), bool)
         if short:
-            ids, owner = self.greedy([pieces[i] for i in short])
-            fails = np.zeros(len(short), bool)
+            own = [pieces[i] for i in short]
+            ids, owner = self.greedy(own)
+            good = np.ones(len(short), bool)
+            good[owner[ids < 0]] = False
+            ids, owner = ids[good[owner]], owner[good[owner]]
+            good &= self._spelled(ids, owner, own)
             same = owner[1:] == owner[:-1]
-            fails[owner[1:][same][~self.compatible(ids[:-1][same], ids[1:][same])]] = True
-            fails[owner[ids < 0]] = True
-            data, width = ids.astype(np.uint32).tobytes(), np.bincount(owner, minlength=len(short)) * 4
-            stops = np.cumsum(width)
-            for k, (i, stop, w, bad) in enumerate(zip(short, stops.tolist(), width.tolist(), fails.tolist(), strict=True)):
-                if not bad:
-                    out[i] = data[stop - w : stop]
-        todo = [i for i, o in enumerate(out) if o is None]
-        for i, e in zip(todo, self.lib.encode_batch_fast([pieces[i].decode() for i in todo], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return out
-
-
-def speculator(path: str) -> Callable[[list[bytes]], list[bytes]]:
+            good[owner[1:][same][~self.compatible(ids[:-1][same], ids[1:][same])]] = False
+            done = np.array(short)[good]
+            runs.append(ids[good[owner]].astype(np.uint32))
+            sizes[done] = np.bincount(owner, minlength=len(short))[good]
+            order += done.tolist()
+            todo[done] = False
+        rest = np.flatnonzero(todo)
+        ids, sizes[rest] = self.exact([pieces[i] for i in rest.tolist()])
+        order += rest.tolist()
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return gather(np.concatenate([*runs, ids]), sizes[order], back), sizes
+
+
+def speculator(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     return Speculator(path)
 
 

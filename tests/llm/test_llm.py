@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quireflow.llm import gif, secrets, sharding, simhash, token_files
-from quireflow.llm.bpe import bpe_encode
+from quireflow.llm import gif, secrets, sharding, simhash, token_files, words
+from quireflow.llm.bpe import bpe_encode, speculator
 from quireflow.llm.exact_dedup import DigestIndex, exact_dedup, keep_distinct
 from quireflow.llm.packing import pack_documents
 from quireflow.llm.quality import score_quality, weak_label_model
@@ -138,6 +138,17 @@ def test_bpe_as_the_library(docs):
         assert (r.ids, r.decoded) == (ids, lib.decode(ids, skip_special_tokens=False))
 
 
+def test_pieces_of_every_script_as_the_library():
+    rng = random.Random(1)
+    odd = list("ab Z.,'stmdrevl019 \n\t \u0085\xa0²éß’…!?-\x1c\rİ中́<|\0")
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["a<|endoftext|>b", "日本語 Σίσυφος Это", "x" * 3000, ""]
+    for path, keep, make in ((WORD, False, None), (WORD, False, speculator), (BYTE, True, None)):
+        enc, lib = words.TextEncoder(path, keep, make and make(path), memory=500), words.library(path)
+        for k in range(0, len(texts), 200):
+            ids, counts = enc.encode(texts[k : k + 200])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in lib.encode_batch(texts[k : k + 200], add_special_tokens=False)]
+
+
 def test_packing_covers_every_token_once(docs):
     lib = Tokenizer.from_file(BYTE)
     rows = pack_documents(docs.where("doc_id is not null and doc_id <> 12"), BYTE).collect()
@@ -171,6 +182,24 @@ def test_coder_round_trip_and_checksum():
         token_files.decode_segment(header, [b"\1" + b[1:] if i == 0 and b[0] != 1 else b"\2" + b[1:] for i, b in enumerate(blocks)], sums, n)
 
 
+def test_coder_of_many_ids_single_blocks_and_damage():
+    ids = np.random.default_rng(1).permutation(70_000).astype(np.uint32)
+    header, blocks, sums = token_files.encode_segment(ids)
+    assert (token_files.decode_segment(header, blocks, sums, len(ids)) == ids).all()
+    assert (token_files.decode_segment(header, blocks[7:8], sums[7:8], 512) == ids[7 * 512 : 8 * 512]).all()
+    with pytest.raises(ValueError, match="checksum"):
+        token_files.decode_segment(header[:-1] + bytes([header[-1] ^ 1]), blocks, sums, len(ids))
+    with pytest.raises(ValueError, match="different ids"):
+        token_files.encode_segment(np.arange(token_files.IDS + 1, dtype=np.uint32))
+
+
+def test_coder_adapts_within_a_block():
+    rng = np.random.default_rng(2)
+    calm, mixed = np.repeat(rng.integers(0, 2000, 40), 512).astype(np.uint32), rng.integers(0, 2000, 40 * 512).astype(np.uint32)
+    size = lambda ids: sum(map(len, token_files.encode_segment(ids)[1]))
+    assert size(calm) < size(mixed) / 8
+
+
 def test_gif_round_trip_and_rules(docs):
     for r in gif.read_gifs(gif.store_gifs(docs)).join(docs.select("doc_id", "text"), "doc_id").collect():
         data = (r.text or "").encode()
