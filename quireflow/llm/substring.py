@@ -1,21 +1,22 @@
-"""Substring deduplication: a count-min prefilter, then exact grouping of the windows it passes."""
+"""Substring deduplication: a count-min prefilter in joined partitions, then exact grouping of the windows it passes."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.arrow import raw, slices
+from quireflow.llm.arrow import raw, slices, whole_keys
 
-#: Counters that travel together: 2**15 in each of the sketch's chunks, so that a cell and its flag take two bytes.
-CHUNK_BITS = 15
+#: Bytes of text that are hashed, asked for and stripped together; a longer text is alone.
+SLICE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -32,7 +33,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, SLICE + (SLICE >> 3))
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             _powers[name] = np.cumprod(np.r_[np.uint64(1), np.full(size, b, dtype=np.uint64)], dtype=np.uint64)
     return _powers["up"], _powers["down"]
@@ -75,204 +76,185 @@ def anchors(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return doc[:n] == doc[width - 1 :], low[:n], at[:n]
 
 
-def cells(anchor: np.ndarray, sketch_bits: int, level: int) -> list[np.ndarray]:
-    """An anchor's counters: level 0 has one row of 2**sketch_bits, level 1 two rows of half that size after it."""
-    if level == 0:
-        return [(anchor & np.uint64((1 << sketch_bits) - 1)).astype(np.int64)]
-    other = _mix(anchor + np.uint64(_BASE))
-    half = np.uint64((1 << (sketch_bits - 1)) - 1)
-    return [(other & half).astype(np.int64) + (1 << sketch_bits), ((other >> np.uint64(65 - sketch_bits)) & half).astype(np.int64) + (3 << (sketch_bits - 1))]
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a task's rows, each with a number of its own that a task run again gives again."""
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    for n, batch in enumerate(slices(batches, "text", SLICE)):
+        seed = xxhash.xxh3_64_intdigest(f"{part}:{n}:{batch.num_rows}".encode())
+        yield xxhash.xxh3_64_intdigest(b"".join(t[:64] for t in raw(batch, "text")), seed) - (1 << 63), batch
 
 
-def repeated(anchor: np.ndarray, bits: np.ndarray, sketch_bits: int, levels: int = 2) -> np.ndarray:
-    """Whether each anchor is estimated to occur twice by the first levels of the sketch."""
-    found = np.ones(len(anchor), bool)
-    for level in range(levels):
-        for cell in cells(anchor, sketch_bits, level):
-            found &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-    return found
+def count_min(src: DataFrame, width: int, sketch_bits: int) -> DataFrame:
+    """For every slice the counters, of those its anchors fall on, that reached 2 over the corpus: rid, cells (64-bit numbers).
 
-
-def sketch(docs: DataFrame, width: int, sketch_bits: int) -> np.ndarray:
-    """Merged count-min sketch of the anchors, as bits: whether a counter reached 2.
-
-    Level 0 counts every anchor; level 1 only those that level 0 takes for repeated, so its
-    counters are far from full and few chance meetings remain. A repeated anchor is counted at
-    both. The result has a fixed size (2 * 2**sketch_bits bits), whatever the corpus.
-    """
-    out = np.zeros((2 << sketch_bits) // 8, dtype=np.uint8)
-    for level in (0, 1):
-        _count_level(docs, width, sketch_bits, level, out)
-    return out
-
-
-def _count_level(docs: DataFrame, width: int, sketch_bits: int, level: int, out: np.ndarray) -> None:
-    """Fill one level of the sketch.
-
-    Tasks count into saturating counters and send the cells they touched, by chunk; chunks are
-    merged where they meet, in a stream, without holding what arrives.
+    A slice sends the counters it touches (once, with a mark for twice) to the partitions of the
+    sketch, which add up what all slices send and answer those that passed. Neither the sketch
+    nor an answer is gathered anywhere: a partition holds what was sent for one chunk of
+    counters, of which there are more as the sketch grows. Each slice gets at least one row.
     """
-    before = docs.sparkSession.sparkContext.broadcast(out[: (1 << sketch_bits) // 8]) if level else None
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            cell, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            code = ((cell & ((1 << CHUNK_BITS) - 1)) << 1 | (n > 1)).astype(np.uint16)
-            chunk = cell >> CHUNK_BITS
-            at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-            parts = [c.tobytes() for c in np.split(code, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(chunk[at].astype(np.int32)), pa.array(parts, pa.binary())], names=["chunk", "cells"])
+    chunk_bits = min(max(sketch_bits - 10, 12), 22)
+    mask = np.uint64((1 << sketch_bits) - 1)
 
-        for batch in slices(batches, "text", 1 << 20):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, batch in labelled(batches):
             inside, low, at = anchors(*word_hashes(raw(batch, "text")), width)
             low, at = low[inside], at[inside]
-            if len(low):
-                new = np.r_[True, at[1:] != at[:-1]]
-                low = low[new]
-                if before is not None:
-                    low = low[repeated(low, before.value, sketch_bits, 1)]
-                kept += cells(low, sketch_bits, level)
-            if sum(map(len, kept)) > 2_000_000:
-                yield flush()
-        if any(map(len, kept)):
-            yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1]
+            cell, n = np.unique((low[new] & mask).astype(np.int64), return_counts=True)
+            code = ((cell & ((1 << chunk_bits) - 1)) << 1 | (n > 1)).astype(np.uint32)
+            chunk = cell >> chunk_bits
+            starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+            ends = pa.array(np.r_[4 * starts, 4 * len(code)].astype(np.int32))
+            codes = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(code.tobytes())])
+            there = pa.array([-1 - rid % 4096], pa.int64())
+            cols = [pa.concat_arrays([pa.array(chunk[starts]), there]), pa.array(np.full(len(starts) + 1, rid)), pa.concat_arrays([codes, pa.array([b""], pa.binary())])]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "rid", "codes"])
+
+    def answered(chunk: int, rids: list[int], codes: list[bytes]) -> pa.RecordBatch:
+        code = np.frombuffer(b"".join(codes), dtype=np.uint32)
+        cell = code >> np.uint32(1)
+        distinct, back, n = np.unique(cell, return_inverse=True, return_counts=True)
+        n = n + np.bincount(back, code & np.uint32(1), minlength=len(distinct)).astype(np.int64)
+        passed = n[back] > 1
+        cells = (np.int64(chunk << chunk_bits) + cell[passed]).astype(np.int64)
+        sizes = np.add.reduceat(passed, np.cumsum([0, *(len(c) >> 2 for c in codes[:-1])]), dtype=np.int64)
+        some = np.flatnonzero(sizes)
+        ends = pa.array(np.r_[0, 8 * np.cumsum(sizes[some])].astype(np.int32))
+        found = pa.Array.from_buffers(pa.binary(), len(some), [None, ends.buffers()[1], pa.py_buffer(cells.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(rids, dtype=np.int64)[some]), found], names=["rid", "cells"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rids, codes = None, [], []
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                code = np.frombuffer(data, dtype=np.uint16)
-                seen = once.setdefault(chunk, np.zeros(1 << CHUNK_BITS, bool))
-                more = twice.setdefault(chunk, np.zeros(1 << CHUNK_BITS, bool))
-                cell = code >> np.uint16(1)
-                more[cell[(code & np.uint16(1)).astype(bool) | seen[cell]]] = True
-                seen[cell] = True
-        bits = [np.packbits(b, bitorder="little").tobytes() for b in twice.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
-
-    size = (1 << CHUNK_BITS) // 8
-    rows = docs.select("text").mapInArrow(count, "chunk int, cells binary").repartition("chunk").mapInArrow(merge, "chunk int, bits binary")
-    for r in rows.toLocalIterator():
-        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
-
-
-def passing(docs: list[bytes], width: int, bits: np.ndarray, sketch_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows estimated repeated: document and start within it, and each document's number of words."""
+            for chunk, rid, code in zip(*(batch.column(c).to_pylist() for c in ("chunk", "rid", "codes")), strict=True):
+                if chunk != now and rids:
+                    yield answered(now, rids, codes)
+                    rids, codes = [], []
+                now = chunk
+                if chunk >= 0:
+                    rids.append(rid)
+                    codes.append(code)
+            there = batch.filter(pc.less(batch.column("chunk"), 0))
+            yield pa.RecordBatch.from_arrays([there.column("rid"), there.column("codes")], names=["rid", "cells"])
+        if rids:
+            yield answered(now, rids, codes)
+
+    sent = src.mapInArrow(ask, "chunk long, rid long, codes binary")
+    return sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(answer, "rid long, cells binary")
+
+
+def passing(docs: list[bytes], width: int, cells: np.ndarray, sketch_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows estimated repeated: document and start within it, and each document's number of words. cells: sorted counters that passed."""
     hashes, counts = word_hashes(docs)
     inside, low, _ = anchors(hashes, counts, width)
-    found = np.flatnonzero(inside & repeated(low, bits, sketch_bits))
+    cell = (low & np.uint64((1 << sketch_bits) - 1)).astype(np.int64)
+    at = np.minimum(np.searchsorted(cells, cell), max(len(cells) - 1, 0))
+    found = np.flatnonzero(inside & (cells[at] == cell)) if len(cells) else np.zeros(0, np.int64)
     first = np.r_[0, np.cumsum(counts)]
     doc = np.searchsorted(first, found, side="right") - 1
     return doc, found - first[doc], counts
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, sketch_bits: int = 28) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, sketch_bits: int | None = None) -> DataFrame:
     """Remove the words of every window of `width` words whose words start earlier elsewhere.
 
     Earlier: a smaller key, or the same key and a smaller start. Returns key, n_words, n_removed,
     kept_text (kept words joined by one space). Windows are judged on the input.
 
-    Pass 1 merges partition sketches, of all anchors and of those the first takes for repeated: a window is counted by the least 12-word gram in it (three
-    fifths of the width), which occurs at least as often as the window, and counters only overestimate, so no repeated window
-    is lost. Pass 2 emits 96-bit digests of the windows estimated repeated and groups them
+    A window is counted by the least 12-word gram in it (three fifths of the width), which occurs
+    at least as often as the window, and counters only overestimate, so no repeated window is
+    lost. The sketch is a row of 2**sketch_bits counters, by default as many as the corpus has
+    bytes (about 30 for each counted gram); its partitions are joined with the texts' slices, not
+    broadcast. Texts are exchanged once, in slices of about a megabyte, where the answers of the
+    sketch meet them. The 128-bit digests of the windows estimated repeated are then grouped
     exactly: only the earliest position of each is kept, aggregated before the shuffle, so a
     passage of any frequency costs one row for each task. Those earliest positions go back to
-    their documents; a passing window that isn't among them is removed. Texts without passing
-    windows are done after the scan and aren't shuffled. The sketch has 2 * 2**sketch_bits bits
-    (64 MB) for any corpus; where it fills up (many more than 2**sketch_bits anchors) more
-    windows pass, the result stays the same.
+    the slices; a passing window that isn't among them is removed.
 
     Null texts have no words. A null key comes before all others; rows that repeat a key count
-    as the same document, and equal positions of them are the same occurrence. An empty table
-    gives an empty result.
+    as the same document, and equal positions of them are the same occurrence. Keys are whole
+    numbers (others raise); further columns are not carried. An empty table gives an empty
+    result. Rows must come in the same order when a task is run again, as those of files do; where
+    a slice isn't found again the job fails.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    base, none, shift = _packing(docs, key, text)
+    kind = whole_keys(docs, key)
+    base, none, shift, size = _packing(docs, key, text)
+    sketch_bits = sketch_bits or max(size.bit_length(), 17)
     src = docs.select(F.coalesce(F.col(key).cast("long") - base, F.lit(none)).alias("__key"), F.col(text).alias("text"))
-    bits = spark.sparkContext.broadcast(sketch(src, width, sketch_bits))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, "text", 1 << 20):
-            own = raw(batch, "text")
-            doc, start, _ = passing(own, width, bits.value, sketch_bits)
-            if not len(doc):
-                continue
-            found = []
-            for d, at in zip(*_grouped(doc, start), strict=True):
-                words = own[d].split()
-                joined = b" ".join(words)
-                ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-                heads = [0, *(e + 1 for e in ends)]
-                found += [digest(joined[heads[i] : ends[i + width - 1]]) for i in at.tolist()]
-            code = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
-            code = code[:, 0], code[:, 1].astype(np.int32)  # 96 of the 128 bits
-            keys = batch.column("__key").to_numpy()[doc]
-            cols = [pa.array(np.ascontiguousarray(c)) for c in (*code, keys, start.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "__key", "start"])
-
-    windows = src.mapInArrow(emit, "k1 long, k2 int, __key long, start int")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, batch in labelled(batches):
+            yield batch.append_column("rid", pa.array(np.full(batch.num_rows, rid)))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, batch in labelled(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(np.full(batch.num_rows, rid))], names=["__key", "rid"])
+
+    def found(left: pa.Table, right: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        answers = right.column("cells").drop_null()
+        if not left.num_rows or not len(answers):
+            raise RuntimeError("a slice of the texts was not found again: rows must come in the same order")
+        own = raw(left, "text")
+        return own, *passing(own, width, np.sort(np.frombuffer(b"".join(answers.to_pylist()), dtype=np.int64)), sketch_bits)
+
+    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, doc, start, _ = found(left, right)
+        digests = []
+        for d, at in zip(*_grouped(doc, start), strict=True):
+            words = own[d].split()
+            joined = b" ".join(words)
+            ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+            heads = [0, *(e + 1 for e in ends)]
+            digests.append(b"".join([xxhash.xxh3_128_digest(joined[heads[i] : ends[i + width - 1]]) for i in at.tolist()]))
+        code = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        keys = left.column("__key").to_numpy()[doc]
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in (code[:, 0], code[:, 1], keys, start.astype(np.int32))], names=["k1", "k2", "__key", "start"])
+
+    def strip(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, doc, start, counts = found(left, right)
+        placed = right.filter(pc.is_valid(right.column("firsts")))
+        firsts = dict(zip(placed.column("__key").to_pylist(), placed.column("firsts").to_pylist(), strict=True))
+        keys = left.column("__key").to_pylist()
+        kept, removed = [b" ".join(t.split()) for t in own], np.zeros(len(own), dtype=np.int64)
+        for d, at in zip(*_grouped(doc, start), strict=True):
+            gone = np.setdiff1d(at, np.array(firsts.get(keys[d], []), dtype=np.int64))
+            if len(gone):
+                edge = np.zeros(counts[d] + 1, dtype=np.int64)
+                edge[gone] += 1
+                edge[gone + width] -= 1
+                covered = np.cumsum(edge[:-1]) > 0
+                removed[d] = covered.sum()
+                kept[d] = b" ".join(w for w, c in zip(own[d].split(), covered.tolist(), strict=True) if not c)
+        cols = [left.column("__key"), pa.array(counts, pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.table(cols, names=["__key", "n_words", "n_removed", "kept_text"])
+
+    answers = count_min(src, width, sketch_bits).select("rid", "cells", F.lit(None).cast("long").alias("__key"), F.lit(None).cast("array<int>").alias("firsts"))
+    texts = src.mapInArrow(label, "__key long, text string, rid long").groupBy("rid")
+    windows = texts.cogroup(answers.groupBy("rid")).applyInArrow(emit, "k1 long, k2 long, __key long, start int")
     if shift:  # one long: a hash aggregate with short rows
         place = windows.groupBy("k1", "k2").agg(F.min(F.shiftleft("__key", shift).bitwiseOR(F.col("start"))).alias("at"))
         firsts = place.select(F.shiftright("at", shift).alias("__key"), F.col("at").bitwiseAND((1 << shift) - 1).cast("int").alias("start"))
     else:
         firsts = windows.groupBy("k1", "k2").agg(F.min(F.struct("__key", "start")).alias("f")).select("f.*")
     firsts = firsts.groupBy("__key").agg(F.collect_list("start").alias("firsts"))
-
-    def known(rows: list[tuple[int, int, bytes]], keys: np.ndarray) -> pa.RecordBatch:
-        cols = [pa.array(keys), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())]
-        return pa.RecordBatch.from_arrays(cols, names=["__key", "n_words", "n_removed", "kept_text"])
-
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without passing windows, as they stay."""
-        for batch in slices(batches, "text", 1 << 20):
-            own = raw(batch, "text")
-            doc, _, counts = passing(own, width, bits.value, sketch_bits)
-            clean = np.setdiff1d(np.arange(len(own)), doc)
-            yield known([(int(counts[d]), 0, b" ".join(own[d].split())) for d in clean], batch.column("__key").to_numpy()[clean])
-
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with passing windows."""
-        for batch in slices(batches, "text", 1 << 20):
-            doc, _, _ = passing(raw(batch, "text"), width, bits.value, sketch_bits)
-            yield batch.take(pa.array(np.unique(doc)))
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            own, firsts = raw(batch, "text"), batch.column("firsts").to_pylist()
-            doc, start, counts = passing(own, width, bits.value, sketch_bits)
-            kept, removed = [b" ".join(t.split()) for t in own], np.zeros(len(own), dtype=np.int64)
-            for d, at in zip(*_grouped(doc, start), strict=True):
-                gone = np.setdiff1d(at, np.array(firsts[d] or [], dtype=np.int64))
-                if len(gone):
-                    edge = np.zeros(counts[d] + 1, dtype=np.int64)
-                    edge[gone] += 1
-                    edge[gone + width] -= 1
-                    covered = np.cumsum(edge[:-1]) > 0
-                    removed[d] = covered.sum()
-                    kept[d] = b" ".join(w for w, c in zip(own[d].split(), covered.tolist(), strict=True) if not c)
-            yield known(list(zip(counts.tolist(), removed.tolist(), kept, strict=True)), batch.column("__key").to_numpy())
-
-    ddl = "__key long, n_words long, n_removed long, kept_text string"
-    some = src.mapInArrow(touched, "__key long, text string").join(firsts, "__key", "left").mapInArrow(strip, ddl)
-    out = src.mapInArrow(untouched, ddl).unionByName(some)
+    sent = src.mapInArrow(places, "__key long, rid long").distinct().join(firsts, "__key").select("rid", F.lit(None).cast("binary").alias("cells"), "__key", "firsts")
+    marks = answers.unionByName(sent).groupBy("rid")
+    out = texts.cogroup(marks).applyInArrow(strip, "__key long, n_words long, n_removed long, kept_text string")
     return out.select(F.when(F.col("__key") != none, F.col("__key") + base).cast(kind).alias(key), "n_words", "n_removed", "kept_text")
 
 
-def _packing(docs: DataFrame, key: str, text: str) -> tuple[int, int, int]:
-    """What is taken from keys, the value of a null key, and the bits of a start, or 0 where key and start don't fit in 63 bits."""
-    low, high, size = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.max(F.octet_length(text))).first()
-    shift = max(((size or 0) // 2 + 1).bit_length(), 1)
+def _packing(docs: DataFrame, key: str, text: str) -> tuple[int, int, int, int]:
+    """What is taken from keys, the value of a null key, the bits of a start, or 0 where key and start don't fit in 63 bits, and the bytes of all texts."""
+    number, length = F.col(key).cast("long"), F.octet_length(text)
+    low, high, longest, size = docs.agg(F.min(number), F.max(number), F.max(length), F.sum(length)).first()
+    shift = max(((longest or 0) // 2 + 1).bit_length(), 1)
     if low is None:
-        return 0, 0, shift
+        return 0, 0, shift, size or 0
     if low > -(1 << 63) and (high - low + 1).bit_length() + shift <= 63:
-        return low - 1, 0, shift
-    return 0, -(1 << 63), 0
+        return low - 1, 0, shift, size or 0
+    return 0, -(1 << 63), 0, size or 0
 
 
 def _grouped(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
