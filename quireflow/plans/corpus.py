@@ -182,70 +182,6 @@ def d4(spark, sf):
     return both.where(F.round(X.jaccard(F.col("x"), F.col("y")), 6) >= 0.9).select("a", "b")
 
 
-GR = "g AS (SELECT DISTINCT item_id, substr(t, i, 8) AS g FROM (SELECT item_id, lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM benchmark WHERE length(text) >= 8)), dg AS (SELECT DISTINCT substr(t, i, 8) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM documents WHERE length(text) >= 8))"
-
-
-def seen_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """g, hit: those of the wanted n-grams that some document has."""
-    step, n_chars = 200, F.length("t")
-    starts = F.sequence(F.lit(1), F.greatest(n_chars - n + 1, F.lit(1)), F.lit(step))
-    lowered = docs.select(X.once(F.lower("text")).alias("t"))
-    pieces = lowered.select(F.explode(F.transform(starts, lambda i: F.col("t").substr(i, F.lit(step + n - 1)))).alias("c")).where(F.length("c") >= n)
-    each = pieces.select("c", F.explode(F.sequence(F.lit(1), F.length("c") - n + 1)).alias("i")).select(F.col("c").substr(F.col("i"), F.lit(n)).alias("g"))
-    return each.join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-
-
-def copied_grams(spark, sf, n=8):
-    """Distinct character n-grams of the benchmark with whether any document has them."""
-    g = table(spark, sf, "benchmark").select("item_id", X.once(F.lower("text")).alias("t")).select("item_id", F.explode(X.grams("t", n)).alias("g"))
-    return g.join(seen_grams(docs_of(spark, sf), g, n), "g", "left")
-
-
-@query("d7_copy_ratio", f"WITH {GR} SELECT item_id, count(*) AS grams, round(avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END), 6) AS ratio FROM g GROUP BY 1")
-def d7(spark, sf):
-    return copied_grams(spark, sf).groupBy("item_id").agg(n_rows().alias("grams"), F.round(F.count("hit") / n_rows(), 6).alias("ratio"))
-
-
-SENT = r"sen AS (SELECT item_id, pos, s FROM (SELECT item_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM benchmark))), sg AS (SELECT DISTINCT item_id, pos, length(s) AS n, substr(lower(s), i, 8) AS g FROM (SELECT *, unnest(range(1, length(s) - 6)) AS i FROM sen WHERE length(s) >= 15)), dg AS (SELECT DISTINCT substr(t, i, 8) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 6)) AS i FROM documents WHERE length(text) >= 8)), r AS (SELECT item_id, pos, n, avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END) AS hit FROM sg GROUP BY ALL)"
-
-
-def sentence_hits(spark, sf):
-    """item_id, pos, n, hit: share of a benchmark sentence's 8-grams that the corpus has; sentences of 15 characters or more."""
-    s = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.sentences("text")).alias("p", "s")).where(F.length("s") >= 15)
-    g = s.select("item_id", (F.col("p") + 1).cast("long").alias("pos"), F.length("s").cast("long").alias("n"), F.explode(X.grams(F.lower("s"), 8)).alias("g"))
-    return g.join(seen_grams(docs_of(spark, sf), g, 8), "g", "left").groupBy("item_id", "pos", "n").agg((F.count("hit") / n_rows()).alias("hit"))
-
-
-@query("d8_copied_sentences", f"WITH {SENT} SELECT item_id, pos, hit >= 0.6 AS copied FROM r")
-def d8(spark, sf):
-    return sentence_hits(spark, sf).select("item_id", "pos", (F.col("hit") >= 0.6).alias("copied"))
-
-
-@query("d9_fidelity", f"WITH {SENT} SELECT item_id, round(sum(CASE WHEN hit >= 0.15 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.5 * greatest(0, sum(CASE WHEN hit >= 0.6 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.30), 6) AS fidelity FROM r GROUP BY 1")
-def d9(spark, sf):
-    """Length-weighted grounded share less a penalty for copying beyond .30."""
-    part = lambda least: F.sum(F.when(F.col("hit") >= least, F.col("n")).otherwise(0)) / F.sum("n")
-    return sentence_hits(spark, sf).groupBy("item_id").agg(F.round(part(0.15) - 0.5 * F.greatest(F.lit(0.0), part(0.6) - 0.30), 6).alias("fidelity"))
-
-
-@query("d10_coverage", f"WITH {SENT} SELECT item_id, count(*) AS key_sentences, CAST(count(*) FILTER (WHERE hit >= 0.55) AS BIGINT) AS covered FROM r WHERE pos <= 12 GROUP BY 1")
-def d10(spark, sf):
-    return sentence_hits(spark, sf).where("pos <= 12").groupBy("item_id").agg(n_rows().alias("key_sentences"), F.count_if(F.col("hit") >= 0.55).alias("covered"))
-
-
-@query("d11_bigram_overlap", "WITH g AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '\\s+', '', 'g') AS a, regexp_replace(substr(text, 101, 200), '\\s+', '', 'g') AS b FROM documents WHERE length(text) >= 320), s AS (SELECT doc_id, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS y FROM g) SELECT doc_id, round(len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))), 6) AS overlap FROM s")
-def d11(spark, sf):
-    plain = lambda start: F.regexp_replace(F.substring("text", start, 200), "\\s+", "")
-    d = docs_of(spark, sf).where(F.length("text") >= 320).select("doc_id", X.grams(plain(1), 2).alias("x"), X.grams(plain(101), 2).alias("y"))
-    return d.select("doc_id", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
-
-
-@query("d12_snippet_grounded", "WITH g AS (SELECT DISTINCT item_id, substr(t, i, 6) AS g FROM (SELECT item_id, lower(substr(text, 1, 120)) AS t, unnest(range(1, length(substr(text, 1, 120)) - 4)) AS i FROM benchmark WHERE length(text) >= 6)), dg AS (SELECT DISTINCT substr(t, i, 6) AS g FROM (SELECT lower(text) AS t, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE length(text) >= 6)) SELECT item_id, avg(CASE WHEN g IN (SELECT g FROM dg) THEN 1.0 ELSE 0 END) >= 0.6 AS grounded FROM g GROUP BY 1")
-def d12(spark, sf):
-    g = table(spark, sf, "benchmark").select("item_id", F.explode(X.grams(F.lower(F.substring("text", 1, 120)), 6)).alias("g"))
-    return g.join(seen_grams(docs_of(spark, sf), g, 6), "g", "left").groupBy("item_id").agg((F.count("hit") / n_rows() >= 0.6).alias("grounded"))
-
-
 @query("d13_assertive", "SELECT doc_id, regexp_matches(lower(text), 'clearly|proves|must') OR (regexp_matches(text, '[0-9]') AND regexp_matches(lower(text), 'achiev|reach|improv|that')) AS assertive FROM documents")
 def d13(spark, sf):
     t = F.lower("text")
@@ -274,15 +210,6 @@ def d15(spark, sf):
     return d.select("doc_id", F.round(F.when(F.length("text") < 80, 0.0).otherwise(score), 6).alias("likelihood"))
 
 
-@query("d16_leakage_report", "SELECT b.item_id, (SELECT count(*) FROM documents d WHERE d.text = b.text) AS exact, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, 100))) AS passage FROM benchmark b")
-def d16(spark, sf):
-    """Held-out items against the corpus: equal texts, and documents that contain the item's first 100 characters."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("btext"), F.substring("text", 1, 100).alias("head"))
-    d = docs_of(spark, sf)
-    hit = d.join(F.broadcast(b), F.contains("text", F.col("head"))).groupBy("item_id").agg(F.count_if(F.col("text") == F.col("btext")).alias("exact"), n_rows().alias("passage"))
-    return b.select("item_id").join(hit, "item_id", "left").na.fill(0)
-
-
 # --- entity resolution ------------------------------------------------------------------------
 
 
