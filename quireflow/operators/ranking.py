@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quireflow.functions.text import clamp, cosine, tokens
+from quireflow.functions.text import clamp, once, tokens
+from quireflow.sources.scratch import materialize
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -17,33 +22,66 @@ def rank_within(by: str | list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """term, key, tf, len: one row for each distinct term of a document."""
-    words = docs.select(key, tokens(text).alias("w"))
-    return words.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, asked: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, key, tf, len: one row for each distinct term of a document, of the asked terms only if given."""
+    words = docs.select(key, once(tokens(text)).alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
+    words = words if asked is None else words.join(asked.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top: int, key: str = "doc_id", qkey: str = "query_id", text: str = "text", qtext: str = "qtext") -> DataFrame:
     """qkey, key, score, rank of the best `top` documents for every query by BM25 over its distinct tokens of 2 or more characters.
 
-    Postings are cut to the query terms before they are joined; scores are summed where they
-    arise and the window keeps `top` rows of each query in every task before its shuffle.
+    Words are cut to the query terms right after the split, so only those are counted, and their
+    postings are written once; scores are summed where they arise and the window keeps `top` rows
+    of each query in every task before its shuffle.
     """
     asked = queries.select(qkey, F.explode(F.array_distinct(F.filter(tokens(qtext), lambda w: F.length(w) >= 2))).alias("term"))
     sizes = docs.select(F.size(tokens(text)).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
-    post = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    post = materialize(postings(docs, asked, key, text), "postings")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(sizes))
+    scored = asked.join(df, "term").join(post, "term").crossJoin(F.broadcast(sizes))  # one row of sizes
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     total = scored.groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
     return total.withColumn("rank", rank_within(qkey, F.desc("score"), F.asc(key))).where(F.col("rank") <= top)
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, top: int, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:
-    """qkey, key, score, rank of the most similar vectors; a stated query set (qvec) against all rows (vec)."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select(qkey, key, F.round(cosine("qvec", "vec"), 6).alias("score"))
-    return pairs.withColumn("rank", rank_within(qkey, F.desc("score"), F.asc(key))).where(F.col("rank") <= top)
+def vector_top(queries: DataFrame, vectors: DataFrame, top: int, key: str = "doc_id", qkey: str = "query_id", block: int = 2048) -> DataFrame:
+    """qkey, key, score, rank of the most similar vectors; a stated query set (qvec) against all rows (vec).
+
+    Both sides are packed into blocks of about `block` rows; every pair of blocks is one product of
+    matrices, of which the best `top` rows of each query go on to the ranking. Other lengths and
+    zero vectors score 0. Keys are whole numbers.
+    """
+
+    def blocks(df: DataFrame, k: str, v: str, name: str) -> DataFrame:
+        df = materialize(df.select(F.col(k).cast("long").alias("k"), F.col(v).cast("array<double>").alias("v")), "vectors")
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias(name)).drop("b")
+
+    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = column.flatten()
+        lists = rows.field("v")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(rows), int(sizes.max(initial=0))))
+        out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        return rows.field("k").to_numpy(zero_copy_only=False), out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300), sizes
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (qk, q, qn), (vk, v, vn) = (matrix(batch.column(c).slice(i, 1)) for c in ("asked", "stored"))
+                width = min(q.shape[1], v.shape[1])
+                score = np.where(qn[:, None] == vn[None, :], q[:, :width] @ v[:, :width].T, 0.0)
+                score = np.round(score, 6) + 0.0
+                order = np.lexsort((np.broadcast_to(vk, score.shape), -score), axis=1)[:, :top]
+                cols = [np.repeat(qk, order.shape[1]), vk[order].ravel(), np.take_along_axis(score, order, axis=1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "k", "score"])
+
+    pairs = blocks(vectors, key, "vec", "stored").crossJoin(blocks(queries, qkey, "qvec", "asked"))
+    found = pairs.mapInArrow(multiply, "q long, k long, score double").select(F.col("q").alias(qkey), F.col("k").alias(key), "score")
+    return found.withColumn("rank", rank_within(qkey, F.desc("score"), F.asc(key))).where(F.col("rank") <= top)
 
 
 def rrf(lists: list[DataFrame], top: int, key: str = "doc_id", qkey: str = "query_id", k: int = RRF_K) -> DataFrame:

@@ -28,37 +28,58 @@ def docs_of(spark, sf):
 
 
 def shingle_table(docs: DataFrame, width: int = 5, least: int = 50) -> DataFrame:
-    """doc_id, n, s: distinct hashed word shingles of documents with `least` words or more."""
+    """doc_id, n, r: distinct hashed word shingles of documents with `least` words or more, as an array."""
     words = F.split(X.normalize("text"), " ")
     runs = docs.select("doc_id", X.once(words).alias("w")).where(F.size("w") >= least).select("doc_id", X.once(X.word_runs(F.col("w"), width)).alias("r"))
-    return runs.select("doc_id", F.size("r").alias("n"), F.explode("r").alias("r")).select("doc_id", "n", F.xxhash64("r").alias("s"))
+    return runs.select("doc_id", F.size("r").cast("long").alias("n"), F.transform("r", lambda x: F.xxhash64(x)).alias("r"))
+
+
+def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with the smallest id of equal texts, and doc_id, rep of all documents."""
+    each = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = materialize(each.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
+    member = materialize(each.join(first, "digest").select("doc_id", "rep"), "members")
+    return docs.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), member
+
+
+def jaccard_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add jaccard to pairs a, b of documents whose shingles are in sets (doc_id, n, r); others go."""
+    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}"))
+    k = F.size(F.array_intersect("ra", "rb"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", F.round(k / (F.col("na") + F.col("nb") - k), 6).alias("jaccard"))
 
 
 def shingle_pairs(docs: DataFrame, least: float) -> DataFrame:
-    """a, b, jaccard of documents (a < b) that share shingles, by an inverted index.
+    """a, b, jaccard of documents (a < b) with a similarity of `least` or more: pairs of representatives of equal texts, and each copy with its own representative.
 
-    Equal texts are joined as one representative and given back to their copies at the end as
-    pairs of representatives only. A shingle in one text is dropped before the self join.
+    Candidates come by prefix filtering, which loses none: with shingles in order of rising
+    frequency, two sets of that similarity share one among their first n - ceil(least * n) + 1.
+    So the most frequent shingles of a text never join, and those of one text alone neither.
     """
-    each = docs.withColumn("digest", F.sha2("text", 256))
-    first = each.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    t = materialize(shingle_table(first.select("doc_id", "text")), "shingles")
-    shared = t.groupBy("s").agg(n_rows().alias("df")).where("df > 1").select("s")
-    t = t.join(shared, "s")
-    a, b = t.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na")), t.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    k = a.join(b, "s").where("a < b").groupBy("a", "b", "na", "nb").agg(n_rows().alias("k"))
-    return k.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    first, member = representatives(docs)
+    sets = materialize(shingle_table(first), "shingles")
+    flat = sets.select("doc_id", "n", F.explode("r").alias("s"))
+    df = flat.groupBy("s").agg(n_rows().alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
+    head = flat.join(df, "s").withColumn("k", place).where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1))
+    head = materialize(head.select("doc_id", "n", "s"), "prefixes")
+    a, b = head.toDF("a", "na", "s"), head.toDF("b", "nb", "s")
+    near = a.join(b, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9))
+    pairs = jaccard_of(near.select("a", "b").distinct(), sets).where(F.col("jaccard") >= least)
+    copies = member.where("doc_id <> rep").join(sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
+    return pairs.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 SH = r"""f AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM f), l AS (SELECT * FROM w WHERE len(w) >= 50),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM l)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, round(k * 1.0 / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM l)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), me AS (SELECT d.doc_id, f.doc_id AS rep FROM documents d JOIN f ON f.text = d.text),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), jr AS (SELECT a, b, round(k * 1.0 / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
+j AS (SELECT * FROM jr UNION ALL SELECT rep, me.doc_id, 1.0 FROM me JOIN n ON n.doc_id = rep WHERE me.doc_id <> rep)"""
 
 
-@query("d1_shingles", rf"WITH {SH} SELECT doc_id, n FROM n")
+@query("d1_shingles", rf"WITH {SH} SELECT me.doc_id, n FROM me JOIN n ON n.doc_id = rep")
 def d1(spark, sf):
-    first = docs_of(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return shingle_table(first).select("doc_id", F.col("n").cast("long").alias("n")).distinct()
+    """Every document of 50 words or more with its number of distinct shingles; nothing is shuffled."""
+    return shingle_table(docs_of(spark, sf)).select("doc_id", "n")
 
 
 @query("d3_corpus_duplication", f"WITH {SH} SELECT a, b, jaccard FROM j WHERE jaccard >= 0.30 ORDER BY jaccard DESC, a, b LIMIT 200")
@@ -74,26 +95,19 @@ def j8(spark, sf):
 
 @query("d2_document_against_corpus", f"WITH {SH}, u AS (SELECT a AS doc_id, b AS other, jaccard FROM j WHERE jaccard >= 0.55 UNION ALL SELECT b, a, jaccard FROM j WHERE jaccard >= 0.55) SELECT doc_id, other, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other) AS k FROM u) WHERE k <= 5")
 def d2(spark, sf):
+    """Five closest documents of each; a copy has its representative, which has the others."""
     p = shingle_pairs(docs_of(spark, sf), 0.55)
     both = p.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "jaccard").union(p.select("b", "a", "jaccard"))
     return both.withColumn("k", rank_within("doc_id", F.desc("jaccard"), F.asc("other"))).where("k <= 5").drop("k")
 
 
-@query("d5_paraphrase", f"WITH {SH} SELECT a, b, jaccard, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 5) AS cosine FROM j JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE jaccard <= 0.35")
-def d5(spark, sf):
-    """Pairs that share a shingle but few of them, with their vectors' cosine; the caller's threshold decides."""
-    vec = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    p = shingle_pairs(docs_of(spark, sf), 0.0).where("jaccard <= 0.35")
-    both = p.join(vec.toDF("a", "x"), "a").join(vec.toDF("b", "y"), "b")
-    return both.select("a", "b", "jaccard", F.round(X.cosine("x", "y"), 5).alias("cosine"))
-
-
-def tile_pairs(vectors: DataFrame, least: float, tiles: int = 8) -> DataFrame:
+def tile_pairs(vectors: DataFrame, least: float, tile: int = 4096) -> DataFrame:
     """a, b, cosine of all vector pairs (a < b) at `least` or more, exactly.
 
-    Vectors are dealt to tiles; a pair of tiles is multiplied as matrices in one group, so the
-    work of the all-pairs join is spread over tiles * (tiles + 1) / 2 groups of bounded size.
+    Vectors are dealt to tiles of about `tile` rows, so there are more tiles for more vectors; two
+    tiles are multiplied as matrices in one group, by blocks of rows.
     """
+    tiles = max(1, -(-vectors.count() // tile))
     dealt = vectors.withColumn("t", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("vec_id", "embedding", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
 
@@ -101,14 +115,16 @@ def tile_pairs(vectors: DataFrame, least: float, tiles: int = 8) -> DataFrame:
         i, j = key
         left, right = rows[rows.t == i], rows[rows.t == j]
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        a, b = (unit(np.array(x.embedding.tolist(), dtype=float)) for x in (left, right))
-        sim = a @ b.T
-        x, y = np.nonzero(sim >= least - 1e-9)
-        p, q = left.vec_id.to_numpy()[x], right.vec_id.to_numpy()[y]
-        kept = p < q if i == j else np.ones(len(p), bool)
-        return pd.DataFrame({"a": np.minimum(p, q)[kept], "b": np.maximum(p, q)[kept], "cosine": sim[x, y][kept]})
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+        if len(left) and len(right):
+            a, b = (unit(np.array(x.embedding.tolist(), dtype=float)) for x in (left, right))
+            for at in range(0, len(a), 512):
+                sim = a[at : at + 512] @ b.T
+                x, y = np.nonzero(sim >= least - 1e-9)
+                p, q = left.vec_id.to_numpy()[at + x], right.vec_id.to_numpy()[y]
+                kept = p < q if i == j else np.ones(len(p), bool)
+                out.append(pd.DataFrame({"a": np.minimum(p, q)[kept], "b": np.maximum(p, q)[kept], "cosine": sim[x, y][kept]}))
+        return pd.concat(out)
 
     return cells.groupBy("i", "j").applyInPandas(multiply, "a long, b long, cosine double")
 
@@ -122,9 +138,40 @@ def j9(spark, sf):
     return found.select("a", "b", F.round("cosine", 5).alias("cosine")).where("cosine >= 0.45")
 
 
-@query("d6_semantic_scan", f"WITH c AS (SELECT x.vec_id AS a, y.vec_id AS b, {PAIRCOS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), {SH} SELECT c.a, c.b, cosine, coalesce(jaccard, 0) AS jaccard FROM c LEFT JOIN j ON j.a = c.a AND j.b = c.b WHERE cosine >= 0.45")
+def scanned(spark, sf) -> DataFrame:
+    """a, b, cosine, jaccard of similar vectors; a vector's document counts as its text's representative, and equal texts have similarity 1."""
+    docs = docs_of(spark, sf)
+    first, member = representatives(docs)
+    pairs = j9(spark, sf)
+    for c in ("a", "b"):
+        pairs = pairs.join(member.toDF(c, f"rep_{c}"), c, "left")
+    pairs = materialize(pairs, "similar")
+    reps = pairs.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    wanted = reps.select(F.col("a").alias("doc_id")).union(reps.select("b")).distinct()
+    sets = materialize(shingle_table(first.join(wanted, "doc_id", "left_semi")), "shingles")
+    known = jaccard_of(reps, sets).toDF("x", "y", "jaccard")
+    long = materialize(shingle_table(docs.join(pairs.where("rep_a = rep_b").select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")).select(F.col("doc_id").alias("a"), F.lit(1.0).alias("same")), "long")
+    pairs = pairs.join(known, (F.least("rep_a", "rep_b") == F.col("x")) & (F.greatest("rep_a", "rep_b") == F.col("y")), "left").join(long, "a", "left")
+    value = F.when(F.col("rep_a") == F.col("rep_b"), F.col("same")).otherwise(F.col("jaccard"))
+    return pairs.select("a", "b", "cosine", F.coalesce(value, F.lit(0.0)).alias("jaccard"))
+
+
+SCAN = f"WITH c AS (SELECT x.vec_id AS a, y.vec_id AS b, {PAIRCOS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), {SH}, t AS (SELECT c.a, c.b, cosine, CASE WHEN x.rep = y.rep THEN CASE WHEN n.n IS NULL THEN 0 ELSE 1 END ELSE coalesce(jr.jaccard, 0) END AS jaccard FROM c LEFT JOIN me x ON x.doc_id = c.a LEFT JOIN me y ON y.doc_id = c.b LEFT JOIN n ON n.doc_id = x.rep LEFT JOIN jr ON jr.a = least(x.rep, y.rep) AND jr.b = greatest(x.rep, y.rep) WHERE cosine >= 0.45)"
+
+
+@query("d5_paraphrase", f"WITH {SH} SELECT a, b, jaccard, {PAIRCOS} AS cosine, {PAIRCOS} >= 0.85 AS paraphrase FROM jr JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE jaccard BETWEEN 0.10 AND 0.35")
+def d5(spark, sf):
+    """Pairs that share some shingles but few of them, with their vectors' cosine and whether it makes them paraphrases; equal texts count by their representative."""
+    vec = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    p = shingle_pairs(docs_of(spark, sf), 0.10).where("jaccard <= 0.35")
+    both = p.join(vec.toDF("a", "x"), "a").join(vec.toDF("b", "y"), "b")
+    cosine = F.round(X.cosine("x", "y"), 5)
+    return both.select("a", "b", "jaccard", cosine.alias("cosine"), (cosine >= 0.85).alias("paraphrase"))
+
+
+@query("d6_semantic_scan", f"{SCAN} SELECT a, b, cosine, jaccard FROM t")
 def d6(spark, sf):
-    return j9(spark, sf).join(shingle_pairs(docs_of(spark, sf), 0.0), ["a", "b"], "left").na.fill(0.0, ["jaccard"])
+    return scanned(spark, sf)
 
 
 def sign_bits(c):
@@ -170,16 +217,15 @@ def j11(spark, sf):
 
 @query("d4_minhash", f"WITH {SH} SELECT a, b FROM j WHERE jaccard >= 0.9")
 def d4(spark, sf):
-    """MinHash over 5-word shingles, 64 values in 16 bands, every candidate verified exactly; the chance to miss a pair at .9 is below 1e-7."""
-    first = docs_of(spark, sf).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    t = materialize(shingle_table(first), "shingles")
-    least = t.groupBy("doc_id").agg(*[F.min(F.xxhash64("s", F.lit(k))).alias(f"m{k}") for k in range(64)])
+    """MinHash over 5-word shingles, 64 values in 16 bands, every candidate verified exactly; the chance to miss a pair at .9 is below 1e-7. Copies come with their representative."""
+    first, member = representatives(docs_of(spark, sf))
+    sets = materialize(shingle_table(first), "shingles")
+    least = sets.select("doc_id", *[F.array_min(F.transform("r", lambda s: F.xxhash64(s, F.lit(salt)))).alias(f"m{salt}") for salt in range(64)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{4 * b + i}" for i in range(4)]) for b in range(16)])
     k = least.select("doc_id", F.explode(bands).alias("band"))
     cand = k.toDF("a", "band").join(k.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
-    sets = t.groupBy("doc_id").agg(F.collect_set("s").alias("s"))
-    both = cand.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.where(F.round(X.jaccard(F.col("x"), F.col("y")), 6) >= 0.9).select("a", "b")
+    copies = member.where("doc_id <> rep").join(sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return jaccard_of(cand, sets).where("jaccard >= 0.9").select("a", "b").union(copies)
 
 
 @query("d13_assertive", "SELECT doc_id, regexp_matches(lower(text), 'clearly|proves|must') OR (regexp_matches(text, '[0-9]') AND regexp_matches(lower(text), 'achiev|reach|improv|that')) AS assertive FROM documents")

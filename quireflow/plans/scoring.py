@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -276,28 +279,86 @@ def k21(spark, sf):
     return g.select("l_orderkey", ((F.col("a") != F.col("b")) & ~alike).alias("disagree"), rnd(0.1 * s).alias("gap"))
 
 
-BOOT = """WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i FROM lineitem), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1),
-d AS (SELECT g, b, CAST(floor(((('0x' || substr(md5(g || ':' || b || ':' || k), 1, 8))::BIGINT)::DOUBLE / 4294967296.0) * n) AS BIGINT) AS i FROM n, (SELECT unnest(range(40)) AS b), LATERAL (SELECT unnest(range(n)) AS k)), m AS (SELECT d.g, b, avg(x) AS m FROM d JOIN v ON v.g = d.g AND v.i = d.i GROUP BY ALL)"""
-
-
-def bootstrap(spark, sf, rounds=40):
-    """Resampled means by group; draws come from md5 of group, round and place. Groups are small by contract."""
-    v = li_of(spark, sf).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1).alias("i"))
-    n = v.groupBy("g").agg(n_rows().alias("n"))
-    draws = n.crossJoin(spark.range(rounds).toDF("b")).select("g", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    place = F.floor(X.uniform(F.concat_ws(":", "g", "b", "k")) * F.col("n")).cast("int")
-    return draws.select("g", "b", place.alias("i")).join(v, ["g", "i"]).groupBy("g", "b").agg(F.avg("x").alias("m"))
+#: Poisson(1) by its distribution: the first count whose bound is above a uniform number.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917, 0.99999)
+PRIME = 2147483647
+BOOT = f"""WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, (l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME} AS s FROM lineitem), y AS (SELECT g, x, b, (s + b * 69621 + 12345) % {PRIME} AS y FROM v, (SELECT unnest(range(1000)) AS b)), z AS (SELECT g, x, b, (y * y + b) % {PRIME} AS z FROM y), u AS (SELECT g, x, b, (z * z % {PRIME}) / {float(PRIME)} AS u FROM z),
+p AS (SELECT g, b, x, CASE {" ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(POISSON))} ELSE {len(POISSON)} END AS w FROM u), m AS (SELECT g, b, sum(w * x) / sum(w) AS m FROM p GROUP BY ALL HAVING sum(w) > 0)"""
+
+
+def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
+    """g, low, high: the 2.5 and 97.5 percentiles of each group's resampled means, by a Poisson bootstrap. values: g, x, s (a number that tells rows apart).
+
+    Every row counts in every round with a weight of Poisson(1), drawn by a hash of row and round,
+    so nothing is joined. A task adds up weights and weighted values by group and round as it
+    reads, at most 2048 groups at once, and sends the sums; a group of any size costs one row of
+    them for each task, and its rows needn't meet.
+    """
+    turn = np.arange(rounds, dtype=np.int64)
+    bounds = np.array(POISSON)
+
+    def drawn(s: np.ndarray) -> np.ndarray:
+        y = (s[:, None] + turn * 69621 + 12345) % PRIME
+        z = (y * y + turn) % PRIME
+        return np.searchsorted(bounds, (z * z % PRIME) / float(PRIME), side="right").astype(float)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(g, a.tobytes()) for g, a in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "sums"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by("g")
+            g, x, s = (table.column(c).to_numpy() for c in ("g", "x", "s"))
+            for at in range(0, len(g), 1000):
+                own = g[at : at + 1000]
+                w = drawn(s[at : at + 1000])
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                both = np.stack([np.add.reduceat(w * x[at : at + 1000, None], starts), np.add.reduceat(w, starts)], axis=1)
+                for name, part in zip(own[starts].tolist(), both, strict=True):
+                    held[name] = held[name] + part if name in held else part
+                if len(held) > 2048:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros((2, rounds))
+
+        def row() -> pa.RecordBatch:
+            mean = total[0][total[1] > 0] / total[1][total[1] > 0]
+            low, high = np.quantile(mean, [0.025, 0.975]) if len(mean) else (None, None)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([low], pa.float64()), pa.array([high], pa.float64())], names=["g", "low", "high"])
+
+        for batch in batches:
+            for g, data in zip(batch.column("g").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                if g != now and now is not None:
+                    yield row()
+                    total = np.zeros((2, rounds))
+                now, total = g, total + np.frombuffer(data).reshape(2, rounds)
+        if now is not None:
+            yield row()
+
+    sent = values.mapInArrow(sums, "g long, sums binary")
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merged, "g long, low double, high double")
+
+
+def ratings(spark, sf) -> DataFrame:
+    seed = F.expr(f"(l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME}")
+    return li_of(spark, sf).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), seed.alias("s"))
 
 
 @query("k22_bootstrap_interval", f"{BOOT} SELECT g, round(greatest(0, least(1, quantile_cont(m, 0.025))), 5) AS low, round(greatest(0, least(1, quantile_cont(m, 0.975))), 5) AS high FROM m GROUP BY g")
 def k22(spark, sf):
-    pc = lambda q: F.round(X.clamp(F.percentile("m", F.lit(q))), 5)
-    return bootstrap(spark, sf).groupBy("g").agg(pc(0.025).alias("low"), pc(0.975).alias("high"))
+    return bootstrap(ratings(spark, sf)).select("g", *(F.round(X.clamp(F.col(c)), 5).alias(c) for c in ("low", "high")))
 
 
 @query("k23_uncertainty_gate", f"{BOOT}, w AS (SELECT g, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 5) AS width FROM m GROUP BY g) SELECT g, width, CASE WHEN width > 0.30 THEN 'escalate' WHEN width > 0.15 THEN 'review' ELSE 'ok' END AS gate FROM w")
 def k23(spark, sf):
-    w = bootstrap(spark, sf).groupBy("g").agg(F.round(F.percentile("m", F.lit(0.975)) - F.percentile("m", F.lit(0.025)), 5).alias("width"))
+    w = bootstrap(ratings(spark, sf)).select("g", F.round(F.col("high") - F.col("low"), 5).alias("width"))
     return w.withColumn("gate", F.when(F.col("width") > 0.30, "escalate").when(F.col("width") > 0.15, "review").otherwise("ok"))
 
 
