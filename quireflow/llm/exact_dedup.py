@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.llm.arrow import whole_keys
 from quireflow.sources.scratch import materialize, scratch_path
 
 
@@ -19,8 +21,10 @@ class DigestIndex:
     """Digests seen so far with the id that stands for each, as Parquet bucketed and sorted by digest.
 
     Each append writes one more bucketed table below `root` and never rewrites what is there. New
-    digests are found by a sort-merge anti-join; the stored side is bucketed and sorted already
-    and isn't shuffled. The files are the index: attach() registers them again in a new session.
+    digests are found by a sort-merge anti-join, and what is stored of some digests by a sort-merge
+    join; the stored side is bucketed and sorted already and isn't shuffled. The files are the
+    index: attach() registers them again in a new session, detach() ends that, and compact() puts
+    all batches into one at another root.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
@@ -40,13 +44,23 @@ class DigestIndex:
             self.batches.append(self._name(k))
         return self
 
-    def rows(self, since: int = 0) -> DataFrame:
-        """digest, keep_id, fresh (stored by batch `since` or a later one). Read without the bucketing, so that a skewed join with it can be split."""
-        parts = [self.spark.read.schema("digest string, keep_id bigint").parquet(f"{self.root}/batch{k}").withColumn("fresh", F.lit(k >= since)) for k in range(len(self.batches))]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def detach(self) -> None:
+        """Forget the tables; the files stay."""
+        for name in self.batches:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.batches = []
+
+    def compact(self, root: str, buckets: int | None = None) -> DigestIndex:
+        """An index at `root` with all that is stored here in one batch; a digest is in one batch only, so nothing is compared."""
+        made = DigestIndex(self.spark, root, buckets or self.buckets)
+        rows = [self.spark.table(name) for name in self.batches]
+        made._write(reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], "digest string, keep_id bigint"))
+        return made
+
+    def stored(self, digests: DataFrame, since: int = 0) -> DataFrame:
+        """Rows of digests (one for each digest) that are stored, with keep_id and fresh (stored by batch `since` or a later one)."""
+        found = [self.spark.table(name).hint("merge").join(digests, "digest").withColumn("fresh", F.lit(k >= since)) for k, name in enumerate(self.batches)]
+        return reduce(DataFrame.unionByName, found)
 
     def unseen(self, digests: DataFrame) -> DataFrame:
         """Rows of digests (one row for each digest) that no stored batch has."""
@@ -56,10 +70,12 @@ class DigestIndex:
 
     def append(self, digests: DataFrame) -> None:
         """Store those rows of digests (digest, keep_id) that are new."""
+        self._write(self.unseen(digests))
+
+    def _write(self, rows: DataFrame) -> None:
         k = len(self.batches)
         (
-            self.unseen(digests)
-            .select("digest", "keep_id")
+            rows.select("digest", "keep_id")
             .repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
@@ -78,15 +94,18 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", index:
     its rows are dropped in favour of the stored id. Returns key, keep_id, group_size (rows of
     docs with that text), kept, text_sha256.
 
-    Null text is the empty text. A null key loses to any other key; rows repeated with the same
-    key and text are all marked kept. Digests are aggregated before each shuffle, and the join
+    A new index has a bucket for each quarter of a million rows, 16 to 8192. Null text is the empty
+    text. Keys are whole numbers (others raise). A null key loses to any other key; rows repeated
+    with the same key and text are all marked kept. Digests are aggregated before each shuffle, and the join
     back to the rows is one that adaptive execution can split, so a group of copies of any size
     is spread over tasks. An empty table gives an empty result; further columns are not carried.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, scratch_path(spark, "digests"))
-    since = len(index.batches)
+    whole_keys(docs, key)
     marked = materialize(docs.select(F.col(key).alias("__key"), digest(text).alias("digest")), "marked")
+    own = index is None
+    index = index or DigestIndex(spark, scratch_path(spark, "digests"), min(max(16, marked.count() // 250_000), 8192))
+    since = len(index.batches)
     steps = [k / batches for k in range(batches - 1, 0, -1)]
     cuts = marked.select(F.percentile_approx("__key", steps, 1000) if steps else F.lit(None)).first()[0] or []
     above = None
@@ -96,7 +115,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", index:
         index.append(part.groupBy("digest").agg(F.max("__key").alias("keep_id")))
         above = cut
     sizes = marked.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    stays = materialize(index.rows(since).join(sizes, "digest"), "stays")
+    stays = materialize(index.stored(sizes, since), "stays")
+    if own:
+        index.detach()
     return marked.join(stays, "digest").select(
         F.col("__key").alias(key),
         "keep_id",
@@ -108,7 +129,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", index:
 
 def keep_distinct(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with their columns; of rows repeated with key and text one stays."""
-    stays = exact_dedup(docs, text, key).where("kept").select(F.col(key).alias("__keep"), F.col("text_sha256").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest", digest(text))
-    rows = rows.join(stays, rows[key].eqNullSafe(stays["__keep"]) & (rows["__digest"] == stays["__digest"]), "left_semi")
-    return rows.drop("__digest").dropDuplicates([key, text])
+    place = ["__key", "__none", "__digest"]  # what rows are exchanged by, once, for the join and for repeated rows
+    of = lambda d: [F.coalesce(F.col(key), F.lit(0)).alias("__key"), F.col(key).isNull().alias("__none"), d.alias("__digest")]
+    stays = exact_dedup(docs, text, key).where("kept").select(*of(F.col("text_sha256"))).distinct()
+    return docs.select("*", *of(digest(text))).join(stays, place, "left_semi").dropDuplicates(place).select(*docs.columns)
