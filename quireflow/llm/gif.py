@@ -149,6 +149,10 @@ def _blocks(data: bytes) -> bytes:
 _PALETTE = bytes(v for i in range(256) for v in (i, i, i))
 
 
+#: Pixels of all frames of a file that are decoded; they take four bytes each.
+MOST_PIXELS = 1 << 28
+
+
 def tiles_of_frame(tiles: int) -> int:
     """Tiles in each frame: the largest number up to MOST_TILES that divides the payload's, so that all frames fill the screen."""
     return next(k for k in range(min(tiles, MOST_TILES), 0, -1) if tiles % k == 0)
@@ -166,11 +170,12 @@ def write_gifs(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def read_gif(data: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
+def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
     """Width, height and the frames as shown: delay in ms and the canvas (height, width, RGBA).
 
     Local before global palettes; interlaced rows are put in order; a transparent index leaves
-    the canvas as it is; disposal 2 clears a frame's area, 3 restores what was there before.
+    the canvas as it is; disposal 2 clears a frame's area, 3 restores what was there before. A
+    file whose frames have over most_pixels together raises before they are made.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF header")
@@ -179,6 +184,8 @@ def read_gif(data: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
     if data[10] & 0x80:
         n = 2 << (data[10] & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+    if width * height > most_pixels:
+        raise ValueError(f"over {most_pixels} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
     frames: list[tuple[int, np.ndarray]] = []
     delay, disposal, clear = 0, 0, -1
@@ -207,6 +214,8 @@ def read_gif(data: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
             palette, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
         if palette is None or x + w > width or y + h > height or not 2 <= data[at] <= 8:
             raise ValueError("frame without palette, out of the screen or with a bad code size")
+        if (len(frames) + 1) * width * height > most_pixels:
+            raise ValueError(f"over {most_pixels} pixels")
         code_bits = data[at]
         body, at = sub_blocks(at + 1)
         pixels = lzw_decode(body, code_bits, w * h)
@@ -256,12 +265,13 @@ def store_gifs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("__key", key)
 
 
-def read_gifs(media: DataFrame, column: str = "media") -> DataFrame:
+def read_gifs(media: DataFrame, column: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """Decode a column of GIF files; all columns of media are kept.
 
     Adds width, height, frames (array of start_ms, delay_ms and hist, the counts of 8 colour bins,
     transparent pixels not counted), luma (all frames' brightness planes, one after another) and
-    error. Null media and files that can't be decoded give nulls, the latter with an error.
+    error. Null media and files that can't be decoded give nulls, the latter with an error; so does
+    a file with over most_pixels in all its frames, as a header can claim any size.
     Columns of media with these names are replaced.
     """
     added = ["width", "height", "frames", "luma", "error"]
@@ -272,7 +282,7 @@ def read_gifs(media: DataFrame, column: str = "media") -> DataFrame:
         if data is None:
             return None, None, None, None, None
         try:
-            width, height, frames = read_gif(data)
+            width, height, frames = read_gif(data, most_pixels)
         except (ValueError, IndexError) as e:
             return None, None, None, None, str(e)[:200] or "cut short"
         if not frames:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.arrow import slices, texts
+from quireflow.llm.arrow import slices, texts, whole_keys
 from quireflow.llm.words import encoder
 
 #: Context sizes, longest first.
@@ -103,8 +103,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     of a tier are dealt to step groups of 32768 tokens with even attention cost.
 
     Returns a row for each piece: key, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, tier, step_group. Null and empty texts give end_id alone;
-    repeated rows are packed each; an empty table gives none. Numbers derive from the scan's
+    doc_tokens, sequence_id, offset, tier, step_group. Keys are strings or whole numbers (others
+    raise), also null. Null and empty texts give end_id alone; repeated rows are packed each; an
+    empty table gives none; further columns are not carried. Numbers derive from the scan's
     partitions, so that a task run again gives the same rows.
     """
 
@@ -154,9 +155,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         if windows:
             yield emit(windows)
 
-    src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    kind = src.schema["__key"].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
+    inner = "string" if kind == "string" else "bigint" if whole_keys(docs, key) else None
+    src = docs.select(F.col(key).cast(inner).alias("__key"), F.col(text).alias("__text"))
     names = ["__key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
-    types = [pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    ddl = f"__key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    return src.mapInArrow(run, ddl).withColumnRenamed("__key", key)
+    types = [pa.string() if inner == "string" else pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    ddl = f"__key {inner}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    return src.mapInArrow(run, ddl).withColumn("__key", F.col("__key").cast(kind)).withColumnRenamed("__key", key)

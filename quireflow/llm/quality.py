@@ -191,9 +191,9 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
        each task; it abstains where it has no row.
     2. Vote patterns are counted (at most 3**7 of them, whatever the corpus) and the weak-label
        model runs on these counts.
-    3. About `sample` rows (a bound, by hash of the key) with a vote train a linear scorer for
-       each task on their posteriors; where every labeller of a task abstains, a row isn't used.
-       For this task size one Python task suffices.
+    3. About `sample` rows (a bound, by hash of key and text) with a vote train a linear scorer for
+       each task on their posteriors; rows that repeat key and text count once; where every
+       labeller of a task abstains, a row isn't used. For this task size one Python task suffices.
     4. All texts are scored whole. kept: neither chance exceeds one half.
 
     Null and empty texts have no votes and are scored by their statistics alone; null keys have no
@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     """
     spark = docs.sparkSession
     speaks = F.coalesce(F.col(lang), F.lit("en")) == "en" if lang in docs.columns else F.lit(True)
-    src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), speaks.alias("__english"))
+    src = docs.select(F.col(key).alias("__key"), F.xxhash64(key, text).alias("__id"), F.col(text).alias("__text"), speaks.alias("__english"))
     kind = src.schema["__key"].dataType.simpleString()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,16 +210,16 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
         for batch in slices(batches, "__text", 2 << 20):
             own = raw(batch, "__text")
             stats, _ = statistics(own)
-            cols = [batch.column("__key"), code(junk_votes(stats)), code(toxic_votes(own, batch.column("__english").to_pylist()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["__key", "junk", "toxic"])
+            cols = [batch.column("__key"), batch.column("__id"), code(junk_votes(stats)), code(toxic_votes(own, batch.column("__english").to_pylist()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["__key", "__id", "junk", "toxic"])
 
-    votes = src.mapInArrow(vote, f"__key {kind}, junk string, toxic string")
+    votes = src.mapInArrow(vote, f"__key {kind}, __id long, junk string, toxic string")
     if labels is not None:
         gold = labels.groupBy(F.col(key).alias("__key")).agg((1 - F.min("quality")).alias("g_junk"), F.max("toxic").alias("g_toxic"))
         votes = votes.join(gold, "__key", "left")
         for task in TASKS:
             votes = votes.withColumn(task, F.concat(task, F.coalesce(F.col(f"g_{task}").cast("int").cast("string"), F.lit("a"))))
-    votes = materialize(votes.select("__key", *TASKS), "votes")
+    votes = materialize(votes.select("__id", *TASKS), "votes")
     total = votes.count()
     for task in TASKS:
         rows = votes.groupBy(task).count().collect()
@@ -229,8 +229,9 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
         values = ", ".join(f"('{r[task]}', {b!r}D, {str(s).lower()})" for r, b, s in zip(rows, bad.tolist(), spoke, strict=True)) or "('', 0.0D, false)"
         votes = votes.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS p({task}, weak_{task}, spoke_{task})")), task, "left")
     share = min(1.0, sample / max(total, 1))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "__key"), F.lit(1 << 32)) < int(share * (1 << 32))
-    chosen = votes.where(drawn & (F.col("spoke_junk") | F.col("spoke_toxic"))).select("__key", *(f"{p}_{t}" for p in ("weak", "spoke") for t in TASKS))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(1 << 32)) < int(share * (1 << 32))
+    chosen = votes.where(drawn & (F.col("spoke_junk") | F.col("spoke_toxic")))
+    chosen = chosen.groupBy("__id").agg(*(F.max(f"{p}_{t}").alias(f"{p}_{t}") for p in ("weak", "spoke") for t in TASKS))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 2 << 20):
@@ -254,7 +255,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
             weights = train(idx, counts[used], rows.column(f"weak_{task}").to_numpy()[used])
             yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([weights.tobytes()])], names=["task", "weights"])
 
-    sampled = src.where(drawn).join(chosen, "__key").select("__text", *kept)
+    sampled = src.where(drawn).dropDuplicates(["__id"]).join(chosen, "__id").select("__text", *kept)
     described = materialize(sampled.mapInArrow(describe, "index array<int>, weak_junk double, spoke_junk boolean, weak_toxic double, spoke_toxic boolean"), "sample")
     trained = {r["task"]: np.frombuffer(r["weights"], np.float32) for r in described.coalesce(1).mapInArrow(fit, "task string, weights binary").collect()}
     scorers = spark.sparkContext.broadcast([trained.get(t, np.zeros((1 << BITS) + 1, np.float32)) for t in TASKS])
@@ -263,11 +264,11 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
         for batch in slices(batches, "__text", 2 << 20):
             index, counts = features(*statistics(raw(batch, "__text")))
             chances = [1 / (1 + np.exp(-np.clip(margins(w, index, counts), -30, 30))) for w in scorers.value]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), *map(pa.array, chances)], names=["__key", "p_junk", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__id"), *map(pa.array, chances)], names=["__key", "__id", "p_junk", "p_toxic"])
 
-    scored = src.mapInArrow(score, f"__key {kind}, p_junk double, p_toxic double")
-    weak = votes.groupBy("__key").agg(F.max("weak_junk").alias("weak_junk"), F.max("weak_toxic").alias("weak_toxic"))
-    out = scored.join(weak, scored["__key"].eqNullSafe(weak["__key"]), "left").drop(weak["__key"])
+    scored = src.mapInArrow(score, f"__key {kind}, __id long, p_junk double, p_toxic double")
+    weak = votes.groupBy("__id").agg(F.max("weak_junk").alias("weak_junk"), F.max("weak_toxic").alias("weak_toxic"))
+    out = scored.join(weak, "__id", "left")
     good = (F.col("p_junk") <= 0.5) & (F.col("p_toxic") <= 0.5)
     return out.select(F.col("__key").alias(key), "weak_junk", "weak_toxic", "p_junk", "p_toxic", good.alias("kept"))
 

@@ -145,16 +145,16 @@ def span_text(spans: str) -> F.Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """Replace every span, overlapping ones together, by mark; rows and columns stay as they are. Null text stays null."""
-    found = scan_secrets(docs, text)
+    """Replace every span, overlapping ones together, by mark; rows and columns, whatever their names, stay as they are. Null text stays null."""
+    found = scan_secrets(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text")), "text")
     step = F.aggregate(
-        F.sort_array("spans_at"),
+        F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
-            F.struct(F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"), s["end"].alias("at")),
+            F.struct(F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"), s["end"].alias("at")),
         ).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
+        lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    clean = found.withColumn("spans_at", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return clean.withColumn(text, F.when(F.size("spans") > 0, step).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, step).otherwise(F.col("text"))
+    return found.select(*((clean if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

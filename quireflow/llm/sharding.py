@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from quireflow.sources.scratch import materialize
 
 
+#: Source partitions at most, so that the matrix stays small for any corpus.
+MOST_PARTS = 1 << 14
+
+
 def hypergeometric(rng: random.Random, good: int, total: int, draws: int) -> int:
     """How many of `draws` taken without replacement from `total` are among the `good`, by inversion from the mode outwards."""
     low, high = max(0, draws - (total - good)), min(good, draws)
@@ -71,15 +75,18 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 8, seed: int = 42, key: str
     the exchange each shard is permuted again, in ranges of a random number, so no task holds a
     whole shard. Ordering is by hashes of key and tiebreak, hence a lost task is redone alike.
 
-    Rows with equal keys (also null keys) and tiebreaks are spread by further columns if any and
-    are interchangeable if they are equal. An empty table gives an empty result. All other
-    columns are carried along; `__part`, `__order`, `__rank` and `__cut` are used inside.
+    Rows are numbered by their place in the input and written once, so that rows with equal keys
+    (also null keys) and tiebreaks, or wholly equal rows, are spread like any other. A partition
+    has rows_per_part rows, more where that would make over MOST_PARTS partitions. An empty table
+    gives an empty result. All other columns are carried along, but for columns named shard and
+    slot, which are replaced; `__row`, `__part`, `__order`, `__rank` and `__cut` are used inside.
     """
     spark = docs.sparkSession
-    parts_key = [F.col(c) for c in ([key, tiebreak] if tiebreak else [key])]
-    total = docs.count()
-    n_parts = max(16, math.ceil(total / rows_per_part))
-    base = docs.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), *parts_key), F.lit(n_parts)).cast("int"))
+    parts_key = [F.col(c) for c in ([key, tiebreak, "__row"] if tiebreak else [key, "__row"])]
+    numbered = materialize(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    total = numbered.count()
+    n_parts = min(max(16, math.ceil(total / rows_per_part)), MOST_PARTS)
+    base = numbered.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), *parts_key), F.lit(n_parts)).cast("int"))
     sizes = [(r["__part"], r["count"]) for r in base.groupBy("__part").count().collect()]
     plan = communication_matrix(sizes, n_shards, seed)
     literal = F.from_json(F.lit(json.dumps([dict(p=p, s=s, e=e) for p, s, _, e in plan])), "array<struct<p:int,s:int,e:bigint>>")
@@ -104,5 +111,5 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 8, seed: int = 42, key: str
         sent.withColumn("__rank", F.row_number().over(inner) - 1)
         .join(offsets, ["shard", "__cell"])
         .withColumn("slot", (F.col("__base") + F.col("__rank")).cast("long"))
-        .drop("__cell", "__order", "__rank", "__base")
+        .drop("__cell", "__order", "__rank", "__base", "__row")
     )
