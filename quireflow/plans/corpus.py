@@ -234,10 +234,10 @@ def d13(spark, sf):
     return docs_of(spark, sf).select("doc_id", (t.rlike("clearly|proves|must") | (F.col("text").rlike("[0-9]") & t.rlike("achiev|reach|improv|that"))).alias("assertive"))
 
 
-@query("d14_cross_language", r"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('报告', 40) ELSE substr(text, 1, 80) END AS a, substr(text, 1, 80) AS b FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(a, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(a), 1) AS x, len(regexp_extract_all(b, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(b), 1) AS y FROM d) SELECT doc_id, (x >= 0.40 AND y < 0.20) OR (y >= 0.40 AND x < 0.20) AS crosslingual FROM c")
+@query("d14_cross_language", r"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '报告' || repeat('报告', length(text)) || text ELSE text END AS a, text AS b FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(a, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(a), 1) AS x, len(regexp_extract_all(b, '[\x{4e00}-\x{9fff}]')) * 1.0 / greatest(length(b), 1) AS y FROM d) SELECT doc_id, (x >= 0.40 AND y < 0.20) OR (y >= 0.40 AND x < 0.20) AS crosslingual FROM c")
 def d14(spark, sf):
     share = lambda c: F.regexp_count(c, F.lit("[\\x{4e00}-\\x{9fff}]")) / F.greatest(F.length(c), F.lit(1))
-    d = docs_of(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "报告" * 40).otherwise(F.substring("text", 1, 80)).alias("a"), F.substring("text", 1, 80).alias("b"))
+    d = docs_of(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("报告"), F.repeat(F.lit("报告"), F.length("text")), "text")).otherwise(F.col("text")).alias("a"), F.col("text").alias("b"))
     a, b = share("a"), share("b")
     return d.select("doc_id", (((a >= 0.40) & (b < 0.20)) | ((b >= 0.40) & (a < 0.20))).alias("crosslingual"))
 
@@ -365,7 +365,7 @@ def c1(spark, sf):
 PRAISE = ["novel", "breakthrough", "outstanding", "excellent", "superior", "effective", "promising", "significant", "remarkable", "impressive", "strong", "robust", "successful", "advances", "state-of-the-art", "state of the art", "substantial", "comprehensive", "insightful"]
 BLAME = ["limitation", "limited", "weakness", "flaw", "poor", "inferior", "inadequate", "failure", "failed", "unsatisfactory", "shortcoming", "drawback", "insufficient", "unclear", "questionable"]
 _hit = lambda words: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words)
-SENTI = f"WITH d AS (SELECT doc_id, lower(substr(text, 1, 500)) || CASE WHEN doc_id % 3 = 0 THEN ' a novel and robust idea, poor data' WHEN doc_id % 3 = 1 THEN ' failed, unclear' ELSE '' END AS t FROM documents), c AS (SELECT doc_id, {_hit(PRAISE)} AS p, {_hit(BLAME)} AS n FROM d)"
+SENTI = f"WITH d AS (SELECT doc_id, lower(text) || CASE WHEN doc_id % 3 = 0 THEN ' a novel and robust idea, poor data' WHEN doc_id % 3 = 1 THEN ' failed, unclear' ELSE '' END AS t FROM documents), c AS (SELECT doc_id, {_hit(PRAISE)} AS p, {_hit(BLAME)} AS n FROM d)"
 
 
 def sentiment(df, text="t"):
@@ -379,7 +379,7 @@ def sentiment(df, text="t"):
 
 def opinions(spark, sf):
     k = F.col("doc_id") % 3
-    t = F.lower(F.concat(F.substring("text", 1, 500), F.when(k == 0, " a novel and robust idea, poor data").when(k == 1, " failed, unclear").otherwise("")))
+    t = F.lower(F.concat("text", F.when(k == 0, " a novel and robust idea, poor data").when(k == 1, " failed, unclear").otherwise("")))
     return sentiment(docs_of(spark, sf).select("doc_id", t.alias("t"))).select("doc_id", "score", "label", "confidence")
 
 

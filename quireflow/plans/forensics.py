@@ -82,19 +82,23 @@ def n6(spark, sf):
     return g.where("n >= 3 and a = b").withColumn("decimals", (6 - F.least("a", F.lit(6))).cast("long")).where("decimals >= 5").select("l_partkey", "n", "decimals")
 
 
-SER = "WITH s AS (SELECT l_orderkey AS e, l_linenumber AS pos, min(l_quantity) AS v, min(l_tax * 100) AS w FROM lineitem GROUP BY ALL)"
+SER = "WITH s0 AS (SELECT l_orderkey AS e, l_linenumber AS pos, min(l_quantity) AS q, min(l_tax * 100) AS t FROM lineitem GROUP BY ALL), s1 AS (SELECT e, pos, CASE WHEN e % 10 = 0 THEN e % 7 + 1.5 * pos ELSE q END AS v, t FROM s0), s AS (SELECT e, pos, v, CASE WHEN e % 10 = 0 THEN v + 0.5 WHEN e % 10 = 1 THEN 60 - v ELSE t END AS w FROM s1)"
 
 
 def series(spark, sf):
-    return li_of(spark, sf).groupBy(F.col("l_orderkey").alias("e"), F.col("l_linenumber").alias("pos")).agg(F.min("l_quantity").alias("v"), F.min(F.col("l_tax") * 100).alias("w"))
+    """Two aligned columns for each order; every tenth order's are in equal steps and a constant offset, every next one's add up to 60."""
+    g = li_of(spark, sf).groupBy(F.col("l_orderkey").alias("e"), F.col("l_linenumber").alias("pos")).agg(F.min("l_quantity").alias("q"), F.min(F.col("l_tax") * 100).alias("t"))
+    kind = F.col("e") % 10
+    g = g.withColumn("v", F.when(kind == 0, F.col("e") % 7 + 1.5 * F.col("pos")).otherwise(F.col("q")))
+    return g.select("e", "pos", "v", F.when(kind == 0, F.col("v") + 0.5).when(kind == 1, 60 - F.col("v")).otherwise(F.col("t")).alias("w"))
 
 
-@query("n7_complementary_series", f"{SER} SELECT e, count(*) AS n, round(max(v + w) - min(v + w), 6) AS spread FROM s GROUP BY e HAVING count(*) >= 2 AND (max(v + w) - min(v + w) < 0.5 OR max(abs(v - w)) < 0.5)")
+@query("n7_complementary_series", f"{SER} SELECT e, count(*) AS n, round(max(v + w) - min(v + w), 6) AS spread FROM s GROUP BY e HAVING count(*) >= 4 AND (max(v + w) - min(v + w) < 0.5 OR max(abs(v - w)) < 0.5)")
 def n7(spark, sf):
     """Two aligned columns with a constant sum, or nearly equal ones."""
     total = F.col("v") + F.col("w")
     g = series(spark, sf).groupBy("e").agg(n_rows().alias("n"), (F.max(total) - F.min(total)).alias("spread"), F.max(F.abs(F.col("v") - F.col("w"))).alias("gap"))
-    return g.where("n >= 2 and (spread < 0.5 or gap < 0.5)").select("e", "n", F.round("spread", 6).alias("spread"))
+    return g.where("n >= 4 and (spread < 0.5 or gap < 0.5)").select("e", "n", F.round("spread", 6).alias("spread"))
 
 
 @query("n8_cross_figure_duplicates", "WITH f AS (SELECT DISTINCT l_partkey % 200 AS fig, l_extendedprice AS v FROM lineitem), n AS (SELECT fig, count(*) AS n FROM f GROUP BY 1), p AS (SELECT a.fig AS a, b.fig AS b, count(*) AS shared FROM f a JOIN f b ON a.v = b.v AND a.fig < b.fig GROUP BY ALL) SELECT a, b, shared, round(shared * 100.0::DOUBLE / least(x.n, y.n), 6) AS pct FROM p JOIN n x ON x.fig = a JOIN n y ON y.fig = b")
@@ -107,12 +111,12 @@ def n8(spark, sf):
     return p.select("a", "b", "shared", F.round(F.col("shared") * 100.0 / F.least("na", "nb"), 6).alias("pct"))
 
 
-@query("n9_progression", f"{SER}, d AS (SELECT e, v - lag(v) OVER (PARTITION BY e ORDER BY pos) AS d FROM s) SELECT e, count(d) + 1 AS n, min(round(d, 6)) AS step FROM d GROUP BY e HAVING count(d) >= 2 AND count(DISTINCT round(d, 6)) = 1 AND abs(min(d)) NOT IN (0, 1)")
+@query("n9_progression", f"{SER}, d AS (SELECT e, v - lag(v) OVER (PARTITION BY e ORDER BY pos) AS d FROM s) SELECT e, count(d) + 1 AS n, min(round(d, 6)) AS step FROM d GROUP BY e HAVING count(d) >= 3 AND count(DISTINCT round(d, 6)) = 1 AND abs(min(d)) NOT IN (0, 1)")
 def n9(spark, sf):
-    """Equal steps other than 0 and 1; three values suffice here because orders are short."""
+    """Four values or more with equal steps other than 0 and 1."""
     d = series(spark, sf).select("e", F.round(F.col("v") - F.lag("v").over(Window.partitionBy("e").orderBy("pos")), 6).alias("d"))
     g = d.groupBy("e").agg((F.count("d") + 1).alias("n"), F.count_distinct("d").alias("k"), F.min("d").alias("step"))
-    return g.where("n >= 3 and k = 1 and abs(step) not in (0, 1)").drop("k")
+    return g.where("n >= 4 and k = 1 and abs(step) not in (0, 1)").drop("k")
 
 
 @query("n10_repeats", "WITH c AS (SELECT l_orderkey, round(l_discount, 3) AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey, max(n) AS n, arg_max(v, (n, v)) AS value FROM c WHERE n >= 3 GROUP BY 1")
@@ -121,10 +125,10 @@ def n10(spark, sf):
     return c.groupBy("l_orderkey").agg(F.max("n").alias("n"), F.max_by("v", F.struct("n", "v")).alias("value"))
 
 
-@query("n11_constant_offset", f"{SER} SELECT e, count(*) AS n, min(round(v - w, 4)) AS gap FROM s GROUP BY e HAVING count(*) >= 2 AND count(DISTINCT round(v - w, 4)) = 1")
+@query("n11_constant_offset", f"{SER} SELECT e, count(*) AS n, min(round(v - w, 4)) AS gap FROM s GROUP BY e HAVING count(*) >= 4 AND count(DISTINCT round(v - w, 4)) = 1")
 def n11(spark, sf):
     d = F.round(F.col("v") - F.col("w"), 4)
-    return series(spark, sf).groupBy("e").agg(n_rows().alias("n"), F.min(d).alias("gap"), F.count_distinct(d).alias("k")).where("n >= 2 and k = 1").drop("k")
+    return series(spark, sf).groupBy("e").agg(n_rows().alias("n"), F.min(d).alias("gap"), F.count_distinct(d).alias("k")).where("n >= 4 and k = 1").drop("k")
 
 
 BENFORD = "WITH x AS (SELECT l_returnflag || l_linestatus AS g, l_extendedprice AS v FROM lineitem WHERE l_extendedprice > 0), d AS (SELECT g, CAST(substr(CAST(CAST(floor(v) AS BIGINT) AS VARCHAR), 1, 1) AS INT) AS digit, count(*) AS o FROM x GROUP BY ALL), t AS (SELECT g, count(*) AS n, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1), s AS (SELECT unnest(range(1, 10)) AS digit)"
@@ -143,9 +147,15 @@ def n12(spark, sf):
 
 
 @query("n13_series_flags", f"""{SER}, d AS (SELECT e, v, w, v - lag(v) OVER (PARTITION BY e ORDER BY pos) AS d FROM s), g AS (SELECT e, count(*) AS n, count(DISTINCT round(d, 6)) AS k, min(d) AS step, count(DISTINCT round(v - w, 4)) AS o FROM d GROUP BY e)
-SELECT e, 'progression' AS flag FROM g WHERE n >= 3 AND k = 1 AND abs(step) NOT IN (0, 1) UNION ALL SELECT e, 'offset' FROM g WHERE n >= 2 AND o = 1 UNION ALL SELECT DISTINCT l_orderkey, 'repeat' FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, round(l_discount, 3) HAVING count(*) >= 3)""")
+SELECT e, 'progression' AS flag FROM g WHERE n >= 4 AND k = 1 AND abs(step) NOT IN (0, 1) UNION ALL SELECT e, 'offset' FROM g WHERE n >= 4 AND o = 1 UNION ALL SELECT DISTINCT l_orderkey, 'repeat' FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, round(l_discount, 3) HAVING count(*) >= 3)
+UNION ALL SELECT l_suppkey, 'benford' FROM (SELECT l_suppkey, count(*) AS n, sum(CASE WHEN digit IS NULL THEN 0 ELSE 1 END) FROM (SELECT l_suppkey, l_extendedprice * (1 + l_partkey % 200) AS v, CAST(substr(CAST(CAST(floor(l_extendedprice * (1 + l_partkey % 200)) AS BIGINT) AS VARCHAR), 1, 1) AS INT) AS digit FROM lineitem WHERE l_extendedprice > 0) GROUP BY 1 HAVING count(*) >= 50 AND max(v) / min(v) >= 100 AND """ + " + ".join(f"power(count(*) FILTER (WHERE digit = {k}) - count(*) * log10(1 + 1.0 / {k}), 2) / (count(*) * log10(1 + 1.0 / {k}))" for k in range(1, 10)) + " > 30)")
 def n13(spark, sf):
-    parts = [n9(spark, sf).select("e", F.lit("progression").alias("flag")), n11(spark, sf).select("e", F.lit("offset").alias("flag")), n10(spark, sf).select(F.col("l_orderkey").alias("e"), F.lit("repeat").alias("flag"))]
+    v = F.col("l_extendedprice") * (1 + F.col("l_partkey") % 200)
+    x = li_of(spark, sf).where("l_extendedprice > 0").select(F.col("l_suppkey").alias("e"), v.alias("v"), F.substring(F.floor(v).cast("long").cast("string"), 1, 1).cast("int").alias("digit"))
+    t = x.groupBy("e").agg(n_rows().alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.count_if(F.col("digit") == k).alias(f"d{k}") for k in range(1, 10)]).where("n >= 50 and hi / lo >= 100")
+    want = lambda k: F.col("n") * F.log10(F.lit(1 + 1.0 / k))
+    chi = sum((F.col(f"d{k}") - want(k)) ** 2 / want(k) for k in range(1, 10))
+    parts = [t.where(chi > 30).select("e", F.lit("benford").alias("flag")), n9(spark, sf).select("e", F.lit("progression").alias("flag")), n11(spark, sf).select("e", F.lit("offset").alias("flag")), n10(spark, sf).select(F.col("l_orderkey").alias("e"), F.lit("repeat").alias("flag"))]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -197,13 +207,15 @@ def n17(spark, sf):
     return x.withColumn("consistent", grim(F.col("mean"), F.col("n")))
 
 
-@query("n18_p_curve", f"WITH t AS (SELECT o_custkey, {PV} AS text FROM orders), p AS (SELECT o_custkey, CAST(regexp_extract(text, 'p = ([0-9.]+)', 1) AS DOUBLE) AS p FROM t), g AS (SELECT o_custkey, count(*) AS n, CAST(count(*) FILTER (WHERE p BETWEEN 0.04 AND 0.05) AS BIGINT) AS marginal, CAST(count(*) FILTER (WHERE p < 0.01) AS BIGINT) AS strong, CAST(count(*) FILTER (WHERE p > 0.05 AND p <= 0.10) AS BIGINT) AS above FROM p GROUP BY 1 HAVING count(*) >= 5) SELECT o_custkey, n, marginal >= 3 AND marginal > 2 * strong AS clustered, marginal >= 3 AND above = 0 AS cliff FROM g")
+@query("n18_p_curve", f"WITH t AS (SELECT o_custkey, {PV} AS text FROM orders), p AS (SELECT o_custkey, CAST(regexp_extract(text, 'p = ([0-9.]+)', 1) AS DOUBLE) AS p FROM t), g AS (SELECT o_custkey, count(*) AS n, CAST(count(*) FILTER (WHERE p BETWEEN 0.04 AND 0.05) AS BIGINT) AS marginal, CAST(count(*) FILTER (WHERE p < 0.01) AS BIGINT) AS strong, CAST(count(*) FILTER (WHERE p > 0.05 AND p <= 0.10) AS BIGINT) AS above, max(same) AS top FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, p) AS same FROM p) GROUP BY 1 HAVING count(*) >= 5) SELECT o_custkey, n, marginal >= 3 AND marginal > 2 * strong AS clustered, marginal >= 3 AND above = 0 AS cliff, top >= 3 AS repeated FROM g")
 def n18(spark, sf):
-    """Exact p values only; five or more."""
+    """Exact p values only; five or more. Also whether one value comes three times or more."""
     pairs = sentences_of(spark, sf).select("o_custkey", F.explode(F.regexp_extract_all("text", F.lit("\\bp\\s*=\\s*(0?\\.[0-9]+)"))).alias("p")).withColumn("p", F.col("p").cast("double"))
     p = F.col("p")
-    g = pairs.groupBy("o_custkey").agg(n_rows().alias("n"), F.count_if(p.between(0.04, 0.05)).alias("m"), F.count_if(p < 0.01).alias("s"), F.count_if((p > 0.05) & (p <= 0.10)).alias("a")).where("n >= 5")
-    return g.select("o_custkey", "n", ((F.col("m") >= 3) & (F.col("m") > 2 * F.col("s"))).alias("clustered"), ((F.col("m") >= 3) & (F.col("a") == 0)).alias("cliff"))
+    each = pairs.groupBy("o_custkey", "p").agg(n_rows().alias("same"))
+    within = lambda test: F.sum(F.when(test, F.col("same")).otherwise(0))
+    g = each.groupBy("o_custkey").agg(F.sum("same").alias("n"), within(p.between(0.04, 0.05)).alias("m"), within(p < 0.01).alias("s"), within((p > 0.05) & (p <= 0.10)).alias("a"), F.max("same").alias("top")).where("n >= 5")
+    return g.select("o_custkey", "n", ((F.col("m") >= 3) & (F.col("m") > 2 * F.col("s"))).alias("clustered"), ((F.col("m") >= 3) & (F.col("a") == 0)).alias("cliff"), (F.col("top") >= 3).alias("repeated"))
 
 
 F1 = "WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, 50 + l_quantity / 2 AS p, 40 + l_discount * 500 AS r, CASE WHEN l_partkey % 9 = 0 THEN 1.0 ELSE 0.2 END AS noise FROM lineitem)"
@@ -289,10 +301,10 @@ def n25(spark, sf):
 CHECKLIST = [("seed", "random seed|seeded|\\bseeds\\b"), ("std", "standard deviation|\\bstd\\b|±|averaged over"), ("hardware", "\\bgpu\\b|\\bcpu\\b|\\btpu\\b|nvidia"), ("learning_rate", "learning rate"), ("batch_size", "batch size|minibatch"), ("epochs", "\\bepochs?\\b|iterations"), ("checkpoint", "early stopping|checkpoint")]
 
 
-@query("n26_reproducibility", "WITH d AS (SELECT doc_id, lower(substr(text, 1, 300) || CASE WHEN doc_id % 2 = 0 THEN ' random seed' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' on one GPU for 3 epochs' ELSE '' END) AS t FROM documents) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT regexp_matches(t, '{p}') THEN '{n}' END" for n, p in CHECKLIST) + ") AS missing FROM d")
+@query("n26_reproducibility", "WITH d AS (SELECT doc_id, lower(text || CASE WHEN doc_id % 2 = 0 THEN ' random seed' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' on one GPU for 3 epochs' ELSE '' END) AS t FROM documents) SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN NOT regexp_matches(t, '{p}') THEN '{n}' END" for n, p in CHECKLIST) + ") AS missing FROM d")
 def n26(spark, sf):
     k = F.col("doc_id")
-    t = F.lower(F.concat(F.substring("text", 1, 300), F.when(k % 2 == 0, " random seed").otherwise(""), F.when(k % 3 == 0, " on one GPU for 3 epochs").otherwise("")))
+    t = F.lower(F.concat("text", F.when(k % 2 == 0, " random seed").otherwise(""), F.when(k % 3 == 0, " on one GPU for 3 epochs").otherwise("")))
     return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.concat_ws(",", *[F.when(~F.col("t").rlike(p), n) for n, p in CHECKLIST]).alias("missing"))
 
 
@@ -369,10 +381,10 @@ def n34(spark, sf):
     return h.withColumn("n", rank_within("doc_id", F.asc("pos"))).where("n <= 5").select("doc_id", "pos", F.length("body").cast("long").alias("chars"))
 
 
-@query("n35_language_class", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('数据', 30) || substr(text, 1, 10) WHEN doc_id % 4 = 1 THEN repeat('数据', 10) || substr(text, 1, 20) ELSE text END AS t FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) * 1.0::DOUBLE / greatest(length(t), 1) AS share FROM d) SELECT doc_id, CASE WHEN share > 0.7 THEN 'zh' WHEN share >= 0.3 THEN 'mixed' ELSE 'en' END AS language FROM c")
+@query("n35_language_class", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('数据', 2 * length(text)) || text WHEN doc_id % 4 = 1 THEN repeat('数据', length(text) // 3) || text ELSE text END AS t FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) * 1.0::DOUBLE / greatest(length(t), 1) AS share FROM d) SELECT doc_id, CASE WHEN share > 0.7 THEN 'zh' WHEN share >= 0.3 THEN 'mixed' ELSE 'en' END AS language FROM c")
 def n35(spark, sf):
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.concat(F.lit("数据" * 30), F.substring("text", 1, 10))).when(k == 1, F.concat(F.lit("数据" * 10), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    t = F.when(k == 0, F.concat(F.repeat(F.lit("数据"), 2 * F.length("text")), "text")).when(k == 1, F.concat(F.repeat(F.lit("数据"), F.floor(F.length("text") / 3).cast("int")), "text")).otherwise(F.col("text"))
     d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     share = F.regexp_count("t", F.lit("[\\x{4e00}-\\x{9fff}]")) / F.greatest(F.length("t"), F.lit(1))
     return d.select("doc_id", F.when(share > 0.7, "zh").when(share >= 0.3, "mixed").otherwise("en").alias("language"))

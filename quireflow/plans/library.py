@@ -225,12 +225,12 @@ def j16(spark, sf):
     return hit.groupBy(F.col("p_partkey").alias("id")).agg(F.min("rid").alias("registry_id"), n_rows().alias("matches"))
 
 
-@query("j17_gold_linkage", r"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents),
+@query("j17_gold_linkage", r"""WITH n AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS t FROM documents),
 g AS (SELECT * FROM (SELECT l.doc_id AS gold_id, t, quality, row_number() OVER (PARTITION BY t ORDER BY l.doc_id) AS k FROM labels l JOIN n USING (doc_id)) WHERE k = 1),
 m AS (SELECT n.doc_id, gold_id, quality, row_number() OVER (PARTITION BY gold_id ORDER BY n.doc_id) AS k FROM n JOIN g USING (t))
 SELECT doc_id, gold_id, quality FROM m WHERE k = 1""")
 def j17(spark, sf):
-    n = table(spark, sf, "documents").select("doc_id", X.normalize(F.substring("text", 1, 40)).alias("t"))
+    n = table(spark, sf, "documents").select("doc_id", F.sha2(X.normalize("text"), 256).alias("t"))
     g = table(spark, sf, "labels").join(n, "doc_id").withColumn("k", rank_within("t", F.asc("doc_id"))).where("k = 1").select(F.col("doc_id").alias("gold_id"), "t", "quality")
     return n.join(g, "t").withColumn("k", rank_within("gold_id", F.asc("doc_id"))).where("k = 1").select("doc_id", "gold_id", "quality")
 

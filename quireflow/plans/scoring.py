@@ -448,11 +448,11 @@ def k31(spark, sf):
     return rows.groupBy("lo", "hi").agg(n_rows().alias("n"), rnd(F.avg("human")).alias("share"))
 
 
-@query("k32_repeat_stability", "WITH c AS (SELECT l_partkey, l_linestatus, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL), m AS (SELECT l_partkey, l_linestatus, max(k) AS top FROM c GROUP BY ALL), g AS (SELECT l_partkey, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, max(l_quantity) - min(l_quantity) AS span FROM lineitem GROUP BY ALL) SELECT g.*, round(top * 1.0 / n, 6) AS modal_share FROM g JOIN m USING (l_partkey, l_linestatus)")
+@query("k32_repeat_stability", "WITH c AS (SELECT l_partkey, l_linestatus, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL), m AS (SELECT l_partkey, l_linestatus, max(k) AS top FROM c GROUP BY ALL), g AS (SELECT l_partkey, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, max(l_quantity) - min(l_quantity) AS span, round(stddev_pop(l_discount), 6) AS sd_discount, round(stddev_pop(l_tax), 6) AS sd_tax, round(count(*) FILTER (WHERE l_returnflag = 'R') * 1.0 / count(*), 6) AS share_r, round(count(*) FILTER (WHERE l_returnflag = 'A') * 1.0 / count(*), 6) AS share_a, round(count(*) FILTER (WHERE l_returnflag = 'N') * 1.0 / count(*), 6) AS share_n FROM lineitem GROUP BY ALL) SELECT g.*, round(top * 1.0 / n, 6) AS modal_share FROM g JOIN m USING (l_partkey, l_linestatus)")
 def k32(spark, sf):
     by = ["l_partkey", "l_linestatus"]
     c = li_of(spark, sf).groupBy(*by, "l_returnflag").agg(n_rows().alias("k")).groupBy(*by).agg(F.max("k").alias("top"))
-    g = li_of(spark, sf).groupBy(*by).agg(n_rows().alias("n"), rnd(F.avg("l_quantity")).alias("mean"), rnd(F.stddev_pop("l_quantity")).alias("sd"), (F.max("l_quantity") - F.min("l_quantity")).alias("span"))
+    g = li_of(spark, sf).groupBy(*by).agg(n_rows().alias("n"), rnd(F.avg("l_quantity")).alias("mean"), rnd(F.stddev_pop("l_quantity")).alias("sd"), (F.max("l_quantity") - F.min("l_quantity")).alias("span"), rnd(F.stddev_pop("l_discount")).alias("sd_discount"), rnd(F.stddev_pop("l_tax")).alias("sd_tax"), *[rnd(F.count_if(F.col("l_returnflag") == c.upper()) / n_rows()).alias(f"share_{c}") for c in "ran"])
     return g.join(c, by).select(*g.columns, rnd(F.col("top") / F.col("n")).alias("modal_share"))
 
 
@@ -464,9 +464,9 @@ def k33(spark, sf):
     return u.join(F.broadcast(o), "dim").groupBy("dim").agg(rnd(F.max("o")).alias("fitted"), rnd(F.avg(F.abs(gap))).alias("before"), rnd(F.avg(F.abs(gap - F.col("o")))).alias("after"))
 
 
-@query("k34_threshold_scan", f"WITH {S}, {GRID.format('0.05::DOUBLE', '0.05::DOUBLE', 't', 8)}, c AS (SELECT t, {CONF.format('score >= t')} FROM s, t GROUP BY t) SELECT t, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+@query("k34_threshold_scan", f"WITH {S}, {GRID.format('0.50::DOUBLE', '0.05::DOUBLE', 't', 8)}, c AS (SELECT t, {CONF.format('score >= t')} FROM s, t GROUP BY t) SELECT t, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
 def k34(spark, sf):
-    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, 0.05, 0.40, 0.05, "t")))
+    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, 0.50, 0.85, 0.05, "t")))
     c = confusion(rows, F.col("score") >= F.col("t"), F.col("human"), ["t"])
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return c.select("t", rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(F.coalesce(2.0 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))).alias("f1"))
@@ -521,10 +521,10 @@ def k39(spark, sf):
     return c.withColumn("k", k).join(F.broadcast(seats), "layer").where("k <= seats").select("o_custkey", "layer")
 
 
-@query("k40_trigger_summary", "WITH x AS (SELECT l_quantity / 50 AS s, l_returnflag AS f, l_linestatus AS gold FROM lineitem) SELECT gold, count(*) AS n, CAST(count(*) FILTER (WHERE f = 'R') AS BIGINT) AS flagged, round(quantile_cont(s, 0.25), 6) AS q1, round(quantile_cont(s, 0.75), 6) AS q3, CAST(count(*) FILTER (WHERE s < 0.1) AS BIGINT) AS bin0, CAST(count(*) FILTER (WHERE s >= 0.9) AS BIGINT) AS bin9 FROM x GROUP BY 1")
+@query("k40_trigger_summary", "WITH x AS (SELECT l_quantity / 50 AS s, l_returnflag AS f, l_linestatus AS gold FROM lineitem) SELECT gold, count(*) AS n, CAST(count(*) FILTER (WHERE f = 'R') AS BIGINT) AS flagged, round(quantile_cont(s, 0.25), 6) AS q1, round(quantile_cont(s, 0.75), 6) AS q3, CAST(count(*) FILTER (WHERE f = 'A') AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE f = 'A' AND s > 0.9) AS BIGINT) AS errored, " + ", ".join(f"CAST(count(*) FILTER (WHERE least(CAST(floor(s * 10) AS INT), 9) = {b}) AS BIGINT) AS bin{b}" for b in range(10)) + " FROM x GROUP BY 1")
 def k40(spark, sf):
     s = F.col("l_quantity") / 50
-    return li_of(spark, sf).groupBy(F.col("l_linestatus").alias("gold")).agg(n_rows().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("flagged"), rnd(F.percentile(s, F.lit(0.25))).alias("q1"), rnd(F.percentile(s, F.lit(0.75))).alias("q3"), F.count_if(s < 0.1).alias("bin0"), F.count_if(s >= 0.9).alias("bin9"))
+    return li_of(spark, sf).groupBy(F.col("l_linestatus").alias("gold")).agg(n_rows().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("flagged"), rnd(F.percentile(s, F.lit(0.25))).alias("q1"), rnd(F.percentile(s, F.lit(0.75))).alias("q3"), F.count_if(F.col("l_returnflag") == "A").alias("skipped"), F.count_if((F.col("l_returnflag") == "A") & (s > 0.9)).alias("errored"), *[F.count_if(F.least(F.floor(s * 10).cast("int"), F.lit(9)) == b).alias(f"bin{b}") for b in range(10)])
 
 
 @query("k41_leave_one_out", "WITH i AS (SELECT l_orderkey AS g, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem), p AS (SELECT a.g, a.i, a.y, avg(b.y) AS m FROM i a JOIN i b ON a.g = b.g AND a.i <> b.i GROUP BY ALL) SELECT g, count(*) AS n, round(avg(abs(y - m)), 4) AS mae FROM p GROUP BY g")

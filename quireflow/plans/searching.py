@@ -240,18 +240,19 @@ def r15(spark, sf):
     return scored.withColumn("tier", F.when(F.col("score") >= 0.70, "strong").when(F.col("score") >= 0.50, "worth reading").otherwise("optional"))
 
 
-@query("r16_match", f"""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark), v AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0),
-d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents)
-SELECT q.item_id, d.doc_id, CASE WHEN a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL THEN round(({COS.format(a='a.embedding', b='b.embedding')} + 1) / 2, 6)
- ELSE round(coalesce(len(list_intersect(q.w, d.w)) / nullif(len(list_distinct(list_concat(q.w, d.w))), 0), 0), 6) END AS match
-FROM q JOIN d ON d.doc_id = q.item_id LEFT JOIN v a ON a.vec_id = q.item_id LEFT JOIN v b ON b.vec_id = d.doc_id""")
+@query("r16_match", f"""WITH {POST}, qw AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark), ve AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0),
+dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents)
+SELECT q.item_id, d.doc_id, CASE WHEN a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL THEN round(({COS.format(a='a.embedding', b='b.embedding')[6:-4]} + 1) / 2, 5)
+ ELSE round(coalesce(len(list_intersect(q.w, d.w)) / nullif(len(list_distinct(list_concat(q.w, d.w))), 0), 0), 5) END AS match
+FROM (SELECT query_id, doc_id FROM bmr WHERE rank <= 5) c JOIN qw q ON q.item_id = c.query_id JOIN dw d ON d.doc_id = c.doc_id LEFT JOIN ve a ON a.vec_id = q.item_id LEFT JOIN ve b ON b.vec_id = d.doc_id""")
 def r16(spark, sf):
-    """(cosine + 1) / 2 where both have a vector (here: even numbers), else Jaccard of words of four letters or more."""
+    """Every item against its five best documents by keyword: (cosine + 1) / 2 where both have a vector (here: even numbers), else Jaccard of words of four letters or more."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
     vec = vectors_of(spark, sf).where("doc_id % 2 = 0")
-    both = table(spark, sf, "benchmark").select("item_id", words("text").alias("qw")).join(docs_of(spark, sf).select("doc_id", words("text").alias("dw")), F.col("item_id") == F.col("doc_id"))
-    both = both.join(vec, "doc_id", "left").withColumn("qvec", F.col("vec"))
-    return both.select("item_id", "doc_id", F.round(F.coalesce(F.when(F.col("vec").isNotNull(), (F.round(X.cosine("qvec", "vec"), 6) + 1) / 2), X.jaccard(F.col("qw"), F.col("dw"))), 6).alias("match"))
+    found = R.bm25(docs_of(spark, sf), asked_of(spark, sf), 5).select(F.col("query_id").alias("item_id"), "doc_id")
+    both = found.join(table(spark, sf, "benchmark").select("item_id", words("text").alias("qw")), "item_id").join(docs_of(spark, sf).select("doc_id", words("text").alias("dw")), "doc_id")
+    both = both.join(vec, "doc_id", "left").join(vec.toDF("item_id", "qvec"), "item_id", "left")
+    return both.select("item_id", "doc_id", F.round(F.coalesce(F.when(F.col("vec").isNotNull() & F.col("qvec").isNotNull(), (X.cosine("qvec", "vec") + 1) / 2), X.jaccard(F.col("qw"), F.col("dw"))), 5).alias("match"))
 
 
 @query("r17_authority_recency", f"""WITH {PAPER}, m AS (SELECT max(citations) AS mc FROM p)
@@ -277,9 +278,9 @@ def r19(spark, sf):
 
 @query("r20_sentence_anchors", """WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s, text FROM documents),
 u AS (SELECT doc_id, text, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos FROM s)
-SELECT doc_id, pos, strpos(text, sentence) AS at, length(sentence) AS n FROM u WHERE pos <= 3""")
+SELECT doc_id, pos, strpos(text, sentence) AS at, length(sentence) AS n FROM u""")
 def r20(spark, sf):
-    each = docs_of(spark, sf).select("doc_id", "text", F.posexplode(F.slice(X.sentences("text"), 1, 3)).alias("pos", "sentence"))
+    each = docs_of(spark, sf).select("doc_id", "text", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
     return each.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.expr("locate(sentence, text)").cast("long").alias("at"), F.length("sentence").cast("long").alias("n"))
 
 
