@@ -15,9 +15,13 @@ def t1(spark, sf):
     return flows.drain(flows.stream_of(spark, sf, "events").where(F.length("props") <= 9).select("event_id", "value"), name="watch").drop("__epoch")
 
 
-@query("t2_debounce")
+ORDERED = "e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query("t2_debounce", f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, event_id, k, t AS last, true AS kept FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.t - r.last >= 3600 THEN e.t ELSE r.last END, e.t - r.last >= 3600 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, event_id FROM r WHERE kept")
 def t2(spark, sf):
-    return flows.debounce(table(spark, sf, "events"), 3600)
+    """A stream with keyed state; the batch twin gives the same."""
+    return flows.drain(flows.debounce(flows.stream_of(spark, sf, "events"), 3600), name="debounce").drop("__epoch")
 
 
 @query("t3_periodic_ingest", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
@@ -27,12 +31,13 @@ def t3(spark, sf):
     return flows.drain(flows.stream_of(spark, sf, "events").select("event_id").join(there, "event_id", "left_anti"), name="ingest").drop("__epoch")
 
 
-@query("t4_token_bucket")
+@query("t4_token_bucket", f"WITH RECURSIVE {ORDERED}, r AS (SELECT user_id, event_id, k, t, 1.0::DOUBLE AS have FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, e.t, least(1.0, CASE WHEN have >= 1 THEN have - 1 ELSE have END + (e.t - r.t) * 1.0 / 60) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, event_id, have >= 1 AS allowed FROM r")
 def t4(spark, sf):
-    return flows.token_bucket(table(spark, sf, "events"), 1.0)
+    """A stream with keyed state; the batch twin gives the same."""
+    return flows.drain(flows.token_bucket(flows.stream_of(spark, sf, "events"), 1.0), name="bucket").drop("__epoch")
 
 
-@query("t5_rolling_usage", "SELECT start, user_id, count(*) AS n FROM (SELECT user_id, unnest([b, b - INTERVAL 6 HOURS, b - INTERVAL 12 HOURS, b - INTERVAL 18 HOURS]) AS start FROM (SELECT user_id, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS b FROM events)) GROUP BY ALL")
+@query("t5_rolling_usage", "SELECT start, user_id, count(*) AS n FROM (SELECT user_id, unnest(list_transform(range(24), lambda h: b - to_hours(CAST(h AS INTEGER)))) AS start FROM (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS b FROM events)) GROUP BY ALL")
 def t5(spark, sf):
     """Complete mode: the last state of every window."""
     got = flows.drain(flows.rolling_usage(flows.stream_of(spark, sf, "events")), "complete", "usage")
@@ -48,7 +53,11 @@ def t6(spark, sf):
 
 @query("t7_stuck", "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOURS")
 def t7(spark, sf):
-    return flows.stuck(table(spark, sf, "events"), 12)
+    """The stream keeps each user's last event; the test is made on its newest state."""
+    s = flows.stream_of(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    got = flows.drain(s, "complete", "stuck")
+    last = got.join(F.broadcast(got.agg(F.max("__epoch").alias("__epoch"))), "__epoch").drop("__epoch")
+    return flows.stuck(last, 12)
 
 
 @query("t8_daily_snapshot", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")

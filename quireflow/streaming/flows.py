@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
 from quireflow.sources.scratch import scratch_path
@@ -29,37 +34,86 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rolling_usage(events: DataFrame) -> DataFrame:
-    """Hits of each user in windows of 24 hours every 6 hours."""
-    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "24 hours", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Hits of each user in windows of 24 hours every hour."""
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "24 hours", "1 hour"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").alias("start"), "user_id", "n")
 
 
-def debounce(events: DataFrame, gap_s: int = 10) -> DataFrame:
-    """Batch twin: an event counts if its key's last counted event is gap_s seconds or more before it.
+#: State of a key (a mark of time, and tokens left), and what each rule answers for an event.
+STATE = "mark double, left double"
+Rule = Callable[[float | None, float | None, float], tuple[float, float, bool]]
+
+
+def debounce_rule(gap_s: float) -> Rule:
+    """An event counts if the last counted one is gap_s seconds or more before it."""
+
+    def rule(mark: float | None, left: float | None, t: float) -> tuple[float, float, bool]:
+        counts = mark is None or t - mark >= gap_s
+        return (t if counts else mark), 0.0, counts
+
+    return rule
+
+
+def bucket_rule(per_minute: float) -> Rule:
+    """An event is allowed if it finds a token; a bucket starts full and refills by per_minute / 60 a second, in event time."""
+
+    def rule(mark: float | None, left: float | None, t: float) -> tuple[float, float, bool]:
+        have = per_minute if mark is None else min(per_minute, left + (t - mark) * per_minute / 60)
+        return t, (have - 1 if have >= 1 else have), have >= 1
+
+    return rule
+
+
+def timed(events: DataFrame) -> DataFrame:
+    return events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id")
 
-    The rule follows the last *accepted* event, so each key's events are folded in order.
+
+def judged(events: DataFrame, rule: Rule) -> DataFrame:
+    """Batch twin: user_id, event_id, passed of every event by a rule that follows each user's events in order.
+
+    Events are exchanged by user and sorted within partitions; a task carries the last state of
+    one user only, so a user of any number of events takes no memory.
     """
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id"))).alias("e"))
-    step = F.aggregate(
-        "e",
-        F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda a, x: F.when(x["t"] - a["last"] >= gap_s, F.struct(x["t"].alias("last"), F.concat(a["kept"], F.array(x["event_id"])).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return rows.select("user_id", F.explode(step).alias("event_id"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, mark, left = None, None, None
+        for batch in batches:
+            passed = []
+            for u, t in zip(batch.column("user_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if u != user:
+                    user, mark, left = u, None, None
+                mark, left, ok = rule(mark, left, t)
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), pa.array(passed, pa.bool_())], names=["user_id", "event_id", "passed"])
 
-def token_bucket(events: DataFrame, per_minute: float) -> DataFrame:
-    """Batch twin of the rate limit: whether each event finds a token; buckets start full and refill by per_minute / 60 a second, in event time."""
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id"))).alias("e"))
-    start = F.struct(F.lit(float(per_minute)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
+    ordered = timed(events).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    return ordered.mapInArrow(run, "user_id long, event_id long, passed boolean")
+
+
+def judged_stream(events: DataFrame, rule: Rule) -> DataFrame:
+    """The same as a stream with keyed state: each micro-batch's events of a user are taken in order after those before."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        mark, left = state.get if state.exists else (None, None)
+        passed = []
+        for t in rows["t"]:
+            mark, left, ok = rule(mark, left, float(t))
+            passed.append(ok)
+        state.update((float(mark), float(left)))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "passed": passed})
 
-    def take(a, x):
-        have = F.least(F.lit(float(per_minute)), a["tokens"] + F.coalesce(x["t"] - a["last"], F.lit(0.0)) * per_minute / 60)
-        said = F.struct(x["event_id"].alias("event_id"), (have >= 1).alias("allowed"))
-        return F.struct(F.when(have >= 1, have - 1).otherwise(have).alias("tokens"), x["t"].alias("last"), F.concat(a["out"], F.array(said)).alias("out"))
+    return timed(events).groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, passed boolean", STATE, "append", "NoTimeout")
 
-    return rows.select("user_id", F.inline(F.aggregate("e", start, take, lambda a: a["out"])))
+
+def debounce(events: DataFrame, gap_s: int = 10) -> DataFrame:
+    """user_id, event_id of the events that count; of a stream or a table."""
+    return (judged_stream if events.isStreaming else judged)(events, debounce_rule(gap_s)).where("passed").select("user_id", "event_id")
+
+
+def token_bucket(events: DataFrame, per_minute: float) -> DataFrame:
+    """user_id, event_id, allowed of every event; of a stream or a table."""
+    return (judged_stream if events.isStreaming else judged)(events, bucket_rule(per_minute)).withColumnRenamed("passed", "allowed")
 
 
 def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
@@ -67,11 +121,10 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     return s.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def stuck(events: DataFrame, hours: int) -> DataFrame:
-    """Users whose last event is more than `hours` before the newest event of all."""
-    last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
-    newest = events.agg(F.max("ts").alias("now"))
-    return last.crossJoin(F.broadcast(newest)).where(F.col("now") - F.expr(f"INTERVAL {hours} HOURS") > F.col("last")).select("user_id", "last")
+def stuck(last: DataFrame, hours: int) -> DataFrame:
+    """Users whose last event is more than `hours` before the newest of all, from a table of last events."""
+    newest = last.agg(F.max("last").alias("now"))
+    return last.crossJoin(F.broadcast(newest)).where(F.col("now") - F.expr(f"INTERVAL {hours} HOURS") > F.col("last")).select("user_id", "last")  # one row of newest
 
 
 def keep_first(events: DataFrame, by: list[str], order: str) -> DataFrame:

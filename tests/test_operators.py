@@ -75,3 +75,11 @@ def test_debounce_follows_the_last_accepted_event(spark):
 def test_token_bucket_starts_full(spark):
     e = spark.createDataFrame([(i, 1, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 40))], "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert [r.allowed for r in flows.token_bucket(e, 2.0).orderBy("event_id").collect()] == [True, True, False, True]
+
+
+def test_streams_with_state_agree_with_their_batch_twins(spark):
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    stream = flows.stream_of(spark, sf, "events")
+    for run in (lambda e: flows.debounce(e, 3600), lambda e: flows.token_bucket(e, 1.0)):
+        assert sorted(flows.drain(run(stream)).drop("__epoch").collect()) == sorted(run(events).collect())
