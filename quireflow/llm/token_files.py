@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import slices, texts, whole_keys
 from quireflow.llm.words import encoder
-from quireflow.sources.scratch import scratch_path
+from quireflow.sources.scratch import materialize, scratch_path
 
 #: Ids of a block; blocks of a segment are coded side by side, as lanes of the same arrays.
 BLOCK = 512
 #: Ids after which a segment (a row of the file) is closed, with its last document whole.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 #: Slots of a block's order-1 and order-2 tables.
 SLOTS = 256
 #: Order-0 classes of a segment, more where a class would have over 2**13 ids; a segment has 2**20 different ids at most.
@@ -158,7 +158,8 @@ def encode_blocks(index: np.ndarray, prior: Prior) -> list[bytes]:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out, at = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
     places, mixer = prior.places(), Mixer(lanes, len(prior.starts))
-    for now in np.ascontiguousarray(index.T, dtype=np.int64):
+    for column in np.ascontiguousarray(index.T):
+        now = column.astype(np.int64)
         place = places[now]
         group = (place >> np.uint64(32)).view(np.int64)
         cand, chance = mixer.predict()
@@ -245,7 +246,7 @@ def decode_segment(header: bytes, blocks: list[bytes], sums: list[int], n: int)
     return prior.ids[decode_blocks(blocks, prior).ravel()[:n]].astype(np.uint32)
 
 
-FILE = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, header binary, blocks array<binary>, sums array<long>"
+FILE = "part int, segment int, first long, doc_ids array<long>, counts array<long>, n_ids long, header binary, blocks array<binary>, sums array<long>"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
@@ -253,7 +254,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     A file holds the segments of one key range, a row each: whole documents' keys and lengths, the
     header that its blocks start from, coded blocks and their checksums. part and segment give the
-    order. Null and empty texts have end_id alone; null keys come first; rows with equal keys follow
+    order; first is the number of the part's ids before the segment. Null and empty texts have end_id alone; null keys come first; rows with equal keys follow
     by a hash of the text and then by their place in the input, so that a key with many rows is split
     between ranges. Rows are exchanged once, by key range; a task holds one segment at a time. Keys
     are whole numbers (others raise); further columns are not carried.
@@ -262,17 +263,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, False)
-        part, segment = TaskContext.get().partitionId(), 0
+        part, segment, first = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         counts: list[int] = []
         held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal segment
+            nonlocal segment, first
             ids = np.concatenate(held)
             header, blocks, sums = encode_segment(ids)
-            row = ([part], [segment], [list(keys)], [list(counts)], [len(ids)], [header], [blocks], [sums])
-            segment += 1
+            row = ([part], [segment], [first], [list(keys)], [list(counts)], [len(ids)], [header], [blocks], [sums])
+            segment, first = segment + 1, first + len(ids)
             for x in (keys, counts, held):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
@@ -288,8 +289,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if keys:
             yield close()
 
-    names = ["part", "segment", "doc_ids", "counts", "n_ids", "header", "blocks", "sums"]
-    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names = ["part", "segment", "first", "doc_ids", "counts", "n_ids", "header", "blocks", "sums"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     src = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"), F.monotonically_increasing_id().alias("__place"))
     order = ["__key", "__hash", "__place"]
     src.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, FILE).write.parquet(path)
@@ -298,15 +299,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """key, start (ids of all documents before), n_tokens and ids (little-endian unsigned 32-bit) of every document in the files."""
     rows = spark.read.schema(FILE).parquet(path)
-    sizes = rows.select("part", "segment", "n_ids")
-    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(upto([], "part")), F.lit(0)).alias("part_start"))
-    places = sizes.join(parts, "part").select("part", "segment", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(upto(["part"], "segment")), F.lit(0))).alias("base"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    parts = materialize(parts, "parts")  # its size is known then, and Spark broadcasts it or not
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in ("part", "segment", "doc_ids", "counts", "n_ids", "header", "blocks", "sums")}
+                r = {n: batch.column(n)[i].as_py() for n in ("part", "first", "doc_ids", "counts", "n_ids", "header", "blocks", "sums")}
                 ids = decode_segment(r["header"], r["blocks"], r["sums"], r["n_ids"]).astype("<u4")
                 n = np.array(r["counts"], dtype=np.int64)
                 ends = np.cumsum(n)
@@ -314,11 +314,11 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     own = slice(a, a + 1000)
                     data = [ids[e - k : e].tobytes() for e, k in zip(ends[own].tolist(), n[own].tolist(), strict=True)]
                     m = len(data)
-                    cols = [pa.array([r["part"]] * m, pa.int32()), pa.array([r["segment"]] * m, pa.int32()), pa.array(r["doc_ids"][own], pa.int64()), pa.array(ends[own] - n[own]), pa.array(n[own]), pa.array(data, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["part", "segment", "__key", "within", "n_tokens", "ids"])
+                    cols = [pa.array([r["part"]] * m, pa.int32()), pa.array(r["doc_ids"][own], pa.int64()), pa.array(r["first"] + ends[own] - n[own]), pa.array(n[own]), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["part", "__key", "within", "n_tokens", "ids"])
 
-    docs = rows.mapInArrow(run, "part int, segment int, __key long, within long, n_tokens long, ids binary")
-    return docs.join(places, ["part", "segment"]).select(F.col("__key").alias(key), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    docs = rows.mapInArrow(run, "part int, __key long, within long, n_tokens long, ids binary")
+    return docs.join(parts, "part").select(F.col("__key").alias(key), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:

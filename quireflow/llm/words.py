@@ -129,7 +129,7 @@ class TextEncoder:
     which bounds a worker's memory and changes no result.
     """
 
-    def __init__(self, path: str, keep_space: bool, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, memory: int = 1 << 20):
+    def __init__(self, path: str, keep_space: bool, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, memory: int = 1 << 19):
         self.lib, self.keep_space, self.memory = library(path), keep_space, memory
         self.speculates = encode_pieces is not None
         self.encode_pieces = encode_pieces or PieceLibrary(self.lib, keep_space)
