@@ -22,6 +22,25 @@ def rank_within(by: str | list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")
 
 
+def global_ranks(values: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """by, value, n, r: how often each value comes and its rank from 1 with ties averaged, over all rows or those of `by`.
+
+    Values are counted first; the distinct ones are sorted by range and written, added up within
+    the partitions of the sort and shifted by the partitions before them. So no task ranks all
+    rows, nor a group of any size.
+    """
+    keys = ([by] if by else []) + [value]
+    counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed = materialize(counts.orderBy(*keys).withColumn("__id", F.monotonically_increasing_id()), "sorted").withColumn("__part", F.shiftright("__id", 33))
+    parts = placed.groupBy("__part").agg(F.sum("n").alias("all"))  # one row for each partition of the sort
+    before = parts.select("__part", (F.sum("all").over(Window.orderBy("__part")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("upto", within).join(before, "__part").withColumn("below", F.col("upto") - F.col("n") + F.col("before"))
+    if by:
+        summed = summed.join(summed.groupBy(by).agg(F.min("below").alias("first")), by).withColumn("below", F.col("below") - F.col("first"))
+    return summed.select(*keys, "n", (F.col("below") + (F.col("n") + 1) / 2).alias("r"))
+
+
 def postings(docs: DataFrame, asked: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """term, key, tf, len: one row for each distinct term of a document, of the asked terms only if given."""
     words = docs.select(key, once(tokens(text)).alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("term"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -242,18 +244,54 @@ def d14(spark, sf):
     return d.select("doc_id", (((a >= 0.40) & (b < 0.20)) | ((b >= 0.40) & (a < 0.20))).alias("crosslingual"))
 
 
-@query("d15_generated_likelihood")
+# Weights and phrases of the six signals.
+CONNECTORS = ("首先", "其次", "再者", "此外", "另外", "与此同时", "除此之外", "总之", "综上所述", "总而言之", "值得注意的是", "需要指出的是", "不可否认", "毋庸置疑", "显而易见", "诚然", "固然")
+HEDGES = ("可以看出", "不难发现", "由此可见", "总的来说", "总体而言", "在一定程度上", "从某种程度上说", "具有十分重要的意义", "发挥着重要作用", "日益重要", "不可或缺", "值得关注", "众所周知", "随着时代的发展", "随着科技的发展", "扮演着重要角色", "具有重要意义")
+OPENERS = ("随着", "在当今社会", "在当今时代", "在信息化时代", "近年来", "在当前背景下", "在…的今天", "在知识经济时代")
+PERSONAL = ("我", "我们", "觉得", "感受", "体会", "这次", "我注意到", "我的", "我个人", "回想", "记得", "起初", "后来", "一开始", "令我", "让我")
+MARKS, MARK_POOL = "。，！？；：（）《》“”‘’、…—.,!?;:()[]\"'", 25
+SIGNAL_WEIGHTS = {"connector": 0.22, "hedge": 0.20, "vague": 0.18, "uniform": 0.15, "scarce": 0.15, "marks": 0.10}
+GENERIC = ("随着时代的发展，首先总的来说这不可或缺。", "近年来，综上所述值得关注。", "我觉得这次很好！")
+
+
+def _count_sql(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+def _opener_sql() -> str:
+    return " OR ".join(f"(starts_with(x, '{w[:2]}') AND contains(substr(x, 1, 20), '{w}'))" for w in OPENERS)
+
+
+@query("d15_generated_likelihood", f"""WITH d AS (SELECT doc_id, trim(text || CASE WHEN doc_id % 4 = 3 THEN '' ELSE repeat(['{"', '".join(GENERIC)}'][doc_id % 4 + 1], 1 + length(text) // 60) END) AS t FROM documents),
+s AS (SELECT doc_id, t, length(t) AS n, list_filter(list_transform(regexp_split_to_array(t, '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM d),
+v AS (SELECT doc_id, t, n, s, list_avg(list_transform(s, lambda x: length(x) * 1.0)) AS mean, sqrt(list_avg(list_transform(s, lambda x: power(length(x) - list_avg(list_transform(s, lambda y: length(y) * 1.0)), 2)))) AS sd FROM s)
+SELECT doc_id, round(CASE WHEN n < 80 THEN 0 ELSE 0.22 * least({_count_sql(CONNECTORS)} / (n / 1000.0::DOUBLE) / 12, 1) + 0.20 * least({_count_sql(HEDGES)} / (n / 1000.0::DOUBLE) / 8, 1)
+ + 0.18 * least(len(list_filter(s, lambda x: {_opener_sql()})) / greatest(len(s), 1)::DOUBLE / 0.30, 1) + 0.15 * CASE WHEN len(s) >= 3 THEN 1 - least(sd / mean / 0.6, 1) ELSE 0 END
+ + 0.15 * (1 - least({_count_sql(PERSONAL)} / 3.0::DOUBLE, 1)) + 0.10 * (1 - least(({" + ".join(f"CASE WHEN contains(t, '{m if m != chr(39) else chr(39) * 2}') THEN 1 ELSE 0 END" for m in MARKS)}) / {MARK_POOL}.0::DOUBLE / 0.35, 1)) END, 5) AS likelihood FROM v""")
 def d15(spark, sf):
-    """Weighted signals of uniform sentence lengths, scarce personal marks and little punctuation variety; short texts score 0."""
-    s = F.transform(X.sentences("text"), lambda x: F.length(x).cast("double"))
-    d = docs_of(spark, sf).select("doc_id", "text", s.alias("s"))
-    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
-    var = F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("s")
-    uniform = F.when(F.size("s") >= 3, 1 - F.least(F.sqrt(var) / mean / 0.6, F.lit(1.0))).otherwise(0.0)
-    marks = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[,.!?;:()]"), F.lit(0))))
-    personal = F.regexp_count("text", F.lit("我|觉得|感受|体会|记得"))
-    score = 0.15 * uniform + 0.15 * (1 - F.least(personal / 3.0, F.lit(1.0))) + 0.10 * (1 - F.least(marks / 25.0 / 0.35, F.lit(1.0)))
-    return d.select("doc_id", F.round(F.when(F.length("text") < 80, 0.0).otherwise(score), 6).alias("likelihood"))
+    """Six weighted signals of generated text: connectors, hedges, vague openers, even sentence lengths, no personal marks, few kinds of punctuation. Texts under 80 characters score 0; stock phrases are added to three quarters of the texts."""
+    k = F.col("doc_id") % 4
+    stock = F.when(k == 3, "").otherwise(F.repeat(F.get(F.array(*map(F.lit, GENERIC)), k.cast("int")), (1 + F.floor(F.length("text") / 60)).cast("int")))
+    d = docs_of(spark, sf).select("doc_id", X.once(F.trim(F.concat("text", stock))).alias("t"))
+    d = d.select("doc_id", "t", F.length("t").alias("n"), X.once(X.sentences("t")).alias("s"))
+    count = lambda words: sum((((F.length("t") - F.length(F.replace("t", F.lit(w), F.lit("")))) / len(w)).cast("int") for w in words), F.lit(0))
+    rate = lambda words, most: F.least(count(words) / (F.col("n") / 1000.0) / most, F.lit(1.0))
+    vague = F.filter("s", lambda x: reduce(lambda a, b: a | b, [F.startswith(x, F.lit(w[:2])) & F.contains(F.substring(x, 1, 20), F.lit(w)) for w in OPENERS]))
+    sizes = d.select("doc_id", "t", "n", "s", X.once(F.transform("s", lambda x: F.length(x).cast("double"))).alias("l"))
+    mean = F.aggregate("l", F.lit(0.0), lambda a, x: a + x) / F.size("l")
+    sizes = sizes.select("*", X.once(mean).alias("m"))
+    sd = F.sqrt(F.aggregate("l", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / F.size("l"))
+    marks = sum((F.when(F.contains("t", F.lit(m)), 1).otherwise(0) for m in MARKS), F.lit(0))
+    signals = {
+        "connector": rate(CONNECTORS, 12),
+        "hedge": rate(HEDGES, 8),
+        "vague": F.least(F.size(vague) / F.greatest(F.size("s"), F.lit(1)) / 0.30, F.lit(1.0)),
+        "uniform": F.when(F.size("s") >= 3, 1 - F.least(sd / F.col("m") / 0.6, F.lit(1.0))).otherwise(0.0),
+        "scarce": 1 - F.least(count(PERSONAL) / 3.0, F.lit(1.0)),
+        "marks": 1 - F.least(marks / float(MARK_POOL) / 0.35, F.lit(1.0)),
+    }
+    score = sum((w * signals[name] for name, w in SIGNAL_WEIGHTS.items()), F.lit(0.0))
+    return sizes.select("doc_id", F.round(F.when(F.col("n") < 80, 0.0).otherwise(score), 5).alias("likelihood"))
 
 
 # --- entity resolution ------------------------------------------------------------------------
@@ -492,7 +530,12 @@ def digit_run(c, least):
     return F.contains(F.array_join(steps, ""), F.lit("1" * (least - 1)))
 
 
-@query("c14_fake_identifiers")
+STEPS = "array_to_string(list_transform(range(2, length(d) + 1), lambda i: CASE WHEN (CAST(substr(d, i, 1) AS INT) - CAST(substr(d, i - 1, 1) AS INT) + 10) % 10 = 1 THEN '1' ELSE '0' END), '')"
+
+
+@query("c14_fake_identifiers", f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), i AS (SELECT DISTINCT k, id, 'doi' AS kind, regexp_replace(split_part(id, '/', 2), '[^0-9]', '', 'g') AS d FROM (SELECT k, '10.' || (1000 + c) || '/abc.' || k AS id FROM o UNION ALL SELECT k, '10.5555/' || CASE WHEN k % 3 = 0 THEN '1234567.8901234' ELSE 'x' || k END FROM o)
+UNION ALL SELECT k, lpad(CAST(k % 30 AS VARCHAR), 2, '0') || lpad(CAST(k % 14 AS VARCHAR), 2, '0') || '.' || lpad(CAST(k * 7919 % 100000 AS VARCHAR), 5, '0'), 'arxiv', lpad(CAST(k * 7919 % 100000 AS VARCHAR), 5, '0') FROM o)
+SELECT k AS o_orderkey, id, kind FROM i WHERE (kind = 'doi' AND contains({STEPS}, '11111')) OR (kind = 'arxiv' AND (k % 14 NOT BETWEEN 1 AND 12 OR contains({STEPS}, '1111')))""")
 def c14(spark, sf):
     """Monotone digit runs in DOIs, and arXiv ids whose month is not 1 to 12 or that run."""
     d = dois(spark, sf).where(digit_run(F.element_at(F.split("doi", "/"), 2), 6)).select("o_orderkey", F.col("doi").alias("id"), F.lit("doi").alias("kind"))

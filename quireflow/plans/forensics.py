@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.operators.ranking import rank_within
-from quireflow.plans.registry import query
+from quireflow.plans.registry import ORACLE, QUERIES, query
 from quireflow.session import table
+from quireflow.sources.scratch import materialize
 
 
 def n_rows():
@@ -169,11 +170,38 @@ def sentences_of(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat(*parts).alias("text"))
 
 
-@query("n14_text_flags", f"WITH t AS (SELECT o_orderkey, {PV} AS text FROM orders), x AS (SELECT o_orderkey, CAST(regexp_extract(text, 'std = ([0-9.]+)', 1) AS DOUBLE) AS std, CAST(regexp_extract(text, 'p = ([0-9.]+)', 1) AS DOUBLE) AS p FROM t) SELECT o_orderkey, 'tiny_std' AS flag FROM x WHERE std < 0.05 UNION ALL SELECT o_orderkey, 'marginal_p' FROM x WHERE p BETWEEN 0.04 AND 0.05")
+def plausibility_texts(spark, sf):
+    """A results passage for each order, built from its number: a spread over seeds, a claim on all comparisons, an ablation row, a table with a claimed gain, a list of shares."""
+    k = F.col("o_orderkey")
+    number = lambda c: c.cast("string")
+    step = 2 + k % 3
+    parts = [
+        F.lit("Scores vary by ±0."), number(k % 9), F.lit("% over "), number(k % 7), F.lit(" seeds. All comparisons reach p < "), F.when(k % 4 == 0, "0.001").otherwise("0.05"), F.lit(" with "), number(k % 6), F.lit(" random seeds.\n| - 1."),
+        number(10 + k % 3), F.lit(" | - 2."), number(10 + k % 2), F.lit(" | - 3.10 |\nTable 1: scores\n|m|a|b|\n|base|50|60|\n|ours|55|66|\nwhich is a gain of "), number(10 + k % 30), F.lit("%. Shares are 10%, "),
+        number(10 + step), F.lit("%, "), number(10 + 2 * step), F.lit("%, "), number(10 + 3 * step + F.when(k % 5 == 0, 0).otherwise(1)), F.lit("%."),
+    ]
+    return table(spark, sf, "orders").select("o_orderkey", F.concat(*parts).alias("text"))
+
+
+@query("n14_text_flags", "WITH f AS (SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 9 < 5 AND o_orderkey % 7 >= 3 THEN 'tiny_std' END, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 <= 5 THEN 'all_significant' END, CASE WHEN o_orderkey % 6 = 0 THEN 'same_fraction' END, CASE WHEN o_orderkey % 30 > 10 THEN 'table_contradiction' END, CASE WHEN o_orderkey % 5 = 0 THEN 'progression' END], lambda x: x IS NOT NULL)) AS flag FROM orders) SELECT * FROM f")
 def n14(spark, sf):
-    x = sentences_of(spark, sf).select("o_orderkey", F.regexp_extract("text", "std = ([0-9.]+)", 1).cast("double").alias("std"), F.regexp_extract("text", "p = ([0-9.]+)", 1).cast("double").alias("p"))
-    flags = F.filter(F.array(F.when(F.col("std") < 0.05, "tiny_std"), F.when(F.col("p").between(0.04, 0.05), "marginal_p")), lambda f: f.isNotNull())
-    return x.select("o_orderkey", F.explode(flags).alias("flag"))
+    """Five signals of a text: a spread under half a percent over three seeds or more; every comparison below .001 with five seeds or fewer; ablation steps with one fraction; a claimed gain over ten points above its table's; a list of shares in equal steps."""
+    t, one = F.col("text"), lambda pattern: F.regexp_extract("text", pattern, 1)
+    numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit("([0-9]+(?:\\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    tiny = (one("±\\s*([0-9]+\\.[0-9]+)\\s*%").cast("double") < 0.5) & (one("over ([0-9]+) seeds").cast("int") >= 3)
+    every = F.lower(t).rlike("all comparisons[^\\n]*p < 0?\\.0+1\\b") & (one("([0-9]+) random seeds").cast("int") <= 5)
+    fractions = F.regexp_extract_all("text", F.lit("\\|\\s*-\\s*[0-9]+\\.([0-9]{2})(?=\\s*\\|)"), F.lit(1))
+    same = (F.size(fractions) >= 3) & (F.size(F.array_distinct(fractions)) == 1)
+    cells = F.transform(F.filter(F.split(t, "\\n"), lambda r: r.rlike("^\\|[a-z]+\\|[0-9]")), numbers)
+    gains = F.filter(F.zip_with(cells[0], F.element_at(cells, -1), lambda b, p: (p - b) / b * 100), lambda g: g > 0)
+    mean = F.aggregate(gains, F.lit(0.0), lambda acc, g: acc + g) / F.size(gains)
+    contradicted = one("gain of ([0-9.]+)%").cast("double") - mean > 10.0001
+    shares = numbers(one("((?:[0-9]+%, ){3,}[0-9]+%)"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(shares) - 1), lambda i: F.round(F.get(shares, i) - F.get(shares, i - 1), 6))
+    even = (F.size(shares) >= 4) & (F.size(F.array_distinct(steps)) == 1) & ~F.abs(steps[0]).isin(0.0, 1.0)
+    named = zip(("tiny_std", "all_significant", "same_fraction", "table_contradiction", "progression"), (tiny, every, same, contradicted, even), strict=True)
+    flags = F.filter(F.array(*[F.when(test, name) for name, test in named]), lambda f: f.isNotNull())
+    return plausibility_texts(spark, sf).select("o_orderkey", F.explode(flags).alias("flag"))
 
 
 @query("n15_flag_penalty", "WITH f AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_discount >= 0.09) AS BIGINT) AS strong, CAST(count(*) FILTER (WHERE l_discount = 0) AS BIGINT) AS weak FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(round(least(0.15, 0.05 * strong + 0.03 * weak), 6) AS DOUBLE) AS penalty, strong + weak >= 2 AS red_line FROM f")
@@ -390,15 +418,31 @@ def n35(spark, sf):
     return d.select("doc_id", F.when(share > 0.7, "zh").when(share >= 0.3, "mixed").otherwise("en").alias("language"))
 
 
-@query("n36_whole_audit", f"""WITH a AS (SELECT l_suppkey AS entity, 'LAST_DIGIT' AS type FROM (SELECT * FROM ({DIGIT} SELECT l_suppkey, sum((o - n / 10.0) * (o - n / 10.0) / (n / 10.0)) + (10 - count(*)) * n / 10.0 AS chi2 FROM c JOIN t USING (l_suppkey) GROUP BY l_suppkey, n)) WHERE chi2 > 16.92),
-b AS (SELECT DISTINCT l_suppkey AS entity, 'CROSS_GROUP' AS type FROM lineitem WHERE l_extendedprice IN (SELECT l_extendedprice FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 3)),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT entity, type, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY entity ORDER BY type) AS VARCHAR), 3, '0') AS finding_id FROM u""")
+#: Checks of the audit: type, query, kind of entity, its column, and which rows are findings.
+CHECKS = [
+    ("BENFORD", "n12_benford", "group", "g", "flagged"), ("COMPLEMENT", "n7_complementary_series", "order", "e", "true"), ("GRIM_TEXT", "n14_text_flags", "order", "o_orderkey", "flag = 'tiny_std'"), ("LAST_DIGIT", "n5_last_digit", "supplier", "l_suppkey", "flagged"),
+    ("OFFSET", "n11_constant_offset", "order", "e", "true"), ("PROGRESSION", "n9_progression", "order", "e", "true"), ("P_CURVE", "n18_p_curve", "customer", "o_custkey", "clustered OR cliff OR repeated"), ("REPEAT", "n10_repeats", "order", "l_orderkey", "true"), ("TABLE", "n14_text_flags", "order", "o_orderkey", "flag = 'table_contradiction'"),
+]
+
+
+def _audit_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT '{kind}:' || {col} AS entity, '{name}' AS type FROM ({ORACLE[q]}) WHERE {test}" for name, q, kind, col, test in CHECKS)
+    cross = "SELECT DISTINCT 'supplier:' || l_suppkey, 'CROSS_GROUP' FROM lineitem WHERE l_extendedprice IN (SELECT l_extendedprice FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 3)"
+    names = ", ".join(f"'{c[0]}'" for c in CHECKS)
+    return f"WITH u AS ({found} UNION ALL {cross}), c AS (SELECT unnest([{names}, 'CROSS_GROUP']) AS type) SELECT entity, type, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY entity ORDER BY type) AS VARCHAR), 3, '0') AS finding, 1 AS n FROM u UNION ALL SELECT 'all', c.type, CASE WHEN count(u.type) > 0 THEN 'found' ELSE 'clean' END, count(u.type) FROM c LEFT JOIN u USING (type) GROUP BY c.type"
+
+
+@query("n36_whole_audit", _audit_sql())
 def n36(spark, sf):
-    """Checks return findings of one shape; the audit is their union, numbered for each entity."""
-    last = n5(spark, sf).where("flagged").select(F.col("l_suppkey").alias("entity"), F.lit("LAST_DIGIT").alias("type"))
+    """All checks give findings of one shape; the audit is their union, numbered for each entity, and a row for each check with its status and count."""
+    parts = [QUERIES[q](spark, sf).where(test).select(F.concat(F.lit(f"{kind}:"), F.col(col).cast("string")).alias("entity"), F.lit(name).alias("type")) for name, q, kind, col, test in CHECKS]
     hot = n4(spark, sf).where("grps >= 3").select(F.col("value").alias("l_extendedprice"))
-    cross = li_of(spark, sf).join(hot, "l_extendedprice", "left_semi").select(F.col("l_suppkey").alias("entity"), F.lit("CROSS_GROUP").alias("type")).distinct()
-    return last.unionByName(cross).withColumn("finding_id", F.format_string("F-%03d", rank_within("entity", F.asc("type"))))
+    parts.append(li_of(spark, sf).join(hot, "l_extendedprice", "left_semi").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("entity"), F.lit("CROSS_GROUP").alias("type")).distinct())
+    found = materialize(reduce(lambda a, b: a.unionByName(b), parts), "findings")
+    numbered = found.withColumn("finding", F.format_string("F-%03d", rank_within("entity", F.asc("type")))).withColumn("n", F.lit(1).cast("long"))
+    checks = spark.createDataFrame([(c[0],) for c in CHECKS] + [("CROSS_GROUP",)], "type string")
+    counts = checks.join(found.groupBy("type").agg(n_rows().alias("n")), "type", "left").na.fill(0)
+    return numbered.unionByName(counts.select(F.lit("all").alias("entity"), "type", F.when(F.col("n") > 0, "found").otherwise("clean").alias("finding"), "n"))
 
 
 @query("j20_table_claims", f"{CELL} SELECT doc, count(*) AS claims, CAST(count(*) FILTER (WHERE doc % 4 = 0) AS BIGINT) AS mismatched FROM c WHERE row = 1 GROUP BY doc")

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
-from quireflow.operators.ranking import rank_within
+from quireflow.operators.ranking import global_ranks, rank_within
 from quireflow.plans.library import VERDICT, average_rank, largest_remainder, verdict
 from quireflow.plans.registry import query
 from quireflow.session import table
+from quireflow.sources.scratch import materialize
 
 
 def n_rows():
@@ -164,7 +165,9 @@ def k10(spark, sf):
     """Candidate weights by rank correlation with the target; ranks within each candidate."""
     w = spark.sql("SELECT explode(array(0.45D, 0.5D, 0.55D)) AS w")
     m = li_of(spark, sf).crossJoin(F.broadcast(w)).select("w", F.round(F.col("w") * F.col("l_quantity") / 50 + (1 - F.col("w")) * F.col("l_discount") * 10, 9).alias("m"), F.col("l_extendedprice").alias("y"))
-    return m.select("w", average_rank("w", "m").alias("a"), average_rank("w", "y").alias("b")).groupBy("w").agg(rnd(F.corr("a", "b")).alias("rho"))
+    m = materialize(m, "mixed")
+    ranked = m.join(global_ranks(m, "m", "w").select("w", "m", F.col("r").alias("a")), ["w", "m"]).join(global_ranks(m, "y", "w").select("w", "y", F.col("r").alias("b")), ["w", "y"])
+    return ranked.groupBy("w").agg(rnd(F.corr("a", "b")).alias("rho"))
 
 
 @query("k11_cohen_kappa", """WITH p AS (SELECT l_returnflag AS a, CASE WHEN l_partkey % 4 = 0 THEN 'A' ELSE l_returnflag END AS b FROM lineitem), n AS (SELECT count(*) * 1.0::DOUBLE AS n FROM p), x AS (SELECT a, count(*) AS ca FROM p GROUP BY 1), y AS (SELECT b, count(*) AS cb FROM p GROUP BY 1), e AS (SELECT sum(ca * cb) / (SELECT n * n FROM n) AS pe FROM x JOIN y ON a = b), o AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 0 END) / (SELECT n FROM n) AS po FROM p) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM o, e""")
@@ -199,12 +202,12 @@ def k14(spark, sf):
     return li_of(spark, sf).groupBy("l_suppkey").agg(rnd(F.corr("l_quantity", "l_extendedprice")).alias("r"), rnd(F.avg(F.abs(d))).alias("mae"), rnd(F.avg(d)).alias("bias"))
 
 
-def auc(df, score, truth, by):
-    """Rank-sum form with averaged ties."""
-    r = df.withColumn("__r", average_rank(by, score))
-    p = F.count_if(truth == 1)
-    n = F.count_if(truth == 0)
-    return r.groupBy(by).agg(((F.sum(F.when(truth == 1, F.col("__r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+def auc(df, score, truth):
+    """Rank-sum form with averaged ties; ranks of all rows by counts of distinct scores."""
+    x = df.select(F.col(score).alias("score"), truth.alias("truth"))
+    r = x.groupBy("score", "truth").agg(n_rows().alias("k")).join(global_ranks(x, "score").drop("n"), "score")
+    p, n = (F.sum(F.when(F.col("truth") == v, F.col("k")).otherwise(0)) for v in (1, 0))
+    return r.agg(((F.sum(F.when(F.col("truth") == 1, F.col("r") * F.col("k"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
 
 AUC = f"WITH {S}, r AS (SELECT 1 AS g, human, {RANKED.format('1', 'score')} AS r FROM s) SELECT round((sum(CASE WHEN human = 1 THEN r END) - count(*) FILTER (WHERE human = 1) * (count(*) FILTER (WHERE human = 1) + 1) / 2.0) / (count(*) FILTER (WHERE human = 1) * count(*) FILTER (WHERE human = 0)), 6) AS auc FROM r"
@@ -213,10 +216,7 @@ AUC = f"WITH {S}, r AS (SELECT 1 AS g, human, {RANKED.format('1', 'score')} AS r
 @query("k15_auc", AUC)
 def k15(spark, sf):
     """Ranks come from counts of distinct scores, so that no task sorts all rows."""
-    c = scored(spark, sf).groupBy("score").agg(F.count_if(F.col("human") == 1).alias("p"), F.count_if(F.col("human") == 0).alias("n"))
-    below = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    won = F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2)
-    return c.select("p", "n", won.alias("w")).agg(rnd(F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return auc(scored(spark, sf), "score", F.col("human")).select(rnd("auc").alias("auc"))
 
 
 @query("k16_threshold_metrics", f"WITH {S}, c AS (SELECT {CONF.format('score >= 0.5')} FROM s) SELECT tp, fp, fn, tn, round(tp * 1.0 / (tp + fp), 6) AS prec, round(tp * 1.0 / (tp + fn), 6) AS rec, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(tp * 1.0 / (tp + fn) + tn * 1.0 / (tn + fp) - 1, 6) AS youden, round((abs(fp - fn) - 1) * (abs(fp - fn) - 1) * 1.0 / (fp + fn), 6) AS mcnemar FROM c")
@@ -228,14 +228,14 @@ def k16(spark, sf):
     return c.select("*", rnd(tp / (tp + fp)).alias("prec"), rnd(tp / (tp + fn)).alias("rec"), rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(tp / (tp + fn) + tn / (tn + fp) - 1).alias("youden"), rnd(off * off / (fp + fn)).alias("mcnemar"))
 
 
-@query("k17_isotonic")
+@query("k17_isotonic", f"""WITH {S}, d AS (SELECT score, sum(human) * 1.0::DOUBLE AS h, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM s GROUP BY score), c AS (SELECT i, score, sum(h) OVER (ORDER BY i) AS hs, sum(n) OVER (ORDER BY i) AS ns, h, n FROM d),
+m AS (SELECT a.i AS a, b.i AS b, (b.hs - a.hs + a.h) / (b.ns - a.ns + a.n) AS m FROM c a JOIN c b ON b.i >= a.i), t AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m), f AS (SELECT i, max(low) AS y FROM t GROUP BY 1)
+SELECT doc_id, round(y, 6) AS calibrated FROM s JOIN d USING (score) JOIN f USING (i)""")
 def k17(spark, sf):
-    """Pool-adjacent-violators fit; prediction is the value at the greatest boundary not above the score, as a step."""
+    """Pool-adjacent-violators fit, applied to the rows it was fitted on (for a score between two fitted ones the model interpolates)."""
     s = scored(spark, sf).select("doc_id", "score", F.col("human").cast("double").alias("label"))
     model = IsotonicRegression(featuresCol="score", labelCol="label").fit(s)
-    steps = spark.createDataFrame(list(zip(map(float, model.boundaries), map(float, model.predictions), strict=True)), "b double, p double")
-    step = s.join(F.broadcast(steps), F.col("b") <= F.col("score"), "left").groupBy("doc_id").agg(F.max_by("p", "b").alias("p"))
-    return step.select("doc_id", rnd(F.coalesce("p", F.lit(float(model.predictions[0])))).alias("calibrated"))
+    return model.transform(s).select("doc_id", rnd("prediction").alias("calibrated"))
 
 
 @query("k18_ridge_blend")
@@ -245,7 +245,7 @@ def k18(spark, sf):
     s = VectorAssembler(inputCols=["score", "second"], outputCol="x").transform(s).withColumn("label", F.col("human").cast("double"))
     train, val = s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1")
     models = [LinearRegression(featuresCol="x", labelCol="label", regParam=a, elasticNetParam=0.0, solver="normal").fit(train) for a in (0.01, 0.1, 1.0)]
-    rated = [auc(m.transform(val).withColumn("g", F.lit(1)), "prediction", F.col("human"), "g").first()["auc"] for m in models]
+    rated = [auc(m.transform(val), "prediction", F.col("human")).first()["auc"] for m in models]
     best = models[max(range(3), key=lambda i: (rated[i], -i))]
     return best.transform(s).select("doc_id", rnd("prediction").alias("blend"))
 
@@ -398,8 +398,8 @@ def k26(spark, sf):
 
 @query("k27_prediction_vs_annotation", f"WITH p AS (SELECT doc_id, least(n_chars / 5000.0::DOUBLE, 1) AS p FROM documents), x AS (SELECT l.doc_id, p, quality, toxic, {RANKED.format('1', 'p')} AS rp FROM labels l JOIN p USING (doc_id)) SELECT round(corr(rp, quality), 6) AS rank_corr, round((sum(CASE WHEN toxic = 1 THEN rp END) - count(*) FILTER (WHERE toxic = 1) * (count(*) FILTER (WHERE toxic = 1) + 1) / 2.0) / (count(*) FILTER (WHERE toxic = 1) * count(*) FILTER (WHERE toxic = 0)), 6) AS auc FROM x")
 def k27(spark, sf):
-    x = scored(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").withColumn("g", F.lit(1))
-    r = x.withColumn("r", average_rank("g", "score"))
+    x = scored(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    r = x.join(global_ranks(x, "score").drop("n"), "score")
     p, n = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
     return r.agg(rnd(F.corr("r", "human")).alias("rank_corr"), rnd((F.sum(F.when(F.col("toxic") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
 

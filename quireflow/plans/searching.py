@@ -93,7 +93,17 @@ def r2(spark, sf):
     return hit.select("item_id", "doc_id", "term", F.concat(text.substr(left, at - left), F.lit("["), text.substr(at, n), F.lit("]"), text.substr(at + n, F.lit(30))).alias("snippet"))
 
 
-@query("r5_mmr_rerank")
+def _mmr_sql(top: int) -> str:
+    """Greedy choice, one step a table."""
+    out = f"WITH {VEC}, c AS (SELECT query_id, doc_id, score AS rel, embedding AS v FROM vr JOIN embeddings ON vec_id = doc_id WHERE rank <= 50), w0 AS (SELECT DISTINCT query_id, []::STRUCT(d BIGINT, m DOUBLE)[] AS sel FROM c)"
+    dot = "list_dot_product(c.v::DOUBLE[], x.v::DOUBLE[]) / sqrt(list_dot_product(c.v::DOUBLE[], c.v::DOUBLE[]) * list_dot_product(x.v::DOUBLE[], x.v::DOUBLE[]))"
+    for k in range(top):
+        out += f""", u{k} AS (SELECT query_id, unnest(sel).d AS d FROM w{k}), n{k} AS (SELECT c.query_id, c.doc_id, any_value(c.rel) AS rel, max({dot}) AS near FROM c LEFT JOIN u{k} ON u{k}.query_id = c.query_id LEFT JOIN c x ON x.query_id = c.query_id AND x.doc_id = u{k}.d WHERE (c.query_id, c.doc_id) NOT IN (SELECT (query_id, d) FROM u{k}) GROUP BY ALL),
+b{k} AS (SELECT query_id, max({{'m': round(0.7 * rel - 0.3 * coalesce(near, 0), 9), 'less': -doc_id}}) AS b FROM n{k} GROUP BY 1), w{k + 1} AS (SELECT query_id, list_append(sel, {{'d': -b.less, 'm': b.m}}) AS sel FROM w{k} JOIN b{k} USING (query_id))"""
+    return out + f" SELECT query_id, x.d AS doc_id, rank, x.m AS mmr FROM (SELECT query_id, unnest(sel) AS x, unnest(range(1, len(sel) + 1)) AS rank FROM w{top})"
+
+
+@query("r5_mmr_rerank", _mmr_sql(10))
 def r5(spark, sf):
     found = R.vector_top(query_vectors(spark, sf), vectors_of(spark, sf), 50).select("query_id", "doc_id", F.col("score").alias("relevance"))
     return R.mmr(found.join(vectors_of(spark, sf), "doc_id"), 10)
