@@ -104,11 +104,14 @@ def s12(spark, sf):
     return both.groupBy("vec_id").agg(F.max_by("label", "p").alias("label"))
 
 
-@query("s14_idempotent_import", "SELECT event_type AS keyword, CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE event_id % 3 <> 0) AS BIGINT) AS added FROM events GROUP BY 1")
+@query("s14_idempotent_import", "SELECT event_type AS keyword, CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 10 <> 1) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 10 = 1) AS BIGINT) AS failed FROM events GROUP BY 1")
 def s14(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("keyword"))
+    """Ids that are there are skipped; of the others, records without a title fail and the rest are added."""
+    title = F.when(F.col("event_id") % 10 != 1, F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("keyword"), title.alias("title"))
     there = e.where("event_id % 3 = 0").select("event_id", F.lit(1).alias("seen"))
-    return e.join(there, "event_id", "left").groupBy("keyword").agg(F.count("seen").alias("skipped"), (n_rows() - F.count("seen")).alias("added"))
+    both = e.join(there, "event_id", "left")
+    return both.groupBy("keyword").agg(F.count("seen").alias("skipped"), F.count_if(F.expr("seen IS NULL AND title IS NOT NULL")).alias("added"), F.count_if(F.expr("seen IS NULL AND title IS NULL")).alias("failed"))
 
 
 @query("s15_hash_cache", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 8 = 0")

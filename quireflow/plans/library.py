@@ -31,31 +31,46 @@ def f1(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.translate(F.lower(F.trim(F.concat(F.lit(" "), "p_name", F.lit(" ")))), " -", "__").alias("category"))
 
 
-REPORT, PAPER = ["report", "reflection", "thoughts", "notes", "reading"], ["abstract", "introduction", "methods", "references", "conclusion"]
+# Cues of reports and structure words of papers.
+REPORT = ("读后感", "感悟", "感想", "思考", "反思", "复现", "实验感悟", "读后", "report", "reflection", "thoughts", "notes", "reading", "笔记", "实验复现", "学习笔记", "阅读笔记", "批判性思考", "心得", "体会", "读后有感", "论文笔记")
+PAPER = ("Abstract", "ABSTRACT", "摘要", "Introduction", "INTRODUCTION", "引言", "Methodology", "METHODOLOGY", "Methods", "References", "参考文献", "Experiment", "EXPERIMENT", "实验", "Conclusion", "CONCLUSION", "结论")
 
 
-@query("f7_document_type", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'My Reading of item ' || doc_id ELSE 'Item ' || doc_id END AS title, CASE WHEN doc_id % 13 = 0 THEN text || ' some Notes' ELSE text END AS body FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(lower(title), 'report|reflection|thoughts|notes|reading') OR regexp_matches(lower(body), 'report|reflection|thoughts|notes|reading') THEN 'report' ELSE 'paper' END AS kind FROM d""")
+@query("f7_document_type", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'Paper' WHEN doc_id % 19 = 0 THEN ' report ' END AS hint, CASE WHEN doc_id % 11 = 0 THEN 'My Reading of item ' || doc_id WHEN doc_id % 11 = 1 THEN doc_id || ' 读后感' ELSE 'Item ' || doc_id END AS title, CASE WHEN doc_id % 13 = 0 THEN text || ' some Notes' WHEN doc_id % 13 = 1 THEN text || ' Abstract Methods 结论' ELSE text END AS body FROM documents)
+SELECT doc_id, CASE WHEN lower(trim(coalesce(hint, ''))) IN ('paper', 'report') THEN lower(trim(hint)) WHEN regexp_matches(lower(title), '{"|".join(REPORT)}') OR regexp_matches(lower(body), '{"|".join(REPORT)}') THEN 'report' ELSE 'paper' END AS kind,
+ CAST({" + ".join(f"CASE WHEN contains(body, '{w}') THEN 1 ELSE 0 END" for w in PAPER)} AS INTEGER) AS structure FROM d""")
 def f7(spark, sf):
-    """A report cue in title or text makes a report; structure words and length cannot change the default, paper."""
-    d = table(spark, sf, "documents")
-    title = F.concat(F.when(F.col("doc_id") % 11 == 0, "My Reading of item ").otherwise("Item "), F.col("doc_id").cast("string"))
-    body = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit(" some Notes"))).otherwise(F.col("text"))
-    cue = (X.hits(F.lower(title), REPORT) > 0) | (X.hits(F.lower(body), REPORT) > 0)
-    return d.select("doc_id", F.when(cue, "report").otherwise("paper").alias("kind"))
-
-
-FIELDS = "(('cs.CL', 1, 'language'), ('cs.LG', 2, 'learning'), ('cs', 3, 'computing'), ('math', 4, 'mathematics'))"
-
-
-@query("f8_discipline", """WITH m AS (SELECT * FROM (VALUES ('ECONOMY', 1, 'language'), ('STANDARD', 2, 'learning'), ('PROMO', 3, 'computing')) AS t(code, priority, class)),
-c AS (SELECT p_partkey, unnest([p_type, split_part(p_name, ' ', 1)]) AS code FROM part)
+    """A hint decides; else a report cue in title or text makes a report, and all other texts are papers, with or without structure words (of which the number is given) and whatever their length."""
+    k = F.col("doc_id")
+    hint = F.when(k % 17 == 0, "Paper").when(k % 19 == 0, " report ")
+    title = F.when(k % 11 == 0, F.concat(F.lit("My Reading of item "), k.cast("string"))).when(k % 11 == 1, F.concat(k.cast("string"), F.lit(" 读后感"))).otherwise(F.concat(F.lit("Item "), k.cast("string")))
+    body = F.when(k % 13 == 0, F.concat("text", F.lit(" some Notes"))).when(k % 13 == 1, F.concat("text", F.lit(" Abstract Methods 结论"))).otherwise(F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.lower(F.trim(F.coalesce(hint, F.lit("")))).alias("hint"), title.alias("title"), X.once(body).alias("body"))
+    cue = F.lower("title").rlike("|".join(REPORT)) | F.lower("body").rlike("|".join(REPORT))
+    kind = F.when(F.col("hint").isin("paper", "report"), F.col("hint")).when(cue, "report").otherwise("paper")
+    return d.select("doc_id", kind.alias("kind"), X.hits("body", list(PAPER)).cast("int").alias("structure"))
+
+
+# Code prefixes by priority, with their class.
+FIELDS = {
+    "cs": "engineering", "eess": "engineering", "math": "science", "physics": "science", "astro-ph": "science", "cond-mat": "science", "gr-qc": "science", "hep-ex": "science", "hep-lat": "science", "hep-ph": "science",
+    "hep-th": "science", "math-ph": "science", "nlin": "engineering", "nucl-ex": "science", "nucl-th": "science", "quant-ph": "science", "q-bio": "medicine", "q-fin": "economics", "stat": "science", "econ": "economics",
+}
+FIELD_ROWS = ", ".join(f"('{code}', {i}, '{name}')" for i, (code, name) in enumerate(FIELDS.items()))
+FIELD_CODES = [*FIELDS, "other"]
+
+
+@query("f8_discipline", f"""WITH m AS (SELECT * FROM (VALUES {FIELD_ROWS}) AS t(code, priority, class)), l AS (SELECT [{", ".join(f"'{c}'" for c in FIELD_CODES)}] AS codes),
+c AS (SELECT p_partkey, unnest([codes[p_partkey % 21 + 1], codes[p_size * 5 % 21 + 1]]) AS code FROM part, l)
 SELECT p_partkey, coalesce(min_by(class, priority), 'interdisciplinary') AS discipline FROM c LEFT JOIN m USING (code) GROUP BY p_partkey""")
 def f8(spark, sf):
-    codes = spark.sql("SELECT * FROM VALUES ('ECONOMY', 1, 'language'), ('STANDARD', 2, 'learning'), ('PROMO', 3, 'computing') AS t(code, priority, class)")
-    own = table(spark, sf, "part").select("p_partkey", F.explode(F.array("p_type", F.split("p_name", " ")[0])).alias("code"))
-    best = own.join(F.broadcast(codes), "code", "left").groupBy("p_partkey").agg(F.min_by("class", "priority").alias("best"))
-    return best.select("p_partkey", F.coalesce("best", F.lit("interdisciplinary")).alias("discipline"))
+    """The class of a record's first code by priority; codes are folded and cut at their dot. The map is a row of columns, so nothing is joined or shuffled."""
+    code = lambda i: F.get(F.array(*map(F.lit, FIELD_CODES)), (i % len(FIELD_CODES)).cast("int"))
+    raw = F.array(F.concat(F.lit(" "), F.upper(code(F.col("p_partkey"))), F.lit(".XY ")), code(F.col("p_size") * 5))
+    own = table(spark, sf, "part").select("p_partkey", X.once(F.transform(raw, lambda c: F.substring_index(F.lower(F.trim(c)), ".", 1))).alias("own"))
+    first = F.get(F.filter(F.array(*map(F.lit, FIELDS)), lambda c: F.array_contains("own", c)), F.lit(0))
+    names = F.create_map(*(F.lit(x) for pair in FIELDS.items() for x in pair))
+    return own.select("p_partkey", F.coalesce(names[first], F.lit("interdisciplinary")).alias("discipline"))
 
 
 @query("f9_bulk_remap", """WITH m AS (SELECT * FROM (VALUES ('1-URGENT', 'high'), ('2-HIGH', 'high'), ('3-MEDIUM', 'normal'), ('4-NOT SPECIFIED', 'normal')) AS t(old, new))
@@ -569,13 +584,19 @@ def w16(spark, sf):
     return largest_remainder(table(spark, sf, "customer").groupBy("c_mktsegment").agg(n_rows().alias("n")), "c_mktsegment", "n", 101)
 
 
-@query("w17_stratified_sample", f"{LR}, h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('s' || c_custkey), c_custkey) AS k FROM customer) SELECT c_custkey, c_mktsegment FROM h JOIN seats USING (c_mktsegment) WHERE k <= seats")
+QUOTA = 100
+
+
+@query("w17_stratified_sample", f"WITH h AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('s' || doc_id), doc_id) AS k FROM labels), n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), o AS (SELECT a.quality, {QUOTA} + greatest(0, {QUOTA} - coalesce(b.n, 0)) AS room FROM n a LEFT JOIN n b ON b.quality <> a.quality) SELECT doc_id, quality FROM h JOIN o USING (quality) WHERE k <= room")
 def w17(spark, sf):
-    """Hash-ordered draw within strata, so the sample is the same on every run."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    seats = largest_remainder(c.groupBy("c_mktsegment").agg(n_rows().alias("n")), "c_mktsegment", "n", 101).select("c_mktsegment", "seats")
-    k = rank_within("c_mktsegment", F.md5(F.concat(F.lit("s"), F.col("c_custkey").cast("string"))), F.col("c_custkey"))
-    return c.withColumn("k", k).join(F.broadcast(seats), "c_mktsegment").where("k <= seats").select("c_custkey", "c_mktsegment")
+    """The same number of both classes in hash order, so that the sample is the same on every run; what one lacks is filled from the other. The window keeps its first rows in every task before the shuffle."""
+    c = table(spark, sf, "labels").select("doc_id", "quality")
+    n = c.groupBy("quality").agg(n_rows().alias("n"))
+    other = n.agg(F.sum("n").alias("all"))
+    room = QUOTA + F.greatest(F.lit(0), QUOTA - (F.col("all") - F.col("n")))
+    k = rank_within("quality", F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))), F.col("doc_id"))
+    first = c.withColumn("k", k).where(F.col("k") <= 2 * QUOTA)
+    return first.join(n.crossJoin(other), "quality").where(F.col("k") <= room).select("doc_id", "quality")
 
 
 @query("w18_split", "WITH h AS (SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('t' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY quality, toxic) AS n FROM labels) SELECT doc_id, quality, toxic, CASE WHEN k <= floor(n * 0.6) THEN 'train' WHEN k <= floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS part FROM h")
