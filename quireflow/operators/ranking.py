@@ -48,6 +48,19 @@ def postings(docs: DataFrame, asked: DataFrame | None = None, key: str = "doc_id
     return words.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def containing(docs: DataFrame, terms: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents joined with the terms that their lower-cased text contains; a term is a run of n or more of the letters a to z.
+
+    A term stands within a run of letters of the text, so its first n letters are one of the
+    run's n-grams: an equality join finds the candidates and the term itself is looked for then.
+    """
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: w.substr(i, F.lit(n)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{{n},}}"), F.lit(0)))
+    keys = docs.select(key, F.explode(F.array_distinct(F.flatten(F.transform(words, grams)))).alias("__head"))
+    found = keys.join(terms.withColumn("__head", F.substring("term", 1, n)), "__head").drop("__head")
+    return docs.join(found, key).where(F.contains(F.lower(text), F.col("term")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top: int, key: str = "doc_id", qkey: str = "query_id", text: str = "text", qtext: str = "qtext") -> DataFrame:
     """qkey, key, score, rank of the best `top` documents for every query by BM25 over its distinct tokens of 2 or more characters.
 

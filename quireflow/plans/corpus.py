@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
 from quireflow.operators.components import connected_components
-from quireflow.operators.ranking import rank_within
+from quireflow.operators.ranking import rank_within, vector_top
 from quireflow.plans.registry import query
 from quireflow.session import table
 from quireflow.sources.scratch import materialize
@@ -390,13 +390,24 @@ def e10(spark, sf):
 # --- citations --------------------------------------------------------------------------------
 
 
-@query("c1_citation_contexts", "WITH b AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}')))[1] AS title FROM benchmark) SELECT item_id, doc_id, strpos(lower(text), title) AS pos, length(substr(text, greatest(1, strpos(lower(text), title) - 400), 800)) AS chars FROM b JOIN documents ON contains(lower(text), title)")
+TITLES = r"b AS (SELECT item_id, array_to_string(w[1:3], ' ') AS title FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= 3 AND length(array_to_string(w[1:3], ' ')) >= 10), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents)"
+
+
+@query("c1_citation_contexts", f"WITH {TITLES}, h AS (SELECT item_id, doc_id, t, title, strpos(' ' || t || ' ', ' ' || title || ' ') AS pos FROM b JOIN d ON contains(' ' || t || ' ', ' ' || title || ' ')) SELECT item_id, doc_id, pos, sha256(substr(t, greatest(1, pos - 400), pos - greatest(1, pos - 400) + length(title) + 400)) AS context FROM h")
 def c1(spark, sf):
-    """First mention of each target (here its first long word) with 400 characters around it."""
-    b = table(spark, sf, "benchmark").select("item_id", F.get(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0)))), F.lit(0)).alias("title")).where("title is not null")
-    at = F.expr("locate(title, lower(text))")
-    hit = docs_of(spark, sf).join(F.broadcast(b), F.contains(F.lower("text"), F.col("title")))
-    return hit.select("item_id", "doc_id", at.cast("long").alias("pos"), F.length(F.col("text").substr(F.greatest(F.lit(1), at - 400), F.lit(800))).cast("long").alias("chars"))
+    """First mention of each title (three words, ten characters or more, word-bounded) with 400 characters around it.
+
+    A title is a run of words, so an equality join on runs finds the documents; texts are joined
+    with what was found.
+    """
+    words = lambda c: F.split(X.normalize(c), " ")
+    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("w")).where(F.size("w") >= 3).select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("title")).where(F.length("title") >= 10)
+    d = docs_of(spark, sf).select("doc_id", X.once(X.normalize("text")).alias("t"))
+    runs = d.select("doc_id", X.once(F.split("t", " ")).alias("w")).select("doc_id", F.explode(X.word_runs(F.col("w"), 3)).alias("title"))
+    hit = d.join(materialize(runs.join(b, "title").select("doc_id", "item_id", "title"), "mentions"), "doc_id")
+    at = F.expr("locate(concat(' ', title, ' '), concat(' ', t, ' '))")
+    left = F.greatest(F.lit(1), at - 400)
+    return hit.select("item_id", "doc_id", at.cast("long").alias("pos"), F.sha2(F.col("t").substr(left, at - left + F.length("title") + 400), 256).alias("context"))
 
 
 #: Words of praise and of criticism.
@@ -439,13 +450,19 @@ def c4(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.when(label == "support", 1).when(label == "criticize", -1).otherwise(0).alias("score"))
 
 
-@query("c5_neighbourhood_graph", f"WITH c AS (SELECT x.vec_id AS centre, y.vec_id AS neighbour, {PAIRCOS} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) SELECT centre, neighbour, w FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY w DESC, neighbour) AS k FROM c) WHERE k <= 5")
+GRAPH = f"c AS (SELECT vec_id AS centre FROM embeddings WHERE vec_id % 20 = 0), ce AS (SELECT DISTINCT doc_id % 100 AS centre, doc_id % 7 AS neighbour FROM documents WHERE doc_id % 100 <> doc_id % 7), ci AS (SELECT centre, neighbour, 1.0 AS w, 'cites' AS kind FROM ce JOIN c USING (centre)), si AS (SELECT x.vec_id AS centre, y.vec_id AS neighbour, {PAIRCOS.replace(', 5)', ', 6)')} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id IN (SELECT centre FROM c) AND x.vec_id NOT IN (SELECT centre FROM ci)), gr AS (SELECT * FROM ci UNION ALL SELECT centre, neighbour, w, 'similar' FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY w DESC, neighbour) AS k FROM si) WHERE k <= 5)"
+
+
+@query("c5_neighbourhood_graph", f"WITH {GRAPH} SELECT centre, neighbour, w, kind FROM gr")
 def c5(spark, sf):
-    """Similarity edges around the stated centres, five each; there are no citing edges to prefer here."""
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    centres = v.where("vec_id % 20 = 0").toDF("centre", "x")
-    pairs = v.toDF("neighbour", "y").join(F.broadcast(centres), F.col("centre") != F.col("neighbour")).select("centre", "neighbour", F.round(X.cosine("x", "y"), 5).alias("w"))
-    return pairs.withColumn("k", rank_within("centre", F.desc("w"), F.asc("neighbour"))).where("k <= 5").drop("k")
+    """Citing edges of the stated centres; centres without any get their five most similar neighbours."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    centres = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("centre"), F.col("vec").alias("qvec"))
+    edges = docs_of(spark, sf).select((F.col("doc_id") % 100).alias("centre"), (F.col("doc_id") % 7).alias("neighbour")).where("centre <> neighbour").distinct()
+    cites = materialize(edges.join(centres.select("centre"), "centre", "left_semi").select("centre", "neighbour", F.lit(1.0).alias("w"), F.lit("cites").alias("kind")), "cites")
+    found = vector_top(centres.join(cites, "centre", "left_anti"), v, 6, key="vec_id", qkey="centre").where("centre <> vec_id")
+    near = found.withColumn("k", rank_within("centre", F.asc("rank"))).where("k <= 5")
+    return cites.unionByName(near.select("centre", F.col("vec_id").alias("neighbour"), F.col("score").alias("w"), F.lit("similar").alias("kind")))
 
 
 @query("c7_citation_validity", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber < 7)), ',') AS valid, CAST(count(DISTINCT l_partkey) FILTER (WHERE l_linenumber = 7) AS BIGINT) AS invalid FROM lineitem GROUP BY 1")
@@ -553,7 +570,7 @@ def c15(spark, sf):
     return g.withColumn("status", F.when(F.col("not_found") > 0, "suspect").when(F.col("verified") > 0, "verified").otherwise("unknown"))
 
 
-@query("c6_related_list", f"WITH c AS (SELECT x.vec_id AS id, y.vec_id AS other, {PAIRCOS} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0), n AS (SELECT l_partkey AS id, count(*) AS cited FROM lineitem GROUP BY 1) SELECT id, other, cited FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, other) AS k FROM c) JOIN n USING (id) WHERE k <= 5")
+@query("c6_related_list", f"WITH {GRAPH}, n AS (SELECT l_partkey AS id, count(*) AS cited FROM lineitem GROUP BY 1) SELECT id, neighbour AS other, cited FROM gr JOIN n ON id = centre")
 def c6(spark, sf):
     n = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(n_rows().alias("cited"))
     return c5(spark, sf).select(F.col("centre").alias("id"), F.col("neighbour").alias("other")).join(n, "id")

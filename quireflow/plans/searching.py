@@ -87,7 +87,7 @@ def j7(spark, sf):
 SELECT item_id, doc_id, w AS term, substr(text, greatest(1, p.pos - 30), p.pos - greatest(1, p.pos - 30)) || '[' || substr(text, p.pos, length(w)) || ']' || substr(text, p.pos + length(w), 30) AS snippet FROM p""")
 def r2(spark, sf):
     words = table(spark, sf, "benchmark").select("item_id", F.get(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))), F.lit(0)).alias("term")).where("term is not null")
-    hit = docs_of(spark, sf).join(F.broadcast(words), F.contains(F.lower("text"), F.col("term")))
+    hit = R.containing(docs_of(spark, sf), words, 9)
     at, text, n = F.expr("locate(term, lower(text))"), F.col("text"), F.length("term")
     left = F.greatest(F.lit(1), at - 30)
     return hit.select("item_id", "doc_id", "term", F.concat(text.substr(left, at - left), F.lit("["), text.substr(at, n), F.lit("]"), text.substr(at + n, F.lit(30))).alias("snippet"))
@@ -360,7 +360,7 @@ h AS (SELECT term, doc_id FROM t JOIN post USING (term)), s AS (SELECT t.term, d
 SELECT term, doc_id, 'index' AS how FROM h UNION ALL SELECT term, doc_id, 'substring' FROM s""")
 def f3(spark, sf):
     terms = spark.sql("SELECT * FROM VALUES ('the'), ('zqx'), ('tion'), ('hein') AS t(term)")
-    hit = R.postings(docs_of(spark, sf)).join(F.broadcast(terms), "term").select("term", "doc_id")
+    hit = R.postings(docs_of(spark, sf), terms).select("term", "doc_id")
     none = terms.join(hit.select("term").distinct(), "term", "left_anti")
     sub = docs_of(spark, sf).join(F.broadcast(none), F.contains(F.lower("text"), F.col("term"))).select("term", "doc_id")
     return hit.withColumn("how", F.lit("index")).unionByName(sub.withColumn("how", F.lit("substring")))
