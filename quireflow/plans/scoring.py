@@ -495,12 +495,23 @@ def k36(spark, sf):
     return r.groupBy("scenario", F.when(F.col("fatal") >= 3, "reject").otherwise(verdict(s)).alias("verdict")).agg(n_rows().alias("n"))
 
 
-@query("k37_score_layers", "WITH u AS (UNPIVOT (SELECT l_quantity / 50 AS base, l_quantity / 50 - l_discount AS raw, greatest(0, l_quantity / 50 - l_discount - l_tax) AS final FROM lineitem) ON base, raw, final INTO NAME layer VALUE v) SELECT layer, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM u GROUP BY 1")
+@query("k37_score_layers", """WITH b AS (SELECT l_quantity / 50 AS base, l_quantity / 50 - l_discount AS raw, greatest(0, l_quantity / 50 - l_discount - l_tax) AS final, l_returnflag FROM lineitem), u AS (UNPIVOT (SELECT base, raw, final FROM b) ON base, raw, final INTO NAME layer VALUE v)
+SELECT layer, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM u GROUP BY 1
+UNION ALL SELECT 'shift_' || CAST(floor(round((raw - final) * 100, 4) / 2) AS INT), count(*), round(avg(raw - final), 6), NULL, NULL, NULL FROM b GROUP BY 1 UNION ALL SELECT 'reason_' || l_returnflag, count(*), round(avg(raw - base), 6), NULL, NULL, NULL FROM b WHERE raw < base GROUP BY 1""")
 def k37(spark, sf):
+    """Moments and percentiles of each layer, a histogram of what the last step takes (bins of .02), and reasons of lowered rows with their mean change."""
     q = F.col("l_quantity") / 50
     raw = q - F.col("l_discount")
-    u = li_of(spark, sf).select(q.alias("base"), raw.alias("raw"), F.greatest(F.lit(0.0), raw - F.col("l_tax")).alias("final")).unpivot([], ["base", "raw", "final"], "layer", "v")
-    return u.groupBy("layer").agg(rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("sd"), rnd(F.percentile("v", F.lit(0.1))).alias("p10"), rnd(F.percentile("v", F.lit(0.9))).alias("p90"))
+    b = li_of(spark, sf).select(q.alias("base"), raw.alias("raw"), F.greatest(F.lit(0.0), raw - F.col("l_tax")).alias("final"), "l_returnflag")
+    pc = F.percentile("v", F.array(F.lit(0.1), F.lit(0.9)))
+    layers = b.select("base", "raw", "final").unpivot([], ["base", "raw", "final"], "layer", "v").groupBy("layer").agg(n_rows().alias("n"), rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("sd"), pc.alias("pc"))
+    layers = layers.select("layer", "n", "mean", "sd", rnd(F.col("pc")[0]).alias("p10"), rnd(F.col("pc")[1]).alias("p90"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("sd", "p10", "p90")]
+    taken = F.col("raw") - F.col("final")
+    counted = lambda df, name, change: df.groupBy(name.alias("layer")).agg(n_rows().alias("n"), rnd(F.avg(change)).alias("mean")).select("layer", "n", "mean", *none)
+    shifts = counted(b, F.concat(F.lit("shift_"), F.floor(F.round(taken * 100, 4) / 2).cast("int").cast("string")), taken)
+    reasons = counted(b.where("raw < base"), F.concat(F.lit("reason_"), "l_returnflag"), F.col("raw") - F.col("base"))
+    return layers.unionByName(shifts).unionByName(reasons)
 
 
 @query("k38_high_but_rejected", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1 AND o_totalprice > 400000 AND o_orderstatus = 'F'")
@@ -527,13 +538,24 @@ def k40(spark, sf):
     return li_of(spark, sf).groupBy(F.col("l_linestatus").alias("gold")).agg(n_rows().alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("flagged"), rnd(F.percentile(s, F.lit(0.25))).alias("q1"), rnd(F.percentile(s, F.lit(0.75))).alias("q3"), F.count_if(F.col("l_returnflag") == "A").alias("skipped"), F.count_if((F.col("l_returnflag") == "A") & (s > 0.9)).alias("errored"), *[F.count_if(F.least(F.floor(s * 10).cast("int"), F.lit(9)) == b).alias(f"bin{b}") for b in range(10)])
 
 
-@query("k41_leave_one_out", "WITH i AS (SELECT l_orderkey AS g, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem), p AS (SELECT a.g, a.i, a.y, avg(b.y) AS m FROM i a JOIN i b ON a.g = b.g AND a.i <> b.i GROUP BY ALL) SELECT g, count(*) AS n, round(avg(abs(y - m)), 4) AS mae FROM p GROUP BY g")
+CLASSES = ("accept", "minor_revision", "major_revision", "reject")
+
+
+@query("k41_leave_one_out", f"""WITH p AS (SELECT l_suppkey AS g, l_quantity AS x, avg(l_extendedprice) / 105000 AS y FROM lineitem GROUP BY ALL), n AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY g ORDER BY x)),
+m AS (SELECT g, y, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (x - x0) * (y1 - y0) / (x1 - x0) END, 9) AS m FROM n WHERE x0 IS NOT NULL OR x1 IS NOT NULL), v AS (SELECT g, y, m, {VERDICT.format('y')} AS a, {VERDICT.format('m')} AS b FROM m),
+c AS (SELECT g, count(*) AS n, avg(abs(y - m)) AS mae, corr(y, m) AS r, count(*) FILTER (WHERE a = b) * 1.0::DOUBLE / count(*) AS po, ({" + ".join(f"count(*) FILTER (WHERE a = '{c}') * count(*) FILTER (WHERE b = '{c}')" for c in CLASSES)}) * 1.0::DOUBLE / (count(*) * count(*)) AS pe FROM v GROUP BY g)
+SELECT g, n, round(mae, 6) AS mae, round(r, 6) AS r, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM c""")
 def k41(spark, sf):
-    """Each row against the mean of its group's others, from group sums instead of a self join."""
-    y = F.col("l_extendedprice")
-    g = li_of(spark, sf).groupBy(F.col("l_orderkey").alias("g")).agg(n_rows().alias("n"), F.sum(y).alias("t")).where("n > 1")
-    rows = li_of(spark, sf).select(F.col("l_orderkey").alias("g"), y.alias("y")).join(g, "g")
-    return rows.groupBy("g").agg(F.max("n").alias("n"), F.round(F.avg(F.abs(F.col("y") - (F.col("t") - F.col("y")) / (F.col("n") - 1))), 4).alias("mae"))
+    """Each point is predicted by the piecewise-linear map through its group's other points (equal scores are averaged first): between its two neighbours, or the one it has. Error, correlation and kappa of verdicts by group, without a self join."""
+    p = li_of(spark, sf).groupBy(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x")).agg((F.avg("l_extendedprice") / 105000).alias("y"))
+    w = Window.partitionBy("g").orderBy("x")
+    n = p.select("g", "x", "y", F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x0 is not null or x1 is not null")
+    between = F.col("y0") + (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+    m = n.select("g", "y", F.round(F.coalesce(between, "y0", "y1"), 9).alias("m")).withColumn("a", verdict(F.col("y"))).withColumn("b", verdict(F.col("m")))
+    both = sum((F.count_if(F.col("a") == c) * F.count_if(F.col("b") == c) for c in CLASSES), F.lit(0))
+    c = m.groupBy("g").agg(n_rows().alias("n"), F.avg(F.abs(F.col("y") - F.col("m"))).alias("mae"), F.corr("y", "m").alias("r"), (F.count_if(F.col("a") == F.col("b")) / n_rows()).alias("po"), (both / (n_rows() * n_rows())).alias("pe"))
+    kappa = F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe")))
+    return c.select("g", "n", rnd("mae").alias("mae"), rnd("r").alias("r"), rnd(kappa).alias("kappa"))
 
 
 @query("k42_class_shift", f"WITH {S}, u AS (SELECT unnest(['before', 'after']) AS phase, unnest([{VERDICT.format('score')}, {VERDICT.format('(score - 0.09)')}]) AS verdict FROM s) SELECT verdict, CAST(count(*) FILTER (WHERE phase = 'before') AS BIGINT) AS before, CAST(count(*) FILTER (WHERE phase = 'after') AS BIGINT) AS after FROM u GROUP BY 1")

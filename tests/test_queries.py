@@ -8,7 +8,7 @@ import pytest
 from quireflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a1_facets", "a10_dimension_statistics", "w2_latest_per_key", "w8_trend_with_gaps", "u4_tag_rename_delete", "j13_fuzzy_title_link", "r1_bm25_search", "r4_hybrid_search", "n12_benford", "n17_grim", "k7_offset_sweep", "k15_auc", "e2_duplicate_groups", "d3_corpus_duplication", "c9_outline_tree", "q1_json_issues", "s4_json_lines", "t9_sessions", "s11_score_sheet", "s13_mirror_findings", "s16_reference_export", "q6_backfill_findings", "w13_node_chunks"]
+NAMES = ["a1_facets", "a10_dimension_statistics", "w2_latest_per_key", "w8_trend_with_gaps", "u4_tag_rename_delete", "j13_fuzzy_title_link", "r1_bm25_search", "r4_hybrid_search", "n12_benford", "n17_grim", "k7_offset_sweep", "k15_auc", "e2_duplicate_groups", "d3_corpus_duplication", "c9_outline_tree", "q1_json_issues", "s4_json_lines", "t9_sessions", "s11_score_sheet", "s13_mirror_findings", "s16_reference_export", "q6_backfill_findings", "w13_node_chunks", "s8_sentence_chunks", "w11_key_sentences", "w12_diverse_chunks", "w14_evidence_pack", "d5_paraphrase", "d7_copy_ratio", "d9_fidelity", "d10_coverage", "d15_generated_likelihood", "d16_leakage_report", "k17_isotonic", "k22_bootstrap_interval", "k41_leave_one_out", "r5_mmr_rerank", "c1_citation_contexts", "c5_neighbourhood_graph", "c14_fake_identifiers", "n14_text_flags", "n36_whole_audit", "t2_debounce", "t4_token_bucket"]
 
 
 def canon(v):
