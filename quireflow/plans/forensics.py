@@ -94,12 +94,16 @@ def series(spark, sf):
     return g.select("e", "pos", "v", F.when(kind == 0, F.col("v") + 0.5).when(kind == 1, 60 - F.col("v")).otherwise(F.col("t")).alias("w"))
 
 
-@query("n7_complementary_series", f"{SER} SELECT e, count(*) AS n, round(max(v + w) - min(v + w), 6) AS spread FROM s GROUP BY e HAVING count(*) >= 4 AND (max(v + w) - min(v + w) < 0.5 OR max(abs(v - w)) < 0.5)")
+@query("n7_complementary_series", f"{SER}, g AS (SELECT e // 10 AS grp, e % 10 AS label, pos, CASE WHEN e % 10 = 1 THEN 60 - ((e - 1) % 7 + 1.5 * pos) WHEN e % 10 = 2 THEN (e - 2) % 7 + 1.5 * pos + 0.2 ELSE v END AS v FROM s) SELECT a.grp, a.label AS a, b.label AS b, count(*) AS n, round(max(a.v + b.v) - min(a.v + b.v), 6) AS spread, round(max(abs(a.v - b.v)), 6) AS gap FROM g a JOIN g b ON a.grp = b.grp AND a.pos = b.pos AND a.label < b.label GROUP BY ALL HAVING count(*) >= 4 AND (max(a.v + b.v) - min(a.v + b.v) < 0.5 OR max(abs(a.v - b.v)) < 0.5)")
 def n7(spark, sf):
-    """Two aligned columns with a constant sum, or nearly equal ones."""
-    total = F.col("v") + F.col("w")
-    g = series(spark, sf).groupBy("e").agg(n_rows().alias("n"), (F.max(total) - F.min(total)).alias("spread"), F.max(F.abs(F.col("v") - F.col("w"))).alias("gap"))
-    return g.where("n >= 4 and (spread < 0.5 or gap < 0.5)").select("e", "n", F.round("spread", 6).alias("spread"))
+    """Pairs of a group's series with a constant sum, or nearly equal ones, at four shared places or more; ten orders make a group."""
+    e, pos = F.col("e"), F.col("pos")
+    v = F.when(e % 10 == 1, 60 - ((e - 1) % 7 + 1.5 * pos)).when(e % 10 == 2, (e - 2) % 7 + 1.5 * pos + 0.2).otherwise(F.col("v"))
+    g = series(spark, sf).select(F.floor(e / 10).alias("grp"), (e % 10).alias("label"), "pos", v.alias("v"))
+    both = g.toDF("grp", "a", "pos", "x").join(g.toDF("grp", "b", "pos", "y"), ["grp", "pos"]).where("a < b")
+    total = F.col("x") + F.col("y")
+    p = both.groupBy("grp", "a", "b").agg(n_rows().alias("n"), (F.max(total) - F.min(total)).alias("spread"), F.max(F.abs(F.col("x") - F.col("y"))).alias("gap"))
+    return p.where("n >= 4 and (spread < 0.5 or gap < 0.5)").select("grp", "a", "b", "n", F.round("spread", 6).alias("spread"), F.round("gap", 6).alias("gap"))
 
 
 @query("n8_cross_figure_duplicates", "WITH f AS (SELECT DISTINCT l_partkey % 200 AS fig, l_extendedprice AS v FROM lineitem), n AS (SELECT fig, count(*) AS n FROM f GROUP BY 1), p AS (SELECT a.fig AS a, b.fig AS b, count(*) AS shared FROM f a JOIN f b ON a.v = b.v AND a.fig < b.fig GROUP BY ALL) SELECT a, b, shared, round(shared * 100.0::DOUBLE / least(x.n, y.n), 6) AS pct FROM p JOIN n x ON x.fig = a JOIN n y ON y.fig = b")
@@ -420,7 +424,7 @@ def n35(spark, sf):
 
 #: Checks of the audit: type, query, kind of entity, its column, and which rows are findings.
 CHECKS = [
-    ("BENFORD", "n12_benford", "group", "g", "flagged"), ("COMPLEMENT", "n7_complementary_series", "order", "e", "true"), ("GRIM_TEXT", "n14_text_flags", "order", "o_orderkey", "flag = 'tiny_std'"), ("LAST_DIGIT", "n5_last_digit", "supplier", "l_suppkey", "flagged"),
+    ("BENFORD", "n12_benford", "group", "g", "flagged"), ("COMPLEMENT", "n7_complementary_series", "orders", "grp", "true"), ("GRIM_TEXT", "n14_text_flags", "order", "o_orderkey", "flag = 'tiny_std'"), ("LAST_DIGIT", "n5_last_digit", "supplier", "l_suppkey", "flagged"),
     ("OFFSET", "n11_constant_offset", "order", "e", "true"), ("PROGRESSION", "n9_progression", "order", "e", "true"), ("P_CURVE", "n18_p_curve", "customer", "o_custkey", "clustered OR cliff OR repeated"), ("REPEAT", "n10_repeats", "order", "l_orderkey", "true"), ("TABLE", "n14_text_flags", "order", "o_orderkey", "flag = 'table_contradiction'"),
 ]
 

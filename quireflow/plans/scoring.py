@@ -66,16 +66,26 @@ OTHERS = {t: tuple(sum(w[k] for o, w in TYPE_WEIGHTS.items() if o != t) / 3 for
 TW = " UNION ALL ".join(f"SELECT '{t}' AS t, {', '.join(f'{x}::DOUBLE AS w{k}, {OTHERS[t][k]!r}::DOUBLE AS o{k}' for k, x in enumerate(w))}" for t, w in TYPE_WEIGHTS.items())
 
 
-@query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, ['A', 'B', 'C', 'D'][(l_suppkey % 4)::INT + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, round(""" + " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4)) + ", 9) AS score FROM i JOIN w USING (t)")
+K1_BASE = " + ".join(f"(least(1, conf / 0.8) * w{k} + (1 - least(1, conf / 0.8)) * o{k}) * d{k}" for k in range(4))
+
+
+@query("k1_type_weighted_score", f"""WITH w AS ({TW}), i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['A', 'B', 'C', 'D'][(l_suppkey % 4)::INT + 1] AS t, 0.5 + l_discount * 5 AS conf, l_quantity / 50 AS d0, l_tax * 10 AS d1, l_discount * 8 AS d2, (l_partkey % 10) / 10.0::DOUBLE AS d3 FROM lineitem),
+b AS (SELECT *, greatest(0, least(1, {K1_BASE})) AS base FROM i JOIN w USING (t)), o AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN greatest(0, least(1, 0.8 * base + 0.2 * (0.3 + (l_partkey % 5) / 10.0))) ELSE base END AS mixed FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(base, 9) AS base, round(CASE WHEN l_linenumber % 3 = 0 THEN greatest(0, least(1, mixed + 0.1 * ((l_suppkey % 11) / 10.0 - 0.5))) ELSE mixed END, 9) AS score FROM o""")
 def k1(spark, sf):
+    """Weights of the own type, blended with the other types' mean below .8 confidence; then an objective score (rows that have one) and the figures' consistency (rows with figures)."""
     rows = ", ".join(f"('{t}', {', '.join(f'{x}D, {OTHERS[t][k]!r}D' for k, x in enumerate(w))})" for t, w in TYPE_WEIGHTS.items())
     weights = spark.sql(f"SELECT * FROM VALUES {rows} AS t(t, {', '.join(f'w{k}, o{k}' for k in range(4))})")
     kind = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("l_suppkey") % 4 + 1).cast("int"))
     dims = [F.col("l_quantity") / 50, F.col("l_tax") * 10, F.col("l_discount") * 8, (F.col("l_partkey") % 10) / 10.0]
-    i = li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("t"), F.least(F.lit(1.0), (0.5 + F.col("l_discount") * 5) / ELASTIC).alias("own"), *[d.alias(f"d{k}") for k, d in enumerate(dims)])
-    score = sum((F.col("own") * F.col(f"w{k}") + (1 - F.col("own")) * F.col(f"o{k}")) * F.col(f"d{k}") for k in range(4))
-    return i.join(F.broadcast(weights), "t").select("l_orderkey", "l_linenumber", "l_partkey", rnd(score, 9).alias("score"))
+    i = li_of(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("t"), F.least(F.lit(1.0), (0.5 + F.col("l_discount") * 5) / ELASTIC).alias("own"), *[d.alias(f"d{k}") for k, d in enumerate(dims)])
+    base = X.clamp(sum((F.col("own") * F.col(f"w{k}") + (1 - F.col("own")) * F.col(f"o{k}")) * F.col(f"d{k}") for k in range(4)))
+    objective = F.when(F.col("l_linenumber") % 2 == 0, 0.3 + (F.col("l_partkey") % 5) / 10.0)
+    figures = F.when(F.col("l_linenumber") % 3 == 0, (F.col("l_suppkey") % 11) / 10.0)
+    b = i.join(F.broadcast(weights), "t").withColumn("base", base)  # a row for each type
+    mixed = F.when(objective.isNotNull(), X.clamp(0.8 * F.col("base") + 0.2 * objective)).otherwise(F.col("base"))
+    score = F.when(figures.isNotNull(), X.clamp(mixed + 0.1 * (figures - 0.5))).otherwise(mixed)
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rnd("base", 9).alias("base"), rnd(score, 9).alias("score"))
 
 
 SEV = "WITH g AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS fatal, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS minor, avg(l_quantity) / 50 AS s FROM lineitem GROUP BY 1)"

@@ -181,24 +181,36 @@ def papers_of(spark, sf):
     return parts.join(cited, "id", "left").select("id", "venue", F.greatest(F.coalesce("c", F.lit(1)), F.lit(1)).alias("citations"), "year")
 
 
-@query("r11_multi_factor_rank", f"""WITH {PAPER}, m AS (SELECT max(citations) AS mc, min(year) AS y0, max(year) AS y1 FROM p)
-SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(0.5 * ln(1 + citations) / ln(1 + mc) + 0.3 * (coalesce(year, y0) - y0) / greatest(y1 - y0, 1) + 0.2 * (CAST(substr(venue, 7) AS INT) % 10) / 10.0, 6) AS score FROM p, m)) WHERE rank <= 50""")
-def r11(spark, sf):
+FACTORS = f"""{PAPER}, t AS (SELECT embedding AS qvec FROM embeddings WHERE vec_id = 0), m AS (SELECT max(citations) AS mc, min(year) AS y0, max(year) AS y1 FROM p),
+f AS (SELECT id, venue, p.citations AS cites, ln(1 + citations) / ln(1 + mc) AS citations, CASE WHEN year IS NULL THEN 0.25 ELSE greatest(0, 1 - (y1 - year) * 1.0::DOUBLE / greatest(y1 - y0, 10)) END AS recency, (CAST(substr(venue, 7) AS INT) % 10) / 10.0::DOUBLE AS journal, greatest(0, coalesce({COS.format(a='qvec', b='embedding')}, 0)) AS similarity
+ FROM p CROSS JOIN m CROSS JOIN t LEFT JOIN embeddings ON vec_id = id)"""
+
+
+def factors(spark, sf):
+    """id, venue, cites and four factors of every paper: similarity to a topic, log citations, recency over ten years or more, journal tier."""
     p = papers_of(spark, sf)
     m = p.agg(F.max("citations").alias("mc"), F.min("year").alias("y0"), F.max("year").alias("y1"))
-    age = (F.coalesce("year", "y0") - F.col("y0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
-    score = 0.5 * F.log1p("citations") / F.log1p("mc") + 0.3 * age + 0.2 * (F.substring("venue", 7, 9).cast("int") % 10) / 10.0
-    top = p.crossJoin(F.broadcast(m)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    topic = vectors_of(spark, sf).where("doc_id = 0").select(F.col("vec").alias("qvec"))
+    both = p.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(topic)).join(vectors_of(spark, sf).withColumnRenamed("doc_id", "id"), "id", "left")  # one row of bounds, one of the topic
+    recency = F.when(F.col("year").isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), 1 - (F.col("y1") - F.col("year")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(10))))
+    similarity = F.greatest(F.lit(0.0), F.coalesce(F.round(X.cosine("qvec", "vec"), 6), F.lit(0.0)))
+    return both.select("id", "venue", F.col("citations").alias("cites"), (F.log1p("citations") / F.log1p("mc")).alias("citations"), recency.alias("recency"), (F.substring("venue", 7, 9).cast("int") % 10 / 10.0).alias("journal"), similarity.alias("similarity"))
+
+
+@query("r11_multi_factor_rank", f"WITH {FACTORS}, s AS (SELECT id, round(greatest(0, least(1, 0.30 * similarity + 0.30 * citations + 0.25 * recency + 0.15 * journal)), 6) AS score FROM f) SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 50")
+def r11(spark, sf):
+    score = 0.30 * F.col("similarity") + 0.30 * F.col("citations") + 0.25 * F.col("recency") + 0.15 * F.col("journal")
+    top = factors(spark, sf).select("id", F.round(X.clamp(score), 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 
-@query("r12_selected_set", f"""WITH {PAPER}, s AS (SELECT * FROM p WHERE venue = 'Brand#3'), m AS (SELECT max(citations) AS mc, min(year) AS y0, max(year) AS y1 FROM s)
-SELECT venue, count(*) AS papers, round(avg(0.5 * ln(1 + citations) / ln(1 + mc) + 0.5 * (coalesce(year, y0) - y0) / greatest(y1 - y0, 1)), 6) AS mean_score, CAST(sum(citations) AS BIGINT) AS citations FROM s, m GROUP BY venue""")
+@query("r12_selected_set", f"WITH {FACTORS}, u AS (SELECT *, unnest(['topic', 'none']) AS mode FROM f WHERE venue = 'Brand#3') SELECT venue, mode, count(*) AS papers, round(avg(CASE WHEN mode = 'topic' THEN 0.30 * similarity + 0.30 * citations + 0.25 * recency + 0.15 * journal ELSE 0.5 * citations + 0.5 * recency END), 6) AS mean_score, CAST(sum(cites) AS BIGINT) AS citations FROM u GROUP BY ALL")
 def r12(spark, sf):
-    p = papers_of(spark, sf).where("venue = 'Brand#3'")
-    m = p.agg(F.max("citations").alias("mc"), F.min("year").alias("y0"), F.max("year").alias("y1"))
-    score = 0.5 * F.log1p("citations") / F.log1p("mc") + 0.5 * (F.coalesce("year", "y0") - F.col("y0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
-    return p.crossJoin(F.broadcast(m)).groupBy("venue").agg(F.count(F.lit(1)).alias("papers"), F.round(F.avg(score), 6).alias("mean_score"), F.sum("citations").alias("citations"))
+    """A selected set, with a topic by all four weights and without one by citations and recency in halves."""
+    s = factors(spark, sf).where("venue = 'Brand#3'").withColumn("mode", F.explode(F.array(F.lit("topic"), F.lit("none"))))
+    whole = 0.30 * F.col("similarity") + 0.30 * F.col("citations") + 0.25 * F.col("recency") + 0.15 * F.col("journal")
+    score = F.when(F.col("mode") == "topic", whole).otherwise(0.5 * F.col("citations") + 0.5 * F.col("recency"))
+    return s.groupBy("venue", "mode").agg(F.count(F.lit(1)).alias("papers"), F.round(F.avg(score), 6).alias("mean_score"), F.sum("cites").alias("citations"))
 
 
 @query("r13_topic_similarity", f"WITH {VEC} SELECT doc_id, greatest(score, 0) AS similarity FROM vs WHERE query_id = 0")
