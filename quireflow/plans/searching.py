@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
 from quireflow.operators import ranking as R
-from quireflow.plans.registry import query
+from quireflow.plans.registry import ORACLE, query
 from quireflow.session import table
 
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -241,27 +241,6 @@ def r14(spark, sf):
     return venue_tier(table(spark, sf, "part").select("p_partkey", venue.alias("venue")), spark).select("p_partkey", "venue", "tier")
 
 
-@query("r15_recommendation_score", f"""WITH {VEC}, f AS (SELECT v.query_id, v.doc_id, greatest(v.score, 0) AS m, n_chars FROM vr v JOIN documents d ON d.doc_id = v.doc_id WHERE rank <= 50),
-g AS (SELECT *, max(n_chars) OVER (PARTITION BY query_id) AS mx FROM f),
-s AS (SELECT query_id, doc_id, round((0.35 * m + 0.25 * ln(1 + n_chars) / ln(1 + mx) + 0.15 * exp(-(doc_id % 20) / 5.0) + 0.2 * CASE WHEN n_chars BETWEEN 500 AND 3000 THEN 1 ELSE 0.4 END + 0.1 * 0.5 + 0.05 * 0.5) / 1.10, 6) AS score FROM g)
-SELECT query_id, doc_id, score, CASE WHEN score >= 0.70 THEN 'strong' WHEN score >= 0.50 THEN 'worth reading' ELSE 'optional' END AS tier FROM s""")
-def r15(spark, sf):
-    """Six weighted factors, whose weights sum to 1.10 and are renormalised; tiers at .70 and .50."""
-    found = R.vector_top(query_vectors(spark, sf), vectors_of(spark, sf), 50)
-    both = found.join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("mx", F.max("n_chars").over(Window.partitionBy("query_id")))
-    parts = [
-        (0.35, F.greatest(F.col("score"), F.lit(0.0))),
-        (0.25, F.log1p("n_chars") / F.log1p("mx")),
-        (0.15, F.exp(-(F.col("doc_id") % 20) / 5.0)),
-        (0.2, F.when(F.col("n_chars").between(500, 3000), 1.0).otherwise(0.4)),
-        (0.1, F.lit(0.5)),
-        (0.05, F.lit(0.5)),
-    ]
-    total = sum(w * c for w, c in parts) / sum(w for w, _ in parts)
-    scored = both.select("query_id", "doc_id", F.round(total, 6).alias("score"))
-    return scored.withColumn("tier", F.when(F.col("score") >= 0.70, "strong").when(F.col("score") >= 0.50, "worth reading").otherwise("optional"))
-
-
 @query("r16_match", f"""WITH {POST}, qw AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark), ve AS (SELECT * FROM embeddings WHERE vec_id % 2 = 0),
 dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents)
 SELECT q.item_id, d.doc_id, CASE WHEN a.vec_id IS NOT NULL AND b.vec_id IS NOT NULL THEN round(({COS.format(a='a.embedding', b='b.embedding')[6:-4]} + 1) / 2, 5)
@@ -298,6 +277,29 @@ def r19(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.round(X.clamp(1 - 10.0 * F.regexp_count("text", F.lit("\\$")) / F.greatest(F.lit(1), words)), 6).alias("readability"))
 
 
+@query("r15_recommendation_score", f"""WITH {VEC}, ci AS ({ORACLE['r18_citable']}), re AS ({ORACLE['r19_readability']}), f AS (SELECT v.query_id, v.doc_id, greatest(v.score, 0) AS m, n_chars, citable, readability, quality FROM vr v JOIN documents d ON d.doc_id = v.doc_id JOIN ci ON ci.doc_id = v.doc_id JOIN re ON re.doc_id = v.doc_id LEFT JOIN labels l ON l.doc_id = v.doc_id WHERE rank <= 50),
+g AS (SELECT *, max(n_chars) OVER (PARTITION BY query_id) AS mx FROM f),
+s AS (SELECT query_id, doc_id, round((0.35 * m + 0.25 * citable + 0.20 * (0.5 * 0.4 + 0.5 * ln(1 + n_chars) / ln(1 + mx)) + 0.10 * exp(-(doc_id % 20) / 5.0) + 0.10 * readability + 0.10 * coalesce(quality, 0.5)) / 1.10, 6) AS score FROM g)
+SELECT query_id, doc_id, score, CASE WHEN score >= 0.70 THEN 'strong' WHEN score >= 0.50 THEN 'worth reading' ELSE 'optional' END AS tier FROM s""")
+def r15(spark, sf):
+    """Match, citable cues, authority (the text's length stands for citations), recency, readability and review (a label, .5 without one); the weights sum to 1.10 and are renormalised; tiers at .70 and .50."""
+    found = R.vector_top(query_vectors(spark, sf), vectors_of(spark, sf), 50)
+    d = table(spark, sf, "documents").select("doc_id", "n_chars").join(r18(spark, sf), "doc_id").join(r19(spark, sf), "doc_id")
+    d = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    both = found.join(d, "doc_id").withColumn("mx", F.max("n_chars").over(Window.partitionBy("query_id")))
+    parts = [
+        (0.35, F.greatest(F.col("score"), F.lit(0.0))),
+        (0.25, F.col("citable")),
+        (0.20, R.authority(F.lit(0.4), F.col("n_chars"), F.col("mx"))),
+        (0.10, F.exp(-(F.col("doc_id") % 20) / 5.0)),
+        (0.10, F.col("readability")),
+        (0.10, F.coalesce(F.col("quality").cast("double"), F.lit(0.5))),
+    ]
+    total = sum(w * c for w, c in parts) / sum(w for w, _ in parts)
+    scored = both.select("query_id", "doc_id", F.round(total, 6).alias("score"))
+    return scored.withColumn("tier", F.when(F.col("score") >= 0.70, "strong").when(F.col("score") >= 0.50, "worth reading").otherwise("optional"))
+
+
 @query("r20_sentence_anchors", """WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s, text FROM documents),
 u AS (SELECT doc_id, text, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos FROM s)
 SELECT doc_id, pos, strpos(text, sentence) AS at, length(sentence) AS n FROM u""")
