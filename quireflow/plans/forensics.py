@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quireflow.functions import text as X
 from quireflow.operators.ranking import rank_within
 from quireflow.plans.registry import ORACLE, QUERIES, query
 from quireflow.session import table
@@ -405,12 +406,52 @@ def n33(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when((bold <= 3) | (hedge >= 5), "medium").otherwise("low").alias("risk"))
 
 
-@query("n34_sections", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS body, unnest(range(1, len(s) + 1)) AS pos FROM s), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(body, 1, 60) ORDER BY pos) AS k FROM u WHERE length(body) >= 30), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM h WHERE k = 1) SELECT doc_id, pos, length(body) AS chars FROM r WHERE n <= 5")
+# Headings, and patterns of the six classes in the order in which a sentence is tried.
+HEADINGS = "abstract|introduction|methods?|results?|discussion|conclusions?|references"
+KEY_CLASSES = {
+    "metric": "[0-9]+(\\.[0-9]+)?\\s*%|accuracy|f1|bleu",
+    "claim": "we (propose|present|show|introduce)|novel|contribution",
+    "rigor": "baseline|ablation|compared (to|with)|significan",
+    "limitation": "limitation|future work|however|fails",
+    "release": "github|open.source|code is available",
+    "figure": "table\\s+[0-9]|fig(ure)?\\s*[0-9]|as shown",
+}
+FACTS = "\nIntroduction\nWe propose a novel method with open-source code\nMethods\nAccuracy is 91% in table 2\nIt is compared with a baseline\nHowever the limitation is size"
+FACTED = f"d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '{FACTS}' WHEN doc_id % 3 = 1 THEN '\nResults\nAs shown the accuracy is 91% in table 2. Significant gains' ELSE '' END AS t FROM documents)"
+
+
+@query("n34_sections", f"""WITH {FACTED}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS body, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS pos FROM d), h AS (SELECT *, sum(CASE WHEN regexp_full_match(lower(trim(body)), '{HEADINGS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+se AS (SELECT doc_id, 'section' AS class, CAST(n AS BIGINT) AS rank, CAST(min(pos) AS BIGINT) AS pos, CAST(sum(length(body)) AS BIGINT) AS chars FROM h GROUP BY doc_id, n),
+s AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM d)),
+c AS ({" UNION ALL ".join(f"SELECT doc_id, s, pos, {i} AS i, '{name}' AS class FROM s WHERE regexp_matches(lower(s), '{p}')" for i, (name, p) in enumerate(KEY_CLASSES.items()))}),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(s, 1, 60) ORDER BY i, pos) AS q FROM c) WHERE q = 1)
+SELECT doc_id, class, rank, pos, chars FROM se UNION ALL SELECT doc_id, class, rank, pos, chars FROM (SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id, class ORDER BY pos) AS rank, pos, least(length(s), 200) AS chars FROM k) WHERE rank <= 5""")
 def n34(spark, sf):
-    """Lines as sections; the same first 60 characters count once, five for each document."""
-    u = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "body")).withColumn("pos", (F.col("p") + 1).cast("long")).where(F.length("body") >= 30)
-    h = u.withColumn("head", F.substring("body", 1, 60)).withColumn("k", rank_within(["doc_id", "head"], F.asc("pos"))).where("k = 1")
-    return h.withColumn("n", rank_within("doc_id", F.asc("pos"))).where("n <= 5").select("doc_id", "pos", F.length("body").cast("long").alias("chars"))
+    """Sections by heading lines, with their first line and length; and key sentences by six classes, five each, in which equal first 60 characters count once, for the first class they meet.
+
+    Only sentences that match leave their document's row.
+    """
+    k = F.col("doc_id") % 3
+    added = F.when(k == 0, FACTS).when(k == 1, "\nResults\nAs shown the accuracy is 91% in table 2. Significant gains").otherwise("")
+    d = table(spark, sf, "documents").select("doc_id", X.once(F.concat(F.coalesce("text", F.lit("")), added)).alias("t"))
+    lines = F.transform(F.split("t", "\n"), lambda b, i: F.struct((i + 1).cast("long").alias("pos"), F.length(b).cast("long").alias("chars"), F.lower(F.trim(b)).rlike(f"^({HEADINGS})$").alias("head")))
+    zero = F.struct(F.array().cast("array<struct<rank:bigint,pos:bigint,chars:bigint>>").alias("done"), F.struct(F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("pos"), F.lit(None).cast("long").alias("chars")).alias("now"))
+
+    def step(a, x):
+        now = a["now"]
+        close = F.when(now["chars"].isNull(), a["done"]).otherwise(F.array_append(a["done"], now))
+        fresh = F.struct((now["rank"] + 1).alias("rank"), x["pos"].alias("pos"), x["chars"].alias("chars"))
+        longer = F.struct(now["rank"].alias("rank"), now["pos"].alias("pos"), (F.coalesce(now["chars"], F.lit(0)) + x["chars"]).alias("chars"))
+        return F.when(x["head"], F.struct(close.alias("done"), fresh.alias("now"))).otherwise(F.struct(a["done"].alias("done"), longer.alias("now")))
+
+    sections = d.select("doc_id", F.inline(F.aggregate(lines, zero, step, lambda a: F.array_append(a["done"], a["now"])))).select("doc_id", F.lit("section").alias("class"), "rank", "pos", "chars")
+    low = lambda s: F.lower(s)
+    named = lambda s: F.filter(F.array(*[F.when(low(s).rlike(p), F.struct(F.lit(i).alias("i"), F.lit(name).alias("class"))) for i, (name, p) in enumerate(KEY_CLASSES.items())]), lambda c: c.isNotNull())
+    found = F.filter(F.transform(X.sentences("t"), lambda s, p: F.struct((p + 1).cast("long").alias("pos"), s.alias("s"), named(s).alias("c"))), lambda x: F.size(x["c"]) > 0)
+    c = d.select("doc_id", F.inline(found)).select("doc_id", "pos", "s", F.inline("c"))
+    first = c.withColumn("q", F.row_number().over(Window.partitionBy("doc_id", F.substring("s", 1, 60)).orderBy("i", "pos"))).where("q = 1")
+    keys = first.withColumn("rank", rank_within(["doc_id", "class"], F.asc("pos"))).where("rank <= 5")
+    return sections.unionByName(keys.select("doc_id", "class", "rank", "pos", F.least(F.length("s"), F.lit(200)).cast("long").alias("chars")))
 
 
 @query("n35_language_class", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('数据', 2 * length(text)) || text WHEN doc_id % 4 = 1 THEN repeat('数据', length(text) // 3) || text ELSE text END AS t FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) * 1.0::DOUBLE / greatest(length(t), 1) AS share FROM d) SELECT doc_id, CASE WHEN share > 0.7 THEN 'zh' WHEN share >= 0.3 THEN 'mixed' ELSE 'en' END AS language FROM c")

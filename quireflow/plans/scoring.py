@@ -372,11 +372,16 @@ def k23(spark, sf):
     return w.withColumn("gate", F.when(F.col("width") > 0.30, "escalate").when(F.col("width") > 0.15, "review").otherwise("ok"))
 
 
-@query("k24_quantile_alignment", "WITH r AS (SELECT quantile_cont(l_quantity, 0.5) AS ref FROM lineitem), b AS (SELECT l_shipdate, quantile_cont(l_quantity, 0.5) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(l_shipdate AS DATE) AS batch, round(greatest(-10, least(10, ref - m)), 6) AS shift FROM b, r WHERE n >= 5")
+@query("k24_quantile_alignment", "WITH r AS (SELECT quantile_cont(l_quantity, 0.5) AS ref, avg(l_quantity) AS ref_mean, stddev_pop(l_quantity) AS ref_sd, count(*) AS ref_n FROM lineitem), b AS (SELECT l_shipdate, quantile_cont(l_quantity, 0.5) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(l_shipdate AS DATE) AS batch, n, round(m, 6) AS median, round(greatest(-10, least(10, ref - m)), 6) AS shift, round(ref, 6) AS ref, round(ref_mean, 6) AS ref_mean, round(ref_sd, 6) AS ref_sd, ref_n FROM b, r WHERE n >= 5")
 def k24(spark, sf):
-    med = F.percentile("l_quantity", F.lit(0.5))
-    b = li_of(spark, sf).groupBy(F.to_date("l_shipdate").alias("batch")).agg(med.alias("m"), n_rows().alias("n")).where("n >= 5")
-    return b.crossJoin(F.broadcast(li_of(spark, sf).agg(med.alias("ref")))).select("batch", rnd(X.clamp(F.col("ref") - F.col("m"), -10.0, 10.0)).alias("shift"))
+    """Shift of each batch's median to that of all, with the reference's statistics. Values are counted first, so that the reference's percentile works on distinct values."""
+    counts = li_of(spark, sf).groupBy(F.to_date("l_shipdate").alias("batch"), "l_quantity").agg(n_rows().alias("n"))
+    values = counts.groupBy("l_quantity").agg(F.sum("n").alias("n"))
+    ref = values.agg(F.percentile("l_quantity", F.lit(0.5), F.col("n")).alias("ref"), F.sum("n").alias("ref_n"), (F.sum(F.col("l_quantity") * F.col("n")) / F.sum("n")).alias("ref_mean"), (F.sum(F.col("l_quantity") ** 2 * F.col("n")) / F.sum("n")).alias("sq"))
+    b = counts.groupBy("batch").agg(F.percentile("l_quantity", F.lit(0.5), F.col("n")).alias("m"), F.sum("n").alias("n")).where("n >= 5")
+    sd = F.sqrt(F.col("sq") - F.col("ref_mean") ** 2)
+    return b.crossJoin(F.broadcast(ref)).select("batch", "n", rnd("m").alias("median"), rnd(X.clamp(F.col("ref") - F.col("m"), -10.0, 10.0)).alias("shift"), rnd("ref").alias("ref"), rnd("ref_mean").alias("ref_mean"), rnd(sd).alias("ref_sd"), "ref_n")  # one row of the reference
+
 
 
 @query("k25_gold_conversion", "SELECT doc_id, quality * 1.0::DOUBLE AS score, CASE WHEN quality = 1 THEN 'accept' WHEN toxic = 1 THEN 'major_revision' ELSE 'reject' END AS verdict FROM labels")
