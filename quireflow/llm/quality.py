@@ -26,6 +26,8 @@ _INSULT = [re.compile(rb"\b(?:" + b"|".join(w.encode() for w in words) + rb")s?\
 BITS = 20
 _PREFIXES = (5, 7)
 ABSTAIN = -1
+#: Bytes of text that are described together; each takes several numbers a byte.
+SLICE = 1 << 19
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -161,24 +163,24 @@ def margins(weights: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.nd
     return ends[at[1:]] - ends[at[:-1]] + weights[-1]
 
 
-def train(index: np.ndarray, counts: np.ndarray, target: np.ndarray, epochs: int = 6, rate: float = 0.15, batch: int = 32) -> np.ndarray:
-    """Logistic regression on soft targets by AdaGrad; rows come in a fixed pseudo-random order."""
+def train(index: np.ndarray, at: np.ndarray, used: np.ndarray, target: np.ndarray, epochs: int = 6, rate: float = 0.15, batch: int = 32) -> np.ndarray:
+    """Logistic regression on soft targets by AdaGrad; rows come in a fixed pseudo-random order. Row r has index[at[r]:at[r + 1]]; the rows in `used` train."""
     weights, grown = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-2)
-    at = np.r_[0, np.cumsum(counts)]
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        order = rng.permutation(len(counts))
+        order = rng.permutation(len(used))
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
-            idx = np.concatenate([index[at[r] : at[r + 1]] for r in rows])
-            n = counts[rows]
+            own = used[rows]
+            idx = np.concatenate([index[at[r] : at[r + 1]] for r in own])
+            n = at[own + 1] - at[own]
             p = 1 / (1 + np.exp(-np.clip(margins(weights, idx, n), -30, 30)))
             error = p - target[rows]
             g = np.repeat(error, n)
-            own, back = np.unique(idx, return_inverse=True)
+            cell, back = np.unique(idx, return_inverse=True)
             step = np.bincount(back, weights=g)
-            grown[own] += step**2
-            weights[own] -= rate * step / np.sqrt(grown[own])
+            grown[cell] += step**2
+            weights[cell] -= rate * step / np.sqrt(grown[cell])
             grown[-1] += error.sum() ** 2
             weights[-1] -= rate * error.sum() / np.sqrt(grown[-1])
     return weights.astype(np.float32)
@@ -207,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = lambda votes: pa.array(["".join("a01"[v + 1] for v in row) for row in votes.tolist()])
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", SLICE):
             own = raw(batch, "__text")
             stats, _ = statistics(own)
             cols = [batch.column("__key"), batch.column("__id"), code(junk_votes(stats)), code(toxic_votes(own, batch.column("__english").to_pylist()))]
@@ -234,7 +236,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     chosen = chosen.groupBy("__id").agg(*(F.max(f"{p}_{t}").alias(f"{p}_{t}") for p in ("weak", "spoke") for t in TASKS))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", SLICE):
             index, counts = features(*statistics(raw(batch, "__text")))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(index.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(c) for c in kept)], names=["index", *kept])
@@ -242,17 +244,19 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     kept = [f"{p}_{t}" for t in TASKS for p in ("weak", "spoke")]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)
-        if not own:
+        parts, sizes, marks = [], [], []
+        for batch in batches:  # kept as arrays, once
+            lists = batch.column("index")
+            parts.append(lists.flatten().to_numpy().copy())
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            marks.append(batch.select(kept))
+        if not parts:
             return
-        rows = pa.Table.from_batches(own)
-        lists = rows.column("index").combine_chunks()
-        counts, index = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        at = np.r_[0, np.cumsum(counts)]
+        index, at, rows = np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))], pa.Table.from_batches(marks)
+        parts.clear()
         for task in TASKS:
             used = np.flatnonzero(rows.column(f"spoke_{task}").to_numpy(zero_copy_only=False))
-            idx = np.concatenate([index[at[r] : at[r + 1]] for r in used] or [index[:0]])
-            weights = train(idx, counts[used], rows.column(f"weak_{task}").to_numpy()[used])
+            weights = train(index, at, used, rows.column(f"weak_{task}").to_numpy()[used])
             yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([weights.tobytes()])], names=["task", "weights"])
 
     sampled = src.where(drawn).dropDuplicates(["__id"]).join(chosen, "__id").select("__text", *kept)
@@ -261,7 +265,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     scorers = spark.sparkContext.broadcast([trained.get(t, np.zeros((1 << BITS) + 1, np.float32)) for t in TASKS])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", SLICE):
             index, counts = features(*statistics(raw(batch, "__text")))
             chances = [1 / (1 + np.exp(-np.clip(margins(w, index, counts), -30, 30))) for w in scorers.value]
             yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__id"), *map(pa.array, chances)], names=["__key", "__id", "p_junk", "p_toxic"])
