@@ -1,4 +1,4 @@
-"""The contract queries op1 to op10 over the driver's documents table."""
+"""The contract queries op1 to op13 over the driver's documents table."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quireflow.llm.bpe import bpe_encode
 from quireflow.llm.exact_dedup import exact_dedup
 from quireflow.llm.gif import BINS, read_gifs, store_gifs
+from quireflow.llm.mixing import mix_sources
 from quireflow.llm.packing import pack_documents
 from quireflow.llm.quality import score_quality
 from quireflow.llm.secrets import scan_secrets, span_text
@@ -113,9 +114,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+        -ln((('0x' || substr(md5('13:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+        / ((0.1::DOUBLE + 0.9::DOUBLE * CASE WHEN text = '' THEN 0 ELSE length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / length(text)::DOUBLE END)
+           * (0.25::DOUBLE + 0.75::DOUBLE * least(1::DOUBLE, size::DOUBLE / 50))) AS draw FROM d),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS w FROM d GROUP BY source),
+c AS (SELECT *, coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS done,
+        (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS open, (sum(source_size) OVER ())::HUGEINT AS total
+      FROM s WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)),
+f AS (SELECT 3 * total - 4 * done AS pool, 2 * open AS over FROM c WHERE w * (3 * total - 4 * done) <= source_size * 4 * open ORDER BY done, open DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN w * pool > 2 * source_size * over THEN (2 * source_size)::DOUBLE ELSE (w * pool)::DOUBLE / over::DOUBLE END AS target,
+        CASE WHEN w * pool > 2 * source_size * over THEN 2 * source_size ELSE (w * pool) // over END AS words FROM s, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, source_size, target, epochs, words - epochs * source_size - (sum(size) OVER (PARTITION BY k.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size) AS room
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, size::BIGINT AS size, source_size::BIGINT AS source_size, target, epochs::BIGINT AS epochs, (epochs * size + greatest(0, least(room, size)))::BIGINT AS taken FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op13_mixing": OP13_SQL}
