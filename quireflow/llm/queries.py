@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.llm.alignment import align_tokenizers
 from quireflow.llm.bpe import bpe_encode
 from quireflow.llm.exact_dedup import exact_dedup
 from quireflow.llm.gif import BINS, read_gifs, store_gifs
@@ -22,6 +23,7 @@ from quireflow.llm.token_files import token_file_round_trip
 from quireflow.session import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -114,6 +116,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 

@@ -47,10 +47,11 @@ def byte_alphabet() -> dict[str, int]:
 _TO_LATIN = {ord(ch): chr(b) for ch, b in byte_alphabet().items()}
 
 
-def library(path: str) -> Tokenizer:
-    """The tokenizer file as it stands, without truncation and padding, on one thread."""
+def library(path: str, plain: bool = False) -> Tokenizer:
+    """The tokenizer file as it stands, without truncation and padding, on one thread; plain takes special tokens' strings for ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = plain
     tok.no_truncation()
     tok.no_padding()
     return tok
@@ -121,19 +122,16 @@ def gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - (ends - take), take)]
 
 
-class TextEncoder:
-    """Ids of whole texts as the library gives them with add_special_tokens=False.
+class PieceMemory:
+    """Ids of pieces, each encoded when it is first met.
 
-    encode_pieces maps new pieces to their ids, one after another, and each one's number of ids; by
-    default the library does. At most `memory` pieces are remembered (then all are forgotten),
-    which bounds a worker's memory and changes no result.
+    encode_pieces maps new pieces to their ids, one after another, and each one's number of ids.
+    At most `memory` pieces are remembered (then all are forgotten), which bounds a worker's
+    memory and changes no result.
     """
 
-    def __init__(self, path: str, keep_space: bool, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, memory: int = 1 << 19):
-        self.lib, self.keep_space, self.memory = library(path), keep_space, memory
-        self.speculates = encode_pieces is not None
-        self.encode_pieces = encode_pieces or PieceLibrary(self.lib, keep_space)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+    def __init__(self, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], memory: int = 1 << 19):
+        self.encode_pieces, self.memory = encode_pieces, memory
         self._forget()
 
     def _forget(self) -> None:
@@ -162,6 +160,16 @@ class TextEncoder:
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[row] - ends[:-1], take)]
         return ids, np.diff(ends[np.r_[0, np.cumsum(counts)]])
 
+
+class TextEncoder(PieceMemory):
+    """Ids of whole texts as the library gives them with add_special_tokens=False; pieces go to encode_pieces, by default the library."""
+
+    def __init__(self, path: str, keep_space: bool, encode_pieces: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, memory: int = 1 << 19, plain: bool = False):
+        self.lib, self.keep_space = library(path, plain), keep_space
+        self.speculates = encode_pieces is not None
+        self.special = [] if plain else [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        super().__init__(encode_pieces or PieceLibrary(self.lib, keep_space), memory)
+
     def _fast(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._ids(*cut(texts if self.keep_space else [t.lower() for t in texts], self.keep_space))
 
@@ -233,9 +241,9 @@ class PieceLibrary:
 _encoders: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool, make: Callable[[str], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]] | None = None) -> TextEncoder:
+def encoder(path: str, keep_space: bool, make: Callable[[str], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]] | None = None, plain: bool = False) -> TextEncoder:
     """One encoder for each file and worker process; it outlives a task."""
-    name = (path, keep_space, make and make.__name__)
+    name = (path, keep_space, make and make.__name__, plain)
     if name not in _encoders:
-        _encoders[name] = TextEncoder(path, keep_space, make and make(path))
+        _encoders[name] = TextEncoder(path, keep_space, make and make(path), plain=plain)
     return _encoders[name]
