@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.alignment import align_tokenizers
 from quireflow.llm.bpe import bpe_encode
+from quireflow.llm.collocations import collocations
 from quireflow.llm.exact_dedup import exact_dedup
 from quireflow.llm.gif import BINS, read_gifs, store_gifs
 from quireflow.llm.mixing import mix_sources
@@ -116,6 +117,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT lang, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM (
+        SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents)),
+w AS (SELECT lang, regexp_extract_all(pieces[i], '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, list_slice(w, s, s + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT c.lang, c.k, c.g, c.a, j, l.f AS l, r.f AS r, 2000000 * c.a // (l.f + r.f) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.k = j AND l.g = list_slice(c.g, 1, j)
+      JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.g = list_slice(c.g, j + 1, c.k)),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+h AS (SELECT lang, list_slice(g, s, s + m - 1) AS g, max(a) AS longer FROM (
+        SELECT lang, g, a, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN h ON h.lang = b.lang AND h.g = b.g WHERE h.longer IS NULL OR 100 * h.longer < 80 * b.a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
@@ -149,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op13_mixing": OP13_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op11_collocations": OP11_SQL, "op13_mixing": OP13_SQL}

@@ -39,15 +39,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, whose place doesn't matter."""
+    up, down = _power(len(data))
+    total = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every document, and each document's number of words."""
     data = np.frombuffer(b"\n".join([*docs, b""]), dtype=np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
     ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    up, down = _power(len(data))
-    total = np.r_[np.uint64(0), np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
-    hashes = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     bounds = np.r_[0, np.cumsum([len(d) + 1 for d in docs])]
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
