@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quireflow.llm import gif, secrets, sharding, simhash, token_files
+from quireflow.llm.alignment import align_tokenizers
 from quireflow.llm.bpe import bpe_encode
+from quireflow.llm.collocations import collocations
 from quireflow.llm.exact_dedup import DigestIndex, exact_dedup, keep_distinct
+from quireflow.llm.mixing import mix_sources
 from quireflow.llm.near_copies import keep_one_each
 from quireflow.llm.packing import pack_documents
 from quireflow.llm.quality import keep_good, score_quality
@@ -40,11 +43,14 @@ def test_every_row_comes_back(odd):
         "simhash": simhash.simhash_groups(odd),
         "gif": gif.read_gifs(gif.store_gifs(odd)).select("doc_id", "error", F.octet_length("luma")),
         "secrets": secrets.scan_secrets(odd).select("doc_id", "spans"),
+        "alignment": align_tokenizers(odd, BYTE, public_tokenizers.path("piece_bpe_32k.model")),
+        "mixing": mix_sources(odd),
         "token files": token_files.token_file_round_trip(odd, WORD).select("doc_id", "n_tokens"),
     }
     for name, df in made.items():
         got = sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
         assert got == sorted((k is None, k or 0) for k, _ in ROWS), name
+    assert {(r.phrase, r.a) for r in collocations(odd, 2).collect()} >= {("one text", 3), ("no key", 2)}
     pieces = pack_documents(odd, BYTE)
     lib = Tokenizer.from_file(BYTE)
     assert pieces.agg(F.sum("length")).first()[0] == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)
