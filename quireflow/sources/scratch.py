@@ -28,3 +28,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path that a writer has finished (they hold _SUCCESS); none where the path doesn't exist."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(Path(path)):
+        return []
+    found = [f.getPath() for f in fs.listStatus(Path(path)) if f.isDirectory()]
+    return sorted(p.getName() for p in found if fs.exists(Path(p, "_SUCCESS")))

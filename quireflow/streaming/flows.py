@@ -6,31 +6,41 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from quireflow.sources.scratch import scratch_path
+from quireflow.sources.scratch import materialize, scratch_path
+from quireflow.streaming.tables import EpochTable
 
 
-def drain(stream: DataFrame, mode: str = "append", name: str = "flow") -> DataFrame:
-    """Run a stream over all that is available and read what it wrote; complete and update results keep the last batch's rows of each run."""
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", **conf: str) -> None:
+    """Run a stream over all that is available, giving every micro-batch and its epoch to `each`; conf holds while it runs."""
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("__epoch", F.lit(epoch)).write.mode("append").parquet(out)
-
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).foreachBatch(put).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables as a stream of files."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "state"))
+        writer.trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, mode: str = "append", name: str = "flow", keys: tuple[str, ...] = (), **conf: str) -> DataFrame:
+    """Run a stream over all that is available and read what it wrote; with keys, of each key the last epoch's row."""
+    out = EpochTable(stream.sparkSession, scratch_path(stream.sparkSession, name), stream.schema, keys)
+    run(stream, out.write, mode, **conf)
+    return out.rows()
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
+    """One of the tables as a stream of files, at most `files` in a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def rolling_usage(events: DataFrame) -> DataFrame:
@@ -64,46 +74,96 @@ def bucket_rule(per_minute: float) -> Rule:
     return rule
 
 
+TIMED, JUDGED = "user_id long, t double, event_id long", f"user_id long, event_id long, passed boolean, {STATE}"
+
+
 def timed(events: DataFrame) -> DataFrame:
     return events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id")
 
 
-def judged(events: DataFrame, rule: Rule) -> DataFrame:
-    """Batch twin: user_id, event_id, passed of every event by a rule that follows each user's events in order.
+def fold(rows: DataFrame, rule: Rule, states: DataFrame | None = None) -> DataFrame:
+    """Each event judged by a rule that follows its user's events in order, then a row without event for the user's last state.
 
-    Events are exchanged by user and sorted within partitions; a task carries the last state of
-    one user only, so a user of any number of events takes no memory.
+    Rows (user_id, t, event_id) are exchanged by user and sorted within partitions, a given state
+    (user_id, mark, left) before its user's events; a task carries the state of one user only, so a
+    user of any number of events takes no memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, mark, left = None, None, None
         for batch in batches:
-            passed = []
-            for u, t in zip(batch.column("user_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            out: list[tuple] = []
+            for u, t, event, m, x in zip(*(batch.column(c).to_pylist() for c in ("user_id", "t", "event_id", "mark", "left")), strict=True):
                 if u != user:
+                    out += [(user, None, None, mark, left)] if user is not None and mark is not None else []
                     user, mark, left = u, None, None
-                mark, left, ok = rule(mark, left, t)
-                passed.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), pa.array(passed, pa.bool_())], names=["user_id", "event_id", "passed"])
+                if event is None:
+                    mark, left = m, x
+                else:
+                    mark, left, ok = rule(mark, left, t)
+                    out.append((u, event, ok, mark, left))
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in out], shape)
+        if user is not None and mark is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(shape.names, (user, None, None, mark, left), strict=True))], shape)
+
+    shape = pa.schema([("user_id", pa.int64()), ("event_id", pa.int64()), ("passed", pa.bool_()), ("mark", pa.float64()), ("left", pa.float64())])
+    blank = [F.lit(None).cast("double").alias(c) for c in ("mark", "left")]
+    both = rows.select("user_id", "t", "event_id", *blank)
+    if states is not None:
+        both = both.unionByName(states.select("user_id", F.lit(None).cast("double").alias("t"), F.lit(None).cast("long").alias("event_id"), "mark", "left"))
+    ordered = both.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")  # nulls, so states, come first
+    return ordered.mapInArrow(run, JUDGED)
 
-    ordered = timed(events).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
-    return ordered.mapInArrow(run, "user_id long, event_id long, passed boolean")
+
+def judged(events: DataFrame, rule: Rule) -> DataFrame:
+    """Batch twin: user_id, event_id, passed of every event."""
+    return fold(timed(events), rule).where("event_id IS NOT NULL").select("user_id", "event_id", "passed")
 
 
-def judged_stream(events: DataFrame, rule: Rule) -> DataFrame:
-    """The same as a stream with keyed state: each micro-batch's events of a user are taken in order after those before."""
+class OrderedFold:
+    """The same over micro-batches in event time, equal to the batch twin for events at most `delay_s` seconds late.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        mark, left = state.get if state.exists else (None, None)
-        passed = []
-        for t in rows["t"]:
-            mark, left, ok = rule(mark, left, float(t))
-            passed.append(ok)
-        state.update((float(mark), float(left)))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "passed": passed})
+    An epoch judges the events up to its watermark (the newest time seen less the delay), those
+    above it wait in a table for the next; events below the watermark of the epoch before are too
+    late and are left out. Users' states are a keyed table. All three tables are written by epoch,
+    from those before it, so a repeated epoch gives the same again. A task holds one user's state.
+    """
 
-    return timed(events).groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, passed boolean", STATE, "append", "NoTimeout")
+    def __init__(self, spark: SparkSession, rule: Rule, delay_s: float, root: str):
+        self.rule, self.delay = rule, delay_s
+        table = lambda name, schema, *keys: EpochTable(spark, f"{root}/{name}", spark.createDataFrame([], schema).schema, keys)
+        self.results = table("results", JUDGED)
+        self.states = table("states", f"user_id long, {STATE}", "user_id")
+        self.waiting = table("waiting", TIMED + ", at_epoch long")
+        self.marks = table("marks", "mark double")
+
+    def apply(self, batch: DataFrame, epoch: int, last: bool = False) -> None:
+        before = self.marks.rows(epoch).agg(F.max("mark")).first()[0]
+        kept = self.waiting.rows(epoch).where(F.col("at_epoch") == epoch - 1).drop("at_epoch")
+        fresh = timed(batch) if before is None else timed(batch).where(F.col("t") >= before)
+        rows = materialize(kept.unionByName(fresh), "epoch")
+        newest = rows.agg(F.max("t")).first()[0]
+        mark = max(x for x in (before, None if newest is None else newest - self.delay, float("-inf")) if x is not None)
+        ready = rows if last else rows.where(F.col("t") <= mark)
+        folded = materialize(fold(ready, self.rule, self.states.rows(epoch)), "folded")
+        self.results.write(folded.where("event_id IS NOT NULL"), epoch)
+        self.states.write(folded.where("event_id IS NULL"), epoch)
+        self.waiting.write(rows.where(F.lit(not last) & (F.col("t") > mark)).withColumn("at_epoch", F.lit(epoch).cast("long")), epoch)
+        self.marks.write(batch.sparkSession.createDataFrame([(mark,)], "mark double"), epoch)
+
+
+def judged_stream(events: DataFrame, rule: Rule, delay_s: float = 600) -> DataFrame:
+    """user_id, event_id, passed of a stream's events, run over all that is available."""
+    spark = events.sparkSession
+    folded, epochs = OrderedFold(spark, rule, delay_s, scratch_path(spark, "fold")), []
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        folded.apply(batch, epoch)
+        epochs.append(epoch)
+
+    run(events, each)
+    folded.apply(spark.createDataFrame([], events.schema), max(epochs, default=-1) + 1, last=True)
+    return folded.results.rows().select("user_id", "event_id", "passed")
 
 
 def debounce(events: DataFrame, gap_s: int = 10) -> DataFrame:
@@ -121,10 +181,123 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     return s.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def stuck(last: DataFrame, hours: int) -> DataFrame:
-    """Users whose last event is more than `hours` before the newest of all, from a table of last events."""
-    newest = last.agg(F.max("last").alias("now"))
-    return last.crossJoin(F.broadcast(newest)).where(F.col("now") - F.expr(f"INTERVAL {hours} HOURS") > F.col("last")).select("user_id", "last")  # one row of newest
+class Silences(StatefulProcessor):
+    """Emits a user's last event before each silence of more than limit_ms; an event-time timer ends the wait.
+
+    Times above the watermark wait in the state, so events may come in any order within its
+    delay. After a silence has been told the user's state goes, so only active users have any.
+    """
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "t long")
+        self.last = handle.getValueState("last", "t long")
+
+    def _set_timers(self, times: list[int], last: int | None) -> None:
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        if times:
+            self.handle.registerTimer(-(-times[0] // 1000))
+        if last is not None:
+            self.handle.registerTimer(-(-last // 1000) + self.limit_ms)
+
+    def _keep(self, times: list[int], last: int | None) -> None:
+        self.times.put([(t,) for t in times]) if times else self.times.clear()
+        self.last.update((last,)) if last is not None else self.last.clear()
+        self._set_timers(times, last)
+
+    def _state(self) -> tuple[list[int], int | None]:
+        return sorted(t for (t,) in self.times.get()), self.last.get()[0] if self.last.exists() else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times, last = self._state()
+        fresh = [int(t) for frame in rows for t in frame["t"]]
+        self._keep(sorted(times + fresh), last)
+        return iter([pd.DataFrame({"user_id": pd.Series(dtype="int64"), "last": pd.Series(dtype="int64")})])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        times, last = self._state()
+        told = []
+        while times and -(-times[0] // 1000) <= now:
+            if last is not None and times[0] - last > self.limit_ms * 1000:
+                told.append(last)
+            last = times.pop(0)
+        if last is not None and -(-last // 1000) + self.limit_ms <= now:
+            told.append(last)
+            last = None
+        self._keep(times, last)
+        yield pd.DataFrame({"user_id": [key[0]] * len(told), "last": told})
+
+    def close(self) -> None:
+        pass
+
+
+def silences(events: DataFrame, limit_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """Stream of user_id, last (microseconds) of each silence; to be run with ROCKS."""
+    late = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
+    return late.groupBy("user_id").transformWithStateInPandas(Silences(limit_ms), "user_id long, last long", "append", "eventTime")
+
+
+#: The state store that keyed timers need.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def silent(events: DataFrame, limit_ms: int, delay_ms: int = 600_000) -> DataFrame:
+    """Batch twin: each event without another of its user within the limit, if that has passed before the newest of all less the delay."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("user_id", t.alias("last"), F.lead(t).over(Window.partitionBy("user_id").orderBy(t)).alias("next"))
+    newest = events.agg(F.floor(F.max(t) / 1000).alias("now"))  # one row
+    alone = F.col("next").isNull() | (F.col("next") - F.col("last") > limit_ms * 1000)
+    return rows.crossJoin(F.broadcast(newest)).where(alone & (F.ceil(F.col("last") / 1000) + limit_ms <= F.col("now") - delay_ms)).select("user_id", "last")
+
+
+def ingest_new(stream: DataFrame, key: str, there: DataFrame | None = None) -> DataFrame:
+    """Rows of a stream whose key no earlier epoch, nor the table `there`, has; of one epoch's rows with a key one stays."""
+    spark = stream.sparkSession
+    kept = EpochTable(spark, scratch_path(spark, "ingest"), stream.schema)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        old = kept.rows(epoch).select(key)
+        kept.write(batch.dropDuplicates([key]).join(old if there is None else old.union(there.select(key)), key, "left_anti"), epoch)
+
+    run(stream, each)
+    return kept.rows()
+
+
+def upsert(stream: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
+    """The row of each key that is last in order of all that a stream brought, a late one included; a batch reads only the stored rows of its keys."""
+    spark = stream.sparkSession
+    kept = EpochTable(spark, scratch_path(spark, "upsert"), stream.schema, keys)
+    rest = [c for c in stream.columns if c not in keys]
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        old = kept.rows(epoch).join(batch.select(*keys).distinct(), [*keys], "left_semi")
+        last = batch.unionByName(old).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last"))
+        kept.write(last.select(*keys, "last.*"), epoch)
+
+    run(stream, each)
+    return kept.rows()
+
+
+class Retries:
+    """A keyed table of states in which each epoch, after its own rows, tries the first `most` rows of one state again.
+
+    resolve maps a row's columns to its new state; rows that keep the old one are tried again later.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str, state: str, resolve: Column, most: int):
+        self.table, self.key, self.state, self.resolve, self.most = EpochTable(spark, root, schema, (key,)), key, state, resolve, most
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        before = self.table.rows(epoch).join(batch.select(self.key), self.key, "left_anti")
+        rows = materialize(before.where(F.col("status") == self.state).select(*self.table.columns).union(batch.select(*self.table.columns)), "epoch")
+        tried = rows.where(F.col("status") == self.state).orderBy(self.key).limit(self.most).withColumn("status", self.resolve)
+        changed = materialize(tried, "tried")
+        self.table.write(changed.unionByName(batch.select(*self.table.columns).join(changed, self.key, "left_anti")), epoch)
 
 
 def keep_first(events: DataFrame, by: list[str], order: str) -> DataFrame:
