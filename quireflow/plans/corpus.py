@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
 from quireflow.operators.components import connected_components
+from quireflow.operators.hashes import flips, hamming_join, sign_hash
+from quireflow.operators.mentions import mentions
 from quireflow.operators.ranking import rank_within, vector_top
 from quireflow.plans.registry import query
 from quireflow.session import table
@@ -176,37 +178,53 @@ def d6(spark, sf):
     return scanned(spark, sf)
 
 
-def sign_bits(c):
-    """The signs of a 64-dimension vector as a signed long."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.element_at(c, i + 1) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+def pictures(spark, sf) -> DataFrame:
+    """vec_id, paper (three vectors each), embedding of the vectors as 8 by 8 pictures, with reused ones planted: every tenth comes again with vec_id % 23 signs turned, and every twentieth also mirrored."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    k = F.col("vec_id")
+    turned = F.transform("e", lambda x, i: F.when((i * 7 + k) % 64 < k % 23, -x).otherwise(x))
+    mirrored = F.transform("t", lambda x, i: F.element_at("t", (i - i % 8 + 7 - i % 8 + 1).cast("int")))
+    planted = v.where(k % 10 == 0).select("vec_id", turned.alias("t")).select((k + 1000001).alias("vec_id"), F.when(k % 20 == 0, mirrored).otherwise(F.col("t")).alias("e"))
+    return v.unionByName(planted).select("vec_id", F.expr("vec_id div 3").alias("paper"), "e")
 
 
-def hamming_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """a, b, distance of 64-bit hashes at `most` differing bits or fewer: they agree in one of most + 1 bands."""
-    bands = most + 1
-    edges = [round(64 * k / bands) for k in range(bands + 1)]
-    cut = lambda h: F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1).alias("v")) for k in range(bands)])
-    x = left.select("a", "ha", F.inline(cut("ha")))
-    y = right.select("b", "hb", F.inline(cut("hb")))
-    near = x.join(y, ["k", "v"]).withColumn("distance", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))))
-    return near.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+SIGNS = "list_sum(list_transform(range(0, 64), lambda k: CASE WHEN e[{0}] > 0 THEN 1::UBIGINT << k::UBIGINT ELSE 0::UBIGINT END))::UBIGINT"
+PICTURES = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CASE WHEN (i * 7 + vec_id) % 64 < vec_id % 23 THEN -e[i + 1] ELSE e[i + 1] END) AS t FROM v WHERE vec_id % 10 = 0),
+pic AS (SELECT vec_id, e FROM v UNION ALL SELECT vec_id + 1000001, CASE WHEN vec_id % 20 = 0 THEN list_transform(range(0, 64), lambda i: t[i - i % 8 + 7 - i % 8 + 1]) ELSE t END FROM t),
+h AS (SELECT vec_id, vec_id // 3 AS paper, [{SIGNS.format("k + 1")}, {SIGNS.format("k - k % 8 + 7 - k % 8 + 1")}, {SIGNS.format("56 - (k - k % 8) + k % 8 + 1")}] AS h FROM pic)"""
+LEAST = "list_min(list_transform(x.h, lambda p: list_min(list_transform(y.h, lambda q: bit_count(xor(p, q))))))"
 
 
-HASH = "h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS h FROM embeddings), d AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(list_zip(x.h, y.h), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance FROM h x, h y)"
+def hash_classes(figures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal hashes (h, a: the smallest id, papers, paper: the only or smallest one), and vec_id, a, papers of each other member."""
+    classes = materialize(figures.groupBy("h").agg(F.min("vec_id").alias("a"), F.min("paper").alias("paper"), F.max("paper").alias("last")), "classes")
+    classes = classes.withColumn("several", F.col("paper") != F.col("last")).drop("last")
+    return classes, figures.join(classes.drop("paper"), "h").where(F.col("vec_id") != F.col("a")).select("vec_id", "a", "several")
 
 
-@query("j10_hamming_join", f"WITH {HASH} SELECT a, b, distance FROM d WHERE a < b AND distance < 15")
+@query("j10_hamming_join", f"""WITH {PICTURES}, c AS (SELECT h, min(vec_id) AS a, min(paper) AS paper, min(paper) <> max(paper) AS several FROM h GROUP BY h)
+SELECT x.a, y.a AS b, {LEAST}::INTEGER AS distance FROM c x JOIN c y ON x.a < y.a AND (x.several OR y.several OR x.paper <> y.paper) WHERE {LEAST} < 15
+UNION ALL SELECT c.a, h.vec_id, 0 FROM c JOIN h ON h.h = c.h AND h.vec_id <> c.a WHERE several""")
 def j10(spark, sf):
-    h = table(spark, sf, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
-    return hamming_join(h.toDF("a", "ha"), h.toDF("b", "hb"), 14).where("a < b")
+    """Reused pictures of different papers: least distance over three variants on both sides, below 15.
+
+    Figures with equal hashes are one class. Pairs are of classes (by their smallest id) that have
+    members in different papers, and a class in several papers is given with each member.
+    """
+    figures = materialize(pictures(spark, sf).select("vec_id", "paper", flips(F.col("e")).alias("h")), "figures")
+    classes, members = hash_classes(figures)
+    near = hamming_join(classes.select("a", F.col("h").alias("ha")), classes.select(F.col("a").alias("b"), F.col("h").alias("hb")), 14).where("a < b")
+    side = lambda c: classes.select(F.col("a").alias(c), F.col("paper").alias(f"paper_{c}"), F.col("several").alias(f"several_{c}"))
+    pairs = near.join(side("a"), "a").join(side("b"), "b").where("several_a or several_b or paper_a <> paper_b").select("a", "b", "distance")
+    return pairs.union(members.where("several").select("a", F.col("vec_id").alias("b"), F.lit(0)))
 
 
-@query("j12_near_hash_leakage", f"WITH {HASH} SELECT a, b, distance FROM d WHERE a % 5 = 0 AND b % 5 <> 0 AND distance BETWEEN 1 AND 10")
+@query("j12_near_hash_leakage", f"WITH {PICTURES}, u AS (SELECT vec_id, h[1:1] AS h FROM h), x AS (SELECT min(vec_id) AS a, h FROM u WHERE vec_id % 5 = 0 GROUP BY h), y AS (SELECT min(vec_id) AS b, h FROM u WHERE vec_id % 5 <> 0 GROUP BY h) SELECT a, b, {LEAST}::INTEGER AS distance FROM x, y WHERE {LEAST} BETWEEN 1 AND 10")
 def j12(spark, sf):
-    """Held-out vectors (every fifth) against the others at 10 bits or fewer, equal hashes left out."""
-    h = table(spark, sf, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("h"))
-    return hamming_join(h.where("vec_id % 5 = 0").toDF("a", "ha"), h.where("vec_id % 5 <> 0").toDF("b", "hb"), 10).where("distance > 0")
+    """Held-out pictures (every fifth) against the others at 10 bits or fewer, equal hashes left out; of equal hashes of a side the smallest id stands for all."""
+    h = materialize(pictures(spark, sf).select("vec_id", F.array(sign_hash(F.col("e"))).alias("h")), "hashes")
+    side = lambda where, c: h.where(where).groupBy("h").agg(F.min("vec_id").alias(c)).select(c, F.col("h").alias(f"h{c}"))
+    return hamming_join(side("vec_id % 5 = 0", "a"), side("vec_id % 5 <> 0", "b"), 10).where("distance > 0")
 
 
 @query("j11_exact_leakage", "SELECT b.item_id, count(*) AS copies FROM benchmark b JOIN documents d ON sha256(d.text) = sha256(b.text) GROUP BY 1 UNION ALL SELECT -1, count(*) FROM documents")
@@ -390,24 +408,47 @@ def e10(spark, sf):
 # --- citations --------------------------------------------------------------------------------
 
 
-TITLES = r"b AS (SELECT item_id, array_to_string(w[1:3], ' ') AS title FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= 3 AND length(array_to_string(w[1:3], ' ')) >= 10), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents)"
+NAMES = ("Aldermann", "O'Brandt", "Castell-Roy", "Dufy", "Ng", "X")
 
 
-@query("c1_citation_contexts", f"WITH {TITLES}, h AS (SELECT item_id, doc_id, t, title, strpos(' ' || t || ' ', ' ' || title || ' ') AS pos FROM b JOIN d ON contains(' ' || t || ' ', ' ' || title || ' ')) SELECT item_id, doc_id, pos, sha256(substr(t, greatest(1, pos - 400), pos - greatest(1, pos - 400) + length(title) + 400)) AS context FROM h")
-def c1(spark, sf):
-    """First mention of each title (three words, ten characters or more, word-bounded) with 400 characters around it.
+def targets_of(spark, sf) -> DataFrame:
+    """target, title, surname, year: benchmark items stand for papers; their first sentence is the title."""
+    k = F.col("item_id")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
+    return table(spark, sf, "benchmark").select(k.alias("target"), F.trim(F.split("text", "[.!?\\n]")[0]).alias("title"), name.alias("surname"), (1990 + k % 30).cast("int").alias("year"))
 
-    A title is a run of words, so an equality join on runs finds the documents; texts are joined
-    with what was found.
-    """
-    words = lambda c: F.split(X.normalize(c), " ")
-    b = table(spark, sf, "benchmark").select("item_id", words("text").alias("w")).where(F.size("w") >= 3).select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("title")).where(F.length("title") >= 10)
-    d = docs_of(spark, sf).select("doc_id", X.once(X.normalize("text")).alias("t"))
-    runs = d.select("doc_id", X.once(F.split("t", " ")).alias("w")).select("doc_id", F.explode(X.word_runs(F.col("w"), 3)).alias("title"))
-    hit = d.join(materialize(runs.join(b, "title").select("doc_id", "item_id", "title"), "mentions"), "doc_id")
-    at = F.expr("locate(concat(' ', title, ' '), concat(' ', t, ' '))")
-    left = F.greatest(F.lit(1), at - 400)
-    return hit.select("item_id", "doc_id", at.cast("long").alias("pos"), F.sha2(F.col("t").substr(left, at - left + F.length("title") + 400), 256).alias("context"))
+
+def citing(spark, sf) -> DataFrame:
+    """Documents; two of three also cite an item by author and year, the third in two ways and one of them twice."""
+    k = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
+    year = (1990 + k % 30).cast("string")
+    tail = F.when(k % 3 == 0, F.concat(F.lit(" See "), name, F.lit(" et al. ("), year, F.lit(") for more."))).when(k % 3 == 1, F.concat(F.lit(" After "), F.upper(name), F.lit(" ("), year, F.lit("), and "), name, F.lit(", "), year, F.lit(" 1"))).otherwise("")
+    return docs_of(spark, sf).select("doc_id", F.concat("text", tail).alias("text"))
+
+
+NAME_OF = "['Aldermann', 'O''Brandt', 'Castell-Roy', 'Dufy', 'Ng', 'X'][({0} % 6 + 1)::INT]"
+MENTIONS = rf"""b AS (SELECT item_id AS target, trim(regexp_split_to_array(text, '[.!?\n]')[1]) AS title, {NAME_OF.format("item_id")} AS surname, 1990 + item_id % 30 AS year FROM benchmark),
+d AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' See ' || n || ' et al. (' || (1990 + doc_id % 30) || ') for more.' WHEN doc_id % 3 = 1 THEN ' After ' || upper(n) || ' (' || (1990 + doc_id % 30) || '), and ' || n || ', ' || (1990 + doc_id % 30) || ' 1' ELSE '' END AS text FROM (SELECT doc_id, text, {NAME_OF.format("doc_id")} AS n FROM documents)),
+tt AS (SELECT target, doc_id, text, length(title) AS size, string_split(lower(text), lower(title)) AS parts FROM b JOIN d ON contains(lower(text), lower(title)) WHERE length(title) >= 10 AND len(string_split_regex(title, '\s+')) >= 2),
+tp AS (SELECT target, doc_id, text, size, unnest(list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda p: length(p)))::BIGINT + (k - 1) * size + 1)) AS pos FROM tt),
+th AS (SELECT target, doc_id, pos, text FROM tp WHERE NOT regexp_matches(CASE WHEN pos > 1 THEN substr(text, pos - 1, 1) ELSE ' ' END, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(text, pos + size, 1) || ' ', '^[\p{{L}}\p{{N}}]')),
+yc AS (SELECT b.target, d.doc_id, d.text, lower(surname) AS s, unnest(['et', 'par', 'comma']) AS form, year FROM b JOIN d ON contains(lower(d.text), lower(surname)) AND length(surname) > 1),
+ys AS (SELECT *, regexp_split_to_array(lower(text), CASE form WHEN 'et' THEN '\b' || s || '\s+et\s+al\.\s*\(\s*' || year || '\s*\)' WHEN 'par' THEN '\b' || s || '\s*\(\s*' || year || '\s*\)' ELSE '\b' || s || '\s*,\s*\(?\s*' || year END) AS parts,
+       regexp_extract_all(lower(text), CASE form WHEN 'et' THEN '\b' || s || '\s+et\s+al\.\s*\(\s*' || year || '\s*\)' WHEN 'par' THEN '\b' || s || '\s*\(\s*' || year || '\s*\)' ELSE '\b' || s || '\s*,\s*\(?\s*' || year END) AS seps FROM yc),
+yh AS (SELECT target, doc_id, unnest(list_transform(range(1, len(seps) + 1), lambda k: list_sum(list_transform(parts[1:k], lambda p: length(p)))::BIGINT + coalesce(list_sum(list_transform(seps[1:k - 1], lambda p: length(p)))::BIGINT, 0) + 1)) AS pos, text FROM ys WHERE len(seps) > 0),
+mm AS (SELECT target, doc_id, pos, substr(text, greatest(1, pos - 400), pos + 400 - greatest(1, pos - 400)) AS context FROM (SELECT * FROM th UNION SELECT target, doc_id, pos, text FROM yh)),
+m AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY target, doc_id, context ORDER BY pos) = 1)"""
+
+
+def cited(spark, sf) -> DataFrame:
+    return mentions(citing(spark, sf), targets_of(spark, sf))
+
+
+@query("c1_citation_contexts", f"WITH {MENTIONS} SELECT target AS item_id, doc_id, pos, sha256(context) AS context FROM m")
+def c1(spark, sf):
+    """Every mention of an item by its whole title or by author and year, with 400 characters around it."""
+    return cited(spark, sf).select(F.col("target").alias("item_id"), "doc_id", "pos", F.sha2("context", 256).alias("context"))
 
 
 #: Words of praise and of criticism.
@@ -437,11 +478,16 @@ def c3(spark, sf):
     return opinions(spark, sf)
 
 
-@query("c2_edge_upsert", f"{SENTI} SELECT doc_id % 100 AS source, doc_id % 7 AS target, min(doc_id) AS first_doc, arg_min(CASE WHEN p > n THEN 'support' WHEN p < n THEN 'criticize' ELSE 'background' END, doc_id) AS label FROM c GROUP BY ALL")
+EDGES = f"{MENTIONS}, fm AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY target, doc_id ORDER BY pos) = 1), sl AS (SELECT doc_id AS source, target, pos, lower(context) AS t FROM fm), sc AS (SELECT *, {_hit(PRAISE)} AS p, {_hit(BLAME)} AS n FROM sl)"
+
+
+@query("c2_edge_upsert", f"WITH {EDGES} SELECT source, target, pos, CASE WHEN p + n > 0 AND (p - n) * 1.0 / (p + n) > 0.1 THEN 'support' WHEN p + n > 0 AND (p - n) * 1.0 / (p + n) < -0.1 THEN 'criticize' ELSE 'background' END AS label, CAST(round(CASE WHEN p + n = 0 THEN 0 ELSE least(0.95, 0.5 + 0.1 * (p + n)) END, 4) AS DOUBLE) AS confidence FROM sc")
 def c2(spark, sf):
-    """One edge for each pair; the first context counts."""
+    """One edge for each document and item that it mentions, labelled by its first context."""
+    first = cited(spark, sf).groupBy(F.col("doc_id").alias("source"), "target").agg(F.min(F.struct("pos", "context")).alias("f"))
+    felt = sentiment(first.select("source", "target", F.col("f.pos").alias("pos"), F.lower("f.context").alias("t")))
     label = F.when(F.col("label") == "positive", "support").when(F.col("label") == "negative", "criticize").otherwise("background")
-    return opinions(spark, sf).groupBy((F.col("doc_id") % 100).alias("source"), (F.col("doc_id") % 7).alias("target")).agg(F.min("doc_id").alias("first_doc"), F.min_by(label, "doc_id").alias("label"))
+    return felt.select("source", "target", "pos", label.alias("label"), "confidence")
 
 
 @query("c4_label_to_score", "SELECT doc_id, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS score FROM labels")
@@ -450,7 +496,7 @@ def c4(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.when(label == "support", 1).when(label == "criticize", -1).otherwise(0).alias("score"))
 
 
-GRAPH = f"c AS (SELECT vec_id AS centre FROM embeddings WHERE vec_id % 20 = 0), ce AS (SELECT DISTINCT doc_id % 100 AS centre, doc_id % 7 AS neighbour FROM documents WHERE doc_id % 100 <> doc_id % 7), ci AS (SELECT centre, neighbour, 1.0 AS w, 'cites' AS kind FROM ce JOIN c USING (centre)), si AS (SELECT x.vec_id AS centre, y.vec_id AS neighbour, {PAIRCOS.replace(', 5)', ', 6)')} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id IN (SELECT centre FROM c) AND x.vec_id NOT IN (SELECT centre FROM ci)), gr AS (SELECT * FROM ci UNION ALL SELECT centre, neighbour, w, 'similar' FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY w DESC, neighbour) AS k FROM si) WHERE k <= 5)"
+GRAPH = f"c AS (SELECT vec_id AS centre FROM embeddings WHERE vec_id % 20 = 0), {MENTIONS}, ce AS (SELECT DISTINCT doc_id AS centre, target AS neighbour FROM m WHERE doc_id <> target), ci AS (SELECT centre, neighbour, 1.0 AS w, 'cites' AS kind FROM ce JOIN c USING (centre)), si AS (SELECT x.vec_id AS centre, y.vec_id AS neighbour, {PAIRCOS.replace(', 5)', ', 6)')} AS w FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id IN (SELECT centre FROM c) AND x.vec_id NOT IN (SELECT centre FROM ci)), gr AS (SELECT * FROM ci UNION ALL SELECT centre, neighbour, w, 'similar' FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY w DESC, neighbour) AS k FROM si) WHERE k <= 5)"
 
 
 @query("c5_neighbourhood_graph", f"WITH {GRAPH} SELECT centre, neighbour, w, kind FROM gr")
@@ -458,7 +504,7 @@ def c5(spark, sf):
     """Citing edges of the stated centres; centres without any get their five most similar neighbours."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     centres = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("centre"), F.col("vec").alias("qvec"))
-    edges = docs_of(spark, sf).select((F.col("doc_id") % 100).alias("centre"), (F.col("doc_id") % 7).alias("neighbour")).where("centre <> neighbour").distinct()
+    edges = cited(spark, sf).select(F.col("doc_id").alias("centre"), F.col("target").alias("neighbour")).where("centre <> neighbour").distinct()
     cites = materialize(edges.join(centres.select("centre"), "centre", "left_semi").select("centre", "neighbour", F.lit(1.0).alias("w"), F.lit("cites").alias("kind")), "cites")
     found = vector_top(centres.join(cites, "centre", "left_anti"), v, 6, key="vec_id", qkey="centre").where("centre <> vec_id")
     near = found.withColumn("k", rank_within("centre", F.asc("rank"))).where("k <= 5")

@@ -510,21 +510,41 @@ def k36(spark, sf):
     return r.groupBy("scenario", F.when(F.col("fatal") >= 3, "reject").otherwise(verdict(s)).alias("verdict")).agg(n_rows().alias("n"))
 
 
-@query("k37_score_layers", """WITH b AS (SELECT l_quantity / 50 AS base, l_quantity / 50 - l_discount AS raw, greatest(0, l_quantity / 50 - l_discount - l_tax) AS final, l_returnflag FROM lineitem), u AS (UNPIVOT (SELECT base, raw, final FROM b) ON base, raw, final INTO NAME layer VALUE v)
-SELECT layer, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM u GROUP BY 1
-UNION ALL SELECT 'shift_' || CAST(floor(round((raw - final) * 100, 4) / 2) AS INT), count(*), round(avg(raw - final), 6), NULL, NULL, NULL FROM b GROUP BY 1 UNION ALL SELECT 'reason_' || l_returnflag, count(*), round(avg(raw - base), 6), NULL, NULL, NULL FROM b WHERE raw < base GROUP BY 1""")
+HUNDREDTHS = "CAST(2 * l_quantity AS BIGINT) AS base, CAST(2 * l_quantity - round(100 * l_discount) AS BIGINT) AS raw, CAST(greatest(0, 2 * l_quantity - round(100 * l_discount) - round(100 * l_tax)) AS BIGINT) AS final"
+MEAN6 = "((20000 * sum({0} + 100)::HUGEINT + {1}) // (2 * {1}) - 1000000) / 1000000.0::DOUBLE"
+
+
+@query("k37_score_layers", f"""WITH b AS (SELECT {HUNDREDTHS}, l_returnflag FROM lineitem), u AS (UNPIVOT (SELECT base, raw, final FROM b) ON base, raw, final INTO NAME layer VALUE h)
+SELECT layer, count(*) AS n, {MEAN6.format("h", "count(*)")} AS mean, round(sqrt((count(*) * sum(h * h)::HUGEINT - sum(h)::HUGEINT * sum(h)::HUGEINT)::DOUBLE) / count(*) / 100, 6) AS sd, round(quantile_cont(h, 0.1) / 100, 6) AS p10, round(quantile_cont(h, 0.9) / 100, 6) AS p90 FROM u GROUP BY 1
+UNION ALL SELECT 'shift_' || (raw - final) // 2 + CASE WHEN raw < final AND (final - raw) % 2 = 1 THEN -1 ELSE 0 END, count(*), {MEAN6.format("raw - final", "count(*)")}, NULL, NULL, NULL FROM b GROUP BY 1 UNION ALL SELECT 'reason_' || l_returnflag, count(*), {MEAN6.format("raw - base", "count(*)")}, NULL, NULL, NULL FROM b WHERE raw < base GROUP BY 1""")
 def k37(spark, sf):
-    """Moments and percentiles of each layer, a histogram of what the last step takes (bins of .02), and reasons of lowered rows with their mean change."""
-    q = F.col("l_quantity") / 50
-    raw = q - F.col("l_discount")
-    b = li_of(spark, sf).select(q.alias("base"), raw.alias("raw"), F.greatest(F.lit(0.0), raw - F.col("l_tax")).alias("final"), "l_returnflag")
-    pc = F.percentile("v", F.array(F.lit(0.1), F.lit(0.9)))
-    layers = b.select("base", "raw", "final").unpivot([], ["base", "raw", "final"], "layer", "v").groupBy("layer").agg(n_rows().alias("n"), rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("sd"), pc.alias("pc"))
-    layers = layers.select("layer", "n", "mean", "sd", rnd(F.col("pc")[0]).alias("p10"), rnd(F.col("pc")[1]).alias("p90"))
+    """Moments and percentiles of each layer, a histogram of what the last step takes (bins of .02), and reasons of lowered rows with their mean change.
+
+    Scores are whole hundredths, so sums are exact in any order and a tie in the last place is rounded
+    up; equal values are counted before anything else, so a layer of any size is a few hundred rows.
+    """
+    whole = lambda c: F.round(c * 100).cast("long")
+    base = whole(F.col("l_quantity") / 50)
+    raw = base - whole(F.col("l_discount"))
+    b = li_of(spark, sf).select(base.alias("base"), raw.alias("raw"), F.greatest(F.lit(0).cast("long"), raw - whole(F.col("l_tax"))).alias("final"), "l_returnflag")
+    b = materialize(b.groupBy(*b.columns).agg(n_rows().alias("n")), "scores")
+    exact = lambda c: c.cast("decimal(38,0)")
+    total = F.sum("n")
+
+    def mean(h):
+        up = exact(F.sum((h + 100) * F.col("n"))) * 20000 + total
+        return ((F.call_function("div", up, exact(2 * total)) - 1000000) / 1000000.0).alias("mean")
+
+    layers = b.unpivot(["n"], ["base", "raw", "final"], "layer", "h").groupBy("layer", "h").agg(total.alias("n"))
+    h = F.col("h")
+    spread = exact(total) * F.sum(h * h * F.col("n")) - exact(F.sum(h * F.col("n"))) * exact(F.sum(h * F.col("n")))
+    pc = F.percentile("h", F.array(F.lit(0.1), F.lit(0.9)), F.col("n"))
+    layers = layers.groupBy("layer").agg(total.alias("rows"), mean(h), rnd(F.sqrt(spread.cast("double")) / total / 100).alias("sd"), pc.alias("pc"))
+    layers = layers.select("layer", F.col("rows").alias("n"), "mean", "sd", rnd(F.col("pc")[0] / 100).alias("p10"), rnd(F.col("pc")[1] / 100).alias("p90"))
     none = [F.lit(None).cast("double").alias(c) for c in ("sd", "p10", "p90")]
     taken = F.col("raw") - F.col("final")
-    counted = lambda df, name, change: df.groupBy(name.alias("layer")).agg(n_rows().alias("n"), rnd(F.avg(change)).alias("mean")).select("layer", "n", "mean", *none)
-    shifts = counted(b, F.concat(F.lit("shift_"), F.floor(F.round(taken * 100, 4) / 2).cast("int").cast("string")), taken)
+    counted = lambda df, name, change: df.groupBy(name.alias("layer")).agg(total.alias("rows"), mean(change)).select("layer", F.col("rows").alias("n"), "mean", *none)
+    shifts = counted(b, F.concat(F.lit("shift_"), F.floor(taken / 2).cast("int").cast("string")), taken)
     reasons = counted(b.where("raw < base"), F.concat(F.lit("reason_"), "l_returnflag"), F.col("raw") - F.col("base"))
     return layers.unionByName(shifts).unionByName(reasons)
 

@@ -1,5 +1,7 @@
 """Literal cases of the operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,8 @@ from quireflow.functions import text as X
 from quireflow.operators import ranking as R
 from quireflow.operators.components import connected_components
 from quireflow.plans import forensics
-from quireflow.plans.corpus import digit_run, hamming_join, sentiment
+from quireflow.operators.hashes import hamming_join
+from quireflow.plans.corpus import digit_run, sentiment
 from quireflow.streaming import flows
 
 
@@ -55,11 +58,19 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {100 + i: 100 for i in range(41)}
 
 
-def test_hamming_join_is_exact(spark):
-    h = [(1, 0), (2, 7), (3, 15), (4, -1)]
-    left, right = spark.createDataFrame(h, "a long, ha long"), spark.createDataFrame(h, "b long, hb long")
-    got = {(r.a, r.b) for r in hamming_join(left, right, 3).collect()}
-    assert got == {(a, b) for a, x in h for b, y in h if ((x ^ y) & (2**64 - 1)).bit_count() <= 3}
+@pytest.mark.parametrize("most", [0, 3, 10, 14])
+def test_hamming_join_is_exact(spark, most):
+    """All pairs of hashes that differ in 0 to 20 bits of a few bases, with one to three variants, copies and both ends of the range."""
+    rng = random.Random(most)
+    bases = [0, -1, *(rng.getrandbits(64) - (1 << 63) for _ in range(6))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    near = lambda: signed((rng.choice(bases) ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(21)))) & ((1 << 64) - 1))
+    rows = [(k, [near() for _ in range(rng.randrange(1, 4))]) for k in range(60)]
+    rows += [(60 + k, h) for k, (_, h) in enumerate(rows[:5])]
+    left, right = spark.createDataFrame(rows, "a long, ha array<long>"), spark.createDataFrame(rows, "b long, hb array<long>")
+    least = lambda x, y: min(((p ^ q) & ((1 << 64) - 1)).bit_count() for p in x for q in y)
+    want = {(a, b, least(x, y)) for a, x in rows for b, y in rows if a != b and least(x, y) <= most}
+    assert {tuple(r) for r in hamming_join(left, right, most).collect()} == want and len(want) >= 10
 
 
 def test_sentiment(spark):
