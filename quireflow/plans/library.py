@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
+from quireflow.operators.titles import best_titles
 from quireflow.operators.ranking import rank_within
 from quireflow.plans.registry import query
 from quireflow.session import table
@@ -200,16 +201,20 @@ def j13(spark, sf):
     return shared.select("sid", "id", rnd(score).alias("score")).where("score >= 0.40").withColumn("r", rank_within("sid", F.desc("score"), F.asc("id"))).where("r = 1").drop("r")
 
 
-@query("j14_string_ratio", """WITH a AS (SELECT p_partkey AS id, p_name AS name, p_brand FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, p_name AS oname, p_brand FROM part WHERE p_partkey % 2 = 1),
-p AS (SELECT id, other, round(1 - levenshtein(name, oname) * 1.0 / greatest(length(name), length(oname)), 6) AS ratio FROM a JOIN b USING (p_brand))
-SELECT id, other, ratio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, other) AS k FROM p WHERE ratio >= 0.55) WHERE k = 1""")
+BLOCKS = """w(a, b, pa, pb, k) AS (SELECT a, b, a, b, 0 FROM pr UNION ALL
+SELECT a, b, unnest([substr(pa, 1, f.i - 1), substr(pa, f.i + f.k)]), unnest([substr(pb, 1, f.j - 1), substr(pb, f.j + f.k)]), unnest([f.k, 0]) FROM (SELECT a, b, pa, pb, list_max(list_transform(range(1, length(pa) + 1), lambda i: list_max(list_transform(range(1, length(pb) + 1), lambda j:
+ {'k': len(list_filter(range(1, least(length(pa) - i, length(pb) - j) + 2), lambda z: substr(pa, i, z) = substr(pb, j, z))), 'i2': -i, 'j2': -j, 'i': i, 'j': j})))) AS f FROM w WHERE pa <> '' AND pb <> '') WHERE f.k > 0),
+ratio AS (SELECT a, b, sum(k) * 2.0::DOUBLE / (length(a) + length(b)) AS ratio FROM w GROUP BY a, b)"""
+
+
+@query("j14_string_ratio", f"""WITH RECURSIVE a AS (SELECT p_partkey AS id, p_name AS a, p_brand FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, p_name AS b, p_brand FROM part WHERE p_partkey % 2 = 1), pr AS (SELECT DISTINCT a, b FROM a JOIN b USING (p_brand)), {BLOCKS}
+SELECT id, other, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ratio DESC, other) AS k FROM a JOIN b USING (p_brand) JOIN ratio USING (a, b) WHERE ratio >= 0.55) WHERE k = 1""")
 def j14(spark, sf):
-    """Blocked by brand; ratio from edit distance instead of matching blocks, at least .55."""
+    """Best title of the same brand by the matching-block ratio, .55 or more."""
     p = table(spark, sf, "part")
     a = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_brand")
     b = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("oname"), "p_brand")
-    ratio = 1 - F.levenshtein("name", "oname") / F.greatest(F.length("name"), F.length("oname"))
-    return a.join(b, "p_brand").select("id", "other", rnd(ratio).alias("ratio")).where("ratio >= 0.55").withColumn("k", rank_within("id", F.desc("ratio"), F.asc("other"))).where("k = 1").drop("k")
+    return best_titles(a, b, "p_brand", 0.55).select("id", "other", F.round("ratio", 6).alias("ratio"))
 
 
 def chars(c):
@@ -229,15 +234,21 @@ def j15(spark, sf):
     return both.select("p_partkey", rnd(0.4 * X.jaccard(chars("p_name"), chars(real)) + 0.3 * author + 0.3 * F.when(k % 5 == 0, 0).otherwise(1)).alias("accuracy"))
 
 
-@query("j16_registry_reconciliation", """WITH r AS (SELECT p_partkey AS rid, p_brand, string_split(p_name, ' ') AS rw, [p_type, p_brand] AS ra FROM part WHERE p_partkey % 2 = 0), q AS (SELECT p_partkey AS id, p_brand, string_split(p_name, ' ') AS qw, [p_type, p_brand] AS qa FROM part WHERE p_partkey % 2 = 1)
-SELECT id, min(rid) AS registry_id, count(*) AS matches FROM q JOIN r USING (p_brand) WHERE len(list_intersect(qw, rw)) * 1.0 / len(list_distinct(list_concat(qw, rw))) >= 0.6 AND len(list_intersect(qa, ra)) = 2 GROUP BY id""")
+PERSONS = "list_transform([p_type || ' ' || p_brand, p_name || ' ' || p_type, ''], lambda x: list_distinct(list_filter(string_split(lower(x), ' '), lambda y: y <> '')))"
+
+
+@query("j16_registry_reconciliation", f"""WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w, {PERSONS} AS persons FROM part), r AS (SELECT p_partkey AS rid, p_brand, w AS rw, persons AS rp FROM p WHERE p_partkey % 2 = 0), q AS (SELECT p_partkey AS id, p_brand, w, persons FROM p WHERE p_partkey % 2 = 1),
+m AS (SELECT id, rid, len(list_intersect(w, rw)) * 1.0 / len(list_distinct(list_concat(w, rw))) >= 0.6 AS title, len(list_filter(persons, lambda x: len(list_filter(rp, lambda y: len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))) >= 0.6)) > 0)) > 0 AS author FROM q JOIN r USING (p_brand))
+SELECT id, min(rid) AS registry_id, count(*) AS matches, CAST(count(*) FILTER (WHERE author) AS BIGINT) AS with_author FROM m WHERE title GROUP BY id""")
 def j16(spark, sf):
-    """Title word Jaccard of .6 and an author pair alike, against a registry table, blocked by brand."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.split("p_name", " ").alias("w"), F.array("p_type").alias("a"))
+    """Title word Jaccard of .6 against a registry blocked by brand; an entry's authors match if any pair of names has a word Jaccard of .6."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda y: y != ""))
+    persons = F.array(words(F.concat_ws(" ", "p_type", "p_brand")), words(F.concat_ws(" ", "p_name", "p_type")), words(F.lit("")))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", words(F.col("p_name")).alias("w"), persons.alias("a"))
     r = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("rid"), "p_brand", F.col("w").alias("rw"), F.col("a").alias("ra"))
-    same = F.exists("a", lambda x: F.exists("ra", lambda y: x == y))
-    hit = p.where("p_partkey % 2 = 1").join(r, "p_brand").where((X.jaccard(F.col("w"), F.col("rw")) >= 0.6) & same)
-    return hit.groupBy(F.col("p_partkey").alias("id")).agg(F.min("rid").alias("registry_id"), n_rows().alias("matches"))
+    alike = F.exists("a", lambda x: F.exists("ra", lambda y: X.jaccard(x, y) >= 0.6))
+    hit = p.where("p_partkey % 2 = 1").join(r, "p_brand").where(X.jaccard(F.col("w"), F.col("rw")) >= 0.6)
+    return hit.groupBy(F.col("p_partkey").alias("id")).agg(F.min("rid").alias("registry_id"), n_rows().alias("matches"), F.count_if(alike).alias("with_author"))
 
 
 @query("j17_gold_linkage", r"""WITH n AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS t FROM documents),

@@ -1,12 +1,14 @@
 """Literal cases of the operators."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as X
 from quireflow.operators import ranking as R
+from quireflow.operators import titles as T
 from quireflow.operators.components import connected_components
 from quireflow.plans import forensics
 from quireflow.operators.hashes import hamming_join
@@ -94,3 +96,26 @@ def test_streams_with_state_agree_with_their_batch_twins(spark):
     stream = flows.stream_of(spark, sf, "events")
     for run in (lambda e: flows.debounce(e, 3600), lambda e: flows.token_bucket(e, 1.0)):
         assert sorted(run(stream).collect()) == sorted(run(events).collect())
+
+
+def test_block_ratio_is_the_known_one():
+    """Against the standard library's ratio on random texts, also long ones."""
+    rng = random.Random(14)
+    for n, letters in [(12, "ab"), (12, "abcd e"), (40, "abcdefgh "), (260, "abcdefghij" * 3 + "xyz0123456789"), (400, "ab"), (230, "".join(map(chr, range(97, 400))))]:
+        for _ in range(60):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(n))) for _ in range(2))
+            b = rng.choice((b, a[: n // 2] + b, b[:5] + a))
+            assert T.block_ratio(a, b) == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=1e-12), (a, b)
+
+
+def test_best_titles(spark):
+    rng = random.Random(15)
+    word = lambda: " ".join(rng.choice(("deep", "tide", "sea", "learning", "of", "x")) for _ in range(rng.randrange(4)))
+    left, right = ([(k, word(), k % 3) for k in range(60)] for _ in range(2))
+    got = {tuple(r) for r in T.best_titles(spark.createDataFrame(left, "id long, name string, g long"), spark.createDataFrame(right, "other long, oname string, g long"), "g", 0.55).collect()}
+    want = set()
+    for k, a, g in left:
+        best = max(((SequenceMatcher(None, a, b).ratio(), -o) for o, b, h in right if g == h), default=(0, 0))
+        if best[0] >= 0.55:
+            want.add((k, -best[1], best[0]))
+    assert got == want and len(want) > 20
