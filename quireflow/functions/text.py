@@ -62,8 +62,8 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def sentences(c: str | Column) -> Column:
-    """Trimmed pieces between sentence ends and line breaks, empty ones left out."""
-    parts = F.split(F.coalesce(col(c), F.lit("")), "[.!?\\n。！？]+")
+    """Trimmed pieces between sentence ends and line breaks, empty ones left out; a full stop before a digit ends none."""
+    parts = F.split(F.coalesce(col(c), F.lit("")), "(?:[!?\\n。！？]|\\.(?![0-9]))+")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -8,7 +8,8 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,6 +58,35 @@ class Targets:
                 yield from ((key, m.start() + start) for key in self.authors.get((lowered(m[1][start:]), year), ()))
 
 
+def dealt(rows: DataFrame, key: str, size: Column, shard: int) -> list[Broadcast]:
+    """The rows in shards of about `shard` bytes, by hash of the key, each broadcast on its own."""
+    spark = rows.sparkSession
+    shards = -(-int(rows.agg(F.sum(size)).first()[0] or 0) // shard) or 1
+    placed = materialize(rows.withColumn("__shard", F.pmod(F.xxhash64(key), F.lit(shards))), "shards")
+    return [spark.sparkContext.broadcast([tuple(r) for r in placed.where(F.col("__shard") == k).drop("__shard").collect()]) for k in range(shards)]  # one shard at a time
+
+
+def containing_any(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    """term, key: each of the lower-case terms that a row's lower-cased text contains, in one scan for each shard of terms."""
+    src = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+
+    def scan(own: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = ahocorasick.Automaton()
+            for (term,) in own.value:
+                found.add_word(term, term)
+            found.make_automaton()
+            for batch in batches:
+                hits = [(term, doc) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for term in sorted({w for _, w in found.iter(t.lower())})] if len(found) else []
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.int64())], names=["term", "__key"])
+
+        return src.mapInArrow(run, "term string, __key long")
+
+    parts = dealt(terms.select("term").where("term <> ''").distinct(), "term", F.octet_length("term") + 16, shard)
+    return reduce(DataFrame.unionByName, map(scan, parts)).select("term", F.col("__key").alias(key))
+
+
 def mentions(docs: DataFrame, targets: DataFrame, window: int = 400, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """target, key, pos (from 1), context: every place where a text mentions a target, with `window` characters to both sides.
 
@@ -66,16 +96,9 @@ def mentions(docs: DataFrame, targets: DataFrame, window: int = 400, key: str =
     two letters or more counts before its year. Of a text's equal contexts for a target the first
     stays. Keys are whole numbers; null texts mention nothing.
     """
-    spark = docs.sparkSession
-    bytes_of = F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("surname", F.lit(""))) + 16
-    size = targets.agg(F.sum(bytes_of)).first()[0] or 0
-    shards = -(-size // shard) or 1
-    placed = materialize(targets.select("target", "title", "surname", F.col("year").cast("int").alias("year"), F.pmod(F.xxhash64("target"), F.lit(shards)).alias("shard")), "targets")
     src = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
 
-    def scan(k: int) -> DataFrame:
-        own = spark.sparkContext.broadcast([tuple(r) for r in placed.where(F.col("shard") == k).drop("shard").collect()])  # one shard
-
+    def scan(own: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Targets(own.value)
             for batch in batches:
@@ -86,7 +109,9 @@ def mentions(docs: DataFrame, targets: DataFrame, window: int = 400, key: str =
 
         return src.mapInArrow(run, "target long, __key long, pos long, context string")
 
-    found = reduce(DataFrame.unionByName, [scan(k) for k in range(shards)])
+    size = F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("surname", F.lit(""))) + 16
+    parts = dealt(targets.select("target", "title", "surname", F.col("year").cast("int").alias("year")), "target", size, shard)
+    found = reduce(DataFrame.unionByName, map(scan, parts))
     first = F.row_number().over(Window.partitionBy("target", "__key", "__digest").orderBy("pos"))
     kept = found.withColumn("__digest", F.xxhash64("context", F.sha2("context", 256))).withColumn("__k", first).where("__k = 1")
     return kept.select("target", F.col("__key").alias(key), "pos", "context")

@@ -281,7 +281,7 @@ def _opener_sql() -> str:
 
 
 @query("d15_generated_likelihood", f"""WITH d AS (SELECT doc_id, trim(text || CASE WHEN doc_id % 4 = 3 THEN '' ELSE repeat(['{"', '".join(GENERIC)}'][doc_id % 4 + 1], 1 + length(text) // 60) END) AS t FROM documents),
-s AS (SELECT doc_id, t, length(t) AS n, list_filter(list_transform(regexp_split_to_array(t, '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM d),
+s AS (SELECT doc_id, t, length(t) AS n, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '[.]([0-9])', chr(1) || '\\1', 'g'), '[.!?\\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: x <> '') AS s FROM d),
 v AS (SELECT doc_id, t, n, s, list_avg(list_transform(s, lambda x: length(x) * 1.0)) AS mean, sqrt(list_avg(list_transform(s, lambda x: power(length(x) - list_avg(list_transform(s, lambda y: length(y) * 1.0)), 2)))) AS sd FROM s)
 SELECT doc_id, round(CASE WHEN n < 80 THEN 0 ELSE 0.22 * least({_count_sql(CONNECTORS)} / (n / 1000.0::DOUBLE) / 12, 1) + 0.20 * least({_count_sql(HEDGES)} / (n / 1000.0::DOUBLE) / 8, 1)
  + 0.18 * least(len(list_filter(s, lambda x: {_opener_sql()})) / greatest(len(s), 1)::DOUBLE / 0.30, 1) + 0.15 * CASE WHEN len(s) >= 3 THEN 1 - least(sd / mean / 0.6, 1) ELSE 0 END

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions import text as X
+from quireflow.operators.embedding import Embedder, closest, hashed_words
 from quireflow.plans.registry import query
 from quireflow.session import table
 from quireflow.sources.scratch import materialize
 
 # Thresholds, quotas and word lists of the rules.
-COPY_HIT, GROUNDED, COVERED, STRAY, COPY_SHARE = 0.6, 0.15, 0.55, 0.35, 0.30
+COPY_HIT, GROUNDED, COVERED, NEAR, STRAY = 0.6, 0.15, 0.55, 0.40, 0.35
+COPY_COSINE, COPY_CHARS, FAR_LOW, FAR_HIGH, REPORT_CHARS = 0.85, 15, 0.65, 0.70, 100
 KEY_SENTENCES, BUCKETS, CONCLUSIONS, SOURCE_SENTENCES = 12, 6, 4, 300
 CONCLUSION_WORDS = ("conclusion", "in summary", "we propose", "we present", "we show", "we demonstrate", "in this paper we")
 RESULT_WORDS = ("accuracy", "result", "performance", "improve", "experiment", "error")
@@ -42,7 +44,9 @@ def share_in(grams: Column, text: Column) -> Column:
 
 
 def items(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("report"))
+    """Reports; those of every tenth item also have a Chinese sentence."""
+    far = F.when(F.col("item_id") % 10 == 7, " 该方法在数据上达到更好的性能").otherwise("")
+    return table(spark, sf, "benchmark").select("item_id", F.concat(F.coalesce("text", F.lit("")), far).alias("report"))
 
 
 def docs_of(spark, sf) -> DataFrame:
@@ -70,7 +74,7 @@ def sources(spark, sf, n: int = 8) -> DataFrame:
 
 
 SQZ = r"regexp_replace({}, '\s+', '', 'g')"
-SRC = rf"""i AS (SELECT item_id, coalesce(text, '') AS report, {SQZ.format("coalesce(text, '')")} AS t FROM benchmark), dt AS (SELECT doc_id, coalesce(text, '') AS text, {SQZ.format("coalesce(text, '')")} AS t FROM documents),
+SRC = rf"""i AS (SELECT item_id, report, {SQZ.format("report")} AS t FROM (SELECT item_id, coalesce(text, '') || CASE WHEN item_id % 10 = 7 THEN ' 该方法在数据上达到更好的性能' ELSE '' END AS report FROM benchmark)), dt AS (SELECT doc_id, coalesce(text, '') AS text, {SQZ.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT DISTINCT item_id, substr(t, k, 8) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 6, 2))) AS k FROM i WHERE t <> '')),
 dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, substr(t, k, 8) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 6)) AS k FROM dt WHERE length(t) >= 8)) WHERE g IN (SELECT g FROM g)),
 pc AS (SELECT item_id, doc_id, count(*) AS shared FROM g JOIN dg USING (g) GROUP BY ALL), so AS (SELECT item_id, doc_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM pc) WHERE k = 1),
@@ -98,26 +102,71 @@ def sentence_hits(spark, sf) -> DataFrame:
     return p.select("item_id", "doc_id", "source", X.once(hit).alias("sen"))
 
 
-SENT = SRC + rf""", sen AS (SELECT item_id, pos, s FROM (SELECT item_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(report, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM i))),
+SENT = SRC + rf""", sen AS (SELECT item_id, pos, s FROM (SELECT item_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(report, '[.]([0-9])', chr(1) || '\1', 'g'), '[.!?\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: x <> '') AS x FROM i))),
 sg AS (SELECT DISTINCT item_id, pos, substr(q, k, 8) AS g FROM (SELECT item_id, pos, q, unnest(range(1, greatest(length(q) - 6, 2))) AS k FROM (SELECT item_id, pos, {SQZ.format('s')} AS q FROM sen))),
 h AS (SELECT item_id, pos, avg(CASE WHEN contains(t, g) THEN 1.0 ELSE 0 END) AS hit FROM sg LEFT JOIN so USING (item_id) LEFT JOIN dt ON dt.doc_id = so.doc_id GROUP BY ALL),
 r AS (SELECT item_id, pos, s, length(s) AS n, coalesce(hit, 0) AS hit FROM sen LEFT JOIN h USING (item_id, pos))"""
 
 
-@query("d8_copied_sentences", f"WITH {SENT} SELECT item_id, pos, hit >= 0.6 AS copied FROM r")
+VECTORS = SENT + rf""", ss AS (SELECT item_id, j, s FROM (SELECT item_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.]([0-9])', chr(1) || '\1', 'g'), '[.!?\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: length(x) BETWEEN 6 AND 400)[1:300] AS x FROM so JOIN dt USING (doc_id)))),
+wv AS (SELECT item_id, side, p, substr(md5(w), 1, 2) AS dim, count(*) AS c FROM (SELECT item_id, 'r' AS side, pos AS p, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')) AS w FROM sen UNION ALL SELECT item_id, 's', j, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')) FROM ss) GROUP BY ALL),
+nv AS (SELECT item_id, side, p, sum(c * c) AS q FROM wv GROUP BY ALL), dp AS (SELECT a.item_id, a.p, b.p AS j, sum(a.c * b.c) AS d FROM wv a JOIN wv b ON a.item_id = b.item_id AND a.dim = b.dim AND a.side = 'r' AND b.side = 's' GROUP BY ALL),
+sm AS (SELECT dp.item_id, dp.p AS pos, max(round(d / sqrt(x.q * y.q), 9)) AS sim FROM dp JOIN nv x ON x.item_id = dp.item_id AND x.side = 'r' AND x.p = dp.p JOIN nv y ON y.item_id = dp.item_id AND y.side = 's' AND y.p = dp.j GROUP BY ALL),
+has AS (SELECT DISTINCT item_id FROM ss), cn AS (SELECT so.item_id, len(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]')) * 1.0::DOUBLE / greatest(length(t), 1) AS paper FROM so JOIN dt USING (doc_id)),
+cl AS (SELECT r.*, CASE WHEN has.item_id IS NOT NULL THEN coalesce(sim, 0) END AS sim, coalesce(paper, 0) < 0.20 AND length({SQZ.format("s")}) > 0 AND len(regexp_extract_all(s, '[\x{{4e00}}-\x{{9fff}}]')) * 1.0::DOUBLE / greatest(length({SQZ.format("s")}), 1) >= 0.40 AS far,
+  regexp_matches(lower(s), 'clearly|proves|must') OR (regexp_matches(s, '[0-9]') AND regexp_matches(lower(s), 'achiev|reach|improv|that')) AS bold FROM r LEFT JOIN sm USING (item_id, pos) LEFT JOIN has USING (item_id) LEFT JOIN cn USING (item_id)),
+cf AS (SELECT *, hit >= 0.6 OR (coalesce(sim, 0) >= 0.85 AND n >= 15) AS copied FROM cl),
+ct AS (SELECT *, CASE WHEN copied OR sim IS NULL THEN 'none' WHEN sim >= 0.40 AND (far OR hit >= 0.15) THEN 'grounded' WHEN bold AND (sim >= 0.40 OR sim < 0.35) THEN 'stray' ELSE 'none' END AS kind FROM cf)"""
+
+
+def compared(spark, sf, embedder: Embedder = hashed_words) -> DataFrame:
+    """item_id, report, sen: array of (pos, s, n, hit, sim, copied, far, kind) of an item's sentences against the first 300 of 6 to 400 characters of its source.
+
+    sim is the highest cosine of the embedder's vectors. A sentence is copied by its grams, or at a
+    cosine of .85 from 15 characters on; others are grounded at .40 with some shared grams, or
+    without where they are Chinese and the source isn't; assertive ones that are neither are stray.
+    """
+    own = F.slice(F.filter(X.sentences("source"), lambda x: F.length(x).between(6, 400)), 1, SOURCE_SENTENCES)
+    rows = sentence_hits(spark, sf).withColumn("own", own).withColumn("texts", F.transform("sen", lambda x: x["s"]))
+    rows = closest(rows, "texts", "own", embedder).drop("own", "texts")
+    chinese = lambda c: F.regexp_count(c, F.lit("[\\x{4e00}-\\x{9fff}]"))
+    plain = squeezed(F.coalesce("source", F.lit("")))
+    rows = rows.withColumn("foreign", chinese(plain) / F.greatest(F.length(plain), F.lit(1)) < 0.20)
+
+    def judged(x: Column, i: Column) -> Column:
+        sim = F.get("sims", i)
+        copied = (x["hit"] >= COPY_HIT) | ((F.coalesce(sim, F.lit(0.0)) >= COPY_COSINE) & (x["n"] >= COPY_CHARS))
+        size = F.length(squeezed(x["s"]))
+        far = F.col("foreign") & (size > 0) & (chinese(x["s"]) / F.greatest(size, F.lit(1)) >= 0.40)
+        grounded = (sim >= NEAR) & (far | (x["hit"] >= GROUNDED))
+        stray = assertive(x["s"]) & ((sim >= NEAR) | (sim < STRAY))
+        kind = F.when(copied | sim.isNull(), "none").when(grounded, "grounded").when(stray, "stray").otherwise("none")
+        return F.struct(x["pos"].alias("pos"), x["s"].alias("s"), x["n"].alias("n"), x["hit"].alias("hit"), sim.alias("sim"), copied.alias("copied"), far.alias("far"), kind.alias("kind"))
+
+    return rows.select("item_id", "doc_id", "source", F.transform("sen", judged).alias("sen"))
+
+
+@query("d8_copied_sentences", f"WITH {VECTORS} SELECT item_id, pos, copied, coalesce(sim, 0) AS sim FROM cf")
 def d8(spark, sf):
-    """Sentences whose grams mostly stand in the source. Vectors of sentences aren't given, so the gram test decides alone, as the rule does without an embedder."""
-    return sentence_hits(spark, sf).select("item_id", F.inline("sen")).select("item_id", "pos", (F.col("hit") >= COPY_HIT).alias("copied"))
+    """Sentences whose grams mostly stand in the source, or whose vector is that close to one of its sentences."""
+    return compared(spark, sf).select("item_id", F.inline("sen")).select("item_id", "pos", "copied", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
-@query("d9_fidelity", f"WITH {SENT} SELECT item_id, round(sum(CASE WHEN hit >= 0.15 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.5 * greatest(0, sum(CASE WHEN hit >= 0.6 THEN n ELSE 0 END) * 1.0 / sum(n) - 0.30) - 0.25 * sum(CASE WHEN hit < 0.15 AND (regexp_matches(lower(s), 'clearly|proves|must') OR (regexp_matches(s, '[0-9]') AND regexp_matches(lower(s), 'achiev|reach|improv|that'))) THEN n ELSE 0 END) * 1.0 / sum(n), 6) AS fidelity FROM r GROUP BY 1")
+@query("d9_fidelity", f"""WITH {VECTORS}, t AS (SELECT item_id, sum(n) AS total, coalesce(sum(n) FILTER (WHERE kind = 'grounded'), 0) * 1.0::DOUBLE / sum(n) AS grounded, coalesce(sum(n) FILTER (WHERE copied), 0) * 1.0::DOUBLE / sum(n) AS copy, coalesce(sum(n) FILTER (WHERE kind = 'stray'), 0) * 1.0::DOUBLE / sum(n) AS stray, bool_or(far) AS far, max(sim) FILTER (WHERE far) AS best FROM ct GROUP BY 1)
+SELECT i.item_id, CASE WHEN length(trim(report)) < 100 OR t.item_id IS NULL THEN 'too_short' WHEN has.item_id IS NULL THEN 'no_paper' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN round(grounded, 3) END AS grounded, CASE WHEN status = 'ok' THEN round(copy, 3) END AS copied,
+CASE WHEN status = 'ok' THEN round(greatest(0, round(grounded - copy - CASE WHEN NOT far THEN 0 WHEN coalesce(best, 0) < 0.65 THEN greatest(stray, 0.50) WHEN best < 0.70 THEN greatest(stray, CASE WHEN stray = 0 THEN 0.15 ELSE 0.25 END) ELSE stray END, 9)), 3) END AS fidelity FROM i LEFT JOIN t USING (item_id) LEFT JOIN has USING (item_id)""")
 def d9(spark, sf):
-    """Length-weighted grounded share, less a penalty for copying beyond .30 and one for ungrounded assertive sentences."""
-    s = sentence_hits(spark, sf).select("item_id", F.inline("sen"))
-    part = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum("n")
-    stray = (F.col("hit") < GROUNDED) & assertive(F.col("s"))
-    score = part(F.col("hit") >= GROUNDED) - 0.5 * F.greatest(F.lit(0.0), part(F.col("hit") >= COPY_HIT) - COPY_SHARE) - 0.25 * part(stray)
-    return s.groupBy("item_id").agg(F.round(score, 6).alias("fidelity"))
+    """Length-weighted grounded share less the copied one; with Chinese sentences about a foreign source also less a penalty by their best cosine and by stray ones."""
+    r = compared(spark, sf).withColumn("all", F.aggregate("sen", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    share = lambda test: F.aggregate(F.filter("sen", test), F.lit(0).cast("long"), lambda a, x: a + x["n"]) / F.col("all")
+    r = r.select("item_id", "all", share(lambda x: x["kind"] == "grounded").alias("g"), share(lambda x: x["copied"]).alias("c"), share(lambda x: x["kind"] == "stray").alias("stray"), F.exists("sen", lambda x: x["far"]).alias("far"), F.array_max(F.transform(F.filter("sen", lambda x: x["far"]), lambda x: x["sim"])).alias("best"), F.exists("sen", lambda x: x["sim"].isNotNull()).alias("has"))
+    best = F.coalesce("best", F.lit(0.0))
+    doubt = F.when(best < FAR_LOW, F.greatest("stray", F.lit(0.50))).when(best < FAR_HIGH, F.greatest("stray", F.when(F.col("stray") == 0, 0.15).otherwise(0.25))).otherwise(F.col("stray"))
+    value = F.greatest(F.lit(0.0), F.round(F.col("g") - F.col("c") - F.when(F.col("far"), doubt).otherwise(0.0), 9))
+    both = items(spark, sf).join(r, "item_id", "left")
+    status = F.when((F.length(F.trim("report")) < REPORT_CHARS) | F.coalesce(F.col("all") == 0, F.lit(True)), "too_short").when(~F.coalesce("has", F.lit(False)), "no_paper").otherwise("ok")
+    told = lambda c: F.when(F.col("status") == "ok", F.round(c, 3))
+    return both.withColumn("status", status).select("item_id", "status", told(F.col("g")).alias("grounded"), told(F.col("c")).alias("copied"), told(value).alias("fidelity"))
 
 
 def assertive(s: Column) -> Column:
@@ -169,7 +218,7 @@ def key_sentences(df: DataFrame, text: str, name: str = "keys") -> DataFrame:
 
 KEYS = r"""ks AS (SELECT id, i, s, n, lower(substr(s, 1, 80)) AS key, regexp_matches(lower(s), 'conclusion|in summary|we propose|we present|we show|we demonstrate|in this paper we') AS concl,
   CASE WHEN contains(s, '%') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(s), 'accuracy|result|performance|improve|experiment|error') THEN 1 ELSE 0 END AS signal
-  FROM (SELECT id, unnest(x) AS s, unnest(range(len(x))) AS i, len(x) AS n FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 400) AS x FROM kt))),
+  FROM (SELECT id, unnest(x) AS s, unnest(range(len(x))) AS i, len(x) AS n FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.]([0-9])', chr(1) || '\1', 'g'), '[.!?\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: length(x) BETWEEN 20 AND 400) AS x FROM kt))),
 p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS q FROM (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY i) AS d FROM ks a WHERE i >= n // 2 AND concl AND NOT EXISTS (SELECT 1 FROM ks b WHERE b.id = a.id AND b.i < 3 AND b.key = a.key)) WHERE d = 1) WHERE q <= 4),
 p3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, least(i // greatest(n // 6, 1), 5) ORDER BY signal DESC, i) AS q FROM ks WHERE signal > 0) WHERE q = 1),
 pa AS (SELECT id, 1 AS p, i, key, s FROM ks WHERE i < 3 UNION ALL SELECT id, 2, i, key, s FROM p2 UNION ALL SELECT id, 3, i, key, s FROM p3 UNION ALL SELECT id, 4, i, key, s FROM ks),
@@ -200,7 +249,7 @@ def d10(spark, sf):
     return s.select("item_id", F.size("b").cast("long").alias("key_sentences"), F.size(F.filter("b", lambda b: (b["sim"] >= COVERED) & ~b["copied"])).cast("long").alias("covered"))
 
 
-@query("d11_bigram_overlap", f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents), p AS (SELECT doc_id, unnest(range(1, len(x))) AS pos, x FROM s), b AS (SELECT doc_id, pos, {BG.format('x[pos]')} AS a, {BG.format('x[pos + 1]')} AS b FROM p) SELECT doc_id, pos, {JAC.format('a', 'b')} AS overlap FROM b")
+@query("d11_bigram_overlap", f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.]([0-9])', chr(1) || '\\1', 'g'), '[.!?\\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: x <> '') AS x FROM documents), p AS (SELECT doc_id, unnest(range(1, len(x))) AS pos, x FROM s), b AS (SELECT doc_id, pos, {BG.format('x[pos]')} AS a, {BG.format('x[pos + 1]')} AS b FROM p) SELECT doc_id, pos, {JAC.format('a', 'b')} AS overlap FROM b")
 def d11(spark, sf):
     """Bigram overlap of every sentence with the next one of its document."""
     b = docs_of(spark, sf).select("doc_id", X.once(F.transform(X.sentences("text"), bigrams)).alias("b"))
@@ -321,7 +370,7 @@ def w12(spark, sf):
     return picked(c).select("doc_id", "g", F.explode("sel").alias("i")).select("doc_id", F.col("i").cast("long").alias("chunk"), F.get("g", F.col("i")).cast("long").alias("signal"))
 
 
-PACK = rf"""{SENT}, ds AS (SELECT item_id, unnest(x) AS s, unnest(range(len(x))) AS j FROM (SELECT item_id, list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: length(x) BETWEEN 6 AND 400), 1, 300) AS x FROM so JOIN dt USING (doc_id))),
+PACK = rf"""{SENT}, ds AS (SELECT item_id, unnest(x) AS s, unnest(range(len(x))) AS j FROM (SELECT item_id, list_slice(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.]([0-9])', chr(1) || '\1', 'g'), '[.!?\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: length(x) BETWEEN 6 AND 400), 1, 300) AS x FROM so JOIN dt USING (doc_id))),
 db AS (SELECT item_id, j, length(s) AS n, {BG.format('s')} AS y FROM ds), rb AS (SELECT item_id, pos, s, hit, {BG.format('s')} AS x FROM r WHERE n >= 8),
 b AS (SELECT item_id, pos, s, hit, max({{'sim': {JAC.format('x', 'y')}, 'less': -j}}) AS m FROM rb JOIN db USING (item_id) GROUP BY ALL),
 ca AS (SELECT item_id, pos, m.sim AS sim, -m.less AS j, CASE WHEN NOT a THEN 2 WHEN m.sim < 0.35 THEN 0 ELSE 1 END AS p FROM (SELECT *, regexp_matches(lower(s), 'clearly|proves|must') OR (regexp_matches(s, '[0-9]') AND regexp_matches(lower(s), 'achiev|reach|improv|that')) AS a FROM b) WHERE hit < 0.6),

@@ -422,7 +422,7 @@ FACTED = f"d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 T
 
 @query("n34_sections", f"""WITH {FACTED}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS body, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS pos FROM d), h AS (SELECT *, sum(CASE WHEN regexp_full_match(lower(trim(body)), '{HEADINGS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
 se AS (SELECT doc_id, 'section' AS class, CAST(n AS BIGINT) AS rank, CAST(min(pos) AS BIGINT) AS pos, CAST(sum(length(body)) AS BIGINT) AS chars FROM h GROUP BY doc_id, n),
-s AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '[.!?\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM d)),
+s AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '[.]([0-9])', chr(1) || '\1', 'g'), '[.!?\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: x <> '') AS x FROM d)),
 c AS ({" UNION ALL ".join(f"SELECT doc_id, s, pos, {i} AS i, '{name}' AS class FROM s WHERE regexp_matches(lower(s), '{p}')" for i, (name, p) in enumerate(KEY_CLASSES.items()))}),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(s, 1, 60) ORDER BY i, pos) AS q FROM c) WHERE q = 1)
 SELECT doc_id, class, rank, pos, chars FROM se UNION ALL SELECT doc_id, class, rank, pos, chars FROM (SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id, class ORDER BY pos) AS rank, pos, least(length(s), 200) AS chars FROM k) WHERE rank <= 5""")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
+from quireflow.operators.embedding import anchors, hashed_words
+from quireflow.operators.mentions import containing_any
 from quireflow.operators import ranking as R
 from quireflow.plans.registry import ORACLE, query
 from quireflow.session import table
@@ -300,12 +302,22 @@ def r15(spark, sf):
     return scored.withColumn("tier", F.when(F.col("score") >= 0.70, "strong").when(F.col("score") >= 0.50, "worth reading").otherwise("optional"))
 
 
-@query("r20_sentence_anchors", """WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n。！？]+'), lambda x: trim(x)), lambda x: x <> '') AS s, text FROM documents),
-u AS (SELECT doc_id, text, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS pos FROM s)
-SELECT doc_id, pos, strpos(text, sentence) AS at, length(sentence) AS n FROM u""")
+@query("r20_sentence_anchors", r"""WITH b AS (SELECT item_id, text AS context FROM benchmark), n AS (SELECT count(*) AS n FROM b), d AS (SELECT doc_id, text, context, regexp_extract_all(text, '[^.!?]+[.!?]?') AS m, regexp_split_to_array(text, '[^.!?]+[.!?]?') AS g FROM documents JOIN b ON item_id = doc_id % 40),
+u AS (SELECT doc_id, context, unnest(m) AS s, unnest(range(1, len(m) + 1)) AS k, unnest(list_transform(range(1, len(m) + 1), lambda k: 0)) AS z FROM d),
+l AS (SELECT doc_id, context, k, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) - length(s) AS before FROM u),
+gp AS (SELECT doc_id, unnest(g) AS gap, unnest(range(1, len(g) + 1)) AS k FROM d), gs AS (SELECT doc_id, k, sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY k) AS skipped FROM gp),
+e AS (SELECT l.doc_id, context, l.k, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence, before + skipped AS start, before + skipped + length(s) AS "end" FROM l JOIN gs ON gs.doc_id = l.doc_id AND gs.k = l.k WHERE length(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 8),
+wv AS (SELECT doc_id, k, substr(md5(w), 1, 2) AS dim, count(*) AS c FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS w FROM e) GROUP BY ALL), wq AS (SELECT doc_id, k, sum(c * c) AS q FROM wv GROUP BY ALL),
+cv AS (SELECT item_id, substr(md5(w), 1, 2) AS dim, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(lower(context), '[\p{L}\p{N}]+')) AS w FROM b) GROUP BY ALL), cq AS (SELECT item_id, sum(c * c) AS q FROM cv GROUP BY 1),
+dt AS (SELECT wv.doc_id, wv.k, sum(wv.c * cv.c) AS d FROM wv JOIN cv ON cv.item_id = wv.doc_id % 40 AND cv.dim = wv.dim GROUP BY ALL),
+s AS (SELECT e.doc_id, e.k, sentence, start, "end", coalesce(round(d / sqrt(wq.q * cq.q), 9), 0) AS sim FROM e LEFT JOIN dt ON dt.doc_id = e.doc_id AND dt.k = e.k LEFT JOIN wq ON wq.doc_id = e.doc_id AND wq.k = e.k LEFT JOIN cq ON cq.item_id = e.doc_id % 40)
+SELECT doc_id, rank, start::BIGINT AS start, "end"::BIGINT AS "end", sha256(sentence) AS sentence, sim FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, k) AS rank FROM s) WHERE rank <= 3""")
 def r20(spark, sf):
-    each = docs_of(spark, sf).select("doc_id", "text", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
-    return each.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), F.expr("locate(sentence, text)").cast("long").alias("at"), F.length("sentence").cast("long").alias("n"))
+    """The three sentences of eight characters or more that are closest to the reader's text (a benchmark item), with their places in the document."""
+    context = table(spark, sf, "benchmark").select((F.col("item_id")).alias("__item"), F.col("text").alias("context"))
+    both = docs_of(spark, sf).select("doc_id", "text").join(context, F.col("doc_id") % 40 == F.col("__item")).drop("__item")
+    found = anchors(both, "text", "context", hashed_words).select("doc_id", F.posexplode("anchors").alias("rank", "a"))
+    return found.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.sha2("a.text", 256).alias("sentence"), F.col("a.sim").alias("sim"))
 
 
 TOPIC = ["then", "ation", "hein", "menter"]
@@ -335,7 +347,7 @@ def fallback(spark, sf):
     """For each of a query's first five keywords the first ten documents; a document counts for its earliest keyword."""
     seq = table(spark, sf, "benchmark").select("item_id", F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))), 1, 5).alias("w"))
     five = seq.select("item_id", F.posexplode("w").alias("pos", "term"))
-    hit = five.join(R.postings(docs_of(spark, sf)).select("term", "doc_id"), "term").withColumn("k", R.rank_within(["item_id", "pos"], F.asc("doc_id"))).where("k <= 10")
+    hit = five.join(R.postings(docs_of(spark, sf), five).select("term", "doc_id"), "term").withColumn("k", R.rank_within(["item_id", "pos"], F.asc("doc_id"))).where("k <= 10")
     return hit.groupBy("item_id", "doc_id").agg((F.min("pos") + 1).cast("long").alias("pos"))
 
 
@@ -344,13 +356,16 @@ def r23(spark, sf):
     return fallback(spark, sf)
 
 
-@query("r24_context_assembly", f"""{FALLBACK}, o AS (SELECT m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY pos, doc_id) AS n, substr(d.text, 1, 60) AS head FROM m JOIN documents d USING (doc_id))
-SELECT item_id, string_agg('[' || n || '] ' || head, chr(10) ORDER BY n) AS context FROM o WHERE n <= 5 GROUP BY item_id""")
+@query("r24_context_assembly", f"""{FALLBACK}, o AS (SELECT m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY pos, doc_id) AS n, 'Document ' || doc_id || ' (' || (1990 + doc_id % 35) || ', ' || coalesce(source, '') || ') ' || trim(substr(coalesce(d.text, ''), 1, 400)) AS row FROM m JOIN documents d USING (doc_id))
+SELECT item_id, string_agg('[' || n || '] ' || row, chr(10) || chr(10) ORDER BY n) AS context FROM o WHERE n <= 5 GROUP BY item_id""")
 def r24(spark, sf):
+    """Numbered rows with title, year, authors (the source stands for them) and the first 400 characters of the text."""
     ranked = fallback(spark, sf).withColumn("n", R.rank_within("item_id", F.asc("pos"), F.asc("doc_id"))).where("n <= 5")
-    heads = ranked.join(docs_of(spark, sf).select("doc_id", F.substring("text", 1, 60).alias("head")), "doc_id")
-    rows = heads.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "head"))).alias("rows"))
-    return rows.select("item_id", F.array_join(F.transform("rows", lambda r: F.concat(F.lit("["), r["n"].cast("string"), F.lit("] "), r["head"])), "\n").alias("context"))
+    k = F.col("doc_id")
+    row = F.concat(F.lit("Document "), k.cast("string"), F.lit(" ("), (1990 + k % 35).cast("string"), F.lit(", "), F.coalesce("source", F.lit("")), F.lit(") "), F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 400)))
+    heads = ranked.join(table(spark, sf, "documents").select("doc_id", row.alias("row")), "doc_id")
+    rows = heads.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("n", "row"))).alias("rows"))
+    return rows.select("item_id", F.array_join(F.transform("rows", lambda r: F.concat(F.lit("["), r["n"].cast("string"), F.lit("] "), r["row"])), "\n\n").alias("context"))
 
 
 @query("j25_parent_child_fusion", """WITH pr AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), t AS (SELECT * FROM pr WHERE rank <= 500)
@@ -376,7 +391,7 @@ def f3(spark, sf):
     terms = spark.sql("SELECT * FROM VALUES ('the'), ('zqx'), ('tion'), ('hein') AS t(term)")
     hit = R.postings(docs_of(spark, sf), terms).select("term", "doc_id")
     none = terms.join(hit.select("term").distinct(), "term", "left_anti")
-    sub = docs_of(spark, sf).join(F.broadcast(none), F.contains(F.lower("text"), F.col("term"))).select("term", "doc_id")
+    sub = containing_any(docs_of(spark, sf), none).select("term", "doc_id")
     return hit.withColumn("how", F.lit("index")).unionByName(sub.withColumn("how", F.lit("substring")))
 
 
