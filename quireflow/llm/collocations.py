@@ -18,7 +18,7 @@ from quireflow.llm.substring import span_hashes
 from quireflow.sources.scratch import materialize
 
 #: Bytes of text that are counted together before they are sent; a longer text is alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Most bits of the map of frequent pairs of words (16 MB), whatever the size of the corpus.
 MOST_BITS = 27
 _END, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
