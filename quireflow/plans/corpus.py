@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +12,8 @@ from quireflow.functions import text as X
 from quireflow.operators.components import connected_components
 from quireflow.operators.hashes import flips, hamming_join, sign_hash
 from quireflow.operators.mentions import mentions
+from quireflow.operators.outline import closure, number_references, reading_order
+from quireflow.operators.similarity import similarity_join
 from quireflow.operators.ranking import rank_within, vector_top
 from quireflow.plans.registry import query
 from quireflow.session import table
@@ -105,40 +105,13 @@ def d2(spark, sf):
     return both.withColumn("k", rank_within("doc_id", F.desc("jaccard"), F.asc("other"))).where("k <= 5").drop("k")
 
 
-def tile_pairs(vectors: DataFrame, least: float, tile: int = 4096) -> DataFrame:
-    """a, b, cosine of all vector pairs (a < b) at `least` or more, exactly.
-
-    Vectors are dealt to tiles of about `tile` rows, so there are more tiles for more vectors; two
-    tiles are multiplied as matrices in one group, by blocks of rows.
-    """
-    tiles = max(1, -(-vectors.count() // tile))
-    dealt = vectors.withColumn("t", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
-    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("vec_id", "embedding", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
-
-    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = rows[rows.t == i], rows[rows.t == j]
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
-        if len(left) and len(right):
-            a, b = (unit(np.array(x.embedding.tolist(), dtype=float)) for x in (left, right))
-            for at in range(0, len(a), 512):
-                sim = a[at : at + 512] @ b.T
-                x, y = np.nonzero(sim >= least - 1e-9)
-                p, q = left.vec_id.to_numpy()[at + x], right.vec_id.to_numpy()[y]
-                kept = p < q if i == j else np.ones(len(p), bool)
-                out.append(pd.DataFrame({"a": np.minimum(p, q)[kept], "b": np.maximum(p, q)[kept], "cosine": sim[x, y][kept]}))
-        return pd.concat(out)
-
-    return cells.groupBy("i", "j").applyInPandas(multiply, "a long, b long, cosine double")
-
-
 PAIRCOS = "round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])), 5)"
 
 
 @query("j9_similarity_self_join", f"SELECT x.vec_id AS a, y.vec_id AS b, {PAIRCOS} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {PAIRCOS} >= 0.45")
 def j9(spark, sf):
-    found = tile_pairs(table(spark, sf, "embeddings"), 0.449)
+    """Blocks of near vectors; pairs of blocks that the angles to pivots rule out aren't multiplied."""
+    found = similarity_join(table(spark, sf, "embeddings"), 0.449)
     return found.select("a", "b", F.round("cosine", 5).alias("cosine")).where("cosine >= 0.45")
 
 
@@ -519,11 +492,35 @@ def c7(spark, sf):
     return c.groupBy("l_orderkey").agg(F.when(F.size(valid) > 0, F.array_join(valid, ",")).alias("valid"), F.count_if(F.col("ok").isNull()).alias("invalid"))
 
 
-@query("c8_reference_numbers", "WITH m AS (SELECT conv_id, length(text) % 9 AS ref, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, ref, row_number() OVER (PARTITION BY conv_id ORDER BY first, ref) AS number FROM m")
+CHAPTERS = """ch AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, CASE WHEN turn % 2 = 1 THEN 2 ELSE 1 END AS ord, coalesce(text, '') || ' [@doc' || length(text) % 9 || '] and [@ doc' || turn % 5 || ' ], [@lost' || conv_id % 3 || '] [@ ].' AS text FROM conversations),
+rt(conv_id, turn, path, text) AS (SELECT conv_id, turn, lpad(ord::VARCHAR, 4, '0') || ':' || lpad(turn::VARCHAR, 6, '0'), text FROM ch WHERE parent IS NULL UNION ALL SELECT ch.conv_id, ch.turn, path || '/' || lpad(ord::VARCHAR, 4, '0') || ':' || lpad(ch.turn::VARCHAR, 6, '0'), ch.text FROM rt JOIN ch ON ch.conv_id = rt.conv_id AND ch.parent = rt.turn),
+mk AS (SELECT conv_id, turn, path, unnest(list_transform(regexp_extract_all(text, '\\[@([^\\]]+)\\]', 1), lambda m: trim(m))) AS id, unnest(range(1, len(regexp_extract_all(text, '\\[@([^\\]]+)\\]')) + 1)) AS k FROM rt),
+fi AS (SELECT conv_id, id, min((path, k)) AS f FROM mk WHERE id <> '' GROUP BY ALL), nu AS (SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY f) AS n FROM fi)"""
+
+
+def chapters_of(spark, sf) -> DataFrame:
+    """Turns of a conversation stand for the chapters of a project: a binary tree, right child first, whose texts cite documents, some of them missing."""
+    t = F.col("turn")
+    cites = F.concat(F.coalesce("text", F.lit("")), F.lit(" [@doc"), (F.length("text") % 9).cast("string"), F.lit("] and [@ doc"), (t % 5).cast("string"), F.lit(" ], [@lost"), (F.col("conv_id") % 3).cast("string"), F.lit("] [@ ]."))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(t > 0, F.floor((t - 1) / 2)).alias("parent"), F.when(t % 2 == 1, 2).otherwise(1).alias("ord"), cites.alias("text"))
+
+
+def numbered(spark, sf) -> tuple[DataFrame, DataFrame]:
+    known = spark.range(9).select(F.concat(F.lit("doc"), "id").alias("id"), F.concat(F.lit("Document "), "id").alias("title"))
+    return number_references(reading_order(chapters_of(spark, sf), "conv_id", "turn", "parent", "ord"), known, "conv_id")
+
+
+@query("c8_reference_numbers", f"WITH RECURSIVE {CHAPTERS} SELECT conv_id, n, id, CASE WHEN regexp_matches(id, '^doc[0-8]$') THEN 'Document ' || substr(id, 4) ELSE '[not found: ' || id || ']' END AS title FROM nu")
 def c8(spark, sf):
-    """References numbered by first occurrence over the ordered turns of a conversation."""
-    m = table(spark, sf, "conversations").groupBy("conv_id", (F.length("text") % 9).cast("long").alias("ref")).agg(F.min("turn").alias("first"))
-    return m.select("conv_id", "ref", rank_within("conv_id", F.asc("first"), F.asc("ref")).alias("number"))
+    """References of a project by first occurrence in its chapters' depth-first order, a placeholder for missing ones."""
+    return numbered(spark, sf)[1]
+
+
+@query("c8_rewritten_chapters", f"""WITH RECURSIVE {CHAPTERS}, pc AS (SELECT conv_id, turn, path, unnest(regexp_split_to_array(text, '\\[@[^\\]]+\\]')) AS piece, unnest(range(len(regexp_split_to_array(text, '\\[@[^\\]]+\\]')))) AS k FROM rt)
+SELECT pc.conv_id, pc.turn, sha256(string_agg(CASE WHEN pc.k = 0 THEN '' ELSE '[' || coalesce(n, 0) || ']' END || piece, '' ORDER BY pc.k)) AS text FROM pc LEFT JOIN mk ON mk.conv_id = pc.conv_id AND mk.turn = pc.turn AND mk.k = pc.k LEFT JOIN nu ON nu.conv_id = mk.conv_id AND nu.id = mk.id GROUP BY pc.conv_id, pc.turn""")
+def c8_chapters(spark, sf):
+    """The chapters' texts with [@id] rewritten to the reference's number."""
+    return numbered(spark, sf)[0].select("conv_id", "turn", F.sha2("text", 256).alias("text"))
 
 
 NODES = "nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
@@ -542,9 +539,13 @@ def c9(spark, sf):
     return spark.sql(f"WITH RECURSIVE {TREE.format('STRING')} SELECT id, depth, least(depth + 1, 6) AS heading, path FROM t")
 
 
-@query("c10_descendants", f"WITH RECURSIVE {TREE.format('VARCHAR')} SELECT split_part(path, '/', 1) AS ancestor, count(*) - 1 AS descendants FROM t GROUP BY 1")
+@query("c10_descendants", f"WITH RECURSIVE {NODES}, ed AS (SELECT id, parent FROM nodes WHERE parent IS NOT NULL UNION SELECT 'r0', 'n' || min(n_nationkey) FROM nation WHERE n_regionkey = 0), cl(ancestor, descendant) AS (SELECT parent, id FROM ed UNION SELECT ancestor, id FROM cl JOIN ed ON parent = descendant) SELECT ancestor, descendant FROM cl")
 def c10(spark, sf):
-    return c9(spark, sf).groupBy(F.split("path", "/")[0].alias("ancestor")).agg((n_rows() - 1).alias("descendants"))
+    """All pairs of ancestor and descendant; region 0 is planted below one of its own nations, and the cycle ends."""
+    tree_views(spark, sf)
+    nodes = spark.sql(f"WITH {NODES} SELECT id, parent FROM nodes WHERE parent IS NOT NULL")
+    planted = table(spark, sf, "nation").where("n_regionkey = 0").agg(F.concat(F.lit("n"), F.min("n_nationkey")).alias("parent")).select(F.lit("r0").alias("id"), "parent")
+    return closure(nodes.union(planted))
 
 
 DOI = "'see https://doi.org/10.' || (1000 + o_custkey) || '/ABC.' || o_orderkey || ', doi:10.5555/' || CASE WHEN o_orderkey % 3 = 0 THEN '1234567.8901234' ELSE 'x' || o_orderkey END || ' and arXiv:' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0') || '.' || lpad(CAST((o_orderkey * 7919) % 100000 AS VARCHAR), 5, '0')"
