@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.arrow import raw, slices
+from quireflow.llm.arrow import slices
 
 #: Stored payloads come in tiles of 24 x 24 pixels; a frame has up to MOST_TILES of them, one below another, and stands for 100 ms.
 SIDE = 24
@@ -146,11 +146,25 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
+def _packed(frames: Iterator[bytes]) -> Iterator[bytes]:
+    """Code streams of frames, packed together for about GROUP bytes of them at a time."""
+    group, size = [], 0
+    for f in frames:
+        group.append(lzw_codes(f))
+        size += len(f)
+        if size >= GROUP:
+            yield from pack_codes(group)
+            group, size = [], 0
+    yield from pack_codes(group) if group else ()
+
+
 _PALETTE = bytes(v for i in range(256) for v in (i, i, i))
 
 
-#: Pixels of all frames of a file that are decoded; they take four bytes each.
-MOST_PIXELS = 1 << 28
+#: Bytes of frames that are encoded together.
+GROUP = 1 << 20
+#: Pixels of a screen that are decoded, as a header can claim any size; they take four bytes each. Frames are shown one after another, so their number isn't bounded.
+MOST_SCREEN = 1 << 26
 
 
 def tiles_of_frame(tiles: int) -> int:
@@ -158,36 +172,61 @@ def tiles_of_frame(tiles: int) -> int:
     return next(k for k in range(min(tiles, MOST_TILES), 0, -1) if tiles % k == 0)
 
 
-def write_gifs(payloads: list[bytes]) -> list[bytes]:
-    """Bytes (positive multiples of 576) as grey frames of animated GIFs, 24 pixels wide, without loss."""
-    steps = [tiles_of_frame(len(p) // FRAME) * FRAME for p in payloads]
-    streams = iter(pack_codes([lzw_codes(p[i : i + n]) for p, n in zip(payloads, steps, strict=True) for i in range(0, len(p), n)]))
-    out = []
-    for p, n in zip(payloads, steps, strict=True):
-        screen = SIDE.to_bytes(2, "little") + (n // SIDE).to_bytes(2, "little")
+def _frames_of(text: bytes | memoryview) -> tuple[int, int]:
+    """Bytes of a frame, and number of frames, of a text's payload."""
+    tiles = max(1, -(-len(text) // FRAME))
+    step = tiles_of_frame(tiles) * FRAME
+    return step, tiles * FRAME // step
+
+
+def gif_parts(texts: list[bytes | memoryview]) -> Iterator[bytes | None]:
+    """For each text (padded with 255s to a positive multiple of 576) the parts of an animated GIF, 24 pixels wide, that holds it as grey frames without loss; None ends a file."""
+
+    def frames() -> Iterator[bytes]:
+        for t in texts:
+            step, count = _frames_of(t)
+            yield from (bytes(t[i * step : (i + 1) * step]).ljust(step, b"\xff") for i in range(count))
+
+    streams = _packed(frames())
+    for t in texts:
+        step, count = _frames_of(t)
+        screen = SIDE.to_bytes(2, "little") + (step // SIDE).to_bytes(2, "little")
         head = b"\x21\xf9\x04\x04" + DELAY_CS.to_bytes(2, "little") + b"\0\0\x2c\0\0\0\0" + screen + b"\0\x08"
-        out.append(b"".join([b"GIF89a" + screen + b"\xf7\0\0" + _PALETTE, *(head + _blocks(next(streams)) for _ in range(len(p) // n)), b"\x3b"]))
+        yield b"GIF89a" + screen + b"\xf7\0\0" + _PALETTE
+        for _ in range(count):
+            yield head + _blocks(next(streams))
+        yield b"\x3b"
+        yield None
+
+
+def write_gifs(texts: list[bytes]) -> list[bytes]:
+    out, parts = [], []
+    for p in gif_parts(texts):
+        if p is None:
+            out.append(b"".join(parts))
+            parts = []
+        else:
+            parts.append(p)
     return out
 
 
-def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
-    """Width, height and the frames as shown: delay in ms and the canvas (height, width, RGBA).
+def show_gif(data: bytes | memoryview, most_screen: int = MOST_SCREEN) -> Iterator[tuple[int, np.ndarray]]:
+    """The frames of a file as shown, one after another: delay in ms and the canvas (height, width, RGBA), which the next frame changes.
 
     Local before global palettes; interlaced rows are put in order; a transparent index leaves
-    the canvas as it is; disposal 2 clears a frame's area, 3 restores what was there before. A
-    file whose frames have over most_pixels together raises before they are made.
+    the canvas as it is; disposal 2 clears a frame's area, 3 restores what was there before. Other
+    data, and a screen of over most_screen pixels, raise.
     """
-    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+    if len(data) < 13 or bytes(data[:6]) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     at, shared = 13, None
     if data[10] & 0x80:
         n = 2 << (data[10] & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    if width * height > most_pixels:
-        raise ValueError(f"over {most_pixels} pixels")
+    if width * height > most_screen:
+        raise ValueError(f"over {most_screen} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[tuple[int, np.ndarray]] = []
     delay, disposal, clear = 0, 0, -1
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
@@ -214,8 +253,6 @@ def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, lis
             palette, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
         if palette is None or x + w > width or y + h > height or not 2 <= data[at] <= 8:
             raise ValueError("frame without palette, out of the screen or with a bad code size")
-        if (len(frames) + 1) * width * height > most_pixels:
-            raise ValueError(f"over {most_pixels} pixels")
         code_bits = data[at]
         body, at = sub_blocks(at + 1)
         pixels = lzw_decode(body, code_bits, w * h)
@@ -230,22 +267,34 @@ def read_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, lis
         before = canvas.copy() if disposal == 3 else None
         area = canvas[y : y + h, x : x + w]
         shown = palette[np.minimum(index, len(palette) - 1)]
-        if clear < 0 and (w, h) == (width, height):
-            canvas = np.empty((height, width, 4), np.uint8)
-            canvas[..., :3], canvas[..., 3], area = shown, 255, canvas
-        elif clear < 0:
+        if clear < 0:
             area[..., :3], area[..., 3] = shown, 255
         else:
             drawn = index != clear
             area[drawn, :3], area[drawn, 3] = shown[drawn], 255
-        frames.append((delay, canvas))
-        canvas = canvas.copy()
+        yield delay, canvas
         if disposal == 2:
             canvas[y : y + h, x : x + w] = 0
         elif before is not None:
             canvas = before
         delay, disposal, clear = 0, 0, -1
-    return width, height, frames
+
+
+def read_gif(data: bytes | memoryview) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
+    """Width, height and all frames as shown."""
+    frames = [(delay, canvas.copy()) for delay, canvas in show_gif(data)]
+    return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), frames
+
+
+def _buffers(batch: pa.RecordBatch, column: str) -> list[memoryview | None]:
+    """The column's bytes without a copy."""
+    return [memoryview(v.as_buffer()).cast("B") if v.is_valid else None for v in batch.column(column).cast(pa.large_binary())]
+
+
+def _binary(out: pa.BufferOutputStream, ends: list[int], valid: list[bool]) -> pa.Array:
+    """What was written as a column of bytes, without a copy."""
+    bits = np.packbits(np.array(valid, bool), bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(valid), [pa.py_buffer(bits), pa.py_buffer(np.array([0, *ends], np.int32)), out.getvalue()])
 
 
 def store_gifs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,51 +305,60 @@ def store_gifs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 1 << 20):
-            own = raw(batch, "__text")
-            media = write_gifs([t + b"\xff" * (max(1, -(-len(t) // FRAME)) * FRAME - len(t)) for t in own])
-            cols = [batch.column("__key"), pa.array([len(t) for t in own], pa.int64()), pa.array(media, pa.binary())]
+            own = [b"" if t is None else t for t in _buffers(batch, "__text")]
+            out, ends = pa.BufferOutputStream(), []
+            for part in gif_parts(own):
+                if part is None:
+                    ends.append(out.tell())
+                else:
+                    out.write(part)
+            cols = [batch.column("__key"), pa.array([len(t) for t in own], pa.int64()), _binary(out, ends, [True] * len(own))]
             yield pa.RecordBatch.from_arrays(cols, names=["__key", "n_bytes", "media"])
 
     src = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     return src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("__key", key)
 
 
-def read_gifs(media: DataFrame, column: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+def read_gifs(media: DataFrame, column: str = "media", most_screen: int = MOST_SCREEN) -> DataFrame:
     """Decode a column of GIF files; all columns of media are kept.
 
     Adds width, height, frames (array of start_ms, delay_ms and hist, the counts of 8 colour bins,
     transparent pixels not counted), luma (all frames' brightness planes, one after another) and
-    error. Null media and files that can't be decoded give nulls, the latter with an error; so does
-    a file with over most_pixels in all its frames, as a header can claim any size.
-    Columns of media with these names are replaced.
+    error. Frames are decoded one after another, so beside the file and its luma only one canvas is
+    in memory, however many frames there are. Null media and files that can't be decoded give
+    nulls, the latter with an error; so does a screen of over most_screen pixels, as a header can
+    claim any size. Columns of media with these names are replaced.
     """
     added = ["width", "height", "frames", "luma", "error"]
     media = media.drop(*added)
     frame = pa.list_(pa.struct([("start_ms", pa.int32()), ("delay_ms", pa.int32()), ("hist", pa.list_(pa.int32()))]))
+    weights = np.array([299, 587, 114], dtype=np.uint32)
 
-    def one(data: bytes | None) -> tuple:
+    def one(data: memoryview | None, luma: pa.BufferOutputStream) -> tuple:
         if data is None:
-            return None, None, None, None, None
+            return None, None, None, False, None
+        frames, start, planes = [], 0, []
         try:
-            width, height, frames = read_gif(data, most_pixels)
+            for delay, shown in show_gif(data, most_screen):
+                r, g, b, a = (shown[..., k] for k in range(4))
+                bins = (r >> 7 << 2 | g >> 7 << 1 | b >> 7) + np.uint8(BINS) * (a == 0)
+                planes.append(((r * weights[0] + g * weights[1] + b * weights[2]) // 1000).astype(np.uint8).tobytes())
+                frames.append({"start_ms": start, "delay_ms": delay, "hist": np.bincount(np.minimum(bins, BINS).ravel(), minlength=BINS + 1)[:BINS].tolist()})
+                start += delay
         except (ValueError, IndexError) as e:
-            return None, None, None, None, str(e)[:200] or "cut short"
-        if not frames:
-            return width, height, [], b"", None
-        shown = np.stack([f for _, f in frames])
-        bins = (shown[..., 0] >> 7 << 2 | shown[..., 1] >> 7 << 1 | shown[..., 2] >> 7).reshape(len(frames), -1).astype(np.int64)
-        bins[shown[..., 3].reshape(len(frames), -1) == 0] = BINS
-        bins += np.arange(len(frames))[:, None] * (BINS + 1)
-        hist = np.bincount(bins.ravel(), minlength=len(frames) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS].tolist()
-        luma = ((shown[..., :3].astype(np.int32) @ np.array([299, 587, 114], dtype=np.int32)) // 1000).astype(np.uint8).tobytes()
-        starts = np.r_[0, np.cumsum([d for d, _ in frames])].tolist()
-        return width, height, [{"start_ms": s, "delay_ms": d, "hist": h} for s, (d, _), h in zip(starts, frames, hist, strict=False)], luma, None
+            return None, None, None, False, str(e)[:200] or "cut short"
+        for plane in planes:
+            luma.write(plane)
+        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), frames, True, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int32(), frame, pa.binary(), pa.string()]
         for batch in slices(batches, column, 1 << 20):
-            rows = [one(d) for d in batch.column(column).to_pylist()]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            luma, ends, rows = pa.BufferOutputStream(), [], []
+            for data in _buffers(batch, column):
+                rows.append(one(data, luma))
+                ends.append(luma.tell())
+            width, height, frames, valid, error = ([r[k] for r in rows] for k in range(5))
+            cols = [pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(frames, frame), _binary(luma, ends, valid), pa.array(error, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *added])
 
     ddl = f"{media._jdf.schema().toDDL()}, width int, height int, frames array<struct<start_ms:int,delay_ms:int,hist:array<int>>>, luma binary, error string"
