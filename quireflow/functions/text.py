@@ -12,9 +12,9 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def once(c: Column) -> Column:
+def once(c: str | Column) -> Column:
     """The value as a generator's only row, so that later expressions read it and don't compute it again."""
-    return F.explode(F.array(c))
+    return F.explode(F.array(col(c)))
 
 
 def tokens(c: str | Column) -> Column:

@@ -96,11 +96,11 @@ def series(spark, sf):
 
 
 @query("n7_complementary_series", f"{SER}, g AS (SELECT e // 10 AS grp, e % 10 AS label, pos, CASE WHEN e % 10 = 1 THEN 60 - ((e - 1) % 7 + 1.5 * pos) WHEN e % 10 = 2 THEN (e - 2) % 7 + 1.5 * pos + 0.2 ELSE v END AS v FROM s) SELECT a.grp, a.label AS a, b.label AS b, count(*) AS n, round(max(a.v + b.v) - min(a.v + b.v), 6) AS spread, round(max(abs(a.v - b.v)), 6) AS gap FROM g a JOIN g b ON a.grp = b.grp AND a.pos = b.pos AND a.label < b.label GROUP BY ALL HAVING count(*) >= 4 AND (max(a.v + b.v) - min(a.v + b.v) < 0.5 OR max(abs(a.v - b.v)) < 0.5)")
-def n7(spark, sf):
+def n7(spark, sf, of=None):
     """Pairs of a group's series with a constant sum, or nearly equal ones, at four shared places or more; ten orders make a group."""
     e, pos = F.col("e"), F.col("pos")
     v = F.when(e % 10 == 1, 60 - ((e - 1) % 7 + 1.5 * pos)).when(e % 10 == 2, (e - 2) % 7 + 1.5 * pos + 0.2).otherwise(F.col("v"))
-    g = series(spark, sf).select(F.floor(e / 10).alias("grp"), (e % 10).alias("label"), "pos", v.alias("v"))
+    g = (of or series(spark, sf)).select(F.floor(e / 10).alias("grp"), (e % 10).alias("label"), "pos", v.alias("v"))
     both = g.toDF("grp", "a", "pos", "x").join(g.toDF("grp", "b", "pos", "y"), ["grp", "pos"]).where("a < b")
     total = F.col("x") + F.col("y")
     p = both.groupBy("grp", "a", "b").agg(n_rows().alias("n"), (F.max(total) - F.min(total)).alias("spread"), F.max(F.abs(F.col("x") - F.col("y"))).alias("gap"))
@@ -118,9 +118,9 @@ def n8(spark, sf):
 
 
 @query("n9_progression", f"{SER}, d AS (SELECT e, v - lag(v) OVER (PARTITION BY e ORDER BY pos) AS d FROM s) SELECT e, count(d) + 1 AS n, min(round(d, 6)) AS step FROM d GROUP BY e HAVING count(d) >= 3 AND count(DISTINCT round(d, 6)) = 1 AND abs(min(d)) NOT IN (0, 1)")
-def n9(spark, sf):
+def n9(spark, sf, of=None):
     """Four values or more with equal steps other than 0 and 1."""
-    d = series(spark, sf).select("e", F.round(F.col("v") - F.lag("v").over(Window.partitionBy("e").orderBy("pos")), 6).alias("d"))
+    d = (of or series(spark, sf)).select("e", F.round(F.col("v") - F.lag("v").over(Window.partitionBy("e").orderBy("pos")), 6).alias("d"))
     g = d.groupBy("e").agg((F.count("d") + 1).alias("n"), F.count_distinct("d").alias("k"), F.min("d").alias("step"))
     return g.where("n >= 4 and k = 1 and abs(step) not in (0, 1)").drop("k")
 
@@ -132,9 +132,9 @@ def n10(spark, sf):
 
 
 @query("n11_constant_offset", f"{SER} SELECT e, count(*) AS n, min(round(v - w, 4)) AS gap FROM s GROUP BY e HAVING count(*) >= 4 AND count(DISTINCT round(v - w, 4)) = 1")
-def n11(spark, sf):
+def n11(spark, sf, of=None):
     d = F.round(F.col("v") - F.col("w"), 4)
-    return series(spark, sf).groupBy("e").agg(n_rows().alias("n"), F.min(d).alias("gap"), F.count_distinct(d).alias("k")).where("n >= 4 and k = 1").drop("k")
+    return (of or series(spark, sf)).groupBy("e").agg(n_rows().alias("n"), F.min(d).alias("gap"), F.count_distinct(d).alias("k")).where("n >= 4 and k = 1").drop("k")
 
 
 BENFORD = "WITH x AS (SELECT l_returnflag || l_linestatus AS g, l_extendedprice AS v FROM lineitem WHERE l_extendedprice > 0), d AS (SELECT g, CAST(substr(CAST(CAST(floor(v) AS BIGINT) AS VARCHAR), 1, 1) AS INT) AS digit, count(*) AS o FROM x GROUP BY ALL), t AS (SELECT g, count(*) AS n, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1), s AS (SELECT unnest(range(1, 10)) AS digit)"
@@ -193,20 +193,30 @@ def n14(spark, sf):
     """Five signals of a text: a spread under half a percent over three seeds or more; every comparison below .001 with five seeds or fewer; ablation steps with one fraction; a claimed gain over ten points above its table's; a list of shares in equal steps."""
     t, one = F.col("text"), lambda pattern: F.regexp_extract("text", pattern, 1)
     numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit("([0-9]+(?:\\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    tiny = (one("±\\s*([0-9]+\\.[0-9]+)\\s*%").cast("double") < 0.5) & (one("over ([0-9]+) seeds").cast("int") >= 3)
-    every = F.lower(t).rlike("all comparisons[^\\n]*p < 0?\\.0+1\\b") & (one("([0-9]+) random seeds").cast("int") <= 5)
-    fractions = F.regexp_extract_all("text", F.lit("\\|\\s*-\\s*[0-9]+\\.([0-9]{2})(?=\\s*\\|)"), F.lit(1))
-    same = (F.size(fractions) >= 3) & (F.size(F.array_distinct(fractions)) == 1)
-    cells = F.transform(F.filter(F.split(t, "\\n"), lambda r: r.rlike("^\\|[a-z]+\\|[0-9]")), numbers)
-    gains = F.filter(F.zip_with(cells[0], F.element_at(cells, -1), lambda b, p: (p - b) / b * 100), lambda g: g > 0)
-    mean = F.aggregate(gains, F.lit(0.0), lambda acc, g: acc + g) / F.size(gains)
-    contradicted = one("gain of ([0-9.]+)%").cast("double") - mean > 10.0001
-    shares = numbers(one("((?:[0-9]+%, ){3,}[0-9]+%)"))
+    read = F.struct(
+        one("±\\s*([0-9]+\\.[0-9]+)\\s*%").cast("double").alias("spread"),
+        one("over ([0-9]+) seeds").cast("int").alias("seeds"),
+        F.lower(t).rlike("all comparisons[^\\n]*p < 0?\\.0+1\\b").alias("below"),
+        one("([0-9]+) random seeds").cast("int").alias("random"),
+        F.regexp_extract_all("text", F.lit("\\|\\s*-\\s*[0-9]+\\.([0-9]{2})(?=\\s*\\|)"), F.lit(1)).alias("fractions"),
+        F.transform(F.filter(F.split(t, "\\n"), lambda r: r.rlike("^\\|[a-z]+\\|[0-9]")), numbers).alias("cells"),
+        one("gain of ([0-9.]+)%").cast("double").alias("gain"),
+        numbers(one("((?:[0-9]+%, ){3,}[0-9]+%)")).alias("shares"),
+    )
+    texts = plausibility_texts(spark, sf).select("o_orderkey", X.once("text").alias("text")).select("o_orderkey", X.once(read).alias("r")).select("o_orderkey", "r.*")
+    tiny = (F.col("spread") < 0.5) & (F.col("seeds") >= 3)
+    every = F.col("below") & (F.col("random") <= 5)
+    same = (F.size("fractions") >= 3) & (F.size(F.array_distinct("fractions")) == 1)
+    gains = F.filter(F.zip_with(F.get("cells", 0), F.element_at("cells", -1), lambda b, p: (p - b) / b * 100), lambda g: g > 0)
+    shares = F.col("shares")
     steps = F.transform(F.sequence(F.lit(1), F.size(shares) - 1), lambda i: F.round(F.get(shares, i) - F.get(shares, i - 1), 6))
-    even = (F.size(shares) >= 4) & (F.size(F.array_distinct(steps)) == 1) & ~F.abs(steps[0]).isin(0.0, 1.0)
+    texts = texts.select("*", X.once(F.struct(F.when(F.size("cells") > 0, gains).alias("gains"), F.when(F.size(shares) >= 4, steps).alias("steps"))).alias("x")).select("*", "x.*")
+    mean = F.aggregate("gains", F.lit(0.0), lambda acc, g: acc + g) / F.size("gains")
+    contradicted = F.col("gain") - mean > 10.0001
+    even = (F.size(F.array_distinct("steps")) == 1) & ~F.abs(F.get("steps", 0)).isin(0.0, 1.0)
     named = zip(("tiny_std", "all_significant", "same_fraction", "table_contradiction", "progression"), (tiny, every, same, contradicted, even), strict=True)
     flags = F.filter(F.array(*[F.when(test, name) for name, test in named]), lambda f: f.isNotNull())
-    return plausibility_texts(spark, sf).select("o_orderkey", F.explode(flags).alias("flag"))
+    return texts.select("o_orderkey", F.explode(flags).alias("flag"))
 
 
 @query("n15_flag_penalty", "WITH f AS (SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_discount >= 0.09) AS BIGINT) AS strong, CAST(count(*) FILTER (WHERE l_discount = 0) AS BIGINT) AS weak FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(round(least(0.15, 0.05 * strong + 0.03 * weak), 6) AS DOUBLE) AS penalty, strong + weak >= 2 AS red_line FROM f")
@@ -479,8 +489,10 @@ def _audit_sql() -> str:
 
 @query("n36_whole_audit", _audit_sql())
 def n36(spark, sf):
-    """All checks give findings of one shape; the audit is their union, numbered for each entity, and a row for each check with its status and count."""
-    parts = [QUERIES[q](spark, sf).where(test).select(F.concat(F.lit(f"{kind}:"), F.col(col).cast("string")).alias("entity"), F.lit(name).alias("type")) for name, q, kind, col, test in CHECKS]
+    """All checks give findings of one shape; the audit is their union, numbered for each entity, and a row for each check with its status and count. Series and text flags, which several checks read, are made once."""
+    aligned = materialize(series(spark, sf), "series")
+    shared = {"n14_text_flags": materialize(n14(spark, sf), "flags")} | {name: f(spark, sf, aligned) for name, f in (("n7_complementary_series", n7), ("n9_progression", n9), ("n11_constant_offset", n11))}
+    parts = [(shared[q] if q in shared else QUERIES[q](spark, sf)).where(test).select(F.concat(F.lit(f"{kind}:"), F.col(col).cast("string")).alias("entity"), F.lit(name).alias("type")) for name, q, kind, col, test in CHECKS]
     hot = n4(spark, sf).where("grps >= 3").select(F.col("value").alias("l_extendedprice"))
     parts.append(li_of(spark, sf).join(hot, "l_extendedprice", "left_semi").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("entity"), F.lit("CROSS_GROUP").alias("type")).distinct())
     found = materialize(reduce(lambda a, b: a.unionByName(b), parts), "findings")

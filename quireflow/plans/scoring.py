@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -289,28 +290,39 @@ def k21(spark, sf):
     return g.select("l_orderkey", ((F.col("a") != F.col("b")) & ~alike).alias("disagree"), rnd(0.1 * s).alias("gap"))
 
 
-#: Poisson(1) by its distribution: the first count whose bound is above a uniform number.
-POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917, 0.99999)
 PRIME = 2147483647
-BOOT = f"""WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, (l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME} AS s FROM lineitem), y AS (SELECT g, x, b, (s + b * 69621 + 12345) % {PRIME} AS y FROM v, (SELECT unnest(range(1000)) AS b)), z AS (SELECT g, x, b, (y * y + b) % {PRIME} AS z FROM y), u AS (SELECT g, x, b, (z * z % {PRIME}) / {float(PRIME)} AS u FROM z),
-p AS (SELECT g, b, x, CASE {" ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(POISSON))} ELSE {len(POISSON)} END AS w FROM u), m AS (SELECT g, b, sum(w * x) / sum(w) AS m FROM p GROUP BY ALL HAVING sum(w) > 0)"""
+BOOT = f"""WITH v AS (SELECT l_suppkey AS g, CAST(2 * l_quantity AS BIGINT) AS h, count(*) AS n FROM lineitem GROUP BY ALL), kn AS (SELECT DISTINCT n FROM v), pk AS (SELECT n, k, exp(k * ln(n::DOUBLE) - n - lgamma(k + 1)) AS p FROM (SELECT n, unnest(range(0, n + CAST(12 * sqrt(n) AS BIGINT) + 30)) AS k FROM kn)), cd AS (SELECT n, list(c ORDER BY k) AS c FROM (SELECT n, k, round(sum(p) OVER (PARTITION BY n ORDER BY k), 12) AS c FROM pk) GROUP BY n),
+y AS (SELECT g, h, n, b, ((g * 1009 + h * 7919) % {PRIME} + b * 69621 + 12345) % {PRIME} AS y FROM v, (SELECT unnest(range(1000)) AS b)), z AS (SELECT g, h, n, b, (y * y + b) % {PRIME} AS z FROM y), u AS (SELECT g, h, n, b, (z * z % {PRIME}) / {float(PRIME)} AS u FROM z),
+p AS (SELECT g, b, h / 100.0::DOUBLE AS x, len(list_filter(c, lambda q: q <= u)) AS w FROM u JOIN cd USING (n)), m AS (SELECT g, b, sum(w * x) / sum(w) AS m FROM p GROUP BY ALL HAVING sum(w) > 0)"""
+
+
+def poisson_bounds(n: int) -> tuple[int, np.ndarray]:
+    """First count k0 and the distribution function of Poisson(n) from there on, over all that has a chance worth 12 places."""
+    spread = int(12 * math.sqrt(n)) + 30
+    k = np.arange(max(0, n - spread), n + spread)
+    logs = np.cumsum(np.r_[k[0] * math.log(n) - n - math.lgamma(k[0] + 1), math.log(n) - np.log(k[1:])])
+    return int(k[0]), np.round(np.cumsum(np.exp(logs)), 12)
 
 
 def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
-    """g, low, high: the 2.5 and 97.5 percentiles of each group's resampled means, by a Poisson bootstrap. values: g, x, s (a number that tells rows apart).
+    """g, low, high: the 2.5 and 97.5 percentiles of each group's resampled means, by a Poisson bootstrap. values: g and h, whole hundredths.
 
-    Every row counts in every round with a weight of Poisson(1), drawn by a hash of row and round,
-    so nothing is joined. A task adds up weights and weighted values by group and round as it
-    reads, at most 2048 groups at once, and sends the sums; a group of any size costs one row of
-    them for each task, and its rows needn't meet.
+    A row counts in every round with a weight of Poisson(1), so n equal values count with Poisson(n):
+    they are counted first, and one number is drawn for each value and round, by a hash of group,
+    value and round. Nothing is joined. A task adds up weights and weighted values by group and
+    round as it reads, at most 2048 groups at once, and sends the sums; a group of any size
+    costs one row of them for each task, and its rows needn't meet.
     """
     turn = np.arange(rounds, dtype=np.int64)
-    bounds = np.array(POISSON)
 
-    def drawn(s: np.ndarray) -> np.ndarray:
+    def drawn(s: np.ndarray, n: np.ndarray) -> np.ndarray:
         y = (s[:, None] + turn * 69621 + 12345) % PRIME
         z = (y * y + turn) % PRIME
-        return np.searchsorted(bounds, (z * z % PRIME) / float(PRIME), side="right").astype(float)
+        u, w = (z * z % PRIME) / float(PRIME), np.empty(z.shape)
+        for k in np.unique(n).tolist():
+            first, bounds = poisson_bounds(k)
+            w[n == k] = first + np.searchsorted(bounds, u[n == k], side="right")
+        return w
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -322,10 +334,11 @@ def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
 
         for batch in batches:
             table = pa.Table.from_batches([batch]).sort_by("g")
-            g, x, s = (table.column(c).to_numpy() for c in ("g", "x", "s"))
+            g, h, n = (table.column(c).to_numpy() for c in ("g", "h", "n"))
+            x, s = h / 100.0, (g * 1009 + h * 7919) % PRIME
             for at in range(0, len(g), 1000):
                 own = g[at : at + 1000]
-                w = drawn(s[at : at + 1000])
+                w = drawn(s[at : at + 1000], n[at : at + 1000])
                 starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 both = np.stack([np.add.reduceat(w * x[at : at + 1000, None], starts), np.add.reduceat(w, starts)], axis=1)
                 for name, part in zip(own[starts].tolist(), both, strict=True):
@@ -352,13 +365,13 @@ def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
         if now is not None:
             yield row()
 
-    sent = values.mapInArrow(sums, "g long, sums binary")
+    counted = values.groupBy("g", "h").agg(n_rows().alias("n"))
+    sent = counted.mapInArrow(sums, "g long, sums binary")
     return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merged, "g long, low double, high double")
 
 
 def ratings(spark, sf) -> DataFrame:
-    seed = F.expr(f"(l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME}")
-    return li_of(spark, sf).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), seed.alias("s"))
+    return li_of(spark, sf).select(F.col("l_suppkey").alias("g"), F.round(F.col("l_quantity") * 2).cast("long").alias("h"))
 
 
 @query("k22_bootstrap_interval", f"{BOOT} SELECT g, round(greatest(0, least(1, quantile_cont(m, 0.025))), 5) AS low, round(greatest(0, least(1, quantile_cont(m, 0.975))), 5) AS high FROM m GROUP BY g")
