@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.functions import text as X
 from quireflow.operators.ranking import rank_within
+from quireflow.plans.library import AXIS, claims
 from quireflow.plans.registry import ORACLE, QUERIES, query
 from quireflow.session import table
 from quireflow.sources.scratch import materialize
@@ -296,13 +298,34 @@ def n21(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", got("precision"), got("recall"))
 
 
-@query("n22_claimed_gain", "WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS base, l_quantity + l_linenumber AS best, CASE WHEN l_partkey % 3 = 0 THEN l_linenumber * 1.0::DOUBLE WHEN l_partkey % 3 = 1 THEN l_linenumber * 100.0::DOUBLE / l_quantity ELSE 33.3::DOUBLE END AS claimed FROM lineitem) SELECT CASE WHEN abs(claimed - (best - base)) <= 0.5 THEN 'absolute' WHEN abs(claimed - (best - base) * 100 / base) <= 1.0 THEN 'relative_only' ELSE 'mismatch' END AS verdict, count(*) AS n FROM c GROUP BY 1")
+GAIN = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+t AS (SELECT l_orderkey AS doc, min(l_quantity) FILTER (WHERE k = 1) AS a0, min(l_quantity) FILTER (WHERE k = n) AS a1, min(round(l_tax * 100)) FILTER (WHERE k = 1) AS b0, min(round(l_tax * 100)) FILTER (WHERE k = n) AS b1, min(round(l_discount * 100)) FILTER (WHERE k = 1) AS c0, min(round(l_discount * 100)) FILTER (WHERE k = n) AS c1 FROM o WHERE n >= 2 GROUP BY 1),
+c AS (SELECT *, CASE doc % 4 WHEN 0 THEN b1 - b0 WHEN 1 THEN CASE WHEN a0 = 0 THEN 1 ELSE (a1 - a0) * 100 / a0 END WHEN 2 THEN c1 - c0 + 0.4 ELSE 33.3 END AS claimed FROM t),
+u AS (SELECT doc, claimed, unnest([1, 2, 3]) AS col, unnest([a0, b0, c0]) AS x, unnest([a1, b1, c1]) AS y FROM c),
+v AS (SELECT *, CASE WHEN x = 0 THEN CASE WHEN abs(claimed) > 0.5 THEN 'mismatch' ELSE 'absolute' END WHEN round(abs(claimed - (y - x)), 6) <= 0.5 THEN 'absolute' WHEN round(abs(claimed - (y - x) / abs(x) * 100), 6) <= 1.0 THEN 'relative_only' ELSE 'mismatch' END AS verdict FROM u)"""
+
+
+def gain_verdict(claimed: Column, before: Column, after: Column) -> Column:
+    """Whether a claimed gain is the difference of two cells, only their relative difference, or neither; a first cell of 0 allows no relative one."""
+    gain = after - before
+    fits = F.when(F.round(F.abs(claimed - gain), 6) <= 0.5, "absolute").when(F.round(F.abs(claimed - gain / F.abs(before) * 100), 6) <= 1.0, "relative_only").otherwise("mismatch")
+    return F.when(before == 0, F.when(F.abs(claimed) > 0.5, "mismatch").otherwise("absolute")).otherwise(fits)
+
+
+@query("n22_claimed_gain", f"{GAIN} SELECT doc, verdict, x AS before, y AS after FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN verdict = 'absolute' THEN 0 ELSE 1 END, col) AS k FROM v) WHERE k = 1")
 def n22(spark, sf):
-    k, q = F.col("l_linenumber"), F.col("l_quantity")
-    claimed = F.when(F.col("l_partkey") % 3 == 0, k * 1.0).when(F.col("l_partkey") % 3 == 1, k * 100.0 / q).otherwise(33.3)
-    gain = (q + k) - q
-    v = F.when(F.abs(claimed - gain) <= 0.5, "absolute").when(F.abs(claimed - gain * 100 / q) <= 1.0, "relative_only").otherwise("mismatch")
-    return li_of(spark, sf).groupBy(v.alias("verdict")).agg(n_rows().alias("n"))
+    """A document's claim against the columns of its table, first row against last: the first column that fits absolutely, else the first of all. Lines of an order stand for the table."""
+    cells = F.struct(F.col("l_quantity").alias("a"), F.round(F.col("l_tax") * 100).alias("b"), F.round(F.col("l_discount") * 100).alias("c"))
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    t = li_of(spark, sf).groupBy(F.col("l_orderkey").alias("doc")).agg(n_rows().alias("n"), F.min_by(cells, place).alias("x"), F.max_by(cells, place).alias("y")).where("n >= 2")
+    gain = lambda c: F.col(f"y.{c}") - F.col(f"x.{c}")
+    k = F.col("doc") % 4
+    claimed = F.when(k == 0, gain("b")).when(k == 1, F.when(F.col("x.a") == 0, 1.0).otherwise(gain("a") * 100 / F.col("x.a"))).when(k == 2, gain("c") + 0.4).otherwise(33.3)
+    t = t.withColumn("claimed", claimed)
+    judged = [F.struct(gain_verdict(F.col("claimed"), F.col(f"x.{c}"), F.col(f"y.{c}")).alias("verdict"), F.col(f"x.{c}").alias("before"), F.col(f"y.{c}").alias("after")) for c in "abc"]
+    all_of = t.select("doc", X.once(F.array(*judged)).alias("v"))
+    best = F.coalesce(F.get(F.filter("v", lambda x: x["verdict"] == "absolute"), F.lit(0)), F.get("v", 0))
+    return all_of.select("doc", best.alias("best")).select("doc", "best.*")
 
 
 CELL = "WITH c AS (SELECT o_orderkey AS doc, r AS row, CASE WHEN r = 0 THEN 'full model' ELSE 'w/o part ' || r END AS name, round(o_totalprice / 10000 - r * 0.3 + CASE WHEN (o_orderkey + r) % 11 = 0 THEN 1 ELSE 0 END, 3) AS v FROM orders, (SELECT unnest(range(4)) AS r))"
@@ -378,12 +401,20 @@ def n29(spark, sf):
     return rows.select("o_orderkey", number.alias("number"), F.contains(F.col("lines")[1], number).alias("found"))
 
 
-@query("n30_claim_penalty", "WITH ax AS (SELECT l_partkey, avg(l_quantity) AS mid FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, count(*) AS n, CAST(count(*) FILTER (WHERE abs(l_quantity - mid) > 20) AS BIGINT) AS bad FROM lineitem JOIN ax USING (l_partkey) GROUP BY 1) SELECT l_orderkey, CAST(round(least(0.3, 0.1 * bad), 6) AS DOUBLE) AS penalty, CASE WHEN n >= 3 AND bad = 0 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM g")
+#: Penalty for each claim out of range and its most; bonus for each valid claim, its most, and the validated claims that it needs.
+PENALTY, PENALTY_MOST, BONUS, BONUS_MOST, BONUS_CLAIMS = 0.1, 0.3, 0.02, 0.05, 3
+
+
+@query("n30_claim_penalty", f"{AXIS}, g AS (SELECT l_orderkey, count(*) AS n, CAST(count(*) FILTER (WHERE v BETWEEN lo AND hi) AS BIGINT) AS good, CAST(count(*) FILTER (WHERE NOT v BETWEEN lo AND hi AND v BETWEEN lo - greatest(1e-9, 0.05 * (hi - lo)) AND hi + greatest(1e-9, 0.05 * (hi - lo))) AS BIGINT) AS corrected FROM cl JOIN ax USING (l_partkey) GROUP BY 1) SELECT l_orderkey, n, n - good - corrected AS out_of_range, corrected, CAST(round(least({PENALTY_MOST}, {PENALTY} * (n - good - corrected)), 6) AS DOUBLE) AS penalty, CAST(CASE WHEN n >= {BONUS_CLAIMS} AND good > 0 THEN round(round(least({BONUS_MOST}, {BONUS} * good) * (good * 1.0::DOUBLE / (n - corrected)), 9), 3) ELSE 0 END AS DOUBLE) AS bonus FROM g")
 def n30(spark, sf):
-    li = li_of(spark, sf)
-    ax = li.groupBy("l_partkey").agg(F.avg("l_quantity").alias("mid"))
-    g = li.join(ax, "l_partkey").groupBy("l_orderkey").agg(n_rows().alias("n"), F.count_if(F.abs(F.col("l_quantity") - F.col("mid")) > 20).alias("bad"))
-    return g.select("l_orderkey", F.round(F.least(F.lit(0.3), 0.1 * F.col("bad")), 6).alias("penalty"), F.when((F.col("n") >= 3) & (F.col("bad") == 0), 0.05).otherwise(0.0).alias("bonus"))
+    """Claims against the interval of their figure's axis and, where that fails, of its curve; those outside both cost, and the share of valid ones scales the bonus."""
+    tol = F.greatest(F.lit(1e-9), 0.05 * (F.col("hi") - F.col("lo")))
+    inside, near = F.col("v").between(F.col("lo"), F.col("hi")), F.col("v").between(F.col("lo") - tol, F.col("hi") + tol)
+    g = claims(spark, sf).groupBy("l_orderkey").agg(n_rows().alias("n"), F.count_if(inside).alias("good"), F.count_if(~inside & near).alias("corrected"))
+    bad = F.col("n") - F.col("good") - F.col("corrected")
+    ratio = F.col("good") / (F.col("n") - F.col("corrected"))
+    bonus = F.when((F.col("n") >= BONUS_CLAIMS) & (F.col("good") > 0), F.round(F.round(F.least(F.lit(BONUS_MOST), BONUS * F.col("good")) * ratio, 9), 3)).otherwise(0.0)
+    return g.select("l_orderkey", "n", bad.alias("out_of_range"), "corrected", F.round(F.least(F.lit(PENALTY_MOST), PENALTY * bad), 6).alias("penalty"), bonus.alias("bonus"))
 
 
 @query("n31_severity_features", "WITH ax AS (SELECT l_partkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(lo - x, x - hi, 0), 4) AS deviation, round(greatest(lo - x, x - hi, 0) / greatest(abs(hi - lo), 1e-9), 4) AS relative, round(hi - lo, 4) AS span FROM (SELECT *, l_extendedprice * 1.1 AS x FROM lineitem) JOIN ax USING (l_partkey) WHERE hi > lo")

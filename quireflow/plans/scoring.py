@@ -170,15 +170,36 @@ def k9(spark, sf):
 RANKED = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0::DOUBLE"
 
 
-@query("k10_weight_search", f"""WITH i AS (SELECT l_suppkey, l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice AS y FROM lineitem), w AS (SELECT unnest([0.45, 0.5, 0.55])::DOUBLE AS w), m AS (SELECT w, round(w * a + (1 - w) * b, 9) AS m, y FROM i, w),
-r AS (SELECT w, {RANKED.format('w', 'm')} AS rm, {RANKED.format('w', 'y')} AS ry FROM m) SELECT w, round(corr(rm, ry), 6) AS rho FROM r GROUP BY w""")
+BASE_WEIGHTS = (0.5, 0.3, 0.2)
+
+
+def weight_candidates(base: tuple[float, ...], step: float = 0.05, least: float = 0.05, most: float = 0.9) -> list[tuple[float, ...]]:
+    """The base, then for each dimension its weight less and more by the step, kept within bounds, all normalised to 1."""
+    found = [base]
+    for k in range(len(base)):
+        for d in (-step, step):
+            w = [max(least, min(most, x + d)) if i == k else x for i, x in enumerate(base)]
+            found.append(tuple(x / sum(w) for x in w))
+    return found
+
+
+CANDIDATES = weight_candidates(BASE_WEIGHTS)
+W10 = ", ".join(f"({c}, {', '.join(f'{x!r}::DOUBLE' for x in w)})" for c, w in enumerate(CANDIDATES))
+
+
+@query("k10_weight_search", f"""WITH i AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 12 AS c, l_extendedprice AS y FROM lineitem), w AS (SELECT * FROM (VALUES {W10}) AS t(k, wa, wb, wc)), m AS (SELECT k, round(wa * a + wb * b + wc * c, 9) AS m, y FROM i, w),
+r AS (SELECT k, {RANKED.format('k', 'm')} AS rm, {RANKED.format('k', 'y')} AS ry FROM m), rho AS (SELECT k, round(corr(rm, ry), 6) AS rho FROM r GROUP BY k)
+SELECT k AS candidate, round(wa, 6) AS w1, round(wb, 6) AS w2, round(wc, 6) AS w3, rho, k = (SELECT min(k) FROM rho WHERE rho = (SELECT max(rho) FROM rho)) AS best FROM rho JOIN w USING (k)""")
 def k10(spark, sf):
-    """Candidate weights by rank correlation with the target; ranks within each candidate."""
-    w = spark.sql("SELECT explode(array(0.45D, 0.5D, 0.55D)) AS w")
-    m = li_of(spark, sf).crossJoin(F.broadcast(w)).select("w", F.round(F.col("w") * F.col("l_quantity") / 50 + (1 - F.col("w")) * F.col("l_discount") * 10, 9).alias("m"), F.col("l_extendedprice").alias("y"))
-    m = materialize(m, "mixed")
-    ranked = m.join(global_ranks(m, "m", "w").select("w", "m", F.col("r").alias("a")), ["w", "m"]).join(global_ranks(m, "y", "w").select("w", "y", F.col("r").alias("b")), ["w", "y"])
-    return ranked.groupBy("w").agg(rnd(F.corr("a", "b")).alias("rho"))
+    """Each dimension's weight .05 less and more, normalised, against the base: rank correlation with the target, the first of the best marked. Ranks within each candidate; the target is ranked once."""
+    w = spark.createDataFrame([(k, *x) for k, x in enumerate(CANDIDATES)], "k int, wa double, wb double, wc double")
+    base = li_of(spark, sf).select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 12).alias("c"), F.col("l_extendedprice").alias("y"))
+    mixed = F.round(F.col("wa") * F.col("a") + F.col("wb") * F.col("b") + F.col("wc") * F.col("c"), 9)
+    m = materialize(base.crossJoin(F.broadcast(w)).select("k", mixed.alias("m"), "y"), "mixed")  # a fixed number of candidates
+    ranked = m.join(global_ranks(m, "m", "k").select("k", "m", F.col("r").alias("x")), ["k", "m"]).join(global_ranks(base, "y").select("y", F.col("r").alias("z")), "y")
+    rho = materialize(ranked.groupBy("k").agg(rnd(F.corr("x", "z")).alias("rho")), "rho")
+    best = rho.agg(F.min_by("k", F.struct(-F.col("rho"), F.col("k"))).alias("top"))
+    return rho.join(w, "k").crossJoin(best).select(F.col("k").alias("candidate"), rnd("wa").alias("w1"), rnd("wb").alias("w2"), rnd("wc").alias("w3"), "rho", (F.col("k") == F.col("top")).alias("best"))
 
 
 @query("k11_cohen_kappa", """WITH p AS (SELECT l_returnflag AS a, CASE WHEN l_partkey % 4 = 0 THEN 'A' ELSE l_returnflag END AS b FROM lineitem), n AS (SELECT count(*) * 1.0::DOUBLE AS n FROM p), x AS (SELECT a, count(*) AS ca FROM p GROUP BY 1), y AS (SELECT b, count(*) AS cb FROM p GROUP BY 1), e AS (SELECT sum(ca * cb) / (SELECT n * n FROM n) AS pe FROM x JOIN y ON a = b), o AS (SELECT sum(CASE WHEN a = b THEN 1 ELSE 0 END) / (SELECT n FROM n) AS po FROM p) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM o, e""")
@@ -424,12 +445,16 @@ def k26(spark, sf):
     return model.transform(rows).select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("prediction") == 1, "major").otherwise("minor").alias("severity"))
 
 
-@query("k27_prediction_vs_annotation", f"WITH p AS (SELECT doc_id, least(n_chars / 5000.0::DOUBLE, 1) AS p FROM documents), x AS (SELECT l.doc_id, p, quality, toxic, {RANKED.format('1', 'p')} AS rp FROM labels l JOIN p USING (doc_id)) SELECT round(corr(rp, quality), 6) AS rank_corr, round((sum(CASE WHEN toxic = 1 THEN rp END) - count(*) FILTER (WHERE toxic = 1) * (count(*) FILTER (WHERE toxic = 1) + 1) / 2.0) / (count(*) FILTER (WHERE toxic = 1) * count(*) FILTER (WHERE toxic = 0)), 6) AS auc FROM x")
+@query("k27_prediction_vs_annotation", f"WITH p AS (SELECT doc_id, least(n_chars / 5000.0::DOUBLE, 1) AS p FROM documents), x AS (SELECT l.doc_id, p, quality, toxic, CASE WHEN l.doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS second, {RANKED.format('1', 'p')} AS rp FROM labels l JOIN p USING (doc_id)), k AS (SELECT CAST(count(*) FILTER (WHERE quality = 1 AND second = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE quality = 0 AND second = 1) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE quality = 1 AND second = 0) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE quality = 0 AND second = 0) AS BIGINT) AS tn FROM x) SELECT round(corr(rp, quality), 6) AS rank_corr, round((sum(CASE WHEN toxic = 1 THEN rp END) - count(*) FILTER (WHERE toxic = 1) * (count(*) FILTER (WHERE toxic = 1) + 1) / 2.0) / (count(*) FILTER (WHERE toxic = 1) * count(*) FILTER (WHERE toxic = 0)), 6) AS auc, (SELECT round({KAPPA}, 6) FROM k) AS annotators FROM x")
 def k27(spark, sf):
+    """Predictions against annotations of shared rows, and the kappa of two annotators (the second one turns every seventh label)."""
     x = scored(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     r = x.join(global_ranks(x, "score").drop("n"), "score")
     p, n = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    return r.agg(rnd(F.corr("r", "human")).alias("rank_corr"), rnd((F.sum(F.when(F.col("toxic") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
+    first = F.col("human") == 1
+    second = F.when(F.col("doc_id") % 7 == 0, ~first).otherwise(first)
+    agreed = kappa_of(*(F.count_if(test) for test in (first & second, ~first & second, first & ~second, ~first & ~second)))
+    return r.agg(rnd(F.corr("r", "human")).alias("rank_corr"), rnd((F.sum(F.when(F.col("toxic") == 1, F.col("r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"), rnd(agreed).alias("annotators"))
 
 
 FLIP = f"WITH {S}, v AS (SELECT doc_id, source, score >= 0.5 AS a, score - 0.1 >= 0.5 AS b, human = 1 AS gold FROM s)"
@@ -492,12 +517,26 @@ def k33(spark, sf):
     return u.join(F.broadcast(o), "dim").groupBy("dim").agg(rnd(F.max("o")).alias("fitted"), rnd(F.avg(F.abs(gap))).alias("before"), rnd(F.avg(F.abs(gap - F.col("o")))).alias("after"))
 
 
-@query("k34_threshold_scan", f"WITH {S}, {GRID.format('0.50::DOUBLE', '0.05::DOUBLE', 't', 8)}, c AS (SELECT t, {CONF.format('score >= t')} FROM s, t GROUP BY t) SELECT t, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+@query("k34_threshold_scan", f"WITH {S}, {GRID.format('0.50::DOUBLE', '0.01::DOUBLE', 't', 36)}, c AS (SELECT t, {CONF.format('score >= t')} FROM s, t GROUP BY t), x AS (SELECT t, round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) AS acc, round({KAPPA}, 6) AS kappa, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c) SELECT t, acc, kappa, f1, t = (SELECT min(t) FROM x WHERE acc = (SELECT max(acc) FROM x)) AS best_acc, t = (SELECT min(t) FROM x WHERE f1 = (SELECT max(f1) FROM x)) AS best_f1 FROM x")
 def k34(spark, sf):
-    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, 0.50, 0.85, 0.05, "t")))
+    """Thresholds of .50 to .85 by hundredths, the first best by accuracy and by F1 marked."""
+    rows = scored(spark, sf).crossJoin(F.broadcast(grid(spark, 0.50, 0.85, 0.01, "t")))
     c = confusion(rows, F.col("score") >= F.col("t"), F.col("human"), ["t"])
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
-    return c.select("t", rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(F.coalesce(2.0 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))).alias("f1"))
+    x = materialize(c.select("t", rnd((tp + tn) / (tp + fp + fn + tn)).alias("acc"), rnd(kappa_of(tp, fp, fn, tn)).alias("kappa"), rnd(F.coalesce(2.0 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))).alias("f1")), "scan")
+    best = x.agg(*(F.min_by("t", F.struct(-F.col(c), F.col("t"))).alias(f"top_{c}") for c in ("acc", "f1")))
+    return x.crossJoin(best).select(*x.columns, *((F.col("t") == F.col(f"top_{c}")).alias(f"best_{c}") for c in ("acc", "f1")))
+
+
+@query("k34_group_medians", f"WITH {S} SELECT human, count(*) AS n, min(score) AS low, list_sort(list(score))[count(*) // 2 + 1] AS median, max(score) AS high FROM s GROUP BY human")
+def k34_medians(spark, sf):
+    """Least, upper median and greatest score of the accepted and of the rejected, from counted values ranked over all partitions."""
+    s = scored(spark, sf)
+    n = s.groupBy("human").agg(n_rows().alias("all"), F.min("score").alias("low"), F.max("score").alias("high"))
+    ranks = global_ranks(s, "score", "human").join(F.broadcast(n), "human")  # two groups
+    half, middle = (F.col("n") - 1) / 2, F.floor(F.col("all") / 2) + 1
+    holds = (F.col("r") - half <= middle) & (middle <= F.col("r") + half)
+    return ranks.where(holds).select("human", F.col("all").alias("n"), "low", F.col("score").alias("median"), "high")
 
 
 @query("k35_weight_sweep", f"WITH {S}, q AS (SELECT doc_id, toxic * 1.0::DOUBLE AS q FROM labels WHERE doc_id % 3 = 0), {GRID.format('0.0::DOUBLE', '0.1::DOUBLE', 'w', 4)} SELECT w, round(avg(score + w * (coalesce(q, 0.5) - 0.5)), 6) AS mean, CAST(count(*) FILTER (WHERE score + w * (coalesce(q, 0.5) - 0.5) >= 0.5) AS BIGINT) AS accepted FROM s LEFT JOIN q USING (doc_id), w GROUP BY w")
