@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -426,25 +426,102 @@ def n31(spark, sf):
     return li.join(ax, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", F.round(dev, 4).alias("deviation"), F.round(dev / F.greatest(F.abs(F.col("hi") - F.col("lo")), F.lit(1e-9)), 4).alias("relative"), F.round(F.col("hi") - F.col("lo"), 4).alias("span"))
 
 
-STRUCTURE = ["abstract", "introduction", "method", "experiment", "result", "conclusion", "reference"]
+# Patterns of the objective features and of hype.
+STRUCTURE = ["abstract", "introduction", "method", "experiment", "result", "conclusion", "reference", "摘要", "引言", "方法", "实验", "结果", "结论", "参考文献"]
+REPRO = [r"github\.com/\S+", r"gitlab\.com/\S+", r"bitbucket\.org/\S+", "code.*available", "open.source", "源代码", "代码已开源", "dataset.*available", "we release.*data", "we release.*code", r"appendix.*\d+", "supplementary material"]
+FORMAL = [r"\\begin\{theorem\}", r"\\begin\{proof\}", r"\\begin\{equation\}", r"proof\.", r"theorem\s+\d+", r"lemma\s+\d+", r"proposition\s+\d+", "证明", "定理", "引理"]
+CITED = [r"\[\d+\]", r"\([a-z\-]+(?:\s+et\s+al\.?)?,\s*\d{4}[a-z]?\)"]
+ABLATION = [
+    r"ablation\s*(study|studies|experiment|analysis)?",
+    r"(we|we\s+also)\s+(vary|varied|remove|removed|removing)",
+    r"(without|w/o)\s+(the\s+)?(\w+\s+)?(module|component|branch|head|layer|block)",
+    r"component\s*(analysis|contribution|wise)",
+    r"factor\s*analysis",
+    r"(contribution|effect)\s+of\s+(each|every|individual)\s+(module|component|part)",
+    r"(remov|removing)\s+(the\s+)?(\w+\s+)?(module|component|branch|head|layer|block|feature)",
+    r"(drop|dropping|disable|disabling|turn\s*off)\s+(the\s+)?(\w+\s+)?(module|component|branch|head)",
+    r"消融\s*(实验|研究|分析)?",
+    r"(去掉|移除|删除|关闭|禁用)\s*(了|掉)?\s*(\S{1,4})\s*(模块|组件|分支|层|头)",
+    r"(逐个|逐一|分别)\s*(分析|评估|测试|验证)\s*(每个|各)\s*(模块|组件)",
+    r"贡献度\s*(分析|评估)",
+]
+RELEASED = [
+    r"https?://github\.com/\S+",
+    r"https?://huggingface\.co/\S+",
+    r"https?://gitlab\.com/\S+",
+    r"(?:our|the)\s+code\s+(?:is\s+)?(?:available|released|publicly\s+available|open[\s-]?source)",
+    r"(?:we\s+)?(?:release|open[\s-]?source|publicly\s+release)\s+(?:our\s+)?(?:code|implementation|source)",
+    r"代码[已]?\s*(?:开源|公开|发布|可获取|公开可用)",
+]
+AMBITIOUS = [r"\bfirst\b", r"\bnovel\b", r"\bbreakthrough", r"new\s+paradigm", "state.of.the.art", r"\bsota\b", "首次", "第一个", "突破", "新范式"]
+HEDGING = [
+    r"\bincremental\b", r"\bextension\b", r"build(?:s|ing)?\s+(?:upon|on)\b", r"\binspired\s+by\b", r"\bbased\s+on\b", r"\bsimilar\s+to\b", r"\bextend(?:s|ing)?\b", r"\bfollow(?:s|ing)?\b.*\bwork\b", r"\bprior\s+work\b", r"\bprevious\s+(?:work|method|approach)\b",
+]
+ACRONYM = r"\b[A-Z][a-z]*[A-Z][A-Za-z]{2,}\b"
+KNOWN = ["LLM", "LLMs", "NLP", "GPU", "CPU", "SGD", "Adam", "BERT", "GPT", "CNN", "RNN", "LSTM", "SVM", "PCA", "SVD", "LoRA", "SOTA", "AI", "ML", "RL", "LLOD", "DARIAH", "IEEE", "INTRODUCTION", "RELATED", "METHOD", "EXPERIMENT", "RESULT", "CONCLUSION", "REFERENCE", "APPENDIX", "MedGemma", "MNIST", "TCGA", "KIMIA", "SPLICE", "ARReST"]
+SAID = [
+    " We removed the gating module; an ablation study and our code is available at https://github.com/x/y (smith et al., 2020) [1] [22]. NetGaN abstract method result proof. Theorem 3",
+    " Open source, supplementary material, appendix A 2, lemma 4, 证明: novel first novel sota breakthrough state-of-the-art LSTM GPUs without the head",
+    " incremental, based on prior work, similar to, inspired by, extends an extension that follows earlier work. abstract introduction 方法 实验 结论 [3] w/o block",
+    " 消融实验 去掉了注意力模块 代码已开源 https://huggingface.co/z ResNeXt first novel",
+]
+
+
+def reviewed(spark, sf) -> DataFrame:
+    """doc_id, text: documents after one of four openings, or none, that hold the signals."""
+    opening = F.element_at(F.array(*map(F.lit, [*SAID, ""])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", X.once(F.concat(opening, F.lit(" "), F.coalesce("text", F.lit("")))).alias("text"))
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+REVIEWED = f"d AS (SELECT doc_id, [{', '.join(map(quoted, [*SAID, '']))}][(doc_id % 5 + 1)::INT] || ' ' || coalesce(text, '') AS text FROM documents)"
+
+
+def n_found(t: str, patterns: list[str], flags: str = "") -> Column:
+    """How many of the patterns a text has."""
+    return sum((F.when(F.col(t).rlike(flags + p), 1).otherwise(0) for p in patterns), F.lit(0))
 
 
-@query("n32_objective_features", "WITH d AS (SELECT doc_id, lower(text || CASE WHEN doc_id % 2 = 0 THEN ' abstract method result [1] [22]' ELSE ' github.com/x theorem 3' END) AS t FROM documents) SELECT doc_id, round(least(1.0, (" + " + ".join(f"CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN 1 ELSE 0 END" for w in STRUCTURE) + ") / 5.0::DOUBLE), 4) AS structure, round(least(1.0, len(regexp_extract_all(t, '\\[[0-9]+\\]')) / greatest(length(t) / 200.0::DOUBLE, 1)), 4) AS density, round(least(1.0, (CASE WHEN regexp_matches(t, 'github\\.com/\\S+') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, 'open.source') THEN 1 ELSE 0 END) / 3.0::DOUBLE), 4) AS repro, round(least(1.0, CASE WHEN regexp_matches(t, 'theorem\\s+[0-9]+') THEN 1 ELSE 0 END / 3.0::DOUBLE), 4) AS formalism FROM d")
+def n_places(t: str, patterns: list[str], flags: str = "") -> Column:
+    """Places of all patterns together."""
+    return sum((F.regexp_count(t, F.lit(flags + p)) for p in patterns), F.lit(0))
+
+
+def found_sql(t: str, patterns: list[str], flags: str = "") -> str:
+    return "(" + " + ".join(f"CASE WHEN regexp_matches({t}, {quoted(flags + p)}) THEN 1 ELSE 0 END" for p in patterns) + ")"
+
+
+def places_sql(t: str, patterns: list[str], flags: str = "") -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({t}, {quoted(flags + p)}))" for p in patterns) + ")"
+
+
+WHOLE = [rf"(?:^|[^\p{{L}}\p{{N}}_]){w}(?:$|[^\p{{L}}\p{{N}}_])" for w in STRUCTURE]
+
+
+@query("n32_objective_features", f"WITH {REVIEWED}, l AS (SELECT doc_id, text, lower(text) AS t FROM d WHERE length(text) >= 2000) SELECT doc_id, CASE WHEN {places_sql('text', ABLATION, '(?i)')} >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ablation, round(least(1.0::DOUBLE, {found_sql('t', REPRO)} / 3.0::DOUBLE), 4) AS repro, round(least(1.0::DOUBLE, {places_sql('t', CITED)} / greatest(length(text) / 200.0::DOUBLE, 1)), 4) AS density, round(least(1.0::DOUBLE, {found_sql('t', WHOLE)} / 5.0::DOUBLE), 4) AS structure, round(least(1.0::DOUBLE, {found_sql('t', FORMAL)} / 3.0::DOUBLE), 4) AS formalism FROM l")
 def n32(spark, sf):
-    t = F.lower(F.concat("text", F.when(F.col("doc_id") % 2 == 0, " abstract method result [1] [22]").otherwise(" github.com/x theorem 3")))
-    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
-    hit = lambda p: F.when(F.col("t").rlike(p), 1).otherwise(0)
+    """Ablation evidence (two places or more), reproducibility, density of references, structure and formalism of texts of 2,000 characters or more."""
+    d = reviewed(spark, sf).where(F.length("text") >= 2000).select("doc_id", "text", X.once(F.lower("text")).alias("t"))
     share = lambda n, of: F.round(F.least(F.lit(1.0), n / of), 4)
-    return d.select("doc_id", share(sum(hit(f"\\b{w}\\b") for w in STRUCTURE), 5.0).alias("structure"), share(F.regexp_count("t", F.lit("\\[[0-9]+\\]")), F.greatest(F.length("t") / 200.0, F.lit(1.0))).alias("density"), share(hit("github\\.com/\\S+") + hit("open.source"), 3.0).alias("repro"), share(hit("theorem\\s+[0-9]+"), 3.0).alias("formalism"))
+    ablation = F.when(n_places("text", ABLATION, "(?i)") >= 2, 1.0).otherwise(0.0)
+    density = share(n_places("t", CITED), F.greatest(F.length("text") / 200.0, F.lit(1.0)))
+    return d.select("doc_id", ablation.alias("ablation"), share(n_found("t", REPRO), 3.0).alias("repro"), density.alias("density"), share(n_found("t", WHOLE), 5.0).alias("structure"), share(n_found("t", FORMAL), 3.0).alias("formalism"))
 
 
-@query("n33_hype_risk", r"WITH d AS (SELECT doc_id, substr(text, 1, 8000) || CASE WHEN doc_id % 3 = 0 THEN ' a novel first novel sota breakthrough NetGaN' ELSE ' based on prior work, similar to, inspired by, extends an extension' END AS t FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(lower(t), '\b(?:first|novel|sota)\b|\bbreakthrough')) AS ambitious, len(regexp_extract_all(lower(t), '\b(?:incremental|extension|inspired\s+by|based\s+on|similar\s+to|extends|prior\s+work)\b')) AS hedged FROM d) SELECT doc_id, CASE WHEN ambitious <= 3 OR hedged >= 5 THEN 'medium' ELSE 'low' END AS risk FROM c")
+@query("n33_hype_risk", f"WITH {REVIEWED}, l AS (SELECT doc_id, text, lower(substr(text, 1, 8000)) AS t, 0.6::DOUBLE + doc_id % 7 / 20.0::DOUBLE AS score FROM d), c AS (SELECT doc_id, score, {places_sql('t', AMBITIOUS)} AS bold, {places_sql('t', HEDGING)} AS hedged, len(list_filter(regexp_extract_all(substr(text, 1, 4000), '{ACRONYM}'), lambda w: w NOT IN ({', '.join(map(quoted, KNOWN))}) AND NOT ends_with(w, 's'))) > 0 AS named, {places_sql('text', ABLATION, '(?i)')} >= 2 AND {found_sql('text', RELEASED, '(?i)')} > 0 AS strong FROM l) SELECT doc_id, CASE WHEN round(score, 6) < 0.75 THEN 'low' WHEN bold <= 3 AND strong AND named THEN 'high' WHEN bold <= 3 OR hedged >= 5 THEN 'medium' ELSE 'low' END AS risk FROM c")
 def n33(spark, sf):
-    extra = F.when(F.col("doc_id") % 3 == 0, " a novel first novel sota breakthrough NetGaN").otherwise(" based on prior work, similar to, inspired by, extends an extension")
-    t = F.lower(F.concat(F.substring("text", 1, 8000), extra))
-    bold = F.regexp_count(t, F.lit("\\b(?:first|novel|sota)\\b|\\bbreakthrough"))
-    hedge = F.regexp_count(t, F.lit("\\b(?:incremental|extension|inspired\\s+by|based\\s+on|similar\\s+to|extends|prior\\s+work)\\b"))
-    return table(spark, sf, "documents").select("doc_id", F.when((bold <= 3) | (hedge >= 5), "medium").otherwise("low").alias("risk"))
+    """Risk that a high score is hype: few claims of novelty with strong experiments and an acronym of its own, or few claims or much hedging. The first 8,000 and 4,000 characters are the rule's own."""
+    score = F.round(0.6 + F.col("doc_id") % 7 / 20.0, 6)
+    d = reviewed(spark, sf).select("doc_id", "text", X.once(F.lower(F.substring("text", 1, 8000))).alias("t"))
+    names = F.regexp_extract_all(F.substring("text", 1, 4000), F.lit(ACRONYM), F.lit(0))
+    named = F.exists(names, lambda w: ~w.isin(KNOWN) & ~F.endswith(w, F.lit("s")))
+    strong = (n_places("text", ABLATION, "(?i)") >= 2) & (n_found("text", RELEASED, "(?i)") > 0)
+    signs = d.select("doc_id", X.once(F.struct(n_places("t", AMBITIOUS).alias("bold"), n_places("t", HEDGING).alias("hedged"), named.alias("named"), strong.alias("strong"))).alias("s")).select("doc_id", "s.*")
+    risk = F.when(score < 0.75, "low").when((F.col("bold") <= 3) & F.col("strong") & F.col("named"), "high").when((F.col("bold") <= 3) | (F.col("hedged") >= 5), "medium").otherwise("low")
+    return signs.select("doc_id", risk.alias("risk"))
 
 
 # Headings, and patterns of the six classes in the order in which a sentence is tried.

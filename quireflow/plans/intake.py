@@ -206,6 +206,14 @@ def s11(spark, sf):
     return spark.read.schema("number bigint, p_partkey bigint, score int").csv(written(sheet, "csv", header=True), header=True)
 
 
+@query("s11_score_summary", "WITH s AS (SELECT p_size / 60.0::DOUBLE AS score FROM part WHERE p_size > 10) SELECT count(*) AS papers, round(min(score), 3) AS lowest, round(max(score), 3) AS highest, round(sum(CAST(round(score * 60) AS BIGINT)) / 60.0::DOUBLE / count(*), 3) AS mean FROM s")
+def s11_summary(spark, sf):
+    """The sheet's closing row: number of papers, lowest, highest and mean score."""
+    size = F.get_json_object(F.to_json(F.struct(F.col("p_size").alias("score"))), "$.score").cast("int")
+    s = table(spark, sf, "part").select(size.alias("k")).where("k > 10")
+    return s.agg(F.count(F.lit(1)).alias("papers"), F.round(F.min("k") / 60.0, 3).alias("lowest"), F.round(F.max("k") / 60.0, 3).alias("highest"), F.round(F.sum("k") / 60.0 / F.count(F.lit(1)), 3).alias("mean"))
+
+
 @query("s13_mirror_findings", "SELECT l_orderkey, l_linenumber, l_returnflag AS type FROM lineitem")
 def s13(spark, sf):
     """Index rows of parents that come again are replaced by their findings; other parents keep theirs."""

@@ -692,26 +692,39 @@ def u7(spark, sf):
     return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
 
-NODE_WORDS = {"method": ("method", "model", "train"), "result": ("result", "data", "score"), "limit": ("limit", "error", "future")}
-
-
-@query("w13_node_chunks", """
-WITH c AS (SELECT doc_id, i AS chunk, lower(substr(text, CAST(1 + i * 448 AS BIGINT), 512)) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 448.0) AS BIGINT), 1))) AS i FROM documents)),
-h AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS node, chunk, " + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in ws) + " AS hits FROM c" for n, ws in NODE_WORDS.items()) + """)
+# Keywords of the review's nodes.
+NODE_WORDS = {
+    "QE": ("propose", "method", "experiment", "result", "conclusion", "achieve", "提出", "方法", "实验", "结果", "结论", "实现", "达到"),
+    "Q234": ("propose", "novel", "contribution", "ablation", "baseline", "benchmark", "outperform", "state-of-the-art", "limitation", "提出", "创新", "贡献", "消融", "基线", "开源", "局限"),
+    "Q2": ("propose", "novel", "first", "contribution", "new", "introduce", "提出", "首次", "创新", "新", "贡献"),
+    "Q3": ("ablation", "baseline", "compare", "significant", "benchmark", "p-value", "experiment", "evaluation", "dataset", "消融", "基线", "对比", "显著", "实验", "评估", "数据集"),
+    "Q4": ("result", "performance", "outperform", "state-of-the-art", "github", "open-source", "release", "benchmark", "结果", "性能", "开源", "发布", "代码"),
+    "Q5a": ("limitation", "future work", "however", "we do not", "caveat", "assumption", "不足", "局限", "未来", "仍需", "假设", "有待"),
+    "Q5b": ("propose", "method", "result", "achieve", "experiment", "ablation", "提出", "方法", "结果", "实现", "实验"),
+    "Q5c": ("propose", "result", "achieve", "limitation", "conclusion", "contribution", "提出", "结果", "实现", "局限", "结论", "贡献"),
+}
+PLANTED = ["We propose a novel method; results outperform the baseline. ", "However, a limitation of the experiment: 未来 假设. ", "Code is open-source on github, 消融实验 结果. ", ""]
+
+
+@query("w13_node_chunks", f"""
+WITH p AS (SELECT doc_id, coalesce(text, '') || repeat(' ', (doc_id % 3 * 200)::BIGINT) || [{", ".join(f"'{x}'" for x in PLANTED)}][(doc_id % 4 + 1)::INT] AS text FROM documents),
+c AS (SELECT doc_id, i AS chunk, lower(substr(text, CAST(1 + i * 448 AS BIGINT), 512)) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 448.0) AS BIGINT), 1))) AS i FROM p)),
+h AS (""" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS node, chunk, " + " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in ws) + " AS hits FROM c" for n, ws in NODE_WORDS.items()) + """)
 SELECT doc_id, node, chunk, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, node ORDER BY hits DESC, chunk) AS k FROM h WHERE hits > 0) WHERE k <= 3""")
 def w13(spark, sf):
-    """The three chunks of a document with most hits for each node; chunks without hits never count. The choice is made inside a row, without a shuffle."""
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    """The three chunks of a document with most of each node's keywords; chunks without any never count. The choice is made inside a row, without a shuffle."""
+    k = F.col("doc_id")
+    tail = F.element_at(F.array(*map(F.lit, PLANTED)), (k % 4 + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit(" "), (k % 3 * 200).cast("int")), tail)
+    d = table(spark, sf, "documents").select("doc_id", X.once(F.lower(text)).alias("text"))
     last = F.greatest(F.ceil(F.length("text") / 448.0).cast("long"), F.lit(1)) - 1
-
-    def hits(text, words):
-        return sum(((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long") for w in words)
-
     chunk = lambda i: F.col("text").substr((1 + i * 448).cast("int"), F.lit(512))
-    counted = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("chunk"), *[hits(chunk(i), ws).alias(n) for n, ws in NODE_WORDS.items()]))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("chunk"), chunk(i).alias("t")))
+    counted = F.transform("pieces", lambda p: F.struct(p["chunk"].alias("chunk"), *[X.hits(p["t"], ws).alias(n) for n, ws in NODE_WORDS.items()]))
+    d = d.select("doc_id", X.once(pieces).alias("pieces")).select("doc_id", X.once(counted).alias("counted"))
 
     def best(node):
         some = F.transform(F.filter("counted", lambda c: c[node] > 0), lambda c: F.struct((-c[node]).alias("less"), c["chunk"].alias("chunk")))
         return F.transform(F.slice(F.array_sort(some), 1, 3), lambda c: F.struct(F.lit(node).alias("node"), c["chunk"].alias("chunk"), (-c["less"]).alias("hits")))
 
-    return d.select("doc_id", counted.alias("counted")).select("doc_id", F.inline(F.concat(*map(best, NODE_WORDS))))
+    return d.select("doc_id", F.inline(F.concat(*map(best, NODE_WORDS))))
