@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,29 +108,21 @@ def lzw_decode(data: bytes, code_bits: int, limit: int) -> bytes:
             byte, shift, mask = (x[:n] for x in _PLACES[code_bits][at & 7])
         byte = byte + (at >> 3)
         codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> shift & mask
-        used, again = 0, False
-        add, put = table.append, out.append
-        for used, code in enumerate(codes.tolist(), 1):
-            if code == clear:
-                again = True
-                break
-            if code == stop:
-                have = limit
-                break
-            if not last:
-                last = roots[code]
-            elif code < len(table):
+        used, again, before = 0, False, len(out)
+        add, put, todo = table.append, out.append, codes.tolist()
+        for used, code in enumerate(todo, 1):
+            try:
                 entry = table[code]
-                if len(table) < 4096:
-                    add(last + entry[:1])
-                last = entry
-            else:
-                last += last[:1]
-                add(last)
-            put(last)
-            have += len(last)
-            if have >= limit:
+            except IndexError:  # the entry that this code itself completes
+                entry = last + last[:1]
+            if not entry:  # roots of the clear and stop codes are empty
+                again = code == clear
                 break
+            if last and not full:
+                add(last + entry[:1])
+            put(entry)
+            last = entry
+        have = limit if used and not again and code == stop else have + sum(map(len, out[before:]))
         at += 12 * used if full else int(offset[used])
         if again:
             table, last, full = list(roots), b"", False
@@ -210,8 +202,15 @@ def write_gifs(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def show_gif(data: bytes | memoryview, most_screen: int = MOST_SCREEN) -> Iterator[tuple[int, np.ndarray]]:
-    """The frames of a file as shown, one after another: delay in ms and the canvas (height, width, RGBA), which the next frame changes.
+#: What of a frame is shown: a table over the palette's colours, and the value of a blank pixel.
+View = tuple[Callable[[np.ndarray], np.ndarray], int]
+RGBA: View = (lambda palette: np.c_[palette, np.full(len(palette), 255, np.uint8)].copy().view(np.uint32).ravel(), 0)
+LUMA: View = (lambda palette: (palette.astype(np.uint32) @ np.array([299, 587, 114], np.uint32) // 1000).astype(np.uint8), 0)
+BIN: View = (lambda palette: (palette >> 7) @ np.array([4, 2, 1], np.uint8), BINS)
+
+
+def show_gif(data: bytes | memoryview, most_screen: int = MOST_SCREEN, views: tuple[View, ...] = (RGBA,)) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The frames of a file as shown, one after another: delay in ms and a canvas (height, width) for each view, which the next frame changes.
 
     Local before global palettes; interlaced rows are put in order; a transparent index leaves
     the canvas as it is; disposal 2 clears a frame's area, 3 restores what was there before. Other
@@ -226,7 +225,9 @@ def show_gif(data: bytes | memoryview, most_screen: int = MOST_SCREEN) -> Iterat
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
     if width * height > most_screen:
         raise ValueError(f"over {most_screen} pixels")
-    canvas = np.zeros((height, width, 4), np.uint8)
+    known = None
+    blank = np.zeros((1, 3), np.uint8)
+    canvases = [np.full((height, width), none, table(blank).dtype) for table, none in views]
     delay, disposal, clear = 0, 0, -1
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
@@ -264,26 +265,30 @@ def show_gif(data: bytes | memoryview, most_screen: int = MOST_SCREEN) -> Iterat
             ordered = np.empty_like(index)
             ordered[rows] = index
             index = ordered
-        before = canvas.copy() if disposal == 3 else None
-        area = canvas[y : y + h, x : x + w]
-        shown = palette[np.minimum(index, len(palette) - 1)]
-        if clear < 0:
-            area[..., :3], area[..., 3] = shown, 255
-        else:
-            drawn = index != clear
-            area[drawn, :3], area[drawn, 3] = shown[drawn], 255
-        yield delay, canvas
-        if disposal == 2:
-            canvas[y : y + h, x : x + w] = 0
-        elif before is not None:
-            canvas = before
+        if palette is not known:
+            known, tables = palette, [table(palette) for table, _ in views]
+        uncut, index = index, index if len(palette) == 256 else np.minimum(index, len(palette) - 1)
+        areas = [c[y : y + h, x : x + w] for c in canvases]
+        before = [a.copy() for a in areas] if disposal == 3 else None
+        for area, table in zip(areas, tables, strict=True):
+            if clear < 0:
+                area[...] = table[index]
+            else:
+                drawn = uncut != clear
+                area[drawn] = table[index[drawn]]
+        yield delay, canvases
+        for k, (area, (_, none)) in enumerate(zip(areas, views, strict=True)):
+            if disposal == 2:
+                area[...] = none
+            elif before is not None:
+                area[...] = before[k]
         delay, disposal, clear = 0, 0, -1
 
 
 def read_gif(data: bytes | memoryview) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
-    """Width, height and all frames as shown."""
-    frames = [(delay, canvas.copy()) for delay, canvas in show_gif(data)]
-    return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), frames
+    """Width, height and all frames as shown: delay in ms and the canvas (height, width, RGBA)."""
+    width, height = (int.from_bytes(data[k : k + 2], "little") for k in (6, 8))
+    return width, height, [(delay, canvas.copy().view(np.uint8).reshape(height, width, 4)) for delay, (canvas,) in show_gif(data)]
 
 
 def _buffers(batch: pa.RecordBatch, column: str) -> list[memoryview | None]:
@@ -332,18 +337,15 @@ def read_gifs(media: DataFrame, column: str = "media", most_screen: int = MOST_S
     added = ["width", "height", "frames", "luma", "error"]
     media = media.drop(*added)
     frame = pa.list_(pa.struct([("start_ms", pa.int32()), ("delay_ms", pa.int32()), ("hist", pa.list_(pa.int32()))]))
-    weights = np.array([299, 587, 114], dtype=np.uint32)
 
     def one(data: memoryview | None, luma: pa.BufferOutputStream) -> tuple:
         if data is None:
             return None, None, None, False, None
         frames, start, planes = [], 0, []
         try:
-            for delay, shown in show_gif(data, most_screen):
-                r, g, b, a = (shown[..., k] for k in range(4))
-                bins = (r >> 7 << 2 | g >> 7 << 1 | b >> 7) + np.uint8(BINS) * (a == 0)
-                planes.append(((r * weights[0] + g * weights[1] + b * weights[2]) // 1000).astype(np.uint8).tobytes())
-                frames.append({"start_ms": start, "delay_ms": delay, "hist": np.bincount(np.minimum(bins, BINS).ravel(), minlength=BINS + 1)[:BINS].tolist()})
+            for delay, (plane, bins) in show_gif(bytes(data) if len(data) < GROUP else data, most_screen, (LUMA, BIN)):
+                planes.append(plane.tobytes())
+                frames.append({"start_ms": start, "delay_ms": delay, "hist": np.bincount(bins.ravel(), minlength=BINS + 1)[:BINS].tolist()})
                 start += delay
         except (ValueError, IndexError) as e:
             return None, None, None, False, str(e)[:200] or "cut short"
