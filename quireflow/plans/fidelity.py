@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import text as X
 from quireflow.operators.embedding import Embedder, closest, hashed_words
+from quireflow.operators.shared_grams import shared_grams
 from quireflow.plans.registry import query
 from quireflow.session import table
 from quireflow.sources.scratch import materialize
@@ -56,18 +57,13 @@ def docs_of(spark, sf) -> DataFrame:
 def sources(spark, sf, n: int = 8) -> DataFrame:
     """item_id, grams, doc_id, shared: the document with most of an item's distinct n-grams, the smallest id of equal ones; none without a shared one.
 
-    Documents' grams are cut to the wanted ones inside the scan's stage where those are small
-    enough to be broadcast (Spark looks at their size), counted by (item, document) before the
-    shuffle, and only counts are compared.
+    Documents' grams are looked up in the wanted ones inside the scan, by hashes and then by their
+    characters, and only counts by (item, document) leave it. A report of fewer characters than n
+    has no source.
     """
-    own = items(spark, sf).select("item_id", X.once(char_grams(squeezed("report"), n)).alias("g"))
-    wanted = materialize(own.select("item_id", F.explode("g").alias("g")), "grams")
-    step, t = 400, F.col("t")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)), F.lit(step))
-    pieces = docs_of(spark, sf).select("doc_id", X.once(squeezed("text")).alias("t")).select("doc_id", F.explode(F.transform(starts, lambda i: t.substr(i, F.lit(step + n - 1)))).alias("c"))
-    each = pieces.select("doc_id", F.explode(X.grams("c", n)).alias("g"))
-    seen = each.join(wanted.select("g").distinct(), "g", "left_semi").distinct()
-    pairs = seen.join(wanted, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    own = materialize(items(spark, sf).select("item_id", char_grams(squeezed("report"), n).alias("g")), "grams")
+    wanted = own.select("item_id", F.explode("g").alias("g")).where(F.length("g") == n)
+    pairs = shared_grams(docs_of(spark, sf).select("doc_id", squeezed("text").alias("text")), wanted, n)
     best = pairs.groupBy("item_id").agg(F.max(F.struct("shared", (-F.col("doc_id")).alias("less"))).alias("m"))
     best = best.select("item_id", (-F.col("m.less")).alias("doc_id"), F.col("m.shared").alias("shared"))
     return own.select("item_id", F.size("g").cast("long").alias("grams")).join(best, "item_id", "left")

@@ -10,6 +10,7 @@ from quireflow.functions import text as X
 from quireflow.operators import ranking as R
 from quireflow.operators import titles as T
 from quireflow.operators.components import connected_components
+from quireflow.operators.shared_grams import shared_grams
 from quireflow.plans import forensics
 from quireflow.operators.hashes import hamming_join
 from quireflow.plans.corpus import digit_run, sentiment
@@ -119,3 +120,16 @@ def test_best_titles(spark):
         if best[0] >= 0.55:
             want.add((k, -best[1], best[0]))
     assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 7])
+def test_shared_grams(spark, shard):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdé日🙂") for _ in range(rng.randrange(n)))
+    docs = [(k, text(60)) for k in range(80)] + [(90, None), (91, ""), (92, "ab" * 40)]
+    items = [(k, text(30)) for k in range(12)] + [(20, "abababab"), (21, "")]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    want = {(i, d, len(grams(r) & grams(t))) for i, r in items for d, t in docs if t and grams(r) & grams(t)}
+    wanted = spark.createDataFrame([(i, g) for i, r in items for g in grams(r)], "item_id long, g string")
+    got = [tuple(r) for r in shared_grams(spark.createDataFrame(docs, "doc_id long, text string"), wanted, 3, shard=shard).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
