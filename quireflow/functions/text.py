@@ -87,3 +87,42 @@ def uniform(c: str | Column, salt: str = "") -> Column:
     """A number in [0, 1) from md5, the same on every engine and run."""
     head = F.substring(F.md5(F.concat(F.lit(salt), col(c).cast("string"))), 1, 8)
     return F.conv(head, 16, 10).cast("double") / 4294967296.0
+
+
+def number(c: str | Column) -> Column:
+    """A number from text with thousands commas, a percent sign or an exponent; null where it is none. '84.6%' is 84.6."""
+    return F.trim(F.regexp_replace(col(c), "[,%]", "")).try_cast("double")
+
+
+def clamped(c: str | Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """Text or number within bounds; what isn't a number is the middle."""
+    value = col(c).cast("string").try_cast("double")
+    return F.when(value.isNull(), F.lit((low + high) / 2)).otherwise(clamp(value, low, high))
+
+
+def floats(c: str | Column) -> Column:
+    """The numbers of a list of texts, the entries that aren't one left out; a null list is empty."""
+    values = F.transform(col(c), lambda x: x.cast("string").try_cast("double"))
+    return F.coalesce(F.filter(values, lambda x: x.isNotNull()), F.array().cast("array<double>"))
+
+
+def vector_to_json(c: str | Column) -> Column:
+    return F.to_json(col(c))
+
+
+def vector_from_json(c: str | Column) -> Column:
+    """A vector from a JSON list of numbers or of texts of numbers; anything else, an entry that is no number included, is empty."""
+    raw = F.from_json(col(c), "array<string>")
+    values = F.transform(raw, lambda x: x.try_cast("double"))
+    bad = raw.isNull() | F.exists(values, lambda x: x.isNull())
+    return F.when(bad, F.array().cast("array<double>")).otherwise(values)
+
+
+def cut_at_sentence(c: str | Column, most: int = 4000) -> Column:
+    """The first `most` characters of a longer text, up to the last sentence end beyond .7 of them, else the last comma beyond .6, else with an ellipsis; null is empty."""
+    c = F.coalesce(col(c), F.lit(""))
+    head = F.substring(c, 1, most)
+    last = lambda marks: most - F.length(F.regexp_extract(head, f"([^{marks}]*)$", 1))  # noqa: E731  the place of the last mark, from 1
+    stop, comma = last("。！？"), last("，,、")
+    cut = F.when(stop - 1 > most * 0.7, F.substring(c, F.lit(1), stop)).when(comma - 1 > most * 0.6, F.substring(c, F.lit(1), comma)).otherwise(F.concat(head, F.lit("...")))
+    return F.when(F.length(c) <= most, c).otherwise(cut)
