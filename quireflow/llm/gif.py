@@ -40,24 +40,21 @@ _ROOTS = {bits: [bytes([i]) for i in range(1 << bits)] + [b"", b""] for bits in
 def lzw_codes(pixels: bytes) -> list[list[int]]:
     """GIF's LZW of 8-bit samples as runs of codes, each ended by a clear code (256) or the end code (257)."""
     runs, codes, table, following = [], [], {}, 258
-    get = table.get
+    known, put = table.setdefault, codes.append
     prefix = pixels[0] if pixels else -1
     for c in pixels[1:]:
-        pair = prefix << 8 | c
-        found = get(pair)
-        if found is not None:
+        found = known(prefix << 8 | c, following)  # a new string takes the next code
+        if found != following:
             prefix = found
             continue
-        codes.append(prefix)
+        put(prefix)
         prefix = c
-        if following < 4095:
-            table[pair] = following
-            following += 1
-        else:
-            codes.append(256)
+        following += 1
+        if following == 4096:
+            put(256)
             runs.append(codes)
             codes, table, following = [], {}, 258
-            get = table.get
+            known, put = table.setdefault, codes.append
     return [*runs, [*codes, *([prefix] if prefix >= 0 else []), 257]]
 
 
