@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -311,88 +310,119 @@ def k21(spark, sf):
     return g.select("l_orderkey", ((F.col("a") != F.col("b")) & ~alike).alias("disagree"), rnd(0.1 * s).alias("gap"))
 
 
+#: Poisson(1) by its distribution: the first count whose bound is above a uniform number.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917, 0.99999)
 PRIME = 2147483647
-BOOT = f"""WITH v AS (SELECT l_suppkey AS g, CAST(2 * l_quantity AS BIGINT) AS h, count(*) AS n FROM lineitem GROUP BY ALL), kn AS (SELECT DISTINCT n FROM v), pk AS (SELECT n, k, exp(k * ln(n::DOUBLE) - n - lgamma(k + 1)) AS p FROM (SELECT n, unnest(range(0, n + CAST(12 * sqrt(n) AS BIGINT) + 30)) AS k FROM kn)), cd AS (SELECT n, list(c ORDER BY k) AS c FROM (SELECT n, k, round(sum(p) OVER (PARTITION BY n ORDER BY k), 12) AS c FROM pk) GROUP BY n),
-y AS (SELECT g, h, n, b, ((g * 1009 + h * 7919) % {PRIME} + b * 69621 + 12345) % {PRIME} AS y FROM v, (SELECT unnest(range(1000)) AS b)), z AS (SELECT g, h, n, b, (y * y + b) % {PRIME} AS z FROM y), u AS (SELECT g, h, n, b, (z * z % {PRIME}) / {float(PRIME)} AS u FROM z),
-p AS (SELECT g, b, h / 100.0::DOUBLE AS x, len(list_filter(c, lambda q: q <= u)) AS w FROM u JOIN cd USING (n)), m AS (SELECT g, b, sum(w * x) / sum(w) AS m FROM p GROUP BY ALL HAVING sum(w) > 0)"""
+BOOT = f"""WITH v AS (SELECT l_suppkey AS g, l_quantity / 50 AS x, (l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME} AS s FROM lineitem), y AS (SELECT g, x, b, (s + b * 69621 + 12345) % {PRIME} AS y FROM v, (SELECT unnest(range(1000)) AS b)), z AS (SELECT g, x, b, (y * y + b) % {PRIME} AS z FROM y), u AS (SELECT g, x, b, (z * z % {PRIME}) / {float(PRIME)} AS u FROM z),
+p AS (SELECT g, b, x, CASE {" ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(POISSON))} ELSE {len(POISSON)} END AS w FROM u), m AS (SELECT g, b, sum(w * x) / sum(w) AS m FROM p GROUP BY ALL HAVING sum(w) > 0)"""
 
+#: The same bounds for the whole numbers that are drawn: u is below a bound where its number is.
+DRAWS = [next(z for z in range(int(t * PRIME) - 1, PRIME) if z / float(PRIME) >= t) for t in POISSON]
 
-def poisson_bounds(n: int) -> tuple[int, np.ndarray]:
-    """First count k0 and the distribution function of Poisson(n) from there on, over all that has a chance worth 12 places."""
-    spread = int(12 * math.sqrt(n)) + 30
-    k = np.arange(max(0, n - spread), n + spread)
-    logs = np.cumsum(np.r_[k[0] * math.log(n) - n - math.lgamma(k[0] + 1), math.log(n) - np.log(k[1:])])
-    return int(k[0]), np.round(np.cumsum(np.exp(logs)), 12)
+
+def poisson_weights(rounds: int, most: int = 32):
+    """A function from at most `most` row numbers (below PRIME) to their Poisson(1) weights in each round; each call overwrites the last one's result.
+
+    A Mersenne prime's remainder is the sum of the two halves of a number below its square, less
+    the prime at most once, so arrays that are kept are worked on in place.
+    """
+    prime, turn = np.uint64(PRIME), np.arange(rounds, dtype=np.int64)
+    shift, turn = ((turn * 69621 + 12345) % PRIME).astype(np.uint64), turn.astype(np.uint64)
+    whole, half = np.empty((2, most, rounds), np.uint64)
+    drawn, above, weight = np.empty((most, rounds), np.uint32), np.empty((most, rounds), bool), np.empty((most, rounds))
+
+    def less(a: np.ndarray, b: np.ndarray) -> None:
+        np.subtract(a, prime, out=b)
+        np.minimum(a, b, out=a)
+
+    def remainder(a: np.ndarray, b: np.ndarray) -> None:
+        np.right_shift(a, np.uint64(31), out=b)
+        np.bitwise_and(a, prime, out=a)
+        np.add(a, b, out=a)
+        less(a, b)
+
+    def run(s: np.ndarray) -> np.ndarray:
+        a, b, z, over, w = (x[: len(s)] for x in (whole, half, drawn, above, weight))
+        np.add(s.astype(np.uint64)[:, None], shift, out=a)
+        less(a, b)
+        np.multiply(a, a, out=a)
+        np.add(a, turn, out=a)
+        remainder(a, b)
+        np.multiply(a, a, out=a)
+        remainder(a, b)
+        z[:] = a
+        count = np.zeros(z.shape, np.uint8)
+        for bound in DRAWS:
+            np.greater_equal(z, np.uint32(bound), out=over)
+            np.add(count, over.view(np.uint8), out=count)
+        w[:] = count
+        return w
+
+    return run
 
 
 def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
-    """g, low, high: the 2.5 and 97.5 percentiles of each group's resampled means, by a Poisson bootstrap. values: g and h, whole hundredths.
+    """g, low, high: the 2.5 and 97.5 percentiles of each group's resampled means, by a Poisson bootstrap. values: g, x, s (a number that tells rows apart, from 0 to below PRIME).
 
-    A row counts in every round with a weight of Poisson(1), so n equal values count with Poisson(n):
-    they are counted first, and one number is drawn for each value and round, by a hash of group,
-    value and round. Nothing is joined. A task adds up weights and weighted values by group and
-    round as it reads, at most 2048 groups at once, and sends the sums; a group of any size
-    costs one row of them for each task, and its rows needn't meet.
+    Every row counts in every round with a weight of Poisson(1), drawn by a hash of row and round.
+    Rows are dealt by ranges of group and s, so a group of any size lies in as many neighbouring
+    tasks as it needs. A task reads its groups one after another and finishes all but the first
+    and the last, which can go on in its neighbours: only these send their sums by round.
     """
-    turn = np.arange(rounds, dtype=np.int64)
-
-    def drawn(s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        y = (s[:, None] + turn * 69621 + 12345) % PRIME
-        z = (y * y + turn) % PRIME
-        u, w = (z * z % PRIME) / float(PRIME), np.empty(z.shape)
-        for k in np.unique(n).tolist():
-            first, bounds = poisson_bounds(k)
-            w[n == k] = first + np.searchsorted(bounds, u[n == k], side="right")
-        return w
+    shape = "g long, low double, high double, sums binary"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+    def ends(total: np.ndarray) -> tuple:
+        mean = total[0][total[1] > 0] / total[1][total[1] > 0]
+        return (*np.quantile(mean, [0.025, 0.975]).tolist(), None) if len(mean) else (None, None, None)
 
-        def flush() -> pa.RecordBatch:
-            rows = [(g, a.tobytes()) for g, a in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "sums"])
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"g": pa.int64(), "low": pa.float64(), "high": pa.float64(), "sums": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, first, now, total = poisson_weights(rounds, 32), True, None, np.zeros((2, rounds))
         for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by("g")
-            g, h, n = (table.column(c).to_numpy() for c in ("g", "h", "n"))
-            x, s = h / 100.0, (g * 1009 + h * 7919) % PRIME
-            for at in range(0, len(g), 1000):
-                own = g[at : at + 1000]
-                w = drawn(s[at : at + 1000], n[at : at + 1000])
-                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                both = np.stack([np.add.reduceat(w * x[at : at + 1000, None], starts), np.add.reduceat(w, starts)], axis=1)
-                for name, part in zip(own[starts].tolist(), both, strict=True):
-                    held[name] = held[name] + part if name in held else part
-                if len(held) > 2048:
-                    yield flush()
-        if held:
-            yield flush()
+            rows = []
+            g, x, s = (batch.column(c).to_numpy() for c in ("g", "x", "s"))
+            for at in range(0, len(g), 32):
+                own, w = g[at : at + 32], drawn(s[at : at + 32])
+                both = np.stack([x[at : at + 32], np.ones(len(own))])
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+                for a, b in zip(starts, starts[1:], strict=False):
+                    if own[a] != now and now is not None:
+                        rows.append((now, None, None, total.tobytes()) if first else (now, *ends(total)))
+                        first, total = False, np.zeros((2, rounds))
+                    now = int(own[a])
+                    total += np.einsum("ki,ij->kj", both[:, a:b], w[a:b])  # not BLAS, whose threads get in the way of other tasks
+            if rows:
+                yield rows_of(rows)
+        if now is not None:
+            yield rows_of([(now, None, None, total.tobytes())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros((2, rounds))
-
-        def row() -> pa.RecordBatch:
-            mean = total[0][total[1] > 0] / total[1][total[1] > 0]
-            low, high = np.quantile(mean, [0.025, 0.975]) if len(mean) else (None, None)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([low], pa.float64()), pa.array([high], pa.float64())], names=["g", "low", "high"])
-
         for batch in batches:
-            for g, data in zip(batch.column("g").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                if g != now and now is not None:
-                    yield row()
-                    total = np.zeros((2, rounds))
-                now, total = g, total + np.frombuffer(data).reshape(2, rounds)
+            rows = []
+            for r in batch.to_pylist():
+                if r["g"] != now and now is not None:
+                    rows.append((now, *ends(total)))
+                    now, total = None, np.zeros((2, rounds))
+                if r["sums"] is None:
+                    rows.append((r["g"], r["low"], r["high"], None))
+                else:
+                    now, total = r["g"], total + np.frombuffer(r["sums"]).reshape(2, rounds)
+            if rows:
+                yield rows_of(rows)
         if now is not None:
-            yield row()
+            yield rows_of([(now, *ends(total))])
 
-    counted = values.groupBy("g", "h").agg(n_rows().alias("n"))
-    sent = counted.mapInArrow(sums, "g long, sums binary")
-    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merged, "g long, low double, high double")
+    sent = values.select("g", "x", "s").repartitionByRange("g", "s").sortWithinPartitions("g", "s").mapInArrow(sums, shape)
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merged, shape).select("g", "low", "high")
 
 
 def ratings(spark, sf) -> DataFrame:
-    return li_of(spark, sf).select(F.col("l_suppkey").alias("g"), F.round(F.col("l_quantity") * 2).cast("long").alias("h"))
+    seed = F.expr(f"(l_orderkey * 1009 + l_linenumber * 7919 + l_partkey * 104729) % {PRIME}")
+    return li_of(spark, sf).select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 50).alias("x"), seed.alias("s"))
 
 
 @query("k22_bootstrap_interval", f"{BOOT} SELECT g, round(greatest(0, least(1, quantile_cont(m, 0.025))), 5) AS low, round(greatest(0, least(1, quantile_cont(m, 0.975))), 5) AS high FROM m GROUP BY g")
