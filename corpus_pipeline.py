@@ -26,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarities of .8 or more the one with the smallest doc_id stays."""
+    """Of documents linked by five-word Jaccard similarities of .8 or more, found by SimHash and MinHash, the one with the smallest doc_id stays."""
     return keep_one_each(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of five-word runs: MinHash buckets give candidates, and each is verified exactly."""
+"""Near copies by the Jaccard similarity of five-word runs: SimHash fingerprints, then MinHash buckets give candidates, and each is verified exactly."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm.arrow import raw, slices, whole_keys
+from quireflow.llm.simhash import fingerprints, near_fingerprints
 from quireflow.llm.substring import _mix, word_hashes
 from quireflow.operators.components import connected_components
 from quireflow.sources.scratch import materialize
@@ -140,7 +141,10 @@ def crowd_pairs(sets: DataFrame, least: float) -> DataFrame:
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """key and component_id (the smallest key reachable): texts link at a Jaccard similarity of `least` of their runs of `width` words.
 
-    Every pair that shares a bucket is verified, except within what is linked already: first each
+    SimHash fingerprints of the runs link at 3 or fewer differing bits, by an inverted index over
+    byte positions with count filtering, and every link is verified. A fingerprint of texts at .8
+    differs in about 10 bits, so MinHash buckets add the pairs that it leaves. Every pair that
+    shares a bucket is verified, except within what is linked already: first each
     member of a bucket against the member that shares most buckets, so that a large group of
     copies takes one pair a member; then all pairs of a bucket that are in different components,
     where over CROWD members are outside the largest one those that crowd_pairs leaves.
@@ -149,14 +153,16 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     whole_keys(docs, key)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    near = materialize(near_fingerprints(materialize(fingerprints(rows, "__key", "__text", width), "fingerprints")), "near")
     placed = materialize(buckets(rows, width), "buckets")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("__key").alias("lo"), F.max("__key").alias("hi"))
     members = materialize(placed.join(shared.where("lo <> hi").select("bucket", "size"), "bucket"), "members")
     score = materialize(members.groupBy("__key").agg(F.sum("size").alias("score")), "score")
-    sets = materialize(gram_sets(rows.join(score, "__key", "left_semi"), width), "sets")
+    asked = score.select("__key").union(near.select("u")).union(near.select("v")).distinct()
+    sets = materialize(gram_sets(rows.join(asked, "__key", "left_semi"), width), "sets")
     hubs = members.join(score, "__key").groupBy("bucket").agg(F.max(F.struct("score", "__key")).alias("top"))
     hubs = materialize(hubs.select("bucket", F.col("top.__key").alias("hub")), "hubs")
-    tried = materialize(members.join(hubs, "bucket").where("__key <> hub").select(*_pairs("__key", "hub")).distinct(), "tried")
+    tried = materialize(members.join(hubs, "bucket").where("__key <> hub").select(*_pairs("__key", "hub")).union(near).distinct(), "tried")
     links = materialize(verified(tried, sets, least), "links")
 
     comp = materialize(connected_components(links), "components")

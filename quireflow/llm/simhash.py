@@ -166,6 +166,16 @@ def _linked(distinct: DataFrame, split_above: int) -> DataFrame:
     return postings(distinct, split_above).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "series int, u long, v long")
 
 
+def near_fingerprints(marked: DataFrame, split_above: int = 4096) -> DataFrame:
+    """u, v (u > v): rows of marked (__key, fp), each of equal fingerprints with the least of these, and the least ones of fingerprints that the index links."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("__key").alias("first_key")), "distinct")
+    equal = marked.join(distinct, "fp").where(F.col("__key") > F.col("first_key")).select(F.col("__key").alias("u"), F.col("first_key").alias("v"))
+    links = materialize(_linked(distinct.select("fp", F.lit(0).alias("series")), split_above), "links")
+    for c in "uv":
+        links = links.join(distinct.toDF(c, f"key_{c}"), c)
+    return equal.union(links.select(F.greatest("key_u", "key_v"), F.least("key_u", "key_v"))).distinct()
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, split_above: int = 4096) -> DataFrame:
     """Fingerprint and component of every row; fingerprints link at 3 or fewer differing bits.
 
