@@ -44,10 +44,12 @@ def hamming_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
 
     Exact: of four bands of 16 bits one differs in at most `most // 4` bits. Half of these are
     changed on the left and the rest on the right, so that both sides come to the same value; an
-    equality join on it finds all pairs, and distances are taken of the whole hashes.
+    equality join on it finds all pairs, and distances are taken of the whole hashes. Sides are
+    merged: a row becomes hundreds of keys, which Spark's estimates for a broadcast don't count.
     """
     radius = most // BANDS
-    x = _keys(left.select("a", "ha"), "ha", radius // 2).withColumnRenamed("__h", "x")
-    y = _keys(right.select("b", "hb"), "hb", radius - radius // 2).withColumnRenamed("__h", "y")
-    near = x.join(y, ["__k", "__key"]).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = _keys(left.select("a", "ha").repartition(n, "a"), "ha", radius // 2).withColumnRenamed("__h", "x")
+    y = _keys(right.select("b", "hb").repartition(n, "b"), "hb", radius - radius // 2).withColumnRenamed("__h", "y")
+    near = x.hint("merge").join(y, ["__k", "__key"]).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
     return near.where((F.col("distance") <= most) & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.min("distance").alias("distance"))
