@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quireflow.sources.scratch import materialize
 
 PIVOTS = 32
+#: Neighbouring blocks that are sent to a task together.
+TILE = 16
 
 
 def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +89,22 @@ def block_pairs(blocks: DataFrame, least: float) -> DataFrame:
     return both.where(own & ~apart).select(F.col("a_block").alias("i"), F.col("b_block").alias("j"), products.alias("products"))
 
 
+def tiles(blocks: DataFrame, least: float, most: int = TILE) -> DataFrame:
+    """tile, block, others: each block once for each tile that needs it, with the blocks there that it is multiplied with.
+
+    A tile is the pairs of two groups of at most `most` neighbouring blocks, so that a block is sent to
+    a task once for `most` products, and a task holds 2 * `most` blocks at a time.
+    """
+    pairs = block_pairs(blocks, least)
+    width = max(1, min(most, blocks.count() // 16))
+    place = blocks.select("block", F.expr(f"(row_number() OVER (ORDER BY block) - 1) div {width}").alias("g"))  # one short row for each block
+    for c in "ij":
+        pairs = pairs.join(place.toDF(c, f"g_{c}"), c)
+    placed = pairs.select(F.struct("g_i", "g_j").alias("tile"), "i", "j")
+    each = placed.select("tile", F.col("i").alias("block"), F.col("j").alias("other")).unionByName(placed.select("tile", F.col("j").alias("block"), F.lit(None).cast("long").alias("other")))
+    return each.groupBy("tile", "block").agg(F.collect_list("other").alias("others")).select(F.xxhash64("tile").alias("tile"), "block", "others")
+
+
 def similarity_join(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", rows: int = 2048) -> DataFrame:
     """a, b, cosine of all vectors (a < b) at a cosine of `least` or more, exactly; least is above 0.
 
@@ -95,22 +113,29 @@ def similarity_join(vectors: DataFrame, least: float, key: str = "vec_id", vecto
     to none. What is computed falls as `least` rises (block_pairs tells how much).
     """
     blocks = vector_blocks(vectors, key, vector, rows)
-    data = lambda c: blocks.select(F.col("block").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "ids", "data")))
+
+    def products(own: list[dict]) -> Iterator[pa.RecordBatch]:
+        at = {r["block"]: (np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["data"], dtype=np.float64).reshape(r["n"], -1)) for r in own}
+        for i, j in ((r["block"], j) for r in own for j in r["others"]):
+            (p, x), (q, y) = at[i], at[j]
+            for start in range(0, len(x), 256):
+                sim = x[start : start + 256] @ y.T
+                u, v = np.nonzero(sim >= least - 1e-9)
+                kept = start + u < v if i == j else np.ones(len(u), bool)
+                a, b, cosine = p[start + u[kept]], q[v[kept]], sim[u[kept], v[kept]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["a", "b", "cosine"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r]  # noqa: B023, E731
-                x, y = (np.frombuffer(get(f"data_{c}").as_py(), dtype=np.float64).reshape(get(f"n_{c}").as_py(), -1) for c in "ij")
-                p, q = (np.frombuffer(get(f"ids_{c}").as_py(), dtype=np.int64) for c in "ij")
-                same = get("i").as_py() == get("j").as_py()
-                for at in range(0, len(x), 256):
-                    sim = x[at : at + 256] @ y.T
-                    u, v = np.nonzero(sim >= least - 1e-9)
-                    kept = at + u < v if same else np.ones(len(u), bool)
-                    a, b, cosine = p[at + u[kept]], q[v[kept]], sim[u[kept], v[kept]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["a", "b", "cosine"])
-
-    pairs = block_pairs(blocks, least).join(data("i"), "i").join(data("j"), "j")
-    return pairs.select("i", "j", "n_i", "n_j", "ids_i", "ids_j", "data_i", "data_j").mapInArrow(multiply, "a long, b long, cosine double")
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                if row["tile"] != now:
+                    yield from products(own)
+                    now, own = row["tile"], []
+                own.append(row)
+        yield from products(own)
+
+    sent = tiles(blocks, least).join(blocks.select("block", "n", "ids", "data"), "block")
+    return sent.repartition("tile").sortWithinPartitions("tile").mapInArrow(multiply, "a long, b long, cosine double")
