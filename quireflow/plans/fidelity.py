@@ -6,6 +6,11 @@ character 8-grams, so that an item is compared with one text and not with all at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,12 +250,47 @@ def d10(spark, sf):
     return s.select("item_id", F.size("b").cast("long").alias("key_sentences"), F.size(F.filter("b", lambda b: (b["sim"] >= COVERED) & ~b["copied"])).cast("long").alias("covered"))
 
 
+def next_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, pos, overlap of each sentence's bigrams with the next one's, from doc_id and s; bigrams are numbers of two code points."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            sizes = pc.list_value_length(batch.column("s")).to_numpy(zero_copy_only=False)
+            texts = batch.column("s").flatten().to_pylist()
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            black = ~np.isin(points, [9, 10, 11, 12, 13, 32])
+            points, own = points[black], own[black]
+            two = own[1:] == own[:-1]
+            alone = np.bincount(own, minlength=len(texts))[own] == 1
+            sentence = np.r_[own[:-1][two], own[alone]]
+            gram = np.r_[(points[:-1] << 21 | points[1:])[two], points[alone] - (1 << 21)]
+            order = np.lexsort((gram, sentence))
+            sentence, gram = sentence[order], gram[order]
+            new = np.r_[True, (sentence[1:] != sentence[:-1]) | (gram[1:] != gram[:-1])][: len(gram)]
+            sentence, gram = sentence[new], gram[new]
+            n = np.bincount(sentence, minlength=len(texts))
+            place = np.r_[sentence, sentence - 1]  # grams of the next sentence stand at this one's place
+            both = np.r_[gram, gram]
+            order = np.lexsort((both, place))
+            place, both = place[order], both[order]
+            twice = (place[1:] == place[:-1]) & (both[1:] == both[:-1])
+            shared = np.bincount(place[1:][twice], minlength=len(texts))
+            ends = np.cumsum(sizes)
+            first = np.ones(len(texts), bool)
+            first[ends[sizes > 0] - 1] = False
+            here = np.flatnonzero(first)  # every sentence but its document's last
+            either = n[here] + n[here + 1] - shared[here]
+            value = np.where(np.minimum(n[here], n[here + 1]) > 0, shared[here] / np.maximum(either, 1), 0.0)
+            row = np.repeat(np.arange(len(sizes)), sizes)[here]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(here - (ends - sizes)[row] + 1), pa.array(value)], names=["doc_id", "pos", "overlap"])
+
+
 @query("d11_bigram_overlap", f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.]([0-9])', chr(1) || '\\1', 'g'), '[.!?\\n。！？]+'), lambda x: replace(trim(x), chr(1), '.')), lambda x: x <> '') AS x FROM documents), p AS (SELECT doc_id, unnest(range(1, len(x))) AS pos, x FROM s), b AS (SELECT doc_id, pos, {BG.format('x[pos]')} AS a, {BG.format('x[pos + 1]')} AS b FROM p) SELECT doc_id, pos, {JAC.format('a', 'b')} AS overlap FROM b")
 def d11(spark, sf):
     """Bigram overlap of every sentence with the next one of its document."""
-    b = docs_of(spark, sf).select("doc_id", X.once(F.transform(X.sentences("text"), bigrams)).alias("b"))
-    pairs = F.transform(F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(0))), lambda y, k: F.struct((k + 1).cast("long").alias("pos"), overlap(F.get("b", k), y).alias("overlap")))
-    return b.select("doc_id", F.inline(pairs))
+    found = docs_of(spark, sf).select("doc_id", X.sentences("text").alias("s")).mapInArrow(next_overlaps, "doc_id long, pos long, overlap double")
+    return found.select("doc_id", "pos", F.round("overlap", 6).alias("overlap"))
 
 
 @query("d12_snippet_grounded", f"WITH {SRC}, s6 AS (SELECT DISTINCT item_id, substr(t, k, 6) AS g FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 4, 2))) AS k FROM i WHERE t <> '')), h AS (SELECT item_id, avg(CASE WHEN contains(dt.t, s6.g) THEN 1.0 ELSE 0 END) AS hit FROM s6 LEFT JOIN so USING (item_id) LEFT JOIN dt ON dt.doc_id = so.doc_id GROUP BY 1) SELECT item_id, coalesce(hit, 0) >= 0.6 AS grounded FROM i LEFT JOIN h USING (item_id)")
