@@ -278,7 +278,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", 4 << 20):
             ids, sizes = enc.encode(texts(batch, "__text"))
             ends = np.cumsum(sizes)
             held.append(np.insert(ids, ends, np.uint32(end_id)))

@@ -18,6 +18,7 @@ from itertools import pairwise, repeat
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Characters that the fast cut doesn't handle: NUL (used between texts), three letters whose lower case leaves the range, all beyond Latin but for common punctuation.
 _OTHER = re.compile("[\0İȺȾ̀-‏ -\U0010ffff]")
@@ -44,6 +45,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: UTF-8 of each byte's character in that alphabet (0: none); blanks and line ends stand for themselves.
+_SPELLED = np.zeros((256, 2), dtype=np.uint8)
+for _ch, _b in byte_alphabet().items():
+    _SPELLED[_b, : len(_ch.encode())] = [*_ch.encode()]
+_SPELLED[[10, 32]] = [[10, 0], [32, 0]]
+
 _TO_LATIN = {ord(ch): chr(b) for ch, b in byte_alphabet().items()}
 
 
@@ -197,7 +204,9 @@ class PieceLibrary:
     """Ids of pieces by the library, many to a call.
 
     Pieces are joined to short texts that the library cuts at the same places again; the first or
-    the last token of a piece is told by its string. Pieces for which that isn't so (white space,
+    the last token of a piece is told by its string. Without keep_space pieces hold no white space,
+    so they go, spelled in the byte alphabet, to the library's model past its normalizer and
+    cutting, which they have behind them. Pieces for which that isn't so (white space,
     or no space before them where a space starts a piece) are encoded one by one, and so is a
     text that doesn't come back as so many pieces.
     """
@@ -207,6 +216,9 @@ class PieceLibrary:
     def __init__(self, lib: Tokenizer, keep_space: bool):
         self.lib, self.keep_space = lib, keep_space
         names = [lib.id_to_token(i) or "" for i in range(lib.get_vocab_size(with_added_tokens=True))]
+        self.model = lib if keep_space else Tokenizer(lib.model)
+        if not keep_space:
+            self.model.pre_tokenizer = WhitespaceSplit()
         self.edge = np.array([n.startswith("\u0120") if keep_space else n.endswith("</w>") for n in names])
 
     def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +226,15 @@ class PieceLibrary:
         joined = [i for i, t in enumerate(together) if t]
         alone = [i for i, t in enumerate(together) if not t]
         groups = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
-        sep = b"" if self.keep_space else b" "
+        if self.keep_space:
+            spelled = [b"".join([pieces[i] for i in g]).decode() for g in groups]
+        else:
+            both = _SPELLED[np.frombuffer(b"\n".join([b" ".join([pieces[i] for i in g]) for g in groups]), dtype=np.uint8)]
+            spelled = both[both > 0].tobytes().decode().split("\n")
         runs: list[np.ndarray] = []
         sizes = np.zeros(len(pieces), np.int64)
         order: list[int] = []
-        for own, e in zip(groups, self.lib.encode_batch_fast([sep.join([pieces[i] for i in g]).decode() for g in groups], add_special_tokens=False), strict=True):
+        for own, e in zip(groups, self.model.encode_batch_fast(spelled if groups else [], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(own):
