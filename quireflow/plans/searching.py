@@ -11,6 +11,7 @@ from quireflow.operators.mentions import containing_any
 from quireflow.operators import ranking as R
 from quireflow.plans.registry import ORACLE, query
 from quireflow.session import table
+from quireflow.sources.scratch import materialize
 
 TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 POST = f"""
@@ -252,8 +253,8 @@ def r16(spark, sf):
     """Every item against its five best documents by keyword: (cosine + 1) / 2 where both have a vector (here: even numbers), else Jaccard of words of four letters or more."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
     vec = vectors_of(spark, sf).where("doc_id % 2 = 0")
-    found = R.bm25(docs_of(spark, sf), asked_of(spark, sf), 5).select(F.col("query_id").alias("item_id"), "doc_id")
-    both = found.join(table(spark, sf, "benchmark").select("item_id", words("text").alias("qw")), "item_id").join(docs_of(spark, sf).select("doc_id", words("text").alias("dw")), "doc_id")
+    found = materialize(R.bm25(docs_of(spark, sf), asked_of(spark, sf), 5).select(F.col("query_id").alias("item_id"), "doc_id"), "found")  # its size is known then, and no text is exchanged for a few rows
+    both = found.join(docs_of(spark, sf), "doc_id").withColumn("dw", words("text")).drop("text").join(table(spark, sf, "benchmark").select("item_id", words("text").alias("qw")), "item_id")
     both = both.join(vec, "doc_id", "left").join(vec.toDF("item_id", "qvec"), "item_id", "left")
     return both.select("item_id", "doc_id", F.round(F.coalesce(F.when(F.col("vec").isNotNull() & F.col("qvec").isNotNull(), (X.cosine("qvec", "vec") + 1) / 2), X.jaccard(F.col("qw"), F.col("dw"))), 5).alias("match"))
 
