@@ -74,6 +74,7 @@ def r4(spark, sf):
     meta = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "lang", "source")
     text = R.bm25(docs_of(spark, sf), asked_of(spark, sf), 50)
     fused = R.rrf([text, R.vector_top(query_vectors(spark, sf), vectors_of(spark, sf), 50)], 100).drop("rank")
+    fused = materialize(fused, "fused")  # its size is known then, and no document is exchanged or sorted for a few rows
     return fused.join(meta, "doc_id").withColumn("rank", R.rank_within("query_id", F.desc("rrf"), F.asc("doc_id"))).where("rank <= 10")
 
 
